@@ -12,10 +12,10 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, cut
+from .common import WORD, bounded, cut
 
 BITS, LEVEL = 60, 10
 
@@ -51,36 +51,50 @@ def _narrow(sums: DataFrame, part) -> DataFrame:
     return ends.select("source", part.alias("prefix"), (F.col("rest") - F.col("before")).alias("rest"))
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), copies (how often the mix takes it)."""
+def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, *, id_col="doc_id", text_col="text", source_col="source") -> tuple[DataFrame, DataFrame]:
+    """(rows of doc_id, source, size, h; the plan by source: source_size, target, full, threshold)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = cut(rows.withColumn("h", _hash(F.col("doc_id"))), "mix")
-    first = F.shiftright("h", BITS - LEVEL).alias("b")
-    hist = cut(rows.groupBy("source", first).agg(F.sum("size").alias("s")), "mix-hist")
+    shift = BITS - LEVEL
+    hist = cut(rows.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s")), "mix-hist")
     plan = source_targets(hist.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = cut(plan.withColumn("full", full).withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0))), "mix-plan")
-    small = plan.count() <= BROADCAST_ROWS
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    def on(df, other):
-        return df.join(near(other.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
-
-    edge = _narrow(on(hist, plan.filter("rest > 0").select("source", "rest")), F.col("b"))
-    for level in (2,):
-        shift = BITS - LEVEL * level
-        inside = on(rows, edge).filter(F.shiftright("h", shift + LEVEL) == F.col("prefix"))
-        sums = inside.groupBy("source", "rest", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"))
-        edge = cut(_narrow(sums, F.col("b")), "mix-edge")
+    edge = cut(_narrow(with_source(hist, plan.filter("rest > 0").select("source", "rest")), F.col("b")), "mix-edge")
+    inside = with_source(rows, edge).filter(F.shiftright("h", shift) == F.col("prefix"))
+    shift -= LEVEL
+    sums = inside.groupBy("source", "rest", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"))
+    edge = cut(_narrow(sums, F.col("b")), "mix-edge")
     # The last bucket holds about one row in 2^20 of its source: sum it hash by hash, and end nearest to the budget.
-    inside = on(rows, edge).filter(F.shiftright("h", shift) == F.col("prefix"))
+    inside = with_source(rows, edge).filter(F.shiftright("h", shift) == F.col("prefix"))
     by = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.groupBy("source", "rest", "h").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(by))
     last = last.filter(F.col("upto") - F.col("s") < F.col("rest"))
     takes = (F.col("upto") < F.col("rest")) | (F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("s")))
-    thresholds = cut(last.groupBy("source").agg(F.max(F.when(takes, F.col("h")).otherwise(F.col("h") - 1)).alias("threshold")), "mix-threshold")
-    # A document of no words in the last bucket may stand at the border: it takes nothing either way.
-    plan = plan.join(near(thresholds.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "rest")
-    copies = F.col("full") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
-    out = on(rows, plan).withColumn("copies", copies.cast("long"))
+    thresholds = last.groupBy("source").agg(F.max(F.when(takes, F.col("h")).otherwise(F.col("h") - 1)).alias("threshold"))
+    return rows, cut(plan.drop("rest").join(thresholds.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-plan")
+
+
+def with_source(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """df with the columns that plan, one row a source, has for its source."""
+    plan = bounded(plan.withColumnRenamed("source", "of"), plan.count())
+    return df.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def copies() -> Column:
+    """How often the mix takes a row of hash h."""
+    return (F.col("full") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), copies (how often the mix takes it)."""
+    rows, plan = mix_plan(docs, weights, share, most)
+    out = with_source(rows, plan).withColumn("copies", copies())
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def take_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: docs, each as often as it is taken."""
+    _, plan = mix_plan(docs, weights, share, most)
+    out = with_source(docs.withColumn("h", _hash(F.col("doc_id"))), plan).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies(), F.lit(1)))))
+    return out.filter(F.col("copy") <= copies()).select(*docs.columns)
