@@ -75,11 +75,13 @@ class Model:
         for name in self.languages:
             symbols = self.symbols(texts[name])
             states = suffix_automaton(symbols.tolist())
-            table = np.zeros((len(states), SYMBOLS), np.uint32)
-            again = np.full(SYMBOLS, at, np.uint32)  # a symbol that the root doesn't know ends a phrase and leads back
+            table = np.zeros((len(states) + 1, SYMBOLS), np.uint32)
+            alone = at + len(states) * SYMBOLS  # a symbol that the language doesn't have is a phrase of its own
+            again = np.full(SYMBOLS, alone, np.uint32)
             for s, to in states[0].items():
                 again[s] = at + to * SYMBOLS
             table[:] = again | END
+            table[0] = again
             for i, out in enumerate(states):
                 for s, to in out.items():
                     table[i, s] = at + to * SYMBOLS

@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. Every document starts in a shard by its hash; the documents of one text that start
 in the same shard form a cell. In each round every cell looks at the shards of the other cells of its text and asks to move
-to the one that holds most of them; a move is granted within the free capacity of the shard it leads to, by thresholds on
-hash buckets, so that no shard of linked documents exceeds its share of all bytes. Documents without links then fill the
+to the one that holds most of them; moves are granted, by thresholds on hash buckets, as far as others come back the other
+way or the shard they lead to has room within its share of all bytes. Documents without links then fill the
 shards up, at whole-document precision. Texts larger than a shard stay split. The law is ``bytes``: shard sizes are equal
 but for about the size of one document.
 
@@ -35,11 +35,16 @@ def _propagate(cells: DataFrame, shards: int, capacity: float, rounds: int) -> D
         best = held.groupBy("g").agg(F.max(F.struct("rows", F.pmod(F.xxhash64("g", "shard"), F.lit(997)).alias("tie"), F.col("shard").alias("to"))).alias("best"))
         asked = cells.join(best.select("g", F.col("best.to").alias("to")), "g").withColumn("bucket", hash_bucket(F.concat_ws(":", "g", "start", F.lit(k)), MOVE_BUCKETS))
         asked = cut(asked, "shard-asked")
-        loads = {r["shard"]: r["b"] for r in asked.groupBy("shard").agg(F.sum("bytes").cast("double").alias("b")).collect()}  # one row per shard
-        free = F.element_at(F.array(*(F.lit(max(0.0, capacity - loads.get(s, 0.0))) for s in range(shards))), F.col("to") + 1)
-        sums = asked.filter("shard != to").groupBy("to", "bucket").agg(F.sum("bytes").alias("b"))
-        granted = sums.withColumn("upto", F.sum("b").over(_up("to", order=["bucket"]))).filter(F.col("upto") <= free).select("to", "bucket", F.lit(True).alias("go"))
-        moved = asked.join(F.broadcast(granted), ["to", "bucket"], "left").withColumn("go", F.coalesce("go", F.lit(False)) & (F.col("shard") != F.col("to")))
+        wish = asked.groupBy("shard", "to").agg(F.sum("bytes").cast("double").alias("b")).collect()  # a row for each pair of shards
+        flow = {(r["shard"], r["to"]): r["b"] for r in wish}
+        into = [sum(flow.get((s, t), 0.0) for s in range(shards) if s != t) for t in range(shards)]
+        free = [max(0.0, capacity - sum(flow.get((t, u), 0.0) for u in range(shards))) for t in range(shards)]
+        # As much as comes back the other way, and a share of what is free.
+        quota = [min(flow.get((s, t), 0.0), flow.get((t, s), 0.0)) + free[t] * flow.get((s, t), 0.0) / max(into[t], 1.0) for s in range(shards) for t in range(shards)]
+        most = F.element_at(F.array(*map(F.lit, quota)), F.col("shard") * shards + F.col("to") + 1)
+        sums = asked.filter("shard != to").groupBy("shard", "to", "bucket").agg(F.sum("bytes").alias("b"))
+        granted = sums.withColumn("upto", F.sum("b").over(_up("shard", "to", order=["bucket"]))).filter(F.col("upto") <= most).select("shard", "to", "bucket", F.lit(True).alias("go"))
+        moved = asked.join(F.broadcast(granted), ["shard", "to", "bucket"], "left").withColumn("go", F.coalesce("go", F.lit(False)) & (F.col("shard") != F.col("to")))
         moved = cut(moved.withColumn("shard", F.when(F.col("go"), F.col("to")).otherwise(F.col("shard"))), "shard-cells")
         went = moved.filter("go").limit(1).count()
         cells = moved.select("g", "start", "n", "bytes", "shard")
@@ -48,7 +53,7 @@ def _propagate(cells: DataFrame, shards: int, capacity: float, rounds: int) -> D
     return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6, *, id_col="doc_id", text_col="text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 8, *, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), linked (whether another row has its text)."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.crc32(text)).alias("g"))

@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the distinct lower-cased runs of letters of a whole text, hashed to 2^BITS places. The machine adds a weight for
+Terms are the distinct lower-cased runs of letters of a whole text and their beginnings of PREFIXES bytes, so that forms of
+one word share what they mean, hashed to 2^BITS places. The machine adds a weight for
 each term and, for each pair of terms, the product of their factors, so a pair can weigh more or less than its parts: an
 insult beside the mention of a group, or an insult that is quoted. It learns only terms that the labelled sample shows to
 matter (by a chi-square test), which keeps chance words of long texts out.
@@ -23,15 +24,19 @@ from .langid import remainder
 from .words import LETTERS, chunks, words
 
 BITS, FACTORS, SAMPLE, TERMS, CHI = 20, 4, 12_000, 2048, 12.0
+PREFIXES = (5, 7)
+#: Documents of a step of descent, and steps at least.
+BATCH, STEPS = 256, 600
 
 
 def terms(texts: pa.Array):
     """(places of the distinct terms of all texts, where each text's begin)."""
     places, begins, at = [], [np.zeros(1, np.int64)], 0
     for _, data, offsets in chunks(texts):
-        h, b = words(data, offsets, LETTERS)
+        h, b, cut = words(data, offsets, LETTERS, PREFIXES)
         n = len(offsets) - 1
-        key = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(b)) << np.uint64(32)) | (h >> np.uint64(64 - BITS))
+        doc = np.repeat(np.arange(n, dtype=np.uint64), np.diff(b)) << np.uint64(32)
+        key = np.concatenate([doc | (h >> np.uint64(64 - BITS)), *[doc[at] | (x >> np.uint64(64 - BITS)) for at, x in cut]])
         key.sort()
         if len(key):
             key = key[np.concatenate(([True], key[1:] != key[:-1]))]
@@ -71,18 +76,19 @@ class Machine:
         rows, begins = self._rows(places, begins)
         sums = {"w": np.full(self.w.shape, 1e-6), "v": np.full(self.v.shape, 1e-6)}
         sum_b = 1e-6
-        for _ in range(epochs):
+        batches = max(1, n // BATCH)
+        for _ in range(max(epochs, -(-STEPS // batches))):
             order = rng.permutation(n)
-            for batch in np.array_split(order, max(1, n // 256)):
+            for batch in np.array_split(order, batches):
                 span = [rows[begins[i] : begins[i + 1]] for i in batch]
                 at, counts = np.concatenate(span), np.array([len(x) for x in span])
                 doc = np.repeat(np.arange(len(batch)), counts)
                 s = np.stack([np.bincount(doc, self.v[at, f], len(batch)) for f in range(FACTORS)], 1)
                 raw = self._raw(at, np.concatenate(([0], np.cumsum(counts))))
                 g = (1 / (1 + np.exp(-raw.clip(-30, 30))) - labels[batch]) / len(batch)
-                gb, gw = g.sum(), np.bincount(at, g[doc], len(self.w)) + decay * self.w / max(1, n // 256)
+                gb, gw = g.sum(), np.bincount(at, g[doc], len(self.w)) + decay * self.w / batches
                 gv = g[doc][:, None] * (s[doc] - self.v[at])
-                gv = np.stack([np.bincount(at, gv[:, f], len(self.w)) for f in range(FACTORS)], 1) + decay * self.v / max(1, n // 256)
+                gv = np.stack([np.bincount(at, gv[:, f], len(self.w)) for f in range(FACTORS)], 1) + decay * self.v / batches
                 sum_b += gb * gb
                 self.bias -= rate * gb / np.sqrt(sum_b)
                 for name, x, grad in (("w", self.w, gw), ("v", self.v, gv)):

@@ -66,10 +66,13 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all lower-cased words in order, where each text's words begin: one more than texts)."""
+def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE, prefixes: tuple[int, ...] = ()):
+    """(hashes of all lower-cased words in order, where each text's words begin: one more than texts).
+
+    With prefixes, one more value: for each number of bytes, (places of the longer words, hashes of their beginnings).
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)) + ([],) * bool(prefixes)
     inside = part[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -80,7 +83,15 @@ def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE) -
     up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[data]] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    hashes, begins = mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    if not prefixes:
+        return hashes, begins
+    cut = []
+    for k in prefixes:
+        longer = np.flatnonzero(ends - starts > k)
+        at = starts[longer]
+        cut.append((longer, mix((sums[at + k] - sums[at]) * down[at] + np.uint64(k))))
+    return hashes, begins, cut
 
 
 def shingles(hashes: np.ndarray, begins: np.ndarray, k: int) -> list[np.ndarray]:
