@@ -326,8 +326,13 @@ def _end() -> Column:
 
 
 def _done() -> Column:
-    turned = F.when(_month_first(), F.coalesce(swap_day_month(c("_coc_date")), c("_coc_date"))).otherwise(c("_coc_date"))
-    return F.when(_goods(), c("_receipt_date")).otherwise(turned)
+    """The day of the receipt of goods, or of the certificate of works."""
+    return c("_done")
+
+
+def _late() -> Column:
+    """Days from the contract's end to completion."""
+    return c("_late")
 
 
 @check("coc_contract_end_matches")
@@ -349,7 +354,7 @@ def coc_delay_vs_penalties(params: dict) -> Column:
 
 @check("delay_from_dates")
 def delay_from_dates(params: dict) -> Column:
-    delay, none = F.datediff(_done(), _end()), penalties() <= 0
+    delay, none = _late(), penalties() <= 0
     denied = ~_goods() & field(COC, "has_delay").eqNullSafe(F.lit(False)) & there(COC)
     ok = F.when(delay.isNull(), None).when(delay <= 0, True).when(denied, False).when(none, False).otherwise(True)
     return outcome(ok, F.when(~denied & none, "warn"), delay_days=F.greatest(delay, F.lit(0)), penalties=F.round(penalties(), 2), contract_end=_end(), completion=_done())
@@ -366,15 +371,15 @@ def _term() -> tuple[Column, Column]:
 
 @check("penalties_vs_contract_terms")
 def penalties_vs_contract_terms(params: dict) -> Column:
-    term, cap = _term()
+    term, cap = c("_term"), c("_cap")
     basis = F.when(number(c("contract_value")) != 0, c("contract_value")).otherwise(number(field(CONTRACT, "value_base")))
     whole = (string(term["basis"]) == "") | F.contains(term["basis"], F.lit("عقد")) | F.contains(F.lower(term["basis"]), F.lit("contract"))
-    total, delay = F.round(penalties(), 2), F.greatest(F.datediff(_done(), _end()), F.lit(0))
+    total, delay = F.round(penalties(), 2), F.greatest(_late(), F.lit(0))
     most = F.round(cap / 100 * basis, 2)
     units = F.when(term["per"] == "day", delay).when(term["per"] == "week", F.ceil(delay / 7)).otherwise(0)
     expected = F.when(whole & (units > 0), F.round(F.least(number(term["rate_percent"]) / 100 * units * basis, F.when(most > 0, most)), 2)).otherwise(0.0)
     over, less = (most > 0) & (total > most + MONEY), (expected > 0) & (total < expected - MONEY)
-    ok = F.when(term.isNull(), None).when(over, False).when(F.datediff(_done(), _end()).isNull(), None).when(delay == 0, True).when(total <= 0, False).when(less, False).otherwise(True)
+    ok = F.when(term.isNull(), None).when(over, False).when(_late().isNull(), None).when(delay == 0, True).when(total <= 0, False).when(less, False).otherwise(True)
     warn = F.when(~over & (total > 0) & less, "warn")
     return outcome(ok, warn, penalties=total, cap_amount=F.when(over, most), delay_days=delay, expected_penalty=F.when(expected > 0, expected), clause=term["ref"])
 
@@ -461,6 +466,9 @@ def with_lookups(claims):
             *_referenced(z["ref"], "unit_price", "quantity"), number(z["got"]["quantity"]).alias("received"))),
         "_received": F.transform(F.arrays_zip(received().alias("line"), c("_boq_of_received").alias("ref")), lambda z: F.struct(z["line"]["item_code"].alias("item_code"), number(z["line"]["quantity"]).alias("quantity"), *_referenced(z["ref"], "unit_price", "quantity"))),
     })
+    turned = F.when(_month_first(), F.coalesce(swap_day_month(c("_coc_date")), c("_coc_date"))).otherwise(c("_coc_date"))
+    claims = claims.withColumns({"_done": F.when(_goods(), c("_receipt_date")).otherwise(turned), "_term": _term()[0], "_cap": _term()[1]})
+    claims = claims.withColumn("_late", F.datediff(_done(), _end()))
     price_off = lambda x: off(x["boq_price"], x["unit_price"])
     too_much = lambda x: x["quantity"] > number(x["boq_quantity"]) + QUANTITY
     return claims.withColumns({
