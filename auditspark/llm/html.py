@@ -29,6 +29,7 @@ LEAST = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _SPACE = re.compile(r"\s+")
 
 # Elements of HTML by how they behave.
@@ -39,7 +40,7 @@ CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "bloc
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "search", "fieldset", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_AWAY = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|commentlist|disqus|respond|reply|replies|widget|login|signup|signin|search|form|toolbar|pagination|pager|skip|hidden|copyright|legal|disclaimer)(?:[-_ ]|$)")
+_AWAY = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|commentlist|disqus|respond|reply|replies|widget|login|signup|signin|search|form|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:[-_ ]|$)")
 _HEAD = re.compile(r"(?:^|[-_ ])(?:header|topbar|top)(?:[-_ ]|$)")
 _GOOD = re.compile(r"(?:^|[-_ ])(?:content|article|post|entry|main|story|body|text)(?:[-_ ]|$)")
 
@@ -113,7 +114,7 @@ class Page:
         above = self._stack[-1]
         good = tag in ("article", "main") or bool(names) and bool(_GOOD.search(names))
         inside = self._inside[above] or good and tag in CONTAINERS
-        away = tag in DROPPED or values.get("role", "").lower() in ROLES or bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", attributes))
+        away = tag in DROPPED or values.get("role", "").lower() in ROLES or "hidden" in values.get("class", "").lower().split() or "hidden" in attributes and bool(_HIDDEN.search(_QUOTED.sub("", attributes)))
         if not away and tag not in ("html", "body", "article", "main"):
             away = bool(names) and bool(_AWAY.search(names)) or not inside and (tag == "header" or bool(names) and bool(_HEAD.search(names)))
         kinds = ".".join(sorted({re.sub(r"\d+", "", x) for x in values.get("class", "").lower().split()} - {""}))
