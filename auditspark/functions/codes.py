@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from . import curves
+
 # Tags of the first phase, all needed, and of the second.
 FIRST_TAGS = {1: "seller_name", 2: "vat_number", 3: "timestamp", 4: "total", 5: "vat"}
 SECOND_TAGS = {6: "invoice_hash", 7: "signature", 8: "public_key", 9: "stamp"}
@@ -73,17 +76,27 @@ def _bytes(value: bytes) -> bytes:
 
 
 def phase2_status(tags: dict[int, bytes] | None) -> str:
-    """absent without tags above 5; pseudo where they can't be what they should; unverified where they can.
+    """absent without tags above 5, pseudo where they can't be a hash, a signature and a key, else valid or not.
 
-    Whether a signature is genuine needs elliptic-curve arithmetic, which this library doesn't have.
+    Signers differ in what they sign: the hash itself, the hash as a message, or the hash's base64 text as a message.
     """
     tags = tags or {}
     if not any(t in tags for t in SECOND_TAGS):
         return "absent"
-    digest, sign, key = (_bytes(tags.get(t, b"")) for t in (6, 7, 8))
-    hexed = re.fullmatch(rb"[0-9a-fA-F]{64}", digest) is not None
-    ok = (len(digest) == 32 or hexed) and sign[:1] == b"\x30" and 8 <= len(sign) <= 80 and (key[:1] == b"\x30" or len(key) == 65 and key[:1] == b"\x04")
-    return "unverified" if ok else "pseudo"
+    digest, signed = _bytes(tags.get(6, b"")), _bytes(tags.get(7, b""))
+    plain = len(signed) == 64 or signed[:1] == b"\x30" and 66 <= len(signed) <= 74
+    if len(digest) != 32 or not plain:
+        return "pseudo"
+    try:
+        curve, key = curves.public_key(tags.get(8, b""))
+    except ValueError:
+        return "pseudo"
+    try:
+        pair = curves.signature(signed)
+    except ValueError:
+        return "invalid_signature"
+    messages = (digest, hashlib.sha256(digest).digest(), hashlib.sha256(tags[6]).digest())
+    return "valid" if any(curves.verify(curve, key, m, *pair) for m in messages) else "invalid_signature"
 
 
 def phase2(tags):

@@ -143,6 +143,17 @@ SQL = {
     "bounded_search": "SELECT doc_id, doc_id % 2 = 0 AS found, true AS runs FROM documents",
     "tlv_roundtrip": """SELECT o_orderkey AS id, true AS valid, 'Vendor ' || o_orderkey % 100 AS seller, '3' || lpad(o_orderkey::VARCHAR, 13, '0') || '3' AS vat_number,
         printf('%.2f', o_totalprice + CASE WHEN o_orderkey % 16 = 0 THEN 10 ELSE 0 END) AS total, o_orderkey % 16 != 0 AS total_matches, true AS date_matches, 'absent' AS status FROM orders""",
+    "qr_summary": """WITH c AS (SELECT o_orderkey AS k, o_totalprice AS t, o_orderdate AS d, printf('%.2f', o_totalprice + CASE WHEN o_orderkey % 16 = 0 THEN 10 ELSE 0 END) AS said, '3' || lpad(o_orderkey::VARCHAR, 13, '0') || '3' AS v FROM orders)
+        SELECT k AS id, 'seller_name' AS field, 'Vendor ' || k % 100 AS decoded, true AS match, 'absent' AS status FROM c UNION ALL SELECT k, 'vat_number', v, CASE WHEN k % 5 != 0 THEN true END, 'absent' FROM c
+        UNION ALL SELECT k, 'timestamp', strftime(d, '%Y-%m-%dT%H:%M:%SZ'), true, 'absent' FROM c UNION ALL SELECT k, 'total', said, k % 16 != 0, 'absent' FROM c UNION ALL SELECT k, 'vat', '0.00', true, 'absent' FROM c""",
+    "classify_attachments": """SELECT doc_id AS pos, CASE WHEN doc_id % 4 = 0 THEN 'boq' ELSE ['zakat certificate', 'other', 'commercial registration'][1 + doc_id % 3] END AS doc_key, CASE WHEN doc_id % 4 = 0 THEN 'reader' ELSE 'name' END AS "by",
+        CASE WHEN doc_id % 4 = 0 THEN 'Bill of Quantities' ELSE ['Zakat certificate', 'other', 'Commercial registration'][1 + doc_id % 3] END AS label FROM documents""",
+    "attachment_keys": """WITH k AS (SELECT doc_id % 70 AS id, ['boq', 'award letter', 'other', 'zakat certificate'][1 + (doc_id * 13 % 97) % 4] AS v FROM documents),
+        a AS (SELECT id, v FROM k WHERE v != 'other' UNION SELECT doc_id % 70, unnest(['contract', 'boq']) FROM documents WHERE doc_id % 9 = 0) SELECT id, string_agg(v, ',' ORDER BY v) AS keys FROM a GROUP BY id""",
+    "detected_from_raw": """SELECT doc_id AS id, 0 AS ord, 'boq' AS doc_key, 0 AS page, 'cr_number' AS names, doc_id::VARCHAR AS cr_number FROM documents WHERE doc_id % 5 != 0 UNION ALL SELECT doc_id, 3, 'contract', 3, '', NULL FROM documents WHERE doc_id % 5 != 0""",
+    "polygons": """SELECT doc_id, (doc_id % 9)::INTEGER AS page, doc_id % 50 + 2.0::DOUBLE AS x, n_chars % 70 + 1.0::DOUBLE AS y, (doc_id % 50) / 8.0::DOUBLE AS "left", (n_chars % 70) / 16.0::DOUBLE AS "top" FROM documents""",
+    "file_index": "SELECT o_orderkey, [2, 1, -1][1 + o_orderkey % 3]::INTEGER AS place FROM orders",
+    "key_field_override": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 OR c_custkey % 2 = 0 OR c_custkey % 3 != 1 THEN c_name ELSE 'other 5' END AS value FROM customer",
     "evidence_flatten": "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "scan_order": """WITH d AS (SELECT doc_id, (n_chars % 40 + 1) AS n, greatest(least(doc_id % 45, n_chars % 40 + 1), 1) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(1, n + 1)) AS q FROM d),
         y AS (SELECT doc_id, q, row_number() OVER (PARTITION BY doc_id ORDER BY abs(q - p), q > p) AS i FROM x) SELECT doc_id, string_agg(q::VARCHAR, ',' ORDER BY i) AS pages FROM y WHERE i <= 3 GROUP BY doc_id""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, text
-from ..operators import align, checks, engine, evidence, lines, locate, merge, witness
+from ..operators import align, engine, evidence, intake, lines, locate, merge, witness
 from ..operators.rules import REQUIRED_ATTACHMENTS
 from ..sources import claims as claim_source
 from ..sources import documents as docs
@@ -252,6 +252,68 @@ def tlv_roundtrip(spark, sf):
     return c.select("id", F.col("q.valid").alias("valid"), get("seller_name").alias("seller"), get("vat_number").alias("vat_number"), get("total").alias("total"), same.alias("total_matches"), get("timestamp").startswith(F.date_format("day", "yyyy-MM-dd")).alias("date_matches"), "status")
 
 
+@query
+def qr_summary(spark, sf):
+    """Decoded fields beside the invoice's face, of which every fifth prints no VAT number."""
+    c = V.invoice_codes(spark, sf).withColumn("q", codes.tlv(F.col("payload"))).withColumn("status", codes.phase2(F.col("q.tags")))
+    k = F.col("id")
+    face = c.select("id", "q", "status", F.concat(F.lit(" Vendor  "), (k % 100).cast("string")).alias("seller_name"), F.when(k % 5 != 0, F.concat(F.lit("3"), F.lpad(k.cast("string"), 13, "0"), F.lit("3"))).alias("vat_number"), F.date_format("day", "yyyy-MM-dd").alias("invoice_date"), F.col("o_totalprice").alias("total"), F.lit(0.0).alias("vat"))
+    return intake.qr_summary(face).select("id", "field", "decoded", "match", "status")
+
+
+@query
+def classify_attachments(spark, sf):
+    d = V.table(spark, sf, "documents")
+    files = d.select((F.col("doc_id") % 70).alias("id"), F.col("doc_id").alias("pos"), F.concat(lit_by(F.col("doc_id"), ["zakat ", "scan ", "c.r. "]), F.col("doc_id").cast("string")).alias("file_name"))
+    found = files.filter("pos % 4 = 0").select("id", "file_name", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("ord")).withColumn("doc_key", lit_by(F.col("ord"), ["boq", "boq", "letter"]))
+    return intake.labels(intake.classify_attachments(files, found)).select("pos", "doc_key", "by", "label")
+
+
+@query
+def attachment_keys(spark, sf):
+    d = V.table(spark, sf, "documents")
+    kinds = d.select((F.col("doc_id") % 70).alias("id"), lit_by(F.col("doc_id") * 13 % 97, ["boq", "award letter", "other", "zakat certificate"]).alias("doc_key"))
+    files = d.filter("doc_id % 9 = 0").select((F.col("doc_id") % 70).alias("id"), F.lit("contract_boq").alias("doc_type"))
+    return intake.attachment_keys(kinds, files).select("id", F.array_join("keys", ",").alias("keys"))
+
+
+@query
+def detected_from_raw(spark, sf):
+    """Answers with a kind twice, an unknown kind, an unknown field and an empty one."""
+    d = V.table(spark, sf, "documents")
+    n = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit('Here: ```[{"doc_key": "boq", "page": -1, "fields": {"cr_number": "'), n, F.lit('", "color": "x", "vat_number": ""}}, {"doc_key": "boq", "page": 2}, {"doc_key": "menu"}, {"doc_key": "contract", "page": 3}]```'))
+    rows = intake.detected_from_raw(d.select(F.col("doc_id").alias("id"), F.lit("f").alias("file_name"), F.when(F.col("doc_id") % 5 == 0, "none").otherwise(raw).alias("raw")))
+    return rows.select("id", "ord", "doc_key", "page", F.array_join(F.map_keys("fields"), ",").alias("names"), F.try_element_at("fields", F.lit("cr_number")).alias("cr_number"))
+
+
+@query
+def polygons(spark, sf):
+    d = V.table(spark, sf, "documents")
+    x, y = F.col("doc_id") % 50, F.col("n_chars") % 70
+    text_ = F.concat(F.lit("D("), F.concat_ws(",", (F.col("doc_id") % 9).cast("string"), *[v.cast("string") for v in (x, y, x + 4, y, x + 4, y + 2, x, y + 2)]), F.lit(")"))
+    p = intake.polygon(text_)
+    c = intake.centroid(p["points"])
+    f = intake.page_fraction(p["points"], F.lit(8.0), F.lit(16.0))
+    return d.select("doc_id", p["page"].alias("page"), c["x"].alias("x"), c["y"].alias("y"), F.element_at(f, 1)["x"].alias("left"), F.element_at(f, 1)["y"].alias("top"))
+
+
+@query
+def file_index(spark, sf):
+    o = V.table(spark, sf, "orders")
+    names = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("doc_type")) for p, t in (("in/a.pdf", "invoice"), ("in/b.pdf", "coc"), ("x/c.pdf", "coc"))])
+    return o.select("o_orderkey", intake.file_index(names, lit_by(F.col("o_orderkey"), ["tmp/c.pdf", "d.pdf", "e.pdf"]), lit_by(F.col("o_orderkey"), ["coc", "coc", "receipt"])).alias("place"))
+
+
+@query
+def key_field_override(spark, sf):
+    c = V.table(spark, sf, "customer")
+    full = F.col("c_name")
+    focused = lit_by(F.col("c_custkey"), ["", "other 5", None]).cast("string")
+    focused = F.when(F.col("c_custkey") % 4 == 3, F.concat(F.lit("No. "), F.regexp_replace("c_name", "[^0-9]", ""))).otherwise(focused)
+    return c.select("c_custkey", intake.override(full, focused, F.col("c_custkey") % 2 == 1).alias("value"))
+
+
 @query
 def evidence_flatten(spark, sf):
     e = V.table(spark, sf, "events").select("event_id", "props")

@@ -1,11 +1,13 @@
 """Examples of the scalar functions."""
 
+import base64
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditspark.functions import codes, dates, text
+from auditspark.functions import codes, curves, dates, text
 from auditspark.functions.similarity import strength
 from auditspark.operators import witness
 from auditspark.sources import documents as docs
@@ -102,7 +104,6 @@ def test_tlv(spark):
     assert rows[0]["q"]["fields"]["seller_name"] == "مؤسسة"
     assert codes.phase2_status(dict(rows[0]["q"]["tags"])) == "absent"
     assert codes.phase2_status({6: b"short", 7: b"x", 8: b"y"}) == "pseudo"
-    assert codes.phase2_status({6: b"\xaa" * 32, 7: b"\x30" + b"\xbb" * 70, 8: b"\x30" + b"\xcc" * 80}) == "unverified"
 
 
 def test_page_spec(spark):
@@ -110,3 +111,36 @@ def test_page_spec(spark):
     assert spec("1-3,7,9-", 10) == [1, 2, 3, 7, 9, 10]
     assert spec("5-2, x", 4) == [1] or spec("5-2", 4) == []
     assert spec("", 4) == []
+
+
+def _sign(c, secret, digest, k=987654321):
+    r = curves.times(c, k, c.g)[0] % c.n
+    return r, pow(k, -1, c.n) * (int.from_bytes(digest, "big") + r * secret) % c.n
+
+
+def _der_key(c, point):
+    name = next(k for k, v in curves.CURVES.items() if v is c)
+    wrap = lambda tag, body: bytes([tag, len(body)]) + body
+    bits = b"\0\x04" + point[0].to_bytes(32, "big") + point[1].to_bytes(32, "big")
+    return wrap(0x30, wrap(0x30, wrap(6, curves.EC_KEY) + wrap(6, name)) + wrap(3, bits))
+
+
+@pytest.mark.parametrize("c", [curves.SECP256K1, curves.P256], ids=lambda c: c.name)
+def test_signatures(c):
+    assert curves.on_curve(c, c.g) and curves.times(c, c.n, c.g) is None
+    secret, digest = 123456789, hashlib.sha256(b"invoice").digest()
+    key = _der_key(c, curves.times(c, secret, c.g))
+    pack = lambda pair: b"".join(x.to_bytes(32, "big") for x in pair)
+    text = base64.b64encode(digest)
+    status = lambda d, s, k=key: codes.phase2_status({6: d, 7: s, 8: k, 9: b"stamp"})
+    assert status(digest, pack(_sign(c, secret, digest))) == "valid"
+    assert status(text, base64.b64encode(pack(_sign(c, secret, hashlib.sha256(digest).digest())))) == "valid"
+    assert status(text, pack(_sign(c, secret, hashlib.sha256(text).digest()))) == "valid"
+    assert status(hashlib.sha256(b"other").digest(), pack(_sign(c, secret, digest))) == "invalid_signature"
+    assert status(digest.hex().encode(), pack(_sign(c, secret, digest))) == "pseudo"
+    assert status(digest, b"short") == "pseudo" and status(digest, pack(_sign(c, secret, digest)), b"8f2a1c34-uuid") == "pseudo"
+    r, s = _sign(c, secret, digest)
+    number = lambda v: (lambda b: bytes([2, len(b)]) + b)(v.to_bytes(33, "big").lstrip(b"\0") if v >> 255 == 0 else v.to_bytes(33, "big"))
+    body = number(r) + number(s)
+    assert status(digest, bytes([0x30, len(body)]) + body) == "valid"
+    assert curves.public_key(b"\x04" + pack(curves.SECP256K1.g))[0] is curves.SECP256K1
