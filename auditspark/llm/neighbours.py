@@ -3,7 +3,7 @@
 Unit vectors are turned by one random rotation and kept as the signs of their components, packed to bits, with one number
 for correction: the inner product of the vector and its code. From code and correction follows an unbiased estimate of any
 inner product, and a bound on its error. For each query, vectors whose upper bound reaches the k-th best lower bound of
-their block are compared again on the original vectors, in double precision. Every row is coded; nothing is sampled.
+their block, and the k-th best score of earlier blocks of the task, are compared again on the original vectors, in double precision. Every row is coded; nothing is sampled.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows with a null id;
 only vectors of one length are compared; rows with equal ids count once if equal, else as candidates each; with fewer than
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import PART, best, blocks, equal_vectors, matrix, results, search
+from .vectors import PART, Best, blocks, equal_vectors, matrix, search
 
 #: Standard deviations of the estimate within its error bound.
 SURE = 2.5
@@ -52,6 +52,7 @@ def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _searcher(k: int):
     def make(slab):
         def run(batches):
+            top = Best(k + 1)
             for dim, t in blocks(batches):
                 if dim not in slab.value:
                     continue
@@ -62,20 +63,17 @@ def _searcher(k: int):
                 unit = q / np.abs(q).max(1, keepdims=True)
                 turned = ((unit / np.sqrt((unit * unit).sum(1, keepdims=True))) @ rotation(dim)).astype(np.float32)
                 error = (SURE * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / np.sqrt(max(1, dim - 1))).astype(np.float32)
-                out = ([], [], [])
                 for at in range(0, len(q), PART):
                     guess = (turned[at : at + PART] @ signs.T) / fit.astype(np.float32)
                     low = guess - error
                     least = np.partition(low, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1] if len(ids) > k else np.full(len(guess), -np.inf)
+                    # what earlier blocks have is a bound as well; a hair less, for scores are of another precision
+                    least = np.maximum(least, top.least(keys[at : at + PART]) - 1e-5)
                     near = guess + error >= least[:, None]
-                    for i in range(len(guess)):
+                    for i in np.flatnonzero(near.any(1)).tolist():
                         some = np.flatnonzero(near[i])
-                        score = _cosine(q[at + i], x[some])
-                        top = best(score, ids[some], k + 1)
-                        out[0].append(np.full(len(top), keys[at + i]))
-                        out[1].append(ids[some][top])
-                        out[2].append(score[top])
-                yield results(*out, np.float64)
+                        top.add(int(keys[at + i]), ids[some], _cosine(q[at + i], x[some]))
+            yield top.batch(np.float64)
 
         return run
 

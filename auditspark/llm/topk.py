@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import PART, best, blocks, equal_vectors, matrix, results, search
+from .vectors import PART, Best, best, blocks, equal_vectors, matrix, search
 
 #: Shares of the lists after which bounds are looked at, and how many vectors may be left to resolve, of each thousand.
 DEPTHS, FEW = (0.5, 0.75, 0.9), 20
@@ -31,8 +31,11 @@ def _bounds(x: np.ndarray, place: np.ndarray, sorted_x: np.ndarray, read: int) -
     return np.where(seen, x, sorted_x[-1]), np.where(seen, x, sorted_x[read - 1])
 
 
-def block_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
-    """For each row of q: places in x of its best k by inner product (ties to smaller ids) and their scores."""
+def block_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, known: np.ndarray | None = None):
+    """For each row of q: places in x of its best k by inner product (ties to smaller ids) and their scores.
+
+    known: scores that a vector must reach to count at all; others may be left out.
+    """
     n, dim = x.shape
     peak = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dim
     kind = np.float32 if peak < 2**24 else np.float64
@@ -57,6 +60,8 @@ def block_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
                 break
             lower, upper = split[todo] @ low, split[todo] @ high
             least = np.partition(lower, n - k, axis=1)[:, n - k]
+            if known is not None:
+                least = np.maximum(least, known[at : at + PART][todo])
             near = upper >= least[:, None]
             for j, i in enumerate(todo):
                 if near[j].sum() * 1000 <= FEW * n or near[j].sum() <= 10 * k:
@@ -71,16 +76,14 @@ def block_top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
 def _searcher(k: int):
     def make(slab):
         def run(batches):
+            top = Best(k + 1)
             for dim, t in blocks(batches):
                 if dim in slab.value:
                     keys, q = slab.value[dim]
                     ids, x = t.column("vec_id").to_numpy(), matrix(t.column("v"), np.float64)
-                    out = ([], [], [])
-                    for i, some, scores in block_top(q, x, ids, k + 1):
-                        out[0].append(np.full(len(some), keys[i]))
-                        out[1].append(ids[some])
-                        out[2].append(scores.astype(np.int64))
-                    yield results(*out, np.int64)
+                    for i, some, scores in block_top(q, x, ids, k + 1, top.least(keys)):
+                        top.add(int(keys[i]), ids[some], scores.astype(np.int64))
+            yield top.batch(np.int64)
 
         return run
 

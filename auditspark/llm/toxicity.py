@@ -118,7 +118,7 @@ def _term_lists(batches):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """docs (doc_id, text) and labels (doc_id, toxic) to learn from; at most sample labelled documents are used."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = docs.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")  # sample rows of two numbers
     got = picked.mapInArrow(_term_lists, "toxic int, terms array<int>").toArrow()
     lists = got.column("terms").combine_chunks()

@@ -57,7 +57,7 @@ def blocks(batches, size: int = BLOCK):
 def search(index: DataFrame, queries: DataFrame, members: DataFrame, k: int, searcher, kind: str) -> DataFrame:
     """Results of all queries: index rows (vec_id, dim, ...), queries (key, v), members (query_id, key).
 
-    searcher(slab) makes a function of mapInArrow that finds the best k + 1 of each block for each query of the slab;
+    searcher(slab) makes a function of mapInArrow that finds the best k + 1 of a task's rows for each query of the slab;
     slab: {dim: (keys, rows)}. Results: query_id, rank, vec_id, score of the SQL type kind.
     """
     spark, found = index.sparkSession, None
@@ -80,12 +80,29 @@ def search(index: DataFrame, queries: DataFrame, members: DataFrame, k: int, sea
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def results(keys, ids, scores, kind) -> pa.RecordBatch:
-    join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    cols = [pa.array(join(keys, np.int64), pa.int64()), pa.array(join(ids, np.int64), pa.int64()), pa.array(join(scores, kind), pa.float64() if kind == np.float64 else pa.int64())]
-    return pa.RecordBatch.from_arrays(cols, ["key", "vec_id", "score"])
-
-
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     return np.lexsort((ids, -scores))[:k]
+
+
+class Best:
+    """The best k of each query over the blocks that a task has seen."""
+
+    def __init__(self, k: int):
+        self.k, self.found = k, {}
+
+    def add(self, key: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if key in self.found:
+            ids, scores = np.concatenate((self.found[key][0], ids)), np.concatenate((self.found[key][1], scores))
+        top = best(scores, ids, self.k)
+        self.found[key] = ids[top], scores[top]
+
+    def least(self, keys: np.ndarray) -> np.ndarray:
+        """Scores that a vector must reach to be among the k best; minus infinity while fewer are known."""
+        return np.array([float(self.found[x][1][-1]) if x in self.found and len(self.found[x][0]) == self.k else -np.inf for x in keys.tolist()])
+
+    def batch(self, kind) -> pa.RecordBatch:
+        join = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        keys = [np.full(len(ids), key) for key, (ids, _) in self.found.items()]
+        cols = (join(keys, np.int64), join([x for x, _ in self.found.values()], np.int64), join([x for _, x in self.found.values()], kind))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "vec_id", "score"])

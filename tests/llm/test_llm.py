@@ -360,6 +360,27 @@ def test_block_top_stops_early_and_stays_exact(scale):
         assert some.tolist() == want and [int(s) for s in scores] == [int(exact[j, i]) for j in want]
 
 
+def test_a_task_merges_its_blocks(monkeypatch):
+    """A task's later blocks are held against what earlier ones have found."""
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(vectors.blocks, "__defaults__", (40,))
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(300, 6)) * 256)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([6] * 300, pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["vec_id", "dim", "v"])
+    slab = types.SimpleNamespace(value={6: (np.arange(0, 300, 50), x[::50])})
+    (out,) = topk._searcher(5)(slab)([batch.slice(0, 130), batch.slice(130)])
+    got = {}
+    for r in out.to_pylist():
+        got.setdefault(r["key"], []).append((r["vec_id"], r["score"]))
+    assert got == {q: [(j, int(x[j] @ x[q])) for j in sorted(range(300), key=lambda j: (-(x[j] @ x[q]), j))[:6]] for q in range(0, 300, 50)}
+    coded = list(neighbours._codes([batch]))
+    (near,) = neighbours._searcher(5)(slab)(coded)
+    assert near.num_rows == 36 and [r["vec_id"] for r in near.to_pylist()][::6] == list(range(0, 300, 50))
+
+
 def test_equal_vectors(spark):
     table, _ = vector_table(spark)
     vecs = neighbours.finite_vectors(table, zero=False)
