@@ -88,3 +88,55 @@ def invoice_consistent(lines_total: Column, total: Column, vat: Column) -> Colum
     by_lines = F.when((lines_total > 0) & (net > 0), F.abs(lines_total - net) <= TOLERANCE)
     by_vat = F.when((vat > 0) & (net > 0), F.abs(vat - VAT * net) <= F.greatest(F.lit(TOLERANCE), 0.001 * net))
     return consistent(by_lines, by_vat)
+
+
+# Identifiers that the text may correct, by document.
+IDENTIFIERS = {"invoice": ["invoice_no", "seller_vat_number"], "coc": ["coc_no", "invoice_ref", "contract_no", "award_letter_no"], "receipt": ["receipt_no"], "contract": ["contract_no"]}
+
+
+def _only(text: Column, value: Column, fits) -> Column:
+    """The one near amount for which fits(amount) holds, or null."""
+    found = F.filter(near_amounts(text, value), lambda v: F.coalesce(fits(v), F.lit(False)))
+    return F.when(~contains_amount(text, value) & (F.size(found) == 1), F.try_element_at(found, F.lit(1)))
+
+
+def coc_consistent(amount: Column, net: Column, vat: Column) -> Column:
+    """Net and VAT add up, and VAT is its share; null if the parts aren't printed."""
+    from .merge import consistent
+
+    by_sum = F.when((net > 0) & (vat > 0) & (amount > 0), F.abs(net + vat - amount) <= TOLERANCE)
+    by_vat = F.when((net > 0) & (vat > 0), F.abs(vat - VAT * net) <= F.greatest(F.lit(TOLERANCE), 0.001 * net))
+    return consistent(by_sum, by_vat)
+
+
+def _first_repair(section: Column, names: list[str], text: Column, check) -> Column:
+    """The section with the first of its values that a single near amount puts right, if check fails as it is."""
+    values = [F.coalesce(section[n], F.lit(0.0)) for n in names]
+    wrong = ~F.coalesce(check(*values), F.lit(True))
+    fixes = [_only(text, v, lambda x, i=i: check(*[x if j == i else values[j] for j in range(len(names))])) for i, v in enumerate(values)]
+    done, out = F.lit(False), section
+    for n, v, fix in zip(names, values, fixes):
+        use = wrong & ~done & fix.isNotNull()
+        out, done = out.withField(n, F.when(use, fix).otherwise(v)), done | fix.isNotNull()
+    return out
+
+
+def reconcile(claims: DataFrame, text: str = "page_text") -> DataFrame:
+    """Nested claims with identifiers and amounts of their documents corrected by the text; unusable texts change nothing."""
+    t, out = F.col(text), claims
+    for name, fields in IDENTIFIERS.items():
+        section = F.col(f"documents.{name}")
+        fixed = section
+        for f in fields:
+            fixed = fixed.withField(f, repair_identifier(t, section[f]))
+        out = out.withColumn("documents", F.col("documents").withField(name, F.when(section.isNotNull() & usable(t), fixed).otherwise(section)))
+    inv, coc, contract = (F.col(f"documents.{x}") for x in ("invoice", "coc", "contract"))
+    lines_total = F.coalesce(F.aggregate(inv["lines"], F.lit(0.0), lambda acc, x: acc + F.coalesce(x["amount"], F.lit(0.0))), F.lit(0.0))
+    new_inv = _first_repair(inv, ["total_with_vat", "vat_amount"], t, lambda total, vat: invoice_consistent(lines_total, total, vat))
+    new_coc = _first_repair(coc, ["claim_amount", "claim_net", "vat_amount"], t, coc_consistent)
+    base, total = repair_contract(t, F.coalesce(contract["value_base"], F.lit(0.0)), F.coalesce(contract["value_with_vat"], F.lit(0.0)))
+    new_contract = contract.withField("value_base", base).withField("value_with_vat", total)
+    documents = F.col("documents")
+    for name, section, new in (("invoice", inv, new_inv), ("coc", coc, new_coc), ("contract", contract, new_contract)):
+        documents = documents.withField(name, F.when(section.isNotNull() & usable(t), new).otherwise(section))
+    return out.withColumn("documents", documents)

@@ -140,3 +140,23 @@ def test_last_of_id_and_files(spark, tmp_path):
     assert {r["id"]: (r["po_no"], r["claim_type"], r["contract_value"]) for r in claims.collect()} == {"a": ("2", "periodic", 0.0), "b": ("", "periodic", 0.0)}
     files = spark.createDataFrame([("y",)], "path string")
     assert [r["id"] for r in source.available(claims, files).collect()] == ["a"]
+
+
+PAGE = "Invoice INV-2026-00070 VAT 310122393500003 account 20261234 reference 99887766 total 1,150.00 vat 150.00 certificate 1,150.00 1,000.00 contract 14,950,000.00"
+
+
+def test_text_corrects_reads(spark, tmp_path):
+    from auditspark.operators import witness
+
+    bad = changed(**{
+        D + "invoice__invoice_no": "INV-2026-00007", D + "invoice__seller_vat_number": "310122395300003", D + "invoice__total_with_vat": 11500.0,
+        D + "coc__claim_net": 10000.0, D + "contract__value_base": 4950000.0, D + "contract__value_with_vat": 4950000.0,
+    })
+    plain = copy.deepcopy(bad) | {"id": "B"}
+    (tmp_path / "c.json").write_text(json.dumps([bad, plain]))
+    claims = source.read_claims(spark, str(tmp_path / "c.json")).withColumn("page_text", F.when(F.col("id") == "A", PAGE).otherwise("no digits"))
+    got = {r["id"]: r["documents"] for r in witness.reconcile(claims).select("id", "documents").collect()}
+    a, b = got["A"], got["B"]
+    assert (a["invoice"]["invoice_no"], a["invoice"]["seller_vat_number"], a["invoice"]["total_with_vat"]) == ("INV-2026-00070", VAT_NO, 1150.0)
+    assert a["coc"]["claim_net"] == 1000.0 and (a["contract"]["value_base"], a["contract"]["value_with_vat"]) == (13000000.0, 14950000.0)
+    assert (b["invoice"]["invoice_no"], b["invoice"]["total_with_vat"], b["coc"]["claim_net"]) == ("INV-2026-00007", 11500.0, 10000.0)
