@@ -31,6 +31,11 @@ EACH_WEEK = r"(?i)كل\s*(?:أسبوع|اسبوع)|أسبوعي|اسبوعي|/\s
 CODE_FROM, CODE_TO = r"^(\d+)\.(\d+)$", "0"
 
 
+def bind(f, **values: Column) -> Column:
+    """f(record of the values): they are worked out once, however often f uses them, and stand once in the plan."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), F.lit(0))
+
+
 def ascii_digits(v: Column) -> Column:
     return F.translate(F.coalesce(v, F.lit("")), DIGITS_FROM, DIGITS_TO)
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import amount_forms, contains_identifier, digit_runs, digits, near, restyle, usable, witness_text
+from ..functions.text import amount_forms, bind, contains_identifier, digit_runs, digits, near, restyle, usable, witness_text
 
 # Shortest identifier, tolerance of printed totals, VAT rate.
 LEAST_LENGTH, TOLERANCE, VAT = 5, 1.0, 0.15
@@ -15,20 +15,22 @@ TOKEN, AMOUNT = "[^0-9a-zء-ي/._-]+", r"(\d+(?:\.\d+)?)"
 
 def near_identifiers(text: Column, value: Column) -> Column:
     """Tokens of the text a slip away from value; if there are none, digit runs a slip away from its digits."""
-    v = witness_text(value)
     tokens = F.array_distinct(F.transform(F.split(witness_text(text), TOKEN, -1), lambda t: F.regexp_replace(t, "^[._/-]+|[._/-]+$", "")))
-    by_token = F.filter(tokens, lambda t: near(t, v))
-    by_digits = F.filter(F.array_distinct(digit_runs(text)), lambda t: near(t, digits(value)))
-    plain = digits(value) == v
-    return F.when(F.length(v) < LEAST_LENGTH, F.array().cast("array<string>")).when((F.size(by_token) == 0) & plain, by_digits).otherwise(by_token)
+    none = F.array().cast("array<string>")
+
+    def found(r: Column) -> Column:
+        by_token = F.filter(tokens, lambda t: near(t, r["v"]))
+        by_digits = F.when(r["d"] == r["v"], F.filter(F.array_distinct(digit_runs(text)), lambda t: near(t, r["d"]))).otherwise(none)
+        return F.when(F.length(r["v"]) >= LEAST_LENGTH, bind(lambda q: F.when(F.size(q["x"]) == 0, by_digits).otherwise(q["x"]), x=by_token)).otherwise(none)
+
+    return bind(found, v=witness_text(value), d=digits(value))
 
 
 def repair_identifier(text: Column, value: Column) -> Column:
     """value, or the only token that it can have been read from."""
-    found = near_identifiers(text, value)
-    alone = F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1)))
-    fix = usable(text) & (F.coalesce(value, F.lit("")) != "") & ~contains_identifier(text, value) & alone.isNotNull()
-    return F.when(fix, restyle(value, alone)).otherwise(value)
+    ask = usable(text) & (F.coalesce(value, F.lit("")) != "") & ~contains_identifier(text, value)
+    alone = lambda r: F.when(F.size(r["x"]) == 1, restyle(value, F.try_element_at(r["x"], F.lit(1)))).otherwise(value)
+    return F.when(ask, bind(alone, x=near_identifiers(text, value))).otherwise(value)
 
 
 def amounts(text: Column) -> Column:
@@ -39,11 +41,15 @@ def contains_amount(text: Column, value: Column) -> Column:
     return F.exists(amounts(text), lambda a: F.abs(a - value) < 0.005)
 
 
+def _near_among(values: Column, value: Column) -> Column:
+    forms = lambda v: F.transform(amount_forms(v), lambda f: digits(f))
+    slip = lambda a, mine: F.exists(forms(a), lambda x: F.exists(mine, lambda y: near(x, y)))
+    return bind(lambda r: F.array_sort(F.filter(values, lambda a: a.isNotNull() & slip(a, r["mine"]))), mine=forms(value))
+
+
 def near_amounts(text: Column, value: Column) -> Column:
     """Amounts of the text one slip in the digits away from value, in order."""
-    forms = lambda v: F.transform(amount_forms(v), lambda f: digits(f))
-    slip = lambda a: F.exists(forms(a), lambda x: F.exists(forms(value), lambda y: near(x, y)))
-    return F.array_sort(F.filter(amounts(text), lambda a: a.isNotNull() & slip(a)))
+    return _near_among(amounts(text), value)
 
 
 def repair_amount(text: Column, value: Column, fits) -> Column:
@@ -90,14 +96,9 @@ def invoice_consistent(lines_total: Column, total: Column, vat: Column) -> Colum
     return consistent(by_lines, by_vat)
 
 
-# Identifiers that the text may correct, by document.
+# Identifiers and amounts that the text may correct, by document.
 IDENTIFIERS = {"invoice": ["invoice_no", "seller_vat_number"], "coc": ["coc_no", "invoice_ref", "contract_no", "award_letter_no"], "receipt": ["receipt_no"], "contract": ["contract_no"]}
-
-
-def _only(text: Column, value: Column, fits) -> Column:
-    """The one near amount for which fits(amount) holds, or null."""
-    found = F.filter(near_amounts(text, value), lambda v: F.coalesce(fits(v), F.lit(False)))
-    return F.when(~contains_amount(text, value) & (F.size(found) == 1), F.try_element_at(found, F.lit(1)))
+AMOUNTS = {"invoice": ["total_with_vat", "vat_amount"], "coc": ["claim_amount", "claim_net", "vat_amount"]}
 
 
 def coc_consistent(amount: Column, net: Column, vat: Column) -> Column:
@@ -109,34 +110,60 @@ def coc_consistent(amount: Column, net: Column, vat: Column) -> Column:
     return consistent(by_sum, by_vat)
 
 
-def _first_repair(section: Column, names: list[str], text: Column, check) -> Column:
-    """The section with the first of its values that a single near amount puts right, if check fails as it is."""
-    values = [F.coalesce(section[n], F.lit(0.0)) for n in names]
-    wrong = ~F.coalesce(check(*values), F.lit(True))
-    fixes = [_only(text, v, lambda x, i=i: check(*[x if j == i else values[j] for j in range(len(names))])) for i, v in enumerate(values)]
-    done, out = F.lit(False), section
-    for n, v, fix in zip(names, values, fixes):
-        use = wrong & ~done & fix.isNotNull()
-        out, done = out.withField(n, F.when(use, fix).otherwise(v)), done | fix.isNotNull()
-    return out
+def _first_repair(values: list[Column], text: Column, check) -> Column:
+    """The array of values, with the first that a single near amount puts right in its place, if check fails as they are."""
+    n = len(values)
+
+    def fix(r: Column, i: int) -> Column:
+        fits = lambda x: F.coalesce(check(*[x if j == i else r["v"][j] for j in range(n)]), F.lit(False))
+        absent = ~F.exists(r["among"], lambda a: F.abs(a - r["v"][i]) < 0.005)
+        return bind(lambda q: F.when(absent & (F.size(q["x"]) == 1), F.try_element_at(q["x"], F.lit(1))), x=F.filter(_near_among(r["among"], r["v"][i]), fits))
+
+    def put(r: Column) -> Column:
+        at = F.array_position(F.transform(r["fixes"], lambda x: x.isNotNull()), True)
+        return F.transform(r["v"], lambda x, i: F.when(i + 1 == at, F.get(r["fixes"], i)).otherwise(x))
+
+    def repaired(r: Column) -> Column:
+        wrong = ~F.coalesce(check(*[r["v"][j] for j in range(n)]), F.lit(True))
+        return F.when(wrong, bind(put, v=r["v"], fixes=F.array(*[fix(r, i) for i in range(n)]))).otherwise(r["v"])
+
+    return bind(repaired, v=F.array(*[F.coalesce(x, F.lit(0.0)) for x in values]), among=amounts(text))
+
+
+def _repaired(name: str, section: Column, text: Column) -> Column:
+    """A document of the claim with what the text corrects; all from its values as read."""
+    out = section
+    for field in IDENTIFIERS[name]:
+        out = out.withField(field, repair_identifier(text, section[field]))
+    if name == "contract":
+        value = lambda field: F.coalesce(section[field], F.lit(0.0))
+        base, total = repair_contract(text, value("value_base"), value("value_with_vat"))
+        return out.withField("value_base", base).withField("value_with_vat", total)
+    if name not in AMOUNTS:
+        return out
+    check = coc_consistent
+    if name == "invoice":
+        lines_total = F.aggregate(F.coalesce(section["lines"], F.array()), F.lit(0.0), lambda acc, x: acc + F.coalesce(x["amount"], F.lit(0.0)))
+        check = lambda total, vat: invoice_consistent(lines_total, total, vat)
+    new = _first_repair([section[field] for field in AMOUNTS[name]], text, check)
+    place = lambda r: _with_fields(r["s"], {field: r["new"][i] for i, field in enumerate(AMOUNTS[name])})
+    return bind(place, s=out, new=new)
+
+
+def _with_fields(record: Column, values: dict[str, Column]) -> Column:
+    for field, value in values.items():
+        record = record.withField(field, value)
+    return record
 
 
 def reconcile(claims: DataFrame, text: str = "page_text") -> DataFrame:
-    """Nested claims with identifiers and amounts of their documents corrected by the text; unusable texts change nothing."""
-    t, out = F.col(text), claims
-    for name, fields in IDENTIFIERS.items():
-        section = F.col(f"documents.{name}")
-        fixed = section
-        for f in fields:
-            fixed = fixed.withField(f, repair_identifier(t, section[f]))
-        out = out.withColumn("documents", F.col("documents").withField(name, F.when(section.isNotNull() & usable(t), fixed).otherwise(section)))
-    inv, coc, contract = (F.col(f"documents.{x}") for x in ("invoice", "coc", "contract"))
-    lines_total = F.coalesce(F.aggregate(inv["lines"], F.lit(0.0), lambda acc, x: acc + F.coalesce(x["amount"], F.lit(0.0))), F.lit(0.0))
-    new_inv = _first_repair(inv, ["total_with_vat", "vat_amount"], t, lambda total, vat: invoice_consistent(lines_total, total, vat))
-    new_coc = _first_repair(coc, ["claim_amount", "claim_net", "vat_amount"], t, coc_consistent)
-    base, total = repair_contract(t, F.coalesce(contract["value_base"], F.lit(0.0)), F.coalesce(contract["value_with_vat"], F.lit(0.0)))
-    new_contract = contract.withField("value_base", base).withField("value_with_vat", total)
-    documents = F.col("documents")
-    for name, section, new in (("invoice", inv, new_inv), ("coc", coc, new_coc), ("contract", contract, new_contract)):
-        documents = documents.withField(name, F.when(section.isNotNull() & usable(t), new).otherwise(section))
-    return out.withColumn("documents", documents)
+    """Nested claims with identifiers and amounts of their documents corrected by the text; unusable texts change nothing.
+
+    One projection: what an expression needs more than once is bound, so that the plan grows with the fields.
+    """
+
+    def documents(r: Column) -> Column:
+        fixed = {name: F.when(r["d"][name].isNotNull(), _repaired(name, r["d"][name], r["t"])) for name in IDENTIFIERS}
+        return F.when(usable(r["t"]), _with_fields(r["d"], fixed)).otherwise(r["d"])
+
+    return claims.withColumn("documents", bind(documents, d=F.col("documents"), t=F.col(text)))
