@@ -97,39 +97,121 @@ def _join(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+def _entries(table: pa.Table):
+    """Rows of the incidence -> (classes, their sizes, column and place of the class of each entry, each once, by column)."""
+    c, n, counts, h = _join(table, "c", np.uint64), _join(table, "n", np.uint32), _join(table, "counts", np.uint32), _join(table, "h", np.uint32)
+    c, first, rank = np.unique(c, return_index=True, return_inverse=True)
+    keys = (h.astype(np.uint64) << np.uint64(32)) | np.repeat(rank, counts).astype(np.uint64)
+    keys.sort()
+    if len(keys):
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]  # classes that came from several tasks
+    return c, n[first], (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _columns(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted columns of entries -> each once, and how many entries it has."""
+    begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[begins], np.diff(np.append(begins, len(h)))
+
+
+def _by_row(block: int, c, n, h, row, df, buckets: int) -> pa.Table:
+    """Entries of columns with two rows or more, dealt out by row."""
+    keep = df > 1
+    h, row, df = h[keep], row[keep], df[keep].astype(np.uint32)
+    order = np.argsort(row, kind="stable")
+    h, row, df = h[order], row[order], df[order]
+    rows, counts = np.unique(row, return_counts=True)
+    bucket = (c[rows] % np.uint64(buckets)).astype(np.int64)
+    of_entry = np.repeat(bucket, counts)
+    out = []
+    for b in np.unique(bucket):
+        mine, entries = bucket == b, of_entry == b
+        out.append((int(b), block, c[rows][mine].tobytes(), n[rows][mine].tobytes(), counts[mine].astype(np.uint32).tobytes(), h[entries].tobytes(), df[entries].tobytes()))
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["bucket", "block", "c", "n", "counts", "h", "df"])
+
+
 def _shared(buckets: int):
     """One block of columns -> the entries of columns with two rows or more, dealt out by row."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        c, n, counts, h = _join(table, "c", np.uint64), _join(table, "n", np.uint32), _join(table, "counts", np.uint32), _join(table, "h", np.uint32)
-        c, first, rank = np.unique(c, return_index=True, return_inverse=True)
-        n = n[first]
-        keys = (h.astype(np.uint64) << np.uint64(32)) | np.repeat(rank, counts).astype(np.uint64)
-        keys.sort()
-        if len(keys):
-            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]  # classes that came from several tasks
-        h, row = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        df = np.diff(np.append(begins, len(h)))
-        df = np.repeat(df, df)
-        keep = df > 1
-        h, row, df = h[keep], row[keep], df[keep].astype(np.uint32)
-        order = np.argsort(row, kind="stable")
-        h, row, df = h[order], row[order], df[order]
-        rows, counts = np.unique(row, return_counts=True)
-        bucket = (c[rows] % np.uint64(buckets)).astype(np.int64)
-        of_entry = np.repeat(bucket, counts)
+        c, n, h, row = _entries(table)
+        df = _columns(h)[1]
+        return _by_row(table.column("block")[0].as_py(), c, n, h, row, np.repeat(df, df), buckets)
+
+    return run
+
+
+def _split(batches):
+    """Rows of the incidence of a block of ``parts`` parts -> one for each part: a class is always in the same one."""
+    for b in batches:
         out = []
-        for b in np.unique(bucket):
-            mine, entries = bucket == b, of_entry == b
-            out.append((int(b), block, c[rows][mine].tobytes(), n[rows][mine].tobytes(), counts[mine].astype(np.uint32).tobytes(), h[entries].tobytes(), df[entries].tobytes()))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["bucket", "block", "c", "n", "counts", "h", "df"])
+        for block, parts, c, n, counts, h in zip(*[b.column(x).to_pylist() for x in ("block", "parts", "c", "n", "counts", "h")]):
+            c, n, counts, h = (np.frombuffer(x, t) for x, t in ((c, np.uint64), (n, np.uint32), (counts, np.uint32), (h, np.uint32)))
+            part = (c >> np.uint64(32)) % np.uint64(parts)
+            of_entry = np.repeat(part, counts)
+            for p in np.unique(part).tolist():
+                out.append((block, p, c[part == p].tobytes(), n[part == p].tobytes(), counts[part == p].tobytes(), h[of_entry == p].tobytes()))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["block", "part", "c", "n", "counts", "h"])
+
+
+def _part_counts(table: pa.Table) -> pa.Table:
+    """One part of a block -> its columns and how many rows each has here."""
+    h, df = _columns(_entries(table)[2])
+    return pa.table({"block": table.column("block")[:1], "h": pa.array([h.tobytes()], pa.binary()), "df": pa.array([df.astype(np.uint32).tobytes()], pa.binary())})
+
+
+def _block_counts(table: pa.Table) -> pa.Table:
+    """Counts of the parts of a block -> of the whole block, for each part."""
+    h, df = _join(table, "h", np.uint32), _join(table, "df", np.uint32)
+    h, place = np.unique(h, return_inverse=True)
+    df = np.bincount(place, df, len(h)).clip(0, 2**32 - 1).astype(np.uint32)
+    return pa.table({"block": table.column("block")[:1], "h": pa.array([h.tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
+
+
+def _shared_part(buckets: int):
+    """One part of a block and the counts of the block's columns -> as _shared."""
+
+    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
+        c, n, h, row = _entries(table)
+        df = _join(counts, "df", np.uint32)[np.searchsorted(_join(counts, "h", np.uint32), h)]
+        return _by_row(table.column("block")[0].as_py(), c, n, h, row, df, buckets)
 
     return run
 
 
+def _shared_entries(product: DataFrame, buckets: int, most: int) -> DataFrame:
+    """The incidence by block -> its entries in shared columns by row.
+
+    A block is larger than others only where a column is in very many rows. Those of more than most entries are cut into
+    parts of about most by row; parts count their columns, which are few beside the entries, and get the block's counts.
+    """
+    kind = "bucket int, block int, c binary, n binary, counts binary, h binary, df binary"
+    large = product.groupBy("block").agg(F.sum(F.octet_length("h") / 4).alias("entries")).filter(F.col("entries") > most)
+    large = cut(large.select("block", F.ceil(F.col("entries") / most).cast("int").alias("parts")), "jaccard-large")
+    if not (n := large.count()):
+        return product.groupBy("block").applyInArrow(_shared(buckets), kind)
+    small = product.join(bounded(large, n), "block", "left_anti").groupBy("block").applyInArrow(_shared(buckets), kind)
+    parts = product.join(bounded(large, n), "block").select("block", "parts", "c", "n", "counts", "h")
+    parts = cut(parts.mapInArrow(_split, "block int, part int, c binary, n binary, counts binary, h binary"), "jaccard-parts")
+    counts = parts.groupBy("block", "part").applyInArrow(_part_counts, "block int, h binary, df binary")
+    counts = cut(counts.groupBy("block").applyInArrow(_block_counts, "block int, h binary, df binary"), "jaccard-counts")
+    counts = counts.join(large, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "h", "df")
+    split = parts.groupBy("block", "part").cogroup(counts.join(parts.select("block", "part").distinct(), ["block", "part"], "left_semi").groupBy("block", "part"))
+    return small.unionByName(split.applyInArrow(_shared_part(buckets), kind))
+
+
+def _with_lead(posts: DataFrame, lead: DataFrame) -> DataFrame:
+    """posts with the leader of their column: leaders of hot columns, at most HOT, come by broadcast, others by a shuffle."""
+    n = posts.count()
+    lead = cut(lead, "jaccard-leads")
+    hot, cold = lead.filter(F.col("rows") * HOT >= n).drop("rows"), lead.filter(F.col("rows") * HOT < n).drop("rows")
+    first = posts.join(F.broadcast(hot), "h", "left")
+    rest = first.filter("a is null").select(*posts.columns).join(cold, "h")
+    return first.filter("a is not null").unionByName(rest)
+
+
 def _survivors(percent: int):
     """Entries of some rows -> rows that can have a link: shared columns, and those to look for partners by, rarest first."""
 
@@ -188,7 +270,7 @@ def link_classes(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -
     """(c, label) of the classes that have a link to another class."""
     blocks, buckets = max(8, -(-entries // BLOCK)), max(8, -(-entries // BUCKET))
     product = docs.select("text").mapInArrow(_incidence(k, blocks), "block int, c binary, n binary, counts binary, h binary")
-    product = product.groupBy("block").applyInArrow(_shared(buckets), "bucket int, block int, c binary, n binary, counts binary, h binary, df binary")
+    product = _shared_entries(cut(product, "jaccard-product"), buckets, 2 * BLOCK)
     rows = product.groupBy("bucket").applyInArrow(_survivors(percent), "c long, n long, m long, shared array<long>, first array<long>")
     rows = cut(rows, "jaccard-rows")
     # In first, rows of the same column meet. The leader has the fewest unshared entries: most likely the source of copies.
@@ -207,9 +289,9 @@ def link_classes(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -
         if k < LEADER_ROUNDS:
             # in later rounds the leader is another: by hash, so that a bad choice isn't made again
             by = F.struct("own", "c") if k == 0 else F.struct(F.xxhash64("c", F.lit(k)).alias("own"), "c")
-            lead = posts.groupBy("h").agg(F.min(F.struct(by.alias("by"), "n", "left", "label")).alias("lead"))
-            lead = lead.select("h", F.col("lead.by.c").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.left").alias("left_a"), F.col("lead.label").alias("label_a"))
-            pairs = posts.join(lead, "h")
+            lead = posts.groupBy("h").agg(F.min(F.struct(by.alias("by"), "n", "left", "label")).alias("lead"), F.count("*").alias("rows"))
+            lead = lead.select("h", F.col("lead.by.c").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.left").alias("left_a"), F.col("lead.label").alias("label_a"), "rows")
+            pairs = _with_lead(posts, lead.filter("rows > 1"))
         else:
             other = posts.select("h", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("label").alias("label_a"))
             pairs = posts.join(other, "h").filter("a < c")

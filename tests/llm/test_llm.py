@@ -117,6 +117,21 @@ def test_jaccard(spark, docs, monkeypatch, blocks):
     assert got == want
 
 
+def test_jaccard_large_blocks_are_cut_into_parts(spark, docs, monkeypatch):
+    whole = Counter(map(tuple, jaccard.jaccard_components(docs).collect()))
+    plain, cuts = jaccard._shared_entries, []
+
+    def in_parts(product, buckets, most):
+        large = product.groupBy("block").agg((F.sum(F.octet_length("h")) / 4).alias("n"))
+        most = int(large.agg(F.expr("percentile(n, 0.5)")).first()[0]) // 3  # all are large, most of several parts
+        cuts.append(large.filter(F.col("n") > most).count())
+        return plain(product, buckets, most)
+
+    monkeypatch.setattr(jaccard, "_shared_entries", in_parts)
+    assert Counter(map(tuple, jaccard.jaccard_components(docs).collect())) == whole
+    assert cuts[0] > 2
+
+
 def test_jaccard_chains_and_bad_leaders(spark):
     """Chains whose ends aren't alike, and many variants of a text that is not there itself."""
     rng = random.Random(3)
