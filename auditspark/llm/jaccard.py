@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded, cut
 from .words import chunks, mix, shingles, words
 
-#: Entries of a block of columns, and of a bucket of rows: what one task holds.
-BLOCK, BUCKET = 6_000_000, 2_000_000
+#: Entries of a block of columns, of a bucket of rows, and of a group of texts: what one task holds.
+BLOCK, BUCKET, PACK = 4_000_000, 2_000_000, 3_000_000
 #: Rounds in which rows are compared with one leader of each column only.
 LEADER_ROUNDS = 3
 #: A class with at least one in so many documents is hot: there are at most HOT of them.
@@ -84,7 +84,7 @@ def _incidence(k: int, blocks: int):
                         seen.add(key)
                         held.append(x)
                         size += len(x)
-                if size > BLOCK // 2:
+                if size > PACK:
                     yield batch(list(pack(held)))
                     held, size = [], 0
         if held:
@@ -270,7 +270,7 @@ def link_classes(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -
     """(c, label) of the classes that have a link to another class."""
     blocks, buckets = max(8, -(-entries // BLOCK)), max(8, -(-entries // BUCKET))
     product = docs.select("text").mapInArrow(_incidence(k, blocks), "block int, c binary, n binary, counts binary, h binary")
-    product = _shared_entries(cut(product, "jaccard-product"), buckets, 2 * BLOCK)
+    product = _shared_entries(cut(product, "jaccard-product"), buckets, 3 * BLOCK // 2)
     rows = product.groupBy("bucket").applyInArrow(_survivors(percent), "c long, n long, m long, shared array<long>, first array<long>")
     rows = cut(rows, "jaccard-rows")
     # In first, rows of the same column meet. The leader has the fewest unshared entries: most likely the source of copies.
