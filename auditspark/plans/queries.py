@@ -327,13 +327,13 @@ def nfkc_fold(spark, sf):
 
 
 def _described(spark, sf):
-    """Bills of parts by brand, and lines that name a part with a word left out or its price changed."""
-    p = V.table(spark, sf, "part").filter("p_partkey < 4000")
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    p = p.withColumn("pos", n).filter("pos <= 40").withColumn("description", F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("model"), F.col("p_partkey").cast("string")))
-    boq = p.select(F.col("p_brand").alias("claim_id"), "pos", F.concat(F.col("pos").cast("string"), F.lit(".10")).alias("item_code"), "description", F.col("p_retailprice").alias("unit_price"))
+    """All parts as bills, one claim for each brand, size and type, and lines that name a part with its code cut or missing."""
+    p = V.table(spark, sf, "part").withColumn("claim_id", F.concat_ws("|", "p_brand", F.col("p_size").cast("string"), "p_type"))
+    n = F.row_number().over(Window.partitionBy("claim_id").orderBy("p_partkey"))
+    p = p.withColumn("pos", n).withColumn("description", F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("model"), F.col("p_partkey").cast("string")))
+    boq = p.select("claim_id", "pos", F.concat(F.col("pos").cast("string"), F.lit(".10")).alias("item_code"), "description", F.col("p_retailprice").alias("unit_price"))
     code = F.when(F.col("pos") % 4 == 0, F.concat(F.col("pos").cast("string"), F.lit(".1"))).when(F.col("pos") % 4 == 1, F.lit("")).otherwise(F.concat(F.col("pos").cast("string"), F.lit(".10")))
-    mine = p.select(F.col("p_brand").alias("claim_id"), "pos", code.alias("item_code"), "description", F.col("p_retailprice").alias("unit_price"), F.lit(1.0).alias("quantity"), F.col("p_retailprice").alias("amount"))
+    mine = p.select("claim_id", "pos", code.alias("item_code"), "description", F.col("p_retailprice").alias("unit_price"), F.lit(1.0).alias("quantity"), F.col("p_retailprice").alias("amount"))
     return mine, boq
 
 

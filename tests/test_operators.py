@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from auditspark.operators import align, evidence, lines, locate, merge
+from auditspark.plans import queries
 from auditspark.sources import store
 from auditspark.streaming import gates
 
@@ -45,6 +46,15 @@ def test_align(spark):
     assert rows(align.align_codes(serial, boq), "pos", "new_code") == [(1, "5")]
 
 
+def test_align_queries_take_the_whole_table(spark, tmp_path):
+    parts = [(k, "steel part", "Brand#1", "SMALL", k % 2, float(k)) for k in range(3_950, 4_070)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    for df in queries._described(spark, str(tmp_path)):
+        assert sorted(r["unit_price"] for r in df.collect()) == [x[5] for x in parts]
+    pairs = align.scores(*queries._described(spark, str(tmp_path)))
+    assert rows(pairs.groupBy("claim_id").count(), "count") == [(3_600,), (3_600,)]
+
+
 def test_patch_codes(spark):
     boq = spark.createDataFrame([("c", 1, "a", "", 1.0), ("c", 2, "b", "", 1.0)], BOQ)
     mine = spark.createDataFrame([("c", 1, "1", "", 1.0, 1.0, 1.0), ("c", 2, "2", "", 1.0, 1.0, 1.0)], LINE)
