@@ -1,9 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Every page's containers are scored by the text that lies in them outside menus, adverts and the like. The best container's
-path, tags and classes from the root without digits, is the page's vote; Spark counts votes by host, and each page is
-extracted again from the container at one of its host's winning paths, or, where a page has none of them or hardly any text
-there, from its own best one.
+Every page's containers are scored by the text that lies in them outside menus, adverts and the like; from the best one a
+page climbs until no text but links is left outside. The path of where it stops, tags and classes from the root without
+digits, is the page's vote; Spark counts votes by host, and each page is extracted again from the containers at all of its
+host's winning paths, and from its own as well if they leave out text of it that isn't mostly links.
 
 Nulls and odd input: a null or empty page has an empty text; a null or odd url votes in a host of its own kind; unclosed and
 stray tags are repaired as browsers do in the usual cases; an unclosed comment, script or style runs to the end; rows with
@@ -24,8 +24,6 @@ from .common import bounded, cut
 
 #: Winning paths that a host keeps.
 PATHS = 3
-#: A page's own container is used if the winning one holds less than this share of its text.
-LEAST = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -142,7 +140,8 @@ class Page:
             node = self.parent[node]
 
     def best(self) -> int | None:
-        """The container with the highest score: text of its blocks, a fifth less with each container further up."""
+        """The container with the highest score, text of its blocks, a fifth less with each container further up, or the
+        first one above it that holds all text but links; none if only the page itself does."""
         scores: dict[int, float] = {}
         for node, text, links in self.blocks:
             share = float(max(0, len(text) - 2 * links)) + 1e-3
@@ -150,23 +149,32 @@ class Page:
                 if self._tags[i] in CONTAINERS:
                     scores[i] = scores.get(i, 0.0) + share
                     share *= 0.8
-        return max(scores, key=lambda i: (scores[i] * (1.5 if self.good[i] else 1.0), -i)) if scores else None
+        if not scores:
+            return None
+        best = max(scores, key=lambda i: (scores[i] * (1.5 if self.good[i] else 1.0), -i))
+        text = [set(self.above(node)) for node, *block in self.blocks if not self._mostly_links(*block)]
+        holds = set.intersection(*text) if text else {best}
+        return next((i for i in self.above(best) if i in holds and self._tags[i] in CONTAINERS), None)
 
-    def under(self, nodes: set[int]) -> list[str]:
-        return [text for node, text, _ in self.blocks if any(i in nodes for i in self.above(node))]
+    @staticmethod
+    def _mostly_links(text: str, links: int) -> bool:
+        return 2 * links > len(text)
+
+    def under(self, nodes: set[int]) -> list[int]:
+        """Places of the blocks in nodes."""
+        return [k for k, (node, *_) in enumerate(self.blocks) if any(i in nodes for i in self.above(node))]
 
 
 def main_text(source: str | None, winners: list[str] | None) -> str:
     """The page's main text, blocks parted by an empty line."""
     page = Page(source or "")
-    own = page.best()
-    mine = page.under({own}) if own is not None else [text for _, text, _ in page.blocks]
-    least = LEAST * sum(map(len, mine))
-    for path in winners or ():
-        blocks = page.under({i for i, p in enumerate(page.path) if p == path})
-        if blocks and sum(map(len, blocks)) >= least:
-            return "\n\n".join(blocks)
-    return "\n\n".join(mine)
+    own, paths = page.best(), set(winners or ())
+    mine = set(page.under({own}) if own is not None else range(len(page.blocks)))
+    taken = set(page.under({i for i, p in enumerate(page.path) if p in paths}))
+    text = {k for k, (_, *block) in enumerate(page.blocks) if not page._mostly_links(*block)}
+    if not taken & text or mine & text - taken:
+        taken |= mine
+    return "\n\n".join(page.blocks[k][1] for k in sorted(taken))
 
 
 @F.arrow_udf(StringType())

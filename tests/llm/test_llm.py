@@ -501,6 +501,18 @@ def test_html(spark):
     assert html.extract(frame.limit(0)).count() == 0
 
 
+def test_html_keeps_the_whole_article():
+    page = lambda *parts: "<body><div class=page>" + "".join(f"<div class={c}><p>{t}</div>" for c, t in parts) + "</div><nav><p>menu</nav></body>"
+    content, more = ">body>div.page>div.content", ">body>div.page>div.more"
+    uneven = page(("content", "few words"), ("more", "and many more " * 9))
+    for winners in (None, [content], [content, more], [more, content], [">body>div.other"]):
+        assert html.main_text(uneven, winners) == "few words\n\n" + ("and many more " * 9).strip()
+    assert html.main_text(page(("content", "long " * 90), ("more", "end")), [content]).endswith("long\n\nend")
+    assert html.main_text("<div class=content><p>" + "long " * 90 + "</div><div><p>end</div>", None).endswith("long\n\nend")
+    assert html.main_text(page(("content", "long " * 90), ("more", "<a href=x>elsewhere</a>")), [content]) == ("long " * 90).strip()
+    assert html.main_text(page(("content", "<a href=x>one</a>"), ("more", "<a href=y>two</a>")), [content]).split() == ["one", "two"]
+
+
 # -- 8: chats -------------------------------------------------------------------------------------------------------------
 
 
