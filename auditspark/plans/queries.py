@@ -231,7 +231,7 @@ def identifier_keys(spark, sf):
 @query
 def digit_runs(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.col("n_chars").cast("string"), F.col("source"), F.col("text")).alias("t"))
-    return d.select("doc_id", F.array_join(F.slice(text.digit_runs(F.col("t")), 1, 1000), ",").alias("runs"), F.array_join(text.signature(F.col("t")), ",").alias("bag"), text.usable(F.col("t")).alias("usable"))
+    return d.select("doc_id", F.array_join(text.digit_runs(F.col("t")), ",").alias("runs"), F.array_join(text.signature(F.col("t")), ",").alias("bag"), text.usable(F.col("t")).alias("usable"))
 
 
 @query

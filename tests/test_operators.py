@@ -55,6 +55,12 @@ def test_align_queries_take_the_whole_table(spark, tmp_path):
     assert rows(pairs.groupBy("claim_id").count(), "count") == [(3_600,), (3_600,)]
 
 
+def test_digit_runs_of_a_long_text(spark, tmp_path):
+    text = " ".join(map(str, range(2_500)))
+    spark.createDataFrame([(1, text, "s", 7)], "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.digit_runs(spark, str(tmp_path)).first()["runs"] == "7," + text.replace(" ", ",")
+
+
 def test_patch_codes(spark):
     boq = spark.createDataFrame([("c", 1, "a", "", 1.0), ("c", 2, "b", "", 1.0)], BOQ)
     mine = spark.createDataFrame([("c", 1, "1", "", 1.0, 1.0, 1.0), ("c", 2, "2", "", 1.0, 1.0, 1.0)], LINE)
