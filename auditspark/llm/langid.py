@@ -3,11 +3,12 @@
 For each language a suffix automaton of labelled text accepts every substring of it. A text is parsed greedily: the longest
 match from the current place is one phrase, and the parse starts again behind it. The language that needs the fewest
 phrases, weighed by the bits that name one, wins. Parses run over windows of WINDOW symbols, side by side in numpy, with one
-table for all languages; windows cover the whole text, and a phrase ends where its window does.
+table for all languages; windows cover the whole text, and a phrase ends where its window does. The table has the letters
+that are most frequent; transitions by all others, few beside it whatever the scripts, are a sorted list.
 
 The model is fitted on a bounded sample: of each language the DOCS documents with the smallest hashes of their id, CHARS code
 points of each. Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; letters that the sample
-doesn't have match nothing; without any labelled row every text is ``und``; a null id is held out if the checksum of the
+doesn't have match nothing, not even each other; without any labelled row every text is ``und``; a null id is held out if the checksum of the
 empty text says so; an empty table gives an empty result; more columns are ignored.
 """
 
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOCS, CHARS = 24, 1500
-WINDOW, SYMBOLS = 256, 64
+WINDOW = 256
+#: Symbols of the table; those from here on are in the list of rare ones.
+SYMBOLS = 64
 END = np.uint32(1 << 31)
 UNKNOWN = "und"
 #: Letters parsed at a time in one task.
@@ -60,7 +63,8 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """languages; letters: symbol of each code point; table: next place of (state, symbol), with END where a phrase ends."""
+    """languages; letters: symbol of each code point; table: next place of (state, symbol), with END where a phrase ends;
+    keys, to: the transitions of states by rare symbols, sorted."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
@@ -69,9 +73,10 @@ class Model:
             for x in text.lower():
                 if x.isalpha():
                     seen[x] = seen.get(x, 0) + 1
-        known = sorted(sorted(seen), key=lambda x: -seen[x])[: SYMBOLS - 2]
+        known = sorted(sorted(seen), key=lambda x: -seen[x])
         self.letters = {ord(x): i + 2 for i, x in enumerate(known)}  # 0: between words, 1: a letter that isn't known
-        tables, self.roots, self.bits, at = [], [], [], 0
+        self.size = max(SYMBOLS, len(known) + 2)
+        tables, rare, self.roots, self.alone, self.bits, at = [], [], [], [], [], 0
         for name in self.languages:
             symbols = self.symbols(texts[name])
             states = suffix_automaton(symbols.tolist())
@@ -79,21 +84,28 @@ class Model:
             alone = at + len(states) * SYMBOLS  # a symbol that the language doesn't have is a phrase of its own
             again = np.full(SYMBOLS, alone, np.uint32)
             for s, to in states[0].items():
-                again[s] = at + to * SYMBOLS
+                if s < SYMBOLS:
+                    again[s] = at + to * SYMBOLS
             table[:] = again | END
             table[0] = again
             for i, out in enumerate(states):
                 for s, to in out.items():
-                    table[i, s] = at + to * SYMBOLS
+                    if s < SYMBOLS:
+                        table[i, s] = at + to * SYMBOLS
+                    else:
+                        rare.append(((at // SYMBOLS + i) * self.size + s, at + to * SYMBOLS))
             tables.append(table)
             self.roots.append(at)
+            self.alone.append(alone)
             self.bits.append(np.log2(max(2, len(symbols))))
             at += table.size
         self.table = np.concatenate([x.ravel() for x in tables]) if tables else np.zeros(SYMBOLS, np.uint32)
+        rare.sort()
+        self.keys, self.to = np.array([k for k, _ in rare], np.int64), np.array([x for _, x in rare], np.uint32)
 
     def lookup(self) -> np.ndarray:
         if not hasattr(self, "_lookup"):
-            self._lookup = np.zeros(0x110000, np.uint8)
+            self._lookup = np.zeros(0x110000, np.uint32)
             self._lookup[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
             for i, s in self.letters.items():
                 self._lookup[i] = s
@@ -110,6 +122,20 @@ class Model:
             keep[1:] |= s[:-1] > 0
         return s[keep]
 
+    def _edges(self, places: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether there is a transition by a rare symbol, and where it goes."""
+        wanted = places // SYMBOLS * self.size + symbols
+        i = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.keys[i] == wanted, self.to[i]
+
+    def _rare(self, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """What the table would hold for rare symbols."""
+        root = np.array(self.roots, np.int64)[:, None]
+        begins, first = self._edges(root, symbols)
+        again = np.where(begins, first, np.array(self.alone, np.uint32)[:, None])
+        goes, to = self._edges(places, symbols)
+        return np.where(goes, to, np.where(places == root, again, again | END))
+
     def phrases(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """windows (longest first) as columns of symbols -> phrases of each, by language."""
         place = np.repeat(np.array(self.roots, np.int64)[:, None], windows.shape[1], 1)
@@ -118,7 +144,13 @@ class Model:
         live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(windows.shape[0]), "right")
         for i in range(int(lengths[0]) if len(lengths) else 0):
             k = live[i]
-            v = self.table.take(place[:, :k] + windows[i, :k])
+            symbols = windows[i, :k]
+            rare = np.flatnonzero(symbols >= SYMBOLS)
+            if len(rare):
+                v = self.table.take(place[:, :k] + np.where(symbols < SYMBOLS, symbols, 1))
+                v[:, rare] = self._rare(place[:, rare], symbols[rare])
+            else:
+                v = self.table.take(place[:, :k] + symbols)
             ends[:, :k] += (v >> np.uint32(31)).view(np.int32)
             place[:, :k] = v & ~END
         return ends + (place != root)
@@ -145,7 +177,7 @@ class Model:
         counts = [-(-len(s) // WINDOW) for _, s in held]
         lengths = np.concatenate([np.append(np.full(c - 1, WINDOW), len(s) - WINDOW * (c - 1)) for c, (_, s) in zip(counts, held)])
         order = np.argsort(-lengths, kind="stable")
-        block = np.zeros((len(lengths), WINDOW), np.uint8)
+        block = np.zeros((len(lengths), WINDOW), np.uint32)
         block[np.arange(WINDOW) < lengths[:, None]] = np.concatenate([s for _, s in held])
         ends = np.empty((len(self.languages), len(lengths)), np.int64)
         ends[:, order] = self.phrases(np.ascontiguousarray(block[order].T), lengths[order])

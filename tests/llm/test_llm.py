@@ -465,6 +465,24 @@ def test_phrases_are_longest_matches():
         assert got.tolist() == [longest_parse(norm(text), norm(train[name])) for name in model.languages]
 
 
+def test_many_letters_stay_apart():
+    rng = random.Random(8)
+    common = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμ"
+    train = {"en": common * 9 + "xyz " * 50, "zh": "".join(rng.choice([chr(0x4E00 + i) for i in range(300)]) for _ in range(900)), "ja": "".join(rng.choice([chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + i) for i in range(30)]) for _ in range(900))}
+    model = langid.Model(train)
+    assert len(set(model.letters.values())) == len(model.letters) > langid.SYMBOLS
+    unknown = chr(0xAC00)
+    for _ in range(50):
+        text = "".join(rng.choice(" abя" + common[-3:] + train["zh"][:60] + train["ja"][:60] + unknown) if rng.random() < 0.7 else rng.choice(list(train.values()))[(i := rng.randrange(400)) : i + 9] for _ in range(rng.randint(1, 60))).strip() or "a"
+        s = model.symbols(text)
+        got = model.phrases(np.ascontiguousarray(s[None, :].T), np.array([len(s)]))[:, 0]
+        norm = "".join(x if ord(x) in model.letters else " " if not x.isalpha() else "?" for x in re.sub(" +", " ", text))
+        assert got.tolist() == [longest_parse(norm, train[name]) for name in model.languages]
+    assert [x for x, _ in model.predict([train["zh"][100:140], train["ja"][100:140], "xyz xyz"])] == ["zh", "ja", "en"]
+    before = model.phrases(model.symbols(unknown * 20)[:, None], np.array([20]))[:, 0]
+    assert before.tolist() == [20] * 3
+
+
 def test_language(spark):
     rng = random.Random(7)
     vocab = {"en": ["the", "thing", "with", "ing", "ship", "world"], "de": ["der", "schön", "über", "licht", "und", "zeit"], "fr": ["les", "être", "çaux", "mou", "une", "été"]}
