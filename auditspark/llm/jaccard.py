@@ -266,8 +266,8 @@ def _links(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.lit(100) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
 
-def link_classes(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -> DataFrame:
-    """(c, label) of the classes that have a link to another class."""
+def _rows_and_posts(docs: DataFrame, entries: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes that can have a link, and the columns in which they meet."""
     blocks, buckets = max(8, -(-entries // BLOCK)), max(8, -(-entries // BUCKET))
     product = docs.select("text").mapInArrow(_incidence(k, blocks), "block int, c binary, n binary, counts binary, h binary")
     product = _shared_entries(cut(product, "jaccard-product"), buckets, 3 * BLOCK // 2)
@@ -277,7 +277,25 @@ def link_classes(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -
     # A column at place i of a row, being the first that two rows share, leaves an overlap of at most left = m - i.
     posts = rows.select(F.posexplode("first").alias("i", "h"), "c", "n", "m")
     posts = cut(posts.select("h", "c", "n", (F.col("m") - F.col("i")).alias("left"), ((F.col("n") - F.col("m")) / F.col("n")).alias("own")), "jaccard-columns")
-    sizes = F.lit(100 + percent) * F.least("left", "left_a") >= percent * (F.col("n") + F.col("n_a"))
+    return rows, posts
+
+
+def _sizes(percent: int):
+    return F.lit(100 + percent) * F.least("left", "left_a") >= percent * (F.col("n") + F.col("n_a"))
+
+
+def class_links(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -> DataFrame:
+    """(a, b), a < b: all pairs of classes that link, also those within one component."""
+    rows, posts = _rows_and_posts(docs, entries, k, percent)
+    other = posts.select("h", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    pairs = posts.join(other, "h").filter((F.col("a") < F.col("c")) & _sizes(percent)).select("a", F.col("c").alias("b")).distinct()
+    return cut(_links(rows, cut(pairs, "jaccard-pairs"), percent), "jaccard-links")
+
+
+def link_classes(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -> DataFrame:
+    """(c, label) of the classes that have a link to another class."""
+    rows, posts = _rows_and_posts(docs, entries, k, percent)
+    sizes = _sizes(percent)
     links, tried, labels = None, None, None
     for k in range(LEADER_ROUNDS + 1):
         if labels is not None:
@@ -331,6 +349,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, *, id_col
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 75, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, n_shingles, n_links (other rows that the row links with, those with an equal set too), one row per row of docs.
+
+    All pairs of classes are compared that can link, so the work grows with the square of a group of near copies.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    each = cut(docs.select("doc_id", _classes(k)("text").alias("s")).select("doc_id", F.col("s.n").alias("n"), F.col("s.c").alias("c")), "jaccard-docs")
+    copies = cut(each.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
+    links = class_links(docs, copies.agg(F.sum("n")).first()[0] or 0, k, percent)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(copies.select(F.col("c").alias("b"), F.col("copies").alias("others")), "b").groupBy(F.col("a").alias("c")).agg(F.sum("others").alias("near"))
+    counts = copies.join(near, "c", "left").select("c", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")).filter("n_links > 0")
+    counts = cut(counts, "jaccard-counts")
+    out = each.join(bounded(counts, counts.count()), "c", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """docs without the documents that link, directly or not, to one of a smaller doc_id; rows of equal ids are kept once."""
     groups = jaccard_components(docs, k, percent)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats
 from .common import table
 from .html import extract
-from .jaccard import jaccard_components
+from .jaccard import jaccard_components, jaccard_links
 from .langid import identify
 from .mixing import mix_sources
 from .neighbours import finite_vectors, nearest
@@ -66,5 +66,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard)
+def op10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard, op10_links)
 QUERIES = {f.__name__: f for f in _ALL}

@@ -151,6 +151,15 @@ def test_jaccard_chains_and_bad_leaders(spark):
     assert len(set(top)) > 1
 
 
+def test_jaccard_counts_all_links(spark, docs):
+    rows = docs.collect()
+    s = sets(rows)
+    linked = lambda i, j: i != j and s[i] and s[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j])
+    want = Counter((r["doc_id"], len(s[i]), sum(bool(linked(i, j)) for j in range(len(rows)))) for i, r in enumerate(rows))
+    assert Counter(map(tuple, jaccard.jaccard_links(docs).collect())) == want
+    assert jaccard.jaccard_links(none(spark)).count() == 0
+
+
 def test_keep_one(spark, docs):
     kept = [r["doc_id"] for r in jaccard.keep_one(docs).collect()]
     comp = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
