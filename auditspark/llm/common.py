@@ -16,6 +16,8 @@ BROADCAST_ROWS = 100_000
 #: ASCII white space, as a regular expression class, and its complement: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_folders: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,11 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it."""
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
+
+    All of an application lies in one folder, which goes when the driver's Python ends; discard() is for what is large.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/auditspark-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing reads it any more."""
+    for df in frames:
+        _remove(df.sparkSession, df.cut_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:  # else the session is stopped, and the folder is left to whoever owns it
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

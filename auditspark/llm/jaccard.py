@@ -4,34 +4,35 @@ Rows of the matrix are classes of documents with equal shingle sets, columns are
 columns by hash. A block counts how many rows each of its columns has; columns of one row can't be in any overlap and go.
 A row with fewer than 75 % of its entries left can't link with anything and goes as well. What is left is ordered by how
 rare its columns are: two rows of the wanted similarity have a column in common within the first n - ceil(0.75 n) + 1 of
-each. For these columns the product is accumulated, starting with the row that has the fewest unshared entries: every row
-of the column is compared with it, links merge rows into components, and only rows of different components are compared
-further, until no column holds two components that haven't been compared. So a group of near copies costs about as many
-comparisons as it has members, not their square, and no link between different components is lost. Pairs whose sizes
-differ too much are discarded before their overlap is counted.
-
-Shingle hashes have 64 bits; the matrix keeps 32 bits and the number of the block. Null and empty texts have no shingles
+each. In these columns the product is accumulated in two passes. The first takes two rows of each column, the one with the
+fewest unshared entries and one by hash, and counts their overlap with every other row of the column; links merge rows into
+components. The second looks at columns that still hold several components: every row outside the column's largest
+component is compared with all rows of other components. So a group of near copies costs about as many comparisons as it
+has members, and no link between components is lost. Pairs whose sizes, or whose
+places in the order of columns, rule a link out are discarded before their overlap is counted.
+
+Shingle hashes have 64 bits; the matrix keeps 40 bits and the number of the block. Null and empty texts have no shingles
 and link with nothing; a text of fewer words than a shingle is one shingle; rows with equal ids are rows like any other;
-an empty table gives an empty result; more columns are ignored.
+null ids stay null and are never the smallest of a component that has another; very long texts are rows like any other; two
+rows exactly at the limit link; an empty table gives an empty result; more columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, cut
+from .common import bounded, cut, discard
 from .words import chunks, mix, shingles, words
 
 #: Entries of a block of columns, of a bucket of rows, and of a group of texts: what one task holds.
 BLOCK, BUCKET, PACK = 4_000_000, 2_000_000, 3_000_000
-#: Rounds in which rows are compared with one leader of each column only.
-LEADER_ROUNDS = 3
-#: A class with at least one in so many documents is hot: there are at most HOT of them.
-HOT = 1000
+#: Rows of a column of the second pass that one key of its join holds.
+PART = 512
+#: Bits of a column within its block, and bytes that they take when written.
+BITS, WIDTH = 40, 5
 
 
 def _key(x: np.ndarray) -> int:
@@ -55,6 +56,17 @@ def _classes(k: int):
     return classes
 
 
+def _pack(h: np.ndarray) -> bytes:
+    """Columns of BITS bits as WIDTH bytes each."""
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
+    return wide.reshape(-1).view("<u8").astype(np.uint64, copy=False)
+
+
 def _incidence(k: int, blocks: int):
     """Texts -> for each group of texts and block of columns: the classes, their sizes, how many entries, and the entries."""
 
@@ -63,14 +75,14 @@ def _incidence(k: int, blocks: int):
         n = np.array([len(x) for x in held], np.uint32)
         h = np.concatenate(held)
         row = np.repeat(np.arange(len(held)), n)
-        block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+        block = ((h >> np.uint64(BITS)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        h, row, bounds = h[order].astype(np.uint32), row[order], np.searchsorted(block[order], np.arange(blocks + 1))
+        h, row, bounds = h[order] & np.uint64((1 << BITS) - 1), row[order], np.searchsorted(block[order], np.arange(blocks + 1))
         for b in range(blocks):
             part = slice(bounds[b], bounds[b + 1])
             if bounds[b] < bounds[b + 1]:
                 rows, counts = np.unique(row[part], return_counts=True)
-                yield b, c[rows].tobytes(), n[rows].tobytes(), counts.astype(np.uint32).tobytes(), h[part].tobytes()
+                yield b, c[rows].tobytes(), n[rows].tobytes(), counts.astype(np.uint32).tobytes(), _pack(h[part])
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["block", "c", "n", "counts", "h"])
@@ -93,19 +105,23 @@ def _incidence(k: int, blocks: int):
     return run
 
 
-def _join(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _join(table: pa.Table, name: str, kind=None) -> np.ndarray:
+    """Binaries of a column, one after the other, as numbers; without a kind as columns of the matrix."""
+    data = b"".join(table.column(name).to_pylist())
+    return _unpack(data) if kind is None else np.frombuffer(data, kind)
 
 
 def _entries(table: pa.Table):
     """Rows of the incidence -> (classes, their sizes, column and place of the class of each entry, each once, by column)."""
-    c, n, counts, h = _join(table, "c", np.uint64), _join(table, "n", np.uint32), _join(table, "counts", np.uint32), _join(table, "h", np.uint32)
+    c, n, counts, h = _join(table, "c", np.uint64), _join(table, "n", np.uint32), _join(table, "counts", np.uint32), _join(table, "h")
     c, first, rank = np.unique(c, return_index=True, return_inverse=True)
-    keys = (h.astype(np.uint64) << np.uint64(32)) | np.repeat(rank, counts).astype(np.uint64)
+    if len(c) >> (64 - BITS):
+        raise ValueError(f"a block has {len(c)} rows")  # BLOCK entries and the parts of large blocks are far below
+    keys = (h << np.uint64(64 - BITS)) | np.repeat(rank, counts).astype(np.uint64)
     keys.sort()
     if len(keys):
         keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]  # classes that came from several tasks
-    return c, n[first], (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return c, n[first], keys >> np.uint64(64 - BITS), (keys & np.uint64((1 << (64 - BITS)) - 1)).astype(np.int64)
 
 
 def _columns(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +142,7 @@ def _by_row(block: int, c, n, h, row, df, buckets: int) -> pa.Table:
     out = []
     for b in np.unique(bucket):
         mine, entries = bucket == b, of_entry == b
-        out.append((int(b), block, c[rows][mine].tobytes(), n[rows][mine].tobytes(), counts[mine].astype(np.uint32).tobytes(), h[entries].tobytes(), df[entries].tobytes()))
+        out.append((int(b), block, c[rows][mine].tobytes(), n[rows][mine].tobytes(), counts[mine].astype(np.uint32).tobytes(), _pack(h[entries]), df[entries].tobytes()))
     kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
     return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["bucket", "block", "c", "n", "counts", "h", "df"])
 
@@ -147,7 +163,7 @@ def _split(batches):
     for b in batches:
         out = []
         for block, parts, c, n, counts, h in zip(*[b.column(x).to_pylist() for x in ("block", "parts", "c", "n", "counts", "h")]):
-            c, n, counts, h = (np.frombuffer(x, t) for x, t in ((c, np.uint64), (n, np.uint32), (counts, np.uint32), (h, np.uint32)))
+            c, n, counts, h = np.frombuffer(c, np.uint64), np.frombuffer(n, np.uint32), np.frombuffer(counts, np.uint32), np.frombuffer(h, f"V{WIDTH}")
             part = (c >> np.uint64(32)) % np.uint64(parts)
             of_entry = np.repeat(part, counts)
             for p in np.unique(part).tolist():
@@ -159,15 +175,15 @@ def _split(batches):
 def _part_counts(table: pa.Table) -> pa.Table:
     """One part of a block -> its columns and how many rows each has here."""
     h, df = _columns(_entries(table)[2])
-    return pa.table({"block": table.column("block")[:1], "h": pa.array([h.tobytes()], pa.binary()), "df": pa.array([df.astype(np.uint32).tobytes()], pa.binary())})
+    return pa.table({"block": table.column("block")[:1], "h": pa.array([_pack(h)], pa.binary()), "df": pa.array([df.astype(np.uint32).tobytes()], pa.binary())})
 
 
 def _block_counts(table: pa.Table) -> pa.Table:
     """Counts of the parts of a block -> of the whole block, for each part."""
-    h, df = _join(table, "h", np.uint32), _join(table, "df", np.uint32)
+    h, df = _join(table, "h"), _join(table, "df", np.uint32)
     h, place = np.unique(h, return_inverse=True)
     df = np.bincount(place, df, len(h)).clip(0, 2**32 - 1).astype(np.uint32)
-    return pa.table({"block": table.column("block")[:1], "h": pa.array([h.tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
+    return pa.table({"block": table.column("block")[:1], "h": pa.array([_pack(h)], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
 
 
 def _shared_part(buckets: int):
@@ -175,7 +191,7 @@ def _shared_part(buckets: int):
 
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
         c, n, h, row = _entries(table)
-        df = _join(counts, "df", np.uint32)[np.searchsorted(_join(counts, "h", np.uint32), h)]
+        df = _join(counts, "df", np.uint32)[np.searchsorted(_join(counts, "h"), h)]
         return _by_row(table.column("block")[0].as_py(), c, n, h, row, df, buckets)
 
     return run
@@ -188,7 +204,7 @@ def _shared_entries(product: DataFrame, buckets: int, most: int) -> DataFrame:
     parts of about most by row; parts count their columns, which are few beside the entries, and get the block's counts.
     """
     kind = "bucket int, block int, c binary, n binary, counts binary, h binary, df binary"
-    large = product.groupBy("block").agg(F.sum(F.octet_length("h") / 4).alias("entries")).filter(F.col("entries") > most)
+    large = product.groupBy("block").agg(F.sum(F.octet_length("h") / WIDTH).alias("entries")).filter(F.col("entries") > most)
     large = cut(large.select("block", F.ceil(F.col("entries") / most).cast("int").alias("parts")), "jaccard-large")
     if not (n := large.count()):
         return product.groupBy("block").applyInArrow(_shared(buckets), kind)
@@ -202,16 +218,6 @@ def _shared_entries(product: DataFrame, buckets: int, most: int) -> DataFrame:
     return small.unionByName(split.applyInArrow(_shared_part(buckets), kind))
 
 
-def _with_lead(posts: DataFrame, lead: DataFrame) -> DataFrame:
-    """posts with the leader of their column: leaders of hot columns, at most HOT, come by broadcast, others by a shuffle."""
-    n = posts.count()
-    lead = cut(lead, "jaccard-leads")
-    hot, cold = lead.filter(F.col("rows") * HOT >= n).drop("rows"), lead.filter(F.col("rows") * HOT < n).drop("rows")
-    first = posts.join(F.broadcast(hot), "h", "left")
-    rest = first.filter("a is null").select(*posts.columns).join(cold, "h")
-    return first.filter("a is not null").unionByName(rest)
-
-
 def _survivors(percent: int):
     """Entries of some rows -> rows that can have a link: shared columns, and those to look for partners by, rarest first."""
 
@@ -219,7 +225,7 @@ def _survivors(percent: int):
         counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
         block = np.repeat(table.column("block").to_numpy().astype(np.uint64), [int(x.sum()) for x in counts])
         c, n, counts = _join(table, "c", np.uint64), _join(table, "n", np.uint32), np.concatenate(counts)
-        h, df = _join(table, "h", np.uint32).astype(np.uint64) | (block << np.uint64(32)), _join(table, "df", np.uint32)
+        h, df = _join(table, "h") | (block << np.uint64(BITS)), _join(table, "df", np.uint32)
         c, first, rank = np.unique(c, return_index=True, return_inverse=True)
         n = n[first].astype(np.int64)
         row = np.repeat(rank, counts)
@@ -242,42 +248,48 @@ def _survivors(percent: int):
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Links (a, b) -> (c, label), one row per end: label is the smallest value reachable.
 
-    Each round takes the smallest label among neighbours, then the label's label, so that paths halve.
+    In each round a value takes the smallest label among its neighbours and the value that its label names, so that paths
+    halve.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    n = labels.count()
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("c")).groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, F.col("c") == F.col("a")).select("c", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        better = cut(better, "labels")
-        jump = better.select(F.col("c").alias("at"), F.col("label").alias("next"))
-        new = cut(better.join(jump, F.col("label") == F.col("at"), "left").select("c", F.least("label", "next").alias("label"), "old"), "labels")
-        labels = new.select("c", "label")
+        own = labels.select(F.col("c").alias("a"), F.col("label").alias("b"))
+        of = bounded(labels.select(F.col("c").alias("b"), F.col("label").alias("near")), n)
+        near = both.unionByName(own).join(of, "b").select(F.col("a").alias("c"), "near", F.lit(None).cast("long").alias("old"))
+        every = near.unionByName(labels.select("c", F.col("label").alias("near"), F.col("label").alias("old")))
+        new = cut(every.groupBy("c").agg(F.min("near").alias("label"), F.max("old").alias("old")), "labels")
+        discard(labels)
+        labels = new
         if not new.filter("label != old").limit(1).count():
-            return labels
+            discard(both)
+            return new.select("c", "label")
     raise RuntimeError("components: labels still change")
 
 
-def _links(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose overlap is large enough, counted over all shared columns."""
+def _overlaps(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with n_a, n_b and overlap, counted over all shared columns."""
     left = rows.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("x"))
     right = rows.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("overlap", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.lit(100) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("overlap"))
+
+
+def _linked(percent: int):
+    return F.lit(100) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))
 
 
 def _rows_and_posts(docs: DataFrame, entries: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes that can have a link, and the columns in which they meet."""
     blocks, buckets = max(8, -(-entries // BLOCK)), max(8, -(-entries // BUCKET))
-    product = docs.select("text").mapInArrow(_incidence(k, blocks), "block int, c binary, n binary, counts binary, h binary")
-    product = _shared_entries(cut(product, "jaccard-product"), buckets, 3 * BLOCK // 2)
-    rows = product.groupBy("bucket").applyInArrow(_survivors(percent), "c long, n long, m long, shared array<long>, first array<long>")
+    product = cut(docs.select("text").mapInArrow(_incidence(k, blocks), "block int, c binary, n binary, counts binary, h binary"), "jaccard-product")
+    shared = _shared_entries(product, buckets, 3 * BLOCK // 2)
+    rows = shared.groupBy("bucket").applyInArrow(_survivors(percent), "c long, n long, m long, shared array<long>, first array<long>")
     rows = cut(rows, "jaccard-rows")
-    # In first, rows of the same column meet. The leader has the fewest unshared entries: most likely the source of copies.
+    discard(product)
     # A column at place i of a row, being the first that two rows share, leaves an overlap of at most left = m - i.
     posts = rows.select(F.posexplode("first").alias("i", "h"), "c", "n", "m")
-    posts = cut(posts.select("h", "c", "n", (F.col("m") - F.col("i")).alias("left"), ((F.col("n") - F.col("m")) / F.col("n")).alias("own")), "jaccard-columns")
-    return rows, posts
+    return rows, cut(posts.select("h", "c", "n", (F.col("m") - F.col("i")).alias("left"), ((F.col("n") - F.col("m")) / F.col("n")).alias("own")), "jaccard-columns")
 
 
 def _sizes(percent: int):
@@ -289,64 +301,82 @@ def class_links(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) ->
     rows, posts = _rows_and_posts(docs, entries, k, percent)
     other = posts.select("h", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
     pairs = posts.join(other, "h").filter((F.col("a") < F.col("c")) & _sizes(percent)).select("a", F.col("c").alias("b")).distinct()
-    return cut(_links(rows, cut(pairs, "jaccard-pairs"), percent), "jaccard-links")
+    return cut(_overlaps(rows, cut(pairs, "jaccard-pairs")).filter(_linked(percent)).select("a", "b"), "jaccard-links")
+
+
+def _with_leaders(posts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every row of a column with the column's leaders: the row with the fewest unshared entries, and one by hash.
+
+    Leaders are found by partial aggregates; a hot column is spread by Spark's handling of skewed joins.
+    """
+    lead = lambda *by: F.min(F.struct(*by, "c", "n", "left"))
+    leads = posts.groupBy("h").agg(lead("own").alias("p"), lead(F.xxhash64("c", F.lit("leader"))).alias("q"), F.count("*").alias("rows")).filter("rows > 1")
+    one = lambda x: F.struct(F.col(f"{x}.c").alias("a"), F.col(f"{x}.n").alias("n_a"), F.col(f"{x}.left").alias("left_a"))
+    pairs = posts.join(leads, "h").select("c", "n", "left", F.explode(F.array(one("p"), one("q"))).alias("l")).select("c", "n", "left", "l.*")
+    return pairs.filter((F.col("a") != F.col("c")) & _sizes(percent)).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+
+
+def _across(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """(a, b): rows that share a column but no component, the smaller side of each column against all; None if there are none.
+
+    The largest component of a column isn't compared within itself. Columns of many rows are dealt into parts of about PART
+    rows, each of which meets a copy of the rows of the other components.
+    """
+    posts = posts.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    held = posts.groupBy("h", "label").agg(F.count("*").alias("k"))
+    open_ = held.groupBy("h").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("rows")).filter(F.col("top.k") < F.col("rows"))
+    open_ = cut(open_.select("h", F.col("top.label").alias("top"), F.ceil(F.col("rows") / PART).cast("int").alias("parts")), "jaccard-open")
+    if not (n := open_.count()):
+        return None
+    posts = cut(posts.join(bounded(open_, n), "h"), "jaccard-open-columns")
+    rest = posts.filter("label != top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = posts.select("h", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("label").alias("label_a"))
+    pairs = rest.join(other, ["h", "part"]).filter((F.col("label") != F.col("label_a")) & ((F.col("label_a") == F.col("top")) | (F.col("c") < F.col("a"))) & _sizes(percent))
+    return pairs.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame, entries: int, k: int = 5, percent: int = 75) -> DataFrame:
-    """(c, label) of the classes that have a link to another class."""
+    """(c, label) of the classes that have a link to another class: label is the smallest class of the component."""
     rows, posts = _rows_and_posts(docs, entries, k, percent)
-    sizes = _sizes(percent)
-    links, tried, labels = None, None, None
-    for k in range(LEADER_ROUNDS + 1):
-        if labels is not None:
-            posts = posts.drop("label").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-            open_ = posts.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h")
-            posts = cut(posts.join(open_, "h", "left_semi"), "jaccard-columns")
-        else:
-            posts = posts.withColumn("label", F.col("c"))
-        if k < LEADER_ROUNDS:
-            # in later rounds the leader is another: by hash, so that a bad choice isn't made again
-            by = F.struct("own", "c") if k == 0 else F.struct(F.xxhash64("c", F.lit(k)).alias("own"), "c")
-            lead = posts.groupBy("h").agg(F.min(F.struct(by.alias("by"), "n", "left", "label")).alias("lead"), F.count("*").alias("rows"))
-            lead = lead.select("h", F.col("lead.by.c").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.left").alias("left_a"), F.col("lead.label").alias("label_a"), "rows")
-            pairs = _with_lead(posts, lead.filter("rows > 1"))
-        else:
-            other = posts.select("h", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("label").alias("label_a"))
-            pairs = posts.join(other, "h").filter("a < c")
-        pairs = pairs.filter((F.col("label") != F.col("label_a")) & sizes)
-        pairs = pairs.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = cut(_with_leaders(posts, percent), "jaccard-pairs")
+    links = cut(_overlaps(rows, pairs).filter(_linked(percent)).select("a", "b"), "jaccard-links")
+    discard(pairs)
+    labels = components(links)
+    pairs = _across(posts, labels, percent)
+    if pairs is not None:
         pairs = cut(pairs, "jaccard-pairs")
-        if not (n := pairs.count()) and k < LEADER_ROUNDS:
-            continue
-        if n:
-            found = cut(_links(rows, pairs, percent), "jaccard-links")
-            links = found if links is None else links.unionByName(found)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            if found.limit(1).count():
-                labels = components(links)
-    return labels if labels is not None else rows.select("c", F.col("c").alias("label")).limit(0)
+        more = cut(_overlaps(rows, pairs).filter(_linked(percent)).select("a", "b"), "jaccard-links")
+        discard(pairs)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
+    discard(rows, posts)
+    return labels
+
+
+def _first():
+    """What orders the rows of a component: the smallest id, null last, then the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> (doc_id, t, n, c of each row; c, first, lead, of the classes that have several rows or a link).
+
+    first and lead are the first rows of the class and of its component.
+    """
+    each = cut(docs.select("doc_id", F.xxhash64("text").alias("t"), _classes(k)("text").alias("s")).select("doc_id", "t", "s.n", "s.c"), "jaccard-docs")
+    classes = cut(each.filter("n > 0").groupBy("c").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
+    labels = link_classes(docs, classes.agg(F.sum("n")).first()[0] or 0, k, percent)
+    known = classes.join(labels, "c", "left").filter("copies > 1 or label is not null")
+    least = known.filter("label is not null").groupBy("label").agg(F.min("first").alias("lead"))
+    return each, cut(known.join(least, "label", "left").select("c", "first", F.coalesce("lead", "first").alias("lead")), "jaccard-known")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, *, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest with an equal set)."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    each = cut(docs.select("doc_id", _classes(k)("text").alias("s")).select("doc_id", F.col("s.n").alias("n"), F.col("s.c").alias("c")), "jaccard-docs")
-    classes = cut(each.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
-    total = classes.agg(F.sum("n").alias("entries"), F.sum("copies").alias("docs")).first()
-    labels = link_classes(docs, total["entries"] or 0, k, percent)
-    known = classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")).filter("copies > 1 or label != c or class_id is null")
-    linked = labels.select("label").distinct().join(classes, F.col("label") == F.col("c")).select("c", "class_id", "copies", "label")
-    known = known.select("c", "class_id", "copies", "label").unionByName(linked).distinct()
-    least = known.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    known = cut(known.join(least, "label"), "jaccard-known").select("c", "class_id", "component_id", "copies")
-    hot = known.filter(F.col("copies") * HOT >= (total["docs"] or 0)).drop("copies")
-    cold = known.filter(F.col("copies") * HOT < (total["docs"] or 0)).drop("copies")
-    first = each.join(F.broadcast(hot), "c", "left").withColumn("hot", F.col("component_id").isNotNull())
-    rest = first.filter("not hot").select("doc_id", "n", "c").join(bounded(cold, known.count()), "c", "left")
-    out = first.filter("hot").select("doc_id", "n", "component_id", "class_id").unionByName(rest.select("doc_id", "n", "component_id", "class_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    each, known = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+    out = each.join(bounded(known, known.count()), "c", "left")  # a hot class is spread by Spark's handling of skewed joins
+    smallest = lambda x: F.coalesce(F.col(f"{x}.doc_id"), F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), smallest("lead").alias("component_id"), smallest("first").alias("class_id"))
 
 
 def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 75, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -367,12 +397,19 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 75, *, id_col="doc
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """docs without the documents that link, directly or not, to one of a smaller doc_id; rows of equal ids are kept once."""
-    groups = jaccard_components(docs, k, percent)
-    drop = cut(groups.filter("component_id != doc_id").select("doc_id").distinct(), "jaccard-drop")
-    again = cut(groups.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-again")
-    kept = docs.join(bounded(drop, drop.count()), "doc_id", "left_anti")
-    if not again.limit(1).count():
+    """docs with one row of each component: the smallest doc_id, null last, and of rows that share it the one by text hash.
+
+    Rows are told apart by id and text: those without shingles all stay, rows of one id with unrelated texts each belong to
+    their own component, and of rows equal in both, one stays if any does.
+    """
+    each, known = _grouped(docs.select("doc_id", "text"), k, percent)
+    named = each.join(bounded(known, known.count()), "c").select(F.col("doc_id").alias("_drop_id"), F.col("t").alias("_drop_t"), (_first() == F.col("lead")).alias("stays"))
+    counted = cut(named.groupBy("_drop_id", "_drop_t", "stays").agg(F.count("*").alias("k")).filter("not stays or k > 1"), "jaccard-drop")
+    same = F.col("_drop_id").eqNullSafe(F.col("doc_id")) & (F.col("_drop_t") == F.xxhash64("text"))
+    drop = counted.filter("not stays").select("_drop_id", "_drop_t")
+    kept = docs.join(bounded(drop, drop.count()), same, "left_anti")
+    again = counted.filter("stays").select("_drop_id", "_drop_t")
+    if not (n := again.count()):
         return kept
-    once = bounded(again, again.count())
-    return kept.join(once, "doc_id", "left_anti").unionByName(kept.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    repeated = kept.join(bounded(again, n), same, "left_semi").withColumn("_drop_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_drop_t"]).drop("_drop_t")
+    return kept.join(bounded(again, n), same, "left_anti").unionByName(repeated)
