@@ -6,16 +6,23 @@ each term and, for each pair of terms, the product of their factors, so a pair c
 insult beside the mention of a group, or an insult that is quoted. It learns only terms that the labelled sample shows to
 matter (by a chi-square test), which keeps chance words of long texts out.
 
-The model is fitted on a bounded sample: the SAMPLE labelled rows with the smallest hashes of their id. Nulls and odd
-input: a null or empty text has no terms and gets the score of the bias; labels that are null are not learned from, a
-document with several labels counts as toxic if one says so; without labels of both kinds every score is the share of toxic
-labels, or 0; an empty table gives an empty result; more columns are ignored.
+The model is fitted on a bounded sample, in one task: the SAMPLE labelled documents with the smallest hashes of their id.
+Its terms are at most TERMS that pass the test alone, or, up to as many again, within pairs with one of those: a group's
+name may be as common in clean texts as in toxic ones and still change what an insult beside it means. The sample is put in
+order by id and text before it is learned from, so partitions and reruns don't change a score.
+
+Nulls and odd input: a null or empty text has no terms and gets the score of the bias; labels that are null are not learned
+from, a document with several labels counts as toxic if one says so; of several texts of one id the smallest by hash, then
+by itself, is learned from and each is scored; null ids are scored, not learned from; beginnings of words are cut by bytes;
+very long texts are scored whole; a score of exactly 0.5 is toxic; without labels of both kinds every score is the share of
+toxic labels, or 0; an empty table gives an empty result; more columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +32,8 @@ from .words import LETTERS, chunks, words
 
 BITS, FACTORS, SAMPLE, TERMS, CHI = 20, 4, 12_000, 2048, 12.0
 PREFIXES = (5, 7)
+#: Terms beside which others are tested, and what a term must reach there: a stricter limit, for more tests are made.
+PAIRED, PAIR_CHI = 64, 30.0
 #: Documents of a step of descent, and steps at least.
 BATCH, STEPS = 256, 600
 
@@ -52,6 +61,23 @@ def _sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return total[begins[1:]] - total[begins[:-1]]
 
 
+def _partners(places, begins, labels, best, seen) -> np.ndarray:
+    """Terms that pass the test only among documents that have one of the terms best: of each the largest value counts."""
+    doc = np.repeat(np.arange(len(labels)), np.diff(begins))
+    alone, found = np.isin(places, best), np.zeros(1 << BITS)
+    for term in best[:PAIRED].tolist():
+        mine = np.zeros(len(labels), bool)
+        mine[doc[places == term]] = True
+        n, share = mine.sum(), labels[mine].mean()
+        at = mine[doc] & ~alone
+        count = np.bincount(places[at], minlength=1 << BITS)
+        bad = np.bincount(places[at], labels[doc[at]], minlength=1 << BITS)
+        spread = np.maximum(count * share * (1 - share) * (1 - count / n), 1e-9)
+        found = np.maximum(found, np.where(count >= 8, (np.abs(bad - count * share) - 0.5).clip(0) ** 2 / spread, 0))
+    new = np.argsort(-found, kind="stable")[:TERMS]
+    return new[found[new] > PAIR_CHI]
+
+
 class Machine:
     """place: of each hashed term, its row in w and v, or -1."""
 
@@ -69,7 +95,8 @@ class Machine:
         spread = np.maximum(seen * share * (1 - share) * (1 - seen / n), 1e-9)
         chi = np.where(seen >= 3, (np.abs(bad - seen * share) - 0.5).clip(0) ** 2 / spread, 0)
         best = np.argsort(-chi, kind="stable")[:TERMS]
-        best = np.sort(best[chi[best] > CHI])
+        best = best[chi[best] > CHI]
+        best = np.sort(np.concatenate((best, _partners(places, begins, labels, best, seen))))
         self.place[best] = np.arange(len(best))
         rng = np.random.default_rng(seed)
         self.w, self.v = np.zeros(len(best)), rng.normal(0, 0.05, (len(best), FACTORS))
@@ -108,23 +135,20 @@ class Machine:
         return 1 / (1 + np.exp(-self._raw(*self._rows(*terms(texts))).clip(-30, 30)))
 
 
-def _term_lists(batches):
-    for b in batches:
-        places, begins = terms(b.column(1))
-        lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(places, pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), lists], ["toxic", "terms"])
+def _train(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    machine = Machine(*terms(rows.column("text")), (rows.column("toxic").to_numpy() > 0).astype(float))
+    return pa.table({"machine": pa.array([pickle.dumps(machine)], pa.binary())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """docs (doc_id, text) and labels (doc_id, toxic) to learn from; at most sample labelled documents are used."""
-    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")  # sample rows of two numbers
-    got = picked.mapInArrow(_term_lists, "toxic int, terms array<int>").toArrow()
-    lists = got.column("terms").combine_chunks()
-    places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    begins = np.concatenate(([0], np.cumsum(pd.Series(lists.value_lengths()).to_numpy(np.int64)))).astype(np.int64)
-    return Machine(places, begins, (got.column("toxic").to_numpy() > 0).astype(float))
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    marks = marks.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
+    picked = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # sample rows of three numbers
+    picked = picked.groupBy("doc_id").agg(F.first("h").alias("h"), F.first("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    got = picked.groupBy().applyInArrow(_train, "machine binary").collect()  # sample rows in one task, one small model
+    return pickle.loads(got[0][0]) if got else Machine(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0))
 
 
 def scorer(docs: DataFrame, machine: Machine):
