@@ -2,14 +2,15 @@
 
 For each language a suffix automaton of labelled text accepts every substring of it. A text is parsed greedily: the longest
 match from the current place is one phrase, and the parse starts again behind it. The language that needs the fewest
-phrases, weighed by the bits that name one, wins. Parses run over windows of WINDOW symbols, side by side in numpy, with one
-table for all languages; windows cover the whole text, and a phrase ends where its window does. The table has the letters
-that are most frequent; transitions by all others, few beside it whatever the scripts, are a sorted list.
+phrases, weighed by the bits that name one, wins. Texts are parsed whole and side by side in numpy, with one table for all
+languages; the few that are longer than all others of their batch end in a plain loop. The table has the letters that are
+most frequent; transitions by all others, few beside it whatever the scripts, are a sorted list.
 
 The model is fitted on a bounded sample: of each language the DOCS documents with the smallest hashes of their id, CHARS code
 points of each. Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; letters that the sample
-doesn't have match nothing, not even each other; without any labelled row every text is ``und``; a null id is held out if the checksum of the
-empty text says so; an empty table gives an empty result; more columns are ignored.
+doesn't have match nothing, not even each other; of languages that need equally much the first by name wins; of texts of one
+id the smallest is learned from; without any labelled row every text is ``und``; a null id is held out if the checksum of the
+empty text says so; an empty table gives an empty result; more columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOCS, CHARS = 24, 1500
+#: Symbols of each text that are laid side by side at a time.
 WINDOW = 256
 #: Symbols of the table; those from here on are in the list of rare ones.
 SYMBOLS = 64
 END = np.uint32(1 << 31)
 UNKNOWN = "und"
-#: Letters parsed at a time in one task.
-STEP = 1 << 20
+#: Letters parsed at a time in one task, and the number of texts from which on numpy steps cost less than a loop.
+STEP, MANY = 1 << 22, 48
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -112,7 +114,7 @@ class Model:
         return self._lookup
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_lookup"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_lookup", "_edge_of")}
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters in lower case; whatever lies between words is one symbol."""
@@ -136,11 +138,8 @@ class Model:
         goes, to = self._edges(places, symbols)
         return np.where(goes, to, np.where(places == root, again, again | END))
 
-    def phrases(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """windows (longest first) as columns of symbols -> phrases of each, by language."""
-        place = np.repeat(np.array(self.roots, np.int64)[:, None], windows.shape[1], 1)
-        root = place.copy()
-        ends = np.zeros(place.shape, np.int32)
+    def _advance(self, windows: np.ndarray, lengths: np.ndarray, place: np.ndarray, ends: np.ndarray) -> None:
+        """Go on from place, one column a text (longest first), through windows; ends counts phrases that ended."""
         live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(windows.shape[0]), "right")
         for i in range(int(lengths[0]) if len(lengths) else 0):
             k = live[i]
@@ -151,9 +150,41 @@ class Model:
                 v[:, rare] = self._rare(place[:, rare], symbols[rare])
             else:
                 v = self.table.take(place[:, :k] + symbols)
-            ends[:, :k] += (v >> np.uint32(31)).view(np.int32)
+            ends[:, :k] += v >> np.uint32(31)
             place[:, :k] = v & ~END
-        return ends + (place != root)
+
+    def _start(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        place = np.repeat(np.array(self.roots, np.int64)[:, None], n, 1)
+        return place, np.zeros(place.shape, np.int64)
+
+    def phrases(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """windows (longest first) as columns of symbols -> phrases of each, by language."""
+        place, ends = self._start(windows.shape[1])
+        self._advance(windows, lengths, place, ends)
+        return ends + (place != self._start(1)[0])
+
+    def _one(self, language: int, place: int, symbol: int) -> int:
+        """_rare for one place."""
+        if not hasattr(self, "_edge_of"):
+            self._edge_of = dict(zip(self.keys.tolist(), self.to.tolist()))
+        root = self.roots[language]
+        v = self._edge_of.get(place // SYMBOLS * self.size + symbol)
+        if v is None:
+            v = self._edge_of.get(root // SYMBOLS * self.size + symbol, self.alone[language])
+            v += 0 if place == root else int(END)
+        return v
+
+    def _rest(self, symbols: list[int], places: np.ndarray, ends: np.ndarray) -> None:
+        """As _advance, for what is left of one text."""
+        table, end = memoryview(self.table), int(END)
+        for j, place in enumerate(places.tolist()):
+            count = 0
+            for s in symbols:
+                v = table[place + s] if s < SYMBOLS else self._one(j, place, s)
+                if v >= end:
+                    count, v = count + 1, v - end
+                place = v
+            places[j], ends[j] = place, ends[j] + count
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -173,15 +204,27 @@ class Model:
             self._parse(held, out)
         return out
 
+    def count(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (symbols, longest first), by language."""
+        lengths = np.array([len(s) for s in texts])
+        flat = np.concatenate([*texts, np.zeros(WINDOW, np.uint32)])
+        begins = np.cumsum(lengths) - lengths
+        place, ends = self._start(len(texts))
+        at, k = 0, len(texts)
+        while k > MANY:
+            block = flat[begins[:k, None] + np.arange(at, at + WINDOW)]  # beyond a text's end its neighbour's, not read
+            now_p, now_e = place[:, :k].copy(), ends[:, :k].copy()
+            self._advance(np.ascontiguousarray(block.T), np.minimum(lengths[:k] - at, WINDOW), now_p, now_e)
+            place[:, :k], ends[:, :k] = now_p, now_e
+            at += WINDOW
+            k = int((lengths > at).sum())
+        for i in range(k):
+            self._rest(texts[i][at:].tolist(), place[:, i], ends[:, i])
+        return ends + (place != self._start(1)[0])
+
     def _parse(self, held, out) -> None:
-        counts = [-(-len(s) // WINDOW) for _, s in held]
-        lengths = np.concatenate([np.append(np.full(c - 1, WINDOW), len(s) - WINDOW * (c - 1)) for c, (_, s) in zip(counts, held)])
-        order = np.argsort(-lengths, kind="stable")
-        block = np.zeros((len(lengths), WINDOW), np.uint32)
-        block[np.arange(WINDOW) < lengths[:, None]] = np.concatenate([s for _, s in held])
-        ends = np.empty((len(self.languages), len(lengths)), np.int64)
-        ends[:, order] = self.phrases(np.ascontiguousarray(block[order].T), lengths[order])
-        need = np.add.reduceat(ends, np.concatenate(([0], np.cumsum(counts)[:-1])), axis=1) * np.array(self.bits)[:, None]
+        held = sorted(held, key=lambda x: -len(x[1]))
+        need = self.count([s for _, s in held]) * np.array(self.bits)[:, None]
         for j, (i, _) in enumerate(held):
             best = int(np.argmin(need[:, j]))
             rest = np.delete(need[:, j], best).min() if len(self.languages) > 1 else 2 * need[best, j]
@@ -190,11 +233,11 @@ class Model:
 
 def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_each: int = DOCS, chars: int = CHARS) -> Model:
     """docs: labelled rows. The sample holds at most docs_each * chars code points a language."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    ranked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("h", F.xxhash64("id"))
-    ids = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= docs_each).select("id", "lang", "k").distinct()
-    picked = rows.join(F.broadcast(ids.withColumnRenamed("lang", "l")), (F.col(id_col).eqNullSafe(F.col("id"))) & (F.col(lang_col) == F.col("l")))
-    picked = picked.groupBy("l", "k").agg(F.min(F.substring(text_col, 1, chars)).alias("t")).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter(F.col("l").isNotNull() & (F.length("t") > 0))
+    ranked = rows.select("id", "l").withColumn("h", F.xxhash64("id"))
+    ids = ranked.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))).filter(F.col("k") <= docs_each).select(F.col("id").alias("of"), F.col("l").alias("in"), "k").distinct()
+    picked = rows.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("of")) & (F.col("l") == F.col("in")))
+    picked = picked.groupBy("l", "k").agg(F.min(F.substring("t", 1, chars)).alias("t")).collect()
     texts: dict[str, list] = {}
     for r in sorted(picked, key=lambda r: (r["l"], r["k"])):
         texts.setdefault(r["l"], []).append(r["t"])

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 60-bit hash of its id. A source's mix is: each document ``full`` times, and once more if its
+Every document has a fixed 60-bit hash of its id and text. A source's mix is: each document ``full`` times, and once more if its
 hash is at most the source's threshold. The threshold is found from sums of sizes by hash bucket: the bucket in which the
 budget ends is split again, and only the rows of the last such bucket are looked at one hash at a time. Nothing is sorted
 as a whole, and a larger budget always keeps what a smaller one took.
 
-Nulls and odd input: a null text has size 0; a null source is a source of its own, last in order; rows with equal ids
-share a hash and are taken together; null ids share one hash; an empty table gives an empty result; more columns are
-ignored.
+Nulls and odd input: a null text has size 0; a null source is a source of its own, last in order; rows with equal ids and
+texts share a hash and are taken together, others of one id, or of none, each have their own; a very long text counts like
+any other, and the mix may miss its target by the last document taken; an empty table gives an empty result; more columns,
+whatever their names, are ignored, and kept by take_mix.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from .common import WORD, bounded, cut
 BITS, LEVEL = 60, 10
 
 
-def _hash(col):
+def _hash(id_col: str, text_col: str) -> Column:
     """60 bits of md5, the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(col.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
+    of = F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(text_col), F.lit("null")))
+    return F.conv(F.substring(F.md5(of), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -53,8 +55,8 @@ def _narrow(sums: DataFrame, part) -> DataFrame:
 
 def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, *, id_col="doc_id", text_col="text", source_col="source") -> tuple[DataFrame, DataFrame]:
     """(rows of doc_id, source, size, h; the plan by source: source_size, target, full, threshold)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = cut(rows.withColumn("h", _hash(F.col("doc_id"))), "mix")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _hash(id_col, text_col).alias("h"))
+    rows = cut(rows, "mix")
     shift = BITS - LEVEL
     hist = cut(rows.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s")), "mix-hist")
     plan = source_targets(hist.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, most)
@@ -96,5 +98,5 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
 def take_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: docs, each as often as it is taken."""
     _, plan = mix_plan(docs, weights, share, most)
-    out = with_source(docs.withColumn("h", _hash(F.col("doc_id"))), plan).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies(), F.lit(1)))))
-    return out.filter(F.col("copy") <= copies()).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "source", _hash("doc_id", "text").alias("h"))  # a struct, for names may clash
+    return with_source(rows, plan).filter(copies() > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies()))).select("row.*")

@@ -15,7 +15,7 @@ FROM s JOIN k ON s.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL
 
 OP9 = r"""
 WITH r AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS h FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS ord FROM z),
 c AS (SELECT *, [3.0, 1.0, 2.0][1 + (ord - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap,

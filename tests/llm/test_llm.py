@@ -168,6 +168,43 @@ def test_keep_one(spark, docs):
     assert jaccard.keep_one(none(spark)).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    """Of rows of one id with unrelated texts each belongs to its own component; a null id is last of its component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t, i: t.replace(f"{t[0]}{i} ", "z ")
+    rows = [(1, a), (7, a), (7, b), (9, near(b, 20)), (9, c), (None, near(c, 30)), (None, near(c, 30)), (None, "own text"), (None, None), (None, None), (3, ""), (7, a), (20, "same"), (20, "same"), (20, "Same")]
+    frame = spark.createDataFrame([(i, t, f"{n}", "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, t string, _drop_t string").withColumnRenamed("_drop_t", "c")
+    got = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(frame).collect()]
+    assert Counter(got) == Counter([(1, a), (7, b), (9, c), (None, "own text"), (None, None), (None, None), (3, "")] + [x for x in got if x[0] == 20])
+    assert sum(x[0] == 20 for x in got) == 1
+    assert jaccard.keep_one(frame).columns == frame.columns
+    least = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.jaccard_components(frame).collect() if r["doc_id"] is None}
+    assert {v for (_, n), v in least.items() if n > 1} == {9}
+
+
+def test_jaccard_of_a_hot_column(spark):
+    """A passage in half of all texts, variants of one text by the hundred, and strays that link to one variant only."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + [f"{i}x{j}" for j in range(rng.randint(0, 14))]) for i in range(150)]
+    base = [f"b{i}" for i in range(80)]
+    for i in range(150):
+        w = list(base)
+        at = rng.randrange(70)
+        w[at : at + rng.randint(1, 8)] = [f"v{i}_{j}" for j in range(rng.randint(1, 8))]
+        texts.append(" ".join(w))
+        if i % 10 == 0:
+            w[(at + 20) % 70 : (at + 26) % 70] = [f"s{i}"]
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(texts)]
+    s = sets(rows)
+    top = groups(s, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    frame = spark.createDataFrame(rows_of(*[(i, t, "", "") for i, t in enumerate(texts)]), DOC)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame).collect()}
+    assert got == dict(enumerate(top)) and len(set(top)) > 3
+
+
 # -- 1: sharding ----------------------------------------------------------------------------------------------------------
 
 
@@ -250,6 +287,22 @@ def test_mixing(spark, docs):
     assert Counter(r["doc_id"] for r in mix.collect()) == Counter({i: n for i, n in sum((Counter({r["doc_id"]: r["copies"]}) for r in got), Counter()).items() if n})
 
 
+def test_mixing_of_clashing_names_and_ids(spark):
+    """Rows of one id, or of none, have hashes of their own; the mix returns the columns of its rows as they are."""
+    names = ["h", "copy", "copies", "target", "threshold", "full", "source_size", "size", "of", "rest", "row", "prefix", "b", "s"]
+    rng = random.Random(3)
+    rows = [(None if i % 3 else 7, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 20))), rng.choice("ab"), *[f"{n}{i}" for n in names]) for i in range(400)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    mix = mixing.take_mix(frame)
+    assert mix.columns == frame.columns
+    taken = Counter(map(tuple, mix.collect()))
+    assert set(taken) <= set(rows) and max(taken.values()) <= 2
+    plan = {(r["source"], r["target"]) for r in mixing.mix_sources(frame).collect()}
+    for source, target in plan:
+        assert abs(sum(k * len(r[1].split()) for r, k in taken.items() if r[2] == source) - target) <= 20
+    assert Counter(map(tuple, mixing.take_mix(frame.repartition(7)).collect())) == taken
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix_sources(none(spark)).count() == 0
     empty = spark.createDataFrame(rows_of((1, None, "", "a"), (2, "", "", "b")), DOC)
@@ -492,6 +545,36 @@ def test_many_letters_stay_apart():
     assert before.tolist() == [20] * 3
 
 
+@pytest.mark.parametrize("n", [1, 130])
+def test_whole_texts_are_parsed(n):
+    """Phrases go on over all borders, side by side and in the loop, with rare letters as with frequent ones."""
+    rng = random.Random(n)
+    some = "abcdefgh ijklmnop" + "".join(chr(0x4E00 + i) for i in range(90))
+    train = {"x": "".join(rng.choice(some) for _ in range(900)), "y": "".join(rng.choice(some[:40]) for _ in range(900))}
+    model = langid.Model(train)
+    assert len(model.letters) > langid.SYMBOLS
+    texts = ["".join(rng.choice([rng.choice(some), train["x"][(i := rng.randrange(800)) : i + 30], train["y"][i : i + 12]]) for _ in range(rng.randint(1, 100))).strip() or "a" for _ in range(n)]
+    texts.append("".join(rng.choice([train["x"], train["y"]])[(i := rng.randrange(800)) : i + 40] for _ in range(60)).strip())
+    texts.sort(key=lambda t: -len(model.symbols(t)))
+    assert len(model.symbols(texts[0])) > 4 * langid.WINDOW
+    got = model.count([model.symbols(t) for t in texts])
+    norm = lambda t: re.sub(" +", " ", "".join(x if x.isalpha() else " " for x in t))
+    for i, t in enumerate(texts):
+        assert got[:, i].tolist() == [longest_parse(norm(t), norm(train[name])) for name in model.languages]
+
+
+def test_scripts():
+    """Letters of many scripts, more than a table of frequent ones holds."""
+    rng = random.Random(12)
+    first = {"latin": 0x61, "cyrillic": 0x430, "greek": 0x3B1, "devanagari": 0x915, "thai": 0xE01, "han": 0x4E00, "hangul": 0xAC00, "ethiopic": 0x1210}
+    many = {"han": 800, "hangul": 400, "ethiopic": 100}
+    word = lambda name: "".join(chr(first[name] + rng.randrange(many.get(name, 20))) for _ in range(3))
+    words = {name: [word(name) for _ in range(200)] for name in first}
+    model = langid.Model({name: " ".join(rng.choice(w) for _ in range(900)) for name, w in words.items()})
+    texts = [(name, " ".join(rng.choice(w) for _ in range(30))) for name, w in words.items() for _ in range(20)]
+    assert [x for x, _ in model.predict([t for _, t in texts])] == [name for name, _ in texts]
+
+
 def test_language(spark):
     rng = random.Random(7)
     vocab = {"en": ["the", "thing", "with", "ing", "ship", "world"], "de": ["der", "schön", "über", "licht", "und", "zeit"], "fr": ["les", "être", "çaux", "mou", "une", "été"]}
