@@ -28,7 +28,7 @@ from .common import bounded, cut, discard
 from .words import chunks, mix, shingles, words
 
 #: Entries of a block of columns, of a bucket of rows, and of a group of texts: what one task holds.
-BLOCK, BUCKET, PACK = 4_000_000, 2_000_000, 3_000_000
+BLOCK, BUCKET, PACK = 3_000_000, 1_500_000, 2_000_000
 #: Rows of a column of the second pass that one key of its join holds.
 PART = 512
 #: Bits of a column within its block, and bytes that they take when written.

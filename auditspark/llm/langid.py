@@ -2,9 +2,10 @@
 
 For each language a suffix automaton of labelled text accepts every substring of it. A text is parsed greedily: the longest
 match from the current place is one phrase, and the parse starts again behind it. The language that needs the fewest
-phrases, weighed by the bits that name one, wins. Texts are parsed whole and side by side in numpy, with one table for all
-languages; the few that are longer than all others of their batch end in a plain loop. The table has the letters that are
-most frequent; transitions by all others, few beside it whatever the scripts, are a sorted list.
+phrases, weighed by the bits that name one, wins. Windows of texts are parsed side by side in numpy, with one table for all
+languages, as if a phrase began with each. Then the phrase that really reaches into a window is followed until it ends where
+one of the window's own does; from there on both parses are the same, so phrases are those of the whole text. The table has
+the letters that are most frequent; transitions by all others, few beside it whatever the scripts, are a sorted list.
 
 The model is fitted on a bounded sample: of each language the DOCS documents with the smallest hashes of their id, CHARS code
 points of each. Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; letters that the sample
@@ -21,14 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOCS, CHARS = 24, 1500
-#: Symbols of each text that are laid side by side at a time.
-WINDOW = 256
+WINDOW = 512
 #: Symbols of the table; those from here on are in the list of rare ones.
 SYMBOLS = 64
 END = np.uint32(1 << 31)
 UNKNOWN = "und"
-#: Letters parsed at a time in one task, and the number of texts from which on numpy steps cost less than a loop.
-STEP, MANY = 1 << 22, 48
+#: Letters parsed at a time in one task.
+STEP = 1 << 20
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -138,8 +138,10 @@ class Model:
         goes, to = self._edges(places, symbols)
         return np.where(goes, to, np.where(places == root, again, again | END))
 
-    def _advance(self, windows: np.ndarray, lengths: np.ndarray, place: np.ndarray, ends: np.ndarray) -> None:
-        """Go on from place, one column a text (longest first), through windows; ends counts phrases that ended."""
+    def _windows(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """windows (longest first) as columns of symbols -> by language: where each ends up, and whether a phrase ended before each symbol."""
+        place = np.repeat(np.array(self.roots, np.int64)[:, None], windows.shape[1], 1)
+        marks = np.zeros((len(self.roots), *windows.shape), bool)
         live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(windows.shape[0]), "right")
         for i in range(int(lengths[0]) if len(lengths) else 0):
             k = live[i]
@@ -150,21 +152,17 @@ class Model:
                 v[:, rare] = self._rare(place[:, rare], symbols[rare])
             else:
                 v = self.table.take(place[:, :k] + symbols)
-            ends[:, :k] += v >> np.uint32(31)
+            marks[:, i, :k] = v >= END
             place[:, :k] = v & ~END
-
-    def _start(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        place = np.repeat(np.array(self.roots, np.int64)[:, None], n, 1)
-        return place, np.zeros(place.shape, np.int64)
+        return place, marks
 
     def phrases(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """windows (longest first) as columns of symbols -> phrases of each, by language."""
-        place, ends = self._start(windows.shape[1])
-        self._advance(windows, lengths, place, ends)
-        return ends + (place != self._start(1)[0])
+        place, marks = self._windows(windows, lengths)
+        return marks.sum(1) + (place != np.array(self.roots)[:, None])
 
     def _one(self, language: int, place: int, symbol: int) -> int:
-        """_rare for one place."""
+        """What the table would hold for a rare symbol."""
         if not hasattr(self, "_edge_of"):
             self._edge_of = dict(zip(self.keys.tolist(), self.to.tolist()))
         root = self.roots[language]
@@ -174,17 +172,42 @@ class Model:
             v += 0 if place == root else int(END)
         return v
 
-    def _rest(self, symbols: list[int], places: np.ndarray, ends: np.ndarray) -> None:
-        """As _advance, for what is left of one text."""
-        table, end = memoryview(self.table), int(END)
-        for j, place in enumerate(places.tolist()):
-            count = 0
-            for s in symbols:
-                v = table[place + s] if s < SYMBOLS else self._one(j, place, s)
-                if v >= end:
-                    count, v = count + 1, v - end
-                place = v
-            places[j], ends[j] = place, ends[j] + count
+    def count(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (symbols), by language."""
+        counts = [-(-len(s) // WINDOW) for s in texts]
+        lengths = np.concatenate([np.append(np.full(c - 1, WINDOW), len(s) - WINDOW * (c - 1)) for c, s in zip(counts, texts)])
+        order = np.argsort(-lengths, kind="stable")
+        block = np.zeros((len(lengths), WINDOW), np.uint32)
+        block[np.arange(WINDOW) < lengths[:, None]] = np.concatenate(texts)
+        place, marks = np.empty((len(self.roots), len(lengths)), np.int64), np.empty((len(self.roots), len(lengths), WINDOW), bool)
+        place[:, order], found = self._windows(np.ascontiguousarray(block[order].T), lengths[order])
+        marks[:, order] = found.transpose(0, 2, 1)
+        ends = marks.sum(2)
+        marks[:, :, 0] = True  # where a window's own parse begins
+        out, first, n = np.empty((len(self.roots), len(texts)), np.int64), 0, lengths.tolist()
+        for i, c in enumerate(counts):
+            symbols = block[first : first + c]
+            for j in range(len(self.roots)):
+                out[j, i] = self._join(j, symbols, n[first : first + c], place[j, first : first + c].tolist(), ends[j, first : first + c].tolist(), marks[j, first : first + c])
+            first += c
+        return out
+
+    def _join(self, language: int, symbols, lengths, places, ends, marks) -> int:
+        """Phrases of a text from those of its windows: where the true parse and a window's own meet, the rest is the same."""
+        table, end, total, at = memoryview(self.table), int(END), ends[0] + 1, places[0]
+        for w in range(1, len(lengths)):
+            row, mark = symbols[w].tolist(), marks[w].tobytes()
+            for i in range(lengths[w]):
+                s = row[i]
+                v = table[at + s] if s < SYMBOLS else self._one(language, at, s)
+                if v < end:
+                    at = v
+                    continue
+                total, at = total + 1, v - end
+                if mark[i]:
+                    total, at = total + mark.count(1, i + 1), places[w]
+                    break
+        return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -204,26 +227,7 @@ class Model:
             self._parse(held, out)
         return out
 
-    def count(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (symbols, longest first), by language."""
-        lengths = np.array([len(s) for s in texts])
-        flat = np.concatenate([*texts, np.zeros(WINDOW, np.uint32)])
-        begins = np.cumsum(lengths) - lengths
-        place, ends = self._start(len(texts))
-        at, k = 0, len(texts)
-        while k > MANY:
-            block = flat[begins[:k, None] + np.arange(at, at + WINDOW)]  # beyond a text's end its neighbour's, not read
-            now_p, now_e = place[:, :k].copy(), ends[:, :k].copy()
-            self._advance(np.ascontiguousarray(block.T), np.minimum(lengths[:k] - at, WINDOW), now_p, now_e)
-            place[:, :k], ends[:, :k] = now_p, now_e
-            at += WINDOW
-            k = int((lengths > at).sum())
-        for i in range(k):
-            self._rest(texts[i][at:].tolist(), place[:, i], ends[:, i])
-        return ends + (place != self._start(1)[0])
-
     def _parse(self, held, out) -> None:
-        held = sorted(held, key=lambda x: -len(x[1]))
         need = self.count([s for _, s in held]) * np.array(self.bits)[:, None]
         for j, (i, _) in enumerate(held):
             best = int(np.argmin(need[:, j]))
