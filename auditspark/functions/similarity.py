@@ -1,35 +1,53 @@
-"""How much two descriptions look like the same printed item."""
+"""How much two descriptions look like the same printed item.
+
+Of n characters that both texts have in the same order (the sum of their matching blocks), the measure takes the larger of
+two shares: 2 n of all characters, and n of the shorter text's, which counts from a length on and up to a limit.
+"""
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# Coverage of the shorter text counts from this length on, and at most so much.
+# The shorter text's share counts from this length on, and at most so much.
 COVER_FROM, COVER_MOST = 15, 0.95
 
 
+def _in_common(a: list[str], b: list[str]) -> np.ndarray:
+    """Characters of the matching blocks of each pair; pairs of one b follow each other and share its index."""
+    out, match, held = np.zeros(len(a)), difflib.SequenceMatcher(autojunk=False), None
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x == y or not x or not y:
+            out[i] = len(x) if x == y else 0
+            continue
+        if y != held:
+            match.set_seq2(held := y)
+        match.set_seq1(x)
+        out[i] = sum(size for _, _, size in match.get_matching_blocks())
+    return out
+
+
+def strengths(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The measure for each pair of a batch: 0 to 1, 0 where one is null or empty; each different pair is compared once."""
+    (a_of, a_at), (b_of, b_at) = ((x.dictionary.to_pylist(), x.indices.to_numpy().astype(np.int64)) for x in (a.fill_null("").dictionary_encode(), b.fill_null("").dictionary_encode()))
+    pairs, place = np.unique(b_at * len(a_of) + a_at, return_inverse=True) if len(a_at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    left, right = [a_of[i] for i in pairs % max(1, len(a_of))], [b_of[i] for i in pairs // max(1, len(a_of))]
+    sizes = np.array([[len(x), len(y)] for x, y in zip(left, right)], float).reshape(-1, 2)
+    common, shorter = _in_common(left, right), sizes.min(1, initial=np.inf)
+    same = np.array([x == y for x, y in zip(left, right)], bool)
+    covered = np.where(shorter >= COVER_FROM, np.minimum(common / np.maximum(shorter, 1), COVER_MOST), 0)
+    score = np.where(same, 1.0, np.maximum(2 * common / np.maximum(sizes.sum(1), 1), covered))
+    return np.where(shorter > 0, score, 0.0)[place]
+
+
 def strength(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    match = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    score, shorter = match.ratio(), min(len(a), len(b))
-    if shorter < COVER_FROM:
-        return score
-    return max(score, min(COVER_MOST, sum(m.size for m in match.get_matching_blocks()) / shorter))
+    return float(strengths(pa.array([a], pa.string()), pa.array([b], pa.string()))[0])
 
 
 @F.arrow_udf(DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    known: dict = {}
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        if (x, y) not in known:
-            known[x, y] = strength(x or "", y or "")
-        out.append(known[x, y])
-    return pa.array(out, pa.float64())
+    return pa.array(strengths(a, b), pa.float64())

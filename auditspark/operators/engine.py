@@ -55,6 +55,41 @@ def verdicts(claim_ids: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("claim_id", verdict.alias("verdict"), why.alias("rationale"))
 
 
+def judged(claims: DataFrame, gates=None, rules=RULES) -> DataFrame:
+    """(claim_id, judged): the rules that apply to each claim with gate_order, rule_order, rank of the severity and title.
+
+    One row a row of claims, with no shuffle and without evidence: what roll_up and gate_roll_up are worked out from where
+    the findings themselves aren't wanted.
+    """
+    wanted, ranks = set(known_gates(gates)) if gates is not None else set(GATES), {x: i for i, x in enumerate(SEVERITIES)}
+    each = []
+    for i, r in enumerate(r for r in rules if r.gate in wanted):
+        if r.check in CHECKS:
+            o = CHECKS[r.check](r.params)
+            each.append(F.struct(F.lit(GATES.index(r.gate) + 1).alias("gate_order"), F.lit(i).alias("rule_order"), F.lit(ranks[r.severity or "fail"]).alias("default"), F.lit(r.title).alias("title"), F.struct(o["ok"].alias("ok"), o["override"].alias("override")).alias("o")))
+    rank = lambda x: F.when(x["o"]["ok"], 0).otherwise(F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), x["o"]["override"]).cast("int") - 1, x["default"]))
+    kept = F.filter(F.array(*each), lambda x: x["o"]["ok"].isNotNull())
+    return with_decoded(claims).select(F.col("id").alias("claim_id"), F.transform(kept, lambda x: F.struct(x["gate_order"].alias("gate_order"), x["rule_order"].alias("rule_order"), rank(x).alias("rank"), x["title"].alias("title"))).alias("judged"))
+
+
+def roll_up(claims: DataFrame, gates=None, rules=RULES) -> DataFrame:
+    """As verdicts, within each row of claims."""
+    titles = lambda k: F.array_join(F.transform(F.filter("judged", lambda x: x["rank"] == k), lambda x: x["title"]), "; ")
+    worst = judged(claims, gates, rules).withColumn("r", F.coalesce(F.array_max(F.transform("judged", lambda x: x["rank"])), F.lit(0)))
+    why = F.when(F.col("r") == 2, titles(2)).when(F.col("r") == 1, titles(1)).otherwise("")
+    return worst.select("claim_id", F.element_at(F.array(*map(F.lit, VERDICTS)), F.col("r") + 1).alias("verdict"), why.alias("rationale"))
+
+
+def gate_roll_up(claims: DataFrame, gates=None, rules=RULES) -> DataFrame:
+    """As gate_runs, within each row of claims: one row a gate."""
+    names = known_gates(gates if gates is not None else GATES)
+    each = F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(GATES.index(g) + 1).alias("gate_order")) for g in names])
+    rows = judged(claims, gates, rules).select("claim_id", "judged", F.explode(each).alias("g")).select("claim_id", "g.*", F.filter("judged", lambda x: x["gate_order"] == F.col("g.gate_order")).alias("mine"))
+    worst = F.coalesce(F.array_max(F.transform("mine", lambda x: x["rank"])), F.lit(0))
+    name = F.element_at(F.array(*map(F.lit, SEVERITIES)), worst + 1)
+    return rows.select("claim_id", "gate", "gate_order", name.alias("severity"), F.size("mine").cast("long").alias("n_findings"), F.size(F.filter("mine", lambda x: x["rank"] > 0)).cast("long").alias("n_issues"))
+
+
 def run(claims: DataFrame, gates=None, rules=RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, gate runs, verdicts) of all claims. Reuse a checkpoint or table of the findings where several are used."""
     found = findings(claims, gates, rules)

@@ -35,9 +35,7 @@ def lit_by(key, values):
 @query
 def claim_verdicts(spark, sf):
     """All rules of all claims, and the verdict of each."""
-    claims = V.nested_claims(spark, sf)
-    found = engine.findings(claims)
-    return engine.verdicts(claims.select(F.col("id").alias("claim_id")), found).select("claim_id", "verdict", "rationale")
+    return engine.roll_up(V.nested_claims(spark, sf))
 
 
 @query
@@ -47,8 +45,7 @@ def rule_findings(spark, sf):
 
 @query
 def gate_severity(spark, sf):
-    claims = V.nested_claims(spark, sf)
-    return engine.gate_runs(claims.select(F.col("id").alias("claim_id")), engine.findings(claims)).select("claim_id", "gate", "severity", F.col("n_issues").cast("long").alias("n_issues"))
+    return engine.gate_roll_up(V.nested_claims(spark, sf)).select("claim_id", "gate", "severity", "n_issues")
 
 
 # -- lines ----------------------------------------------------------------------------------------------------------------

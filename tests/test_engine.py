@@ -160,3 +160,15 @@ def test_text_corrects_reads(spark, tmp_path):
     assert (a["invoice"]["invoice_no"], a["invoice"]["seller_vat_number"], a["invoice"]["total_with_vat"]) == ("INV-2026-00070", VAT_NO, 1150.0)
     assert a["coc"]["claim_net"] == 1000.0 and (a["contract"]["value_base"], a["contract"]["value_with_vat"]) == (13000000.0, 14950000.0)
     assert (b["invoice"]["invoice_no"], b["invoice"]["total_with_vat"], b["coc"]["claim_net"]) == ("INV-2026-00007", 11500.0, 10000.0)
+
+
+def test_roll_ups_equal_those_of_the_findings(spark):
+    """Within a row of claims as by way of the findings, for all gates and for some."""
+    from auditspark.plans import views
+
+    claims = views.nested_claims(spark, "/root/testdata/sf0.001").filter("cast(id as int) % 5 = 0")
+    for gates in (None, ["prefinance", "boq_match"]):
+        found, runs, verdicts = engine.run(claims, gates)
+        found.cache()
+        assert sorted(engine.roll_up(claims, gates).collect()) == sorted(verdicts.collect())
+        assert sorted(engine.gate_roll_up(claims, gates).collect()) == sorted(runs.collect())

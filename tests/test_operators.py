@@ -124,3 +124,35 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(s.read("runs"), "id", "verdict") == [("a", "reject")] and rows(s.read("progress"), "id", "step") == [("a", 5)]
+
+
+def test_evidence_of_any_depth(spark):
+    deep = '{"a": ' * 9 + '["x{[", {"b": "\\\\"}]' + "}" * 9
+    e = spark.createDataFrame([(1, deep), (2, "3"), (3, None), (4, "not json ["), (5, "[]")], "id int, j string")
+    got = rows(evidence.flatten_json(e, "j"), "id", "path", "value")
+    at = ".".join("a" * 9)
+    assert got == [(1, f"{at}.0", "x{["), (1, f"{at}.1.b", "\\")]
+    assert evidence.flatten_json(e.limit(0), "j").count() == 0
+
+
+def test_similarity_measures_by_definition():
+    """Whole batches against the definition pair by pair."""
+    import difflib
+    import random
+
+    import pyarrow as pa
+
+    from auditspark.functions.similarity import strengths
+
+    rng = random.Random(2)
+    words = ["supply", "of", "steel", "pipes", "and", "works", "شبكة", "مياه", "dn200"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(40)] + [None, ""]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(400)]
+    for (a, b), got in zip(pairs, strengths(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]))):
+        if not a or not b:
+            assert got == 0
+            continue
+        blocks = sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        n, short = len(a) + len(b), min(len(a), len(b))
+        want = 1 if a == b else max(2 * blocks / n, min(0.95, blocks / short) if short >= 15 else 0)
+        assert abs(got - want) < 1e-12
