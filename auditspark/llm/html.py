@@ -5,15 +5,21 @@ page climbs until no text but links is left outside. The path of where it stops,
 digits, is the page's vote; Spark counts votes by host, and each page is extracted again from the containers at all of its
 host's winning paths, and from its own as well if they leave out text of it that isn't mostly links.
 
+Inside an article only what the names of its elements call adverts, menus, notices, sidebars or reader comments is dropped;
+outside more names lead away from it. Pages are read twice, once for the vote and once for the text; work and memory grow
+with a page's length, however deep its elements are nested.
+
 Nulls and odd input: a null or empty page has an empty text; a null or odd url votes in a host of its own kind; unclosed and
 stray tags are repaired as browsers do in the usual cases; an unclosed comment, script or style runs to the end; rows with
-equal ids are extracted each; an empty table gives an empty result; more columns are ignored.
+equal ids are extracted each; very long pages are read whole; of paths with equally many votes the first by name wins; an
+empty table gives an empty result; more columns are kept, and those named host or main_text replaced.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,24 +37,31 @@ _QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"(?:^|\s)hidde
 _SPACE = re.compile(r"\s+")
 
 # Elements of HTML by how they behave.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "select", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "article", "section", "main", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "form", "nav", "aside", "header", "footer", "menu", "dialog", "center", "hgroup", "search"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "blockquote"}
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "search", "fieldset", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
+LISTS = ("ul", "ol", "dl", "table", "div", "section", "article", "body")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_AWAY = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|commentlist|disqus|respond|reply|replies|widget|login|signup|signin|search|form|toolbar|pagination|pager|skip|copyright|legal|disclaimer)(?:[-_ ]|$)")
+# Words in the class or id of elements that hold no article, anywhere, and only outside of articles.
+_NAMES = "ads?|adverts?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|newsletter|subscribe|comments?|commentlist|disqus|respond|reply|replies"
+_OUTSIDE = "banner|side|modal|overlay|subscription|share|sharing|social|related|recommended|widget|login|signup|signin|search|form|toolbar|pagination|pager|skip|copyright|legal|disclaimer"
+_AWAY = re.compile(rf"(?:^|[-_ ])(?:{_NAMES})(?:[-_ ]|$)")
+_AWAY_OUTSIDE = re.compile(rf"(?:^|[-_ ])(?:{_NAMES}|{_OUTSIDE})(?:[-_ ]|$)")
 _HEAD = re.compile(r"(?:^|[-_ ])(?:header|topbar|top)(?:[-_ ]|$)")
 _GOOD = re.compile(r"(?:^|[-_ ])(?:content|article|post|entry|main|story|body|text)(?:[-_ ]|$)")
 
 
 class Page:
-    """nodes: (parent, path, name and classes); blocks: (node, text, length of its links) outside what is dropped."""
+    """Nodes by number, parents first: parent, path (a number: equal for equal tags and classes from the root on), step (the
+    last tag and its classes); blocks: (node, text, length of its links) outside what is dropped."""
 
     def __init__(self, source: str):
-        self.parent, self.path, self.good, self.blocks = [-1], [""], [False], []
+        self.parent, self.path, self.step, self.good, self.blocks = [-1], [0], [""], [False], []
         self._tags, self._dropped, self._inside = ["#"], [False], [False]
+        self._paths, self._open_now = {}, Counter()
         self._stack, self._parts, self._linked, self._links = [0], [], 0, 0
         at, end = 0, len(source)
         while at < end:
@@ -84,8 +97,20 @@ class Page:
 
     def _pop(self, place: int) -> None:
         self._flush()
+        self._open_now.subtract(self._tags[i] for i in self._stack[place:])
         del self._stack[place:]
 
+    def _last_open(self, tags, until=()) -> int | None:
+        """Place on the stack of the innermost open element of tags, if none of until is further in."""
+        if any(self._open_now[x] for x in tags):
+            for i in range(len(self._stack) - 1, 0, -1):
+                tag = self._tags[self._stack[i]]
+                if tag in tags:
+                    return i
+                if tag in until:
+                    break
+        return None
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self._parts.append(" ")
@@ -96,16 +121,13 @@ class Page:
         if tag not in BLOCK and tag not in DROPPED:
             return
         self._flush()
-        open_ = [self._tags[i] for i in self._stack]
-        if tag not in ("button", "label") and "p" in open_:
-            self._pop(len(open_) - 1 - open_[::-1].index("p"))
+        if tag not in ("button", "label") and (i := self._last_open(("p",))) is not None:
+            self._pop(i)
         elif tag in CLOSES:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i] in CLOSES[tag]:
-                    self._pop(i)
-                    if tag != "tr" or open_[i] == "tr":
-                        break
-                elif open_[i] in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
+            while (i := self._last_open(CLOSES[tag], LISTS)) is not None:
+                row = self._tags[self._stack[i]] == "tr"
+                self._pop(i)
+                if tag != "tr" or row:
                     break
         values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
         names = f"{values.get('class', '')} {values.get('id', '')}".lower().strip()
@@ -114,25 +136,26 @@ class Page:
         inside = self._inside[above] or good and tag in CONTAINERS
         away = tag in DROPPED or values.get("role", "").lower() in ROLES or "hidden" in values.get("class", "").lower().split() or "hidden" in attributes and bool(_HIDDEN.search(_QUOTED.sub("", attributes)))
         if not away and tag not in ("html", "body", "article", "main"):
-            away = bool(names) and bool(_AWAY.search(names)) or not inside and (tag == "header" or bool(names) and bool(_HEAD.search(names)))
+            away = bool(names) and bool((_AWAY if inside else _AWAY_OUTSIDE).search(names)) or not inside and (tag == "header" or bool(names) and bool(_HEAD.search(names)))
         kinds = ".".join(sorted({re.sub(r"\d+", "", x) for x in values.get("class", "").lower().split()} - {""}))
         node = len(self.parent)
         self.parent.append(above)
-        self.path.append(f"{self.path[above]}>{tag}" + f".{kinds}" * bool(kinds))
+        step = tag + f".{kinds}".replace(">", "_") * bool(kinds)
+        self.step.append(step)
+        self.path.append(self._paths.setdefault((self.path[above], step), len(self._paths) + 1))
         self.good.append(good)
         self._tags.append(tag)
         self._dropped.append(self._dropped[above] or away)
         self._inside.append(inside)
         self._stack.append(node)
+        self._open_now[tag] += 1
 
     def _close(self, tag: str) -> None:
         if tag == "a":
             self._linked = max(0, self._linked - 1)
         elif tag in BLOCK or tag in DROPPED:
-            for i in range(len(self._stack) - 1, 0, -1):
-                if self._tags[self._stack[i]] == tag:
-                    self._pop(i)
-                    return
+            if (i := self._last_open((tag,))) is not None:
+                self._pop(i)
 
     def above(self, node: int):
         while node > 0:
@@ -142,35 +165,57 @@ class Page:
     def best(self) -> int | None:
         """The container with the highest score, text of its blocks, a fifth less with each container further up, or the
         first one above it that holds all text but links; none if only the page itself does."""
-        scores: dict[int, float] = {}
-        for node, text, links in self.blocks:
-            share = float(max(0, len(text) - 2 * links)) + 1e-3
-            for i in self.above(node):
-                if self._tags[i] in CONTAINERS:
-                    scores[i] = scores.get(i, 0.0) + share
-                    share *= 0.8
-        if not scores:
+        n = len(self.parent)
+        score, text, seen = [0.0] * n, [0] * n, [False] * n
+        for node, block, links in self.blocks:
+            score[node] += max(0, len(block) - 2 * links) + 1e-3
+            text[node] += not self._mostly_links(block, links)
+            seen[node] = True
+        all_text, best = sum(text), None
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            container = self._tags[i] in CONTAINERS
+            if seen[i] and container and (best is None or score[i] * (1.5 if self.good[i] else 1.0) >= most):
+                best, most = i, score[i] * (1.5 if self.good[i] else 1.0)
+            above = self.parent[i]
+            score[above] += score[i] * (0.8 if container else 1.0)
+            text[above] += text[i]
+            seen[above] |= seen[i]
+        if best is None:
             return None
-        best = max(scores, key=lambda i: (scores[i] * (1.5 if self.good[i] else 1.0), -i))
-        text = [set(self.above(node)) for node, *block in self.blocks if not self._mostly_links(*block)]
-        holds = set.intersection(*text) if text else {best}
-        return next((i for i in self.above(best) if i in holds and self._tags[i] in CONTAINERS), None)
+        return next((i for i in self.above(best) if text[i] == all_text and self._tags[i] in CONTAINERS), None)
 
     @staticmethod
     def _mostly_links(text: str, links: int) -> bool:
         return 2 * links > len(text)
 
+    def named(self, node: int) -> str:
+        """The path of a node as text, the same on every page."""
+        return "".join(f">{self.step[i]}" for i in list(self.above(node))[::-1])
+
+    def at(self, paths) -> set[int]:
+        """Nodes at the paths, which are texts as named() gives them."""
+        wanted = set()
+        for path in paths:
+            at = 0
+            for step in path.split(">")[1:]:
+                at = self._paths.get((at, step), -1)
+            wanted.add(at)
+        return {i for i, at in enumerate(self.path) if i and at in wanted}
+
     def under(self, nodes: set[int]) -> list[int]:
         """Places of the blocks in nodes."""
-        return [k for k, (node, *_) in enumerate(self.blocks) if any(i in nodes for i in self.above(node))]
+        inside = [False] * len(self.parent)
+        for i in range(1, len(inside)):
+            inside[i] = i in nodes or inside[self.parent[i]]
+        return [k for k, (node, *_) in enumerate(self.blocks) if inside[node]]
 
 
 def main_text(source: str | None, winners: list[str] | None) -> str:
     """The page's main text, blocks parted by an empty line."""
     page = Page(source or "")
-    own, paths = page.best(), set(winners or ())
+    own = page.best()
     mine = set(page.under({own}) if own is not None else range(len(page.blocks)))
-    taken = set(page.under({i for i, p in enumerate(page.path) if p in paths}))
+    taken = set(page.under(page.at(winners or ())))
     text = {k for k, (_, *block) in enumerate(page.blocks) if not page._mostly_links(*block)}
     if not taken & text or mine & text - taken:
         taken |= mine
@@ -183,7 +228,7 @@ def _vote(pages: pa.Array) -> pa.Array:
     for source in pages:
         page = Page(source.as_py() or "")
         best = page.best()
-        out.append(page.path[best] if best is not None else None)
+        out.append(page.named(best) if best is not None else None)
     return pa.array(out, pa.string())
 
 
@@ -204,5 +249,6 @@ def extract(pages: DataFrame, *, html_col="html", url_col="url") -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     pages = pages.withColumn("host", host)
     winners = cut(host_paths(pages, html_col), "html-hosts")
-    joined = pages.join(bounded(winners, winners.count()), "host", "left")
-    return joined.withColumn("main_text", _extract(html_col, "winners")).drop("winners")
+    winners = winners.select(F.col("host").alias("_of"), F.col("winners").alias("_winners"))
+    joined = pages.join(bounded(winners, winners.count()), F.col("host") == F.col("_of"), "left")
+    return joined.withColumn("main_text", _extract(html_col, "_winners")).drop("_of", "_winners")

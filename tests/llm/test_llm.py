@@ -623,6 +623,50 @@ def test_html_keeps_the_whole_article():
     assert html.main_text(page(("content", "<a href=x>one</a>"), ("more", "<a href=y>two</a>")), [content]).split() == ["one", "two"]
 
 
+def test_html_against_a_plain_reading():
+    """Scores, containers and blocks worked out by walking up from every block, on random pages with broken nesting."""
+    rng = random.Random(21)
+    tags = ["div", "p", "article", "section", "ul", "li", "table", "tr", "td", "span", "a", "div class=x1", "div class=content", "div class=share", "nav", "blockquote"]
+    for _ in range(150):
+        source = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags).split()[0]}>", "word " * rng.randint(1, 9)]) for _ in range(rng.randint(1, 60)))
+        page = html.Page(source)
+        chains = [list(page.above(node)) for node, *_ in page.blocks]
+        scores = defaultdict(float)
+        for chain, (_, text, links) in zip(chains, page.blocks):
+            share = max(0, len(text) - 2 * links) + 1e-3
+            for i in chain:
+                if page._tags[i] in html.CONTAINERS:
+                    scores[i] += share
+                    share *= 0.8
+        weight = {i: v * (1.5 if page.good[i] else 1) for i, v in scores.items()}
+        got = page.best()
+        if not weight:
+            assert got is None
+            continue
+        plain = [c for c, (_, text, links) in zip(chains, page.blocks) if 2 * links <= len(text)]
+        holds = lambda i: all(i in c for c in plain) and page._tags[i] in html.CONTAINERS
+        top = [i for i in weight if weight[i] > max(weight.values()) * (1 - 1e-9)]
+        assert got in {next((j for j in page.above(i) if holds(j)), None) for i in top}
+        some = {i for i in range(1, len(page.parent)) if rng.random() < 0.2}
+        assert page.under(some) == [k for k, c in enumerate(chains) if some & set(c)]
+        if got is not None:
+            assert got in page.at([page.named(got)]) and all(page.named(i) == page.named(got) for i in page.at([page.named(got)]))
+
+
+@pytest.mark.parametrize("piece", ["<div class=a>", "<div>x", "<p>x", "<li>x", "<td>", "</div>", "<a>x", "<section><ul><li>y"])
+def test_html_of_any_depth(piece):
+    import time
+
+    began = time.time()
+    assert "the end" in html.main_text(piece * 50_000 + "<p>the end", [">div.a" * 3])
+    assert time.time() - began < 20
+
+
+def test_html_inside_of_articles():
+    page = "<article><div class=legal-note><p>the law</div><div class=share><p>our share</div><math>x</math><div class=ad><p>buy</div><div id=comments><p>nice</div></article><div class=legal><p>imprint</div>"
+    assert html.main_text(page, None) == "the law\n\nour share\n\nx"
+
+
 # -- 8: chats -------------------------------------------------------------------------------------------------------------
 
 
