@@ -1,9 +1,9 @@
-"""What both searches over vectors share: classes of equal vectors, blocks, and slabs of queries of a bounded size.
+"""What both searches over vectors share: classes of equal vectors, blocks of rows and slabs of queries.
 
 Equal vectors tie in every search, and ties go to the smaller id. So of each set of equal vectors the ``k + 1`` smallest
 ids can be in a result of k besides the query itself; the others can't, and aren't compared. Queries with equal vectors
-share one search. Queries are dealt into slabs of at most about SLAB vectors, each of which is broadcast in turn and
-compared with all blocks of rows where they lie.
+share one search. Rows lie in blocks and queries in slabs, both by hash and of bounded size; Spark brings each block
+together with each slab in a task of its own, so no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
-SLAB, BLOCK, PART = 50_000, 16_384, 256
+#: Numbers of a slab of queries, and rows of a block of the index, about; queries that are compared at a time.
+SLAB, BLOCK, PART = 2_000_000, 8_192, 64
 
 
 def equal_vectors(vectors: DataFrame, k: int) -> DataFrame:
@@ -32,50 +33,34 @@ def matrix(lists: pa.Array, kind) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
-def blocks(batches, size: int = BLOCK):
-    """Arrow batches, put together or split to about size rows, each of one length of vectors (column ``dim``)."""
-    held, n = [], 0
+def search(index: DataFrame, members: DataFrame, k: int, searcher, kind: str) -> DataFrame:
+    """Results of all queries: index rows (vec_id, dim, v, ...), members (query_id, key, v): the queries.
 
-    def give():
-        t = pa.Table.from_batches(held)
-        dims = t.column("dim").to_numpy()
-        for dim in np.unique(dims):
-            yield int(dim), t.filter(pa.array(dims == dim))
-
-    for b in batches:
-        for at in range(0, b.num_rows, size):
-            part = b.slice(at, size)
-            held.append(part)
-            n += part.num_rows
-            if n >= size:
-                yield from give()
-                held, n = [], 0
-    if n:
-        yield from give()
-
-
-def search(index: DataFrame, queries: DataFrame, members: DataFrame, k: int, searcher, kind: str) -> DataFrame:
-    """Results of all queries: index rows (vec_id, dim, ...), queries (key, v), members (query_id, key).
-
-    searcher(slab) makes a function of mapInArrow that finds the best k + 1 of a task's rows for each query of the slab;
-    slab: {dim: (keys, rows)}. Results: query_id, rank, vec_id, score of the SQL type kind.
+    searcher(keys, queries, block) gives (key, ids, scores) of the best k + 1 rows of a block (an Arrow table of index rows
+    of one length) for each query. Results: query_id, rank, vec_id, score of the SQL type kind.
     """
-    spark, found = index.sparkSession, None
-    n = queries.count()
-    slabs = max(1, -(-n // SLAB))
-    dealt = queries.withColumn("slab", F.pmod("key", F.lit(slabs)))
-    for i in range(slabs):
-        got = dealt.filter(F.col("slab") == i).select("key", "v").toArrow()  # about SLAB vectors
-        sizes = got.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0)
-        slab = {}
-        for dim in np.unique(sizes):
-            part = got.filter(pa.array(sizes == dim))
-            slab[int(dim)] = (part.column("key").to_numpy(), matrix(part.column("v"), np.float64))
-        part = cut(index.mapInArrow(searcher(spark.sparkContext.broadcast(slab)), f"key long, vec_id long, score {kind}"), "search-found")
-        found = part if found is None else found.unionByName(part)
+    queries = members.groupBy("key").agg(F.first("v").alias("v")).withColumn("dim", F.size("v"))
+    sizes = index.groupBy("dim").agg(F.count("*").alias("rows")).join(queries.groupBy("dim").agg(F.count("*").alias("queries")), "dim")
+    deal = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    sizes = cut(sizes.select("dim", deal(F.col("rows"), BLOCK).alias("blocks"), deal(F.col("queries") * F.col("dim"), SLAB).alias("slabs")), "search-sizes")
+    sizes = bounded(sizes, sizes.count())  # a row for each length of vectors
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = index.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int")).withColumn("slab", every("slabs")).drop("blocks", "slabs")
+    asked = queries.join(sizes, "dim").withColumn("slab", F.pmod("key", F.col("slabs")).cast("int")).withColumn("block", every("blocks")).select("dim", "block", "slab", "key", "v")
+
+    def run(block: pa.Table, slab: pa.Table) -> pa.Table:
+        found = []
+        if block.num_rows and slab.num_rows:
+            found = list(searcher(slab.column("key").to_numpy(), matrix(slab.column("v"), np.float64), block))
+        join = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        cols = (join([np.full(len(ids), key) for key, ids, _ in found], np.int64), join([x for _, x, _ in found], np.int64), join([x for _, _, x in found], np.float64 if kind == "double" else np.int64))
+        return pa.table([pa.array(x) for x in cols], ["key", "vec_id", "score"])
+
+    by = ["dim", "block", "slab"]
+    found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, f"key long, vec_id long, score {kind}")
     best = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
-    top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).drop("rank")
-    mine = members.join(top, "key").filter("query_id != vec_id")
+    top = cut(found, "search-found").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).drop("rank")
+    mine = members.select("query_id", "key").join(top, "key").filter("query_id != vec_id")
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -83,26 +68,3 @@ def search(index: DataFrame, queries: DataFrame, members: DataFrame, k: int, sea
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     return np.lexsort((ids, -scores))[:k]
-
-
-class Best:
-    """The best k of each query over the blocks that a task has seen."""
-
-    def __init__(self, k: int):
-        self.k, self.found = k, {}
-
-    def add(self, key: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if key in self.found:
-            ids, scores = np.concatenate((self.found[key][0], ids)), np.concatenate((self.found[key][1], scores))
-        top = best(scores, ids, self.k)
-        self.found[key] = ids[top], scores[top]
-
-    def least(self, keys: np.ndarray) -> np.ndarray:
-        """Scores that a vector must reach to be among the k best; minus infinity while fewer are known."""
-        return np.array([float(self.found[x][1][-1]) if x in self.found and len(self.found[x][0]) == self.k else -np.inf for x in keys.tolist()])
-
-    def batch(self, kind) -> pa.RecordBatch:
-        join = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-        keys = [np.full(len(ids), key) for key, (ids, _) in self.found.items()]
-        cols = (join(keys, np.int64), join([x for x, _ in self.found.values()], np.int64), join([x for _, x in self.found.values()], kind))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "vec_id", "score"])

@@ -431,31 +431,59 @@ def test_block_top_stops_early_and_stays_exact(scale):
     x[50:90] = x[50]
     q = np.floor(rng.normal(size=(20, 8)) ** 3 * 256 * scale)
     ids = rng.permutation(500)
-    exact = x.astype(object) @ q.T.astype(object) if scale > 1e6 else x.astype(np.int64) @ q.T.astype(np.int64)
+    exact = x.astype(np.int64).astype(object) @ q.T.astype(np.int64).astype(object)
     for i, some, scores in topk.block_top(q, x, ids, 6):
         want = sorted(range(500), key=lambda j: (-int(exact[j, i]), ids[j]))[:6]
         assert some.tolist() == want and [int(s) for s in scores] == [int(exact[j, i]) for j in want]
 
 
-def test_a_task_merges_its_blocks(monkeypatch):
-    """A task's later blocks are held against what earlier ones have found."""
-    import types
-
-    import pyarrow as pa
-
-    monkeypatch.setattr(vectors.blocks, "__defaults__", (40,))
+def test_blocks_and_slabs(spark, monkeypatch):
+    """Every block meets every slab, and what they find is merged."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "SLAB", 24)
     rng = np.random.default_rng(5)
     x = np.floor(rng.normal(size=(300, 6)) * 256)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([6] * 300, pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["vec_id", "dim", "v"])
-    slab = types.SimpleNamespace(value={6: (np.arange(0, 300, 50), x[::50])})
-    (out,) = topk._searcher(5)(slab)([batch.slice(0, 130), batch.slice(130)])
-    got = {}
-    for r in out.to_pylist():
-        got.setdefault(r["key"], []).append((r["vec_id"], r["score"]))
-    assert got == {q: [(j, int(x[j] @ x[q])) for j in sorted(range(300), key=lambda j: (-(x[j] @ x[q]), j))[:6]] for q in range(0, 300, 50)}
-    coded = list(neighbours._codes([batch]))
-    (near,) = neighbours._searcher(5)(slab)(coded)
-    assert near.num_rows == 36 and [r["vec_id"] for r in near.to_pylist()][::6] == list(range(0, 300, 50))
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, v array<double>")
+    got = defaultdict(list)
+    for r in sorted(topk.top_products(frame, frame.filter("vec_id % 25 = 0"), 5).collect()):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {q: [(j, int(x[j] @ x[q])) for j in sorted(set(range(300)) - {q}, key=lambda j: (-(x[j] @ x[q]), j))[:5]] for q in range(0, 300, 25)}
+    near = defaultdict(list)
+    for r in sorted(neighbours.nearest(frame, frame.filter("vec_id % 25 = 0"), 5).collect()):
+        near[r["query_id"]].append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {q: sorted(set(range(300)) - {q}, key=lambda j: -(unit[j] @ unit[q]))[:5] for q in range(0, 300, 25)}
+    assert set(near) == set(want) and sum(len(set(near[q]) & set(w)) for q, w in want.items()) >= 0.9 * 60
+
+
+@pytest.mark.parametrize("dim", [3, 24, 64, 130])
+def test_estimates_from_bits(dim):
+    """Estimates are close to the cosines, and bounds hold for nearly all."""
+    rng = np.random.default_rng(dim)
+    x, q = rng.normal(size=(500, dim)), rng.normal(size=(20, dim))
+    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    table = spark_free_codes(x)
+    code = np.frombuffer(b"".join(table["code"]), np.uint64).reshape(500, -1)
+    guess, error = neighbours.estimates(unit @ neighbours.rotation(dim), code, np.array(table["fit"]))
+    true = unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    assert (np.abs(guess - true) <= error).mean() > 0.95
+    assert dim < 24 or np.abs(guess - true).mean() < 1.2 / np.sqrt(dim)
+
+
+def spark_free_codes(x):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array([x.shape[1]] * len(x), pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["vec_id", "dim", "v"])
+    return pa.Table.from_batches(list(neighbours._codes([batch]))).to_pydict()
+
+
+def test_lists_are_not_read_to_the_end():
+    """Where few components decide, reading stops early."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(4000, 4)) ** 3 * 256)
+    read = []
+    list(topk.block_top(x[:50], x, np.arange(4000), 6, read))
+    assert np.mean(read) < 0.7
 
 
 def test_equal_vectors(spark):
