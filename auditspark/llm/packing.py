@@ -1,19 +1,25 @@
 """Best-fit packing of tokenized documents by bin completion.
 
 Tasks cut documents into pieces and count them by length; the histogram has at most as many rows as a sequence has tokens,
-whatever the corpus. Branch and bound over it completes bins around the largest piece left: of all fillings the one with
-the least waste and then the largest pieces is undominated, sets of reachable sums bound the waste of every branch, and
-best-fit decreasing gives the first incumbent. A filling is used as often as its pieces last, so the plan is short. Each
-piece then finds its place by its rank among pieces of its length, which comes from counts by (length, salt).
-
-Nulls and odd input: a null text is an empty one, which is the end token alone; rows with equal ids are packed each; null
-ids are kept; an empty table gives an empty result; more columns are ignored.
+whatever the corpus. Branch and bound over it completes bins around the largest piece left. Fillings of the room beside it
+are enumerated from the least waste on, larger pieces first; one whose pieces fit into those of a filling already seen is
+dominated and skipped, and so are fillings and branches whose waste leaves no chance to beat the incumbent, which is best-fit
+decreasing at first. While many pieces are left a filling is used as often as they last, so the plan is short; the last ones
+are packed bin by bin. Each piece then finds its place by its rank among pieces of its length, which comes from counts by
+(length, salt); pieces as long as a sequence need no place.
+
+The search ends when it meets the lower bound or has tried STEPS fillings; the best packing found is always whole. Nulls and
+odd input: a null text is an empty one, which is the end token alone; rows with equal ids are packed each; null ids are kept;
+of pieces of one length any may have any place; very long texts are cut, every token stays; an empty table gives an empty
+result; more columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import cut, hash_bucket
 
 SALTS = 64
-#: Steps of the search after the first descent.
-STEPS = 400
+#: Fillings that later ones of a bin are compared with.
+KNOWN = 200
+#: Fillings that the search tries, and pieces from which on down bins are filled one by one.
+STEPS, FEW = 2000, 120
 
 
 class Encoder:
@@ -81,23 +89,47 @@ def _times(reach: int, length: int, count: int, keep: int) -> int:
     return reach
 
 
-def _completion(counts: dict[int, int], room: int, skip: int) -> list[tuple[int, int]]:
-    """The filling of room with the least waste, larger pieces first; skip: the largest piece isn't used so many times."""
+def _fits_into(pieces: tuple[int, ...], rooms: tuple[int, ...]) -> bool:
+    """Whether pieces (largest first) fit into rooms, each into the smallest that has space: enough to call them dominated."""
+    left = list(rooms)
+    for x in pieces:
+        best = min((i for i, room in enumerate(left) if room >= x), key=lambda i: left[i], default=None)
+        if best is None:
+            return False
+        left[best] -= x
+    return True
+
+
+def fillings(counts: dict[int, int], room: int, least: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of room with at least `least` in them, from the fullest on, each largest piece first."""
     keep = (1 << (room + 1)) - 1
-    lengths = [x for x in sorted(counts) if x <= room][: None if not skip else -skip or None]
-    reach = [1]
+    lengths = [x for x in sorted(counts) if x <= room]
+    reach = [1]  # sums that the lengths up to each place can make
     for x in lengths:
         reach.append(_times(reach[-1], x, min(counts[x], room // x), keep))
-    left, out = reach[-1].bit_length() - 1, []
-    for i in range(len(lengths) - 1, -1, -1):
-        x = lengths[i]
-        for m in range(min(counts[x], left // x), -1, -1):
-            if reach[i] >> (left - m * x) & 1:
-                break
-        if m:
-            out.append((x, m))
-            left -= m * x
-    return out
+
+    def exact(upto: int, total: int):
+        """All ways to make total of the first lengths."""
+        if not total:
+            yield ()
+            return
+        for i in range(upto - 1, -1, -1):
+            if not reach[i + 1] >> total & 1:
+                return
+            x = lengths[i]
+            for m in range(min(counts[x], total // x), 0, -1):
+                if reach[i] >> (total - m * x) & 1:
+                    for rest in exact(i, total - m * x):
+                        yield (x,) * m + rest
+
+    seen: list[tuple[int, ...]] = []
+    for total in range(room, max(0, least) - 1, -1):
+        if reach[-1] >> total & 1:
+            for pieces in exact(len(lengths), total):
+                if not any(_fits_into(pieces, other) for other in seen[:KNOWN]):
+                    if len(seen) < KNOWN:
+                        seen.append(pieces)
+                    yield pieces
 
 
 def _best_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -109,17 +141,18 @@ def _best_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[tuple[i
             if m := min(counts[x], room // x):
                 filling.append((x, m))
                 room -= m * x
-        plan.append(_use(counts, filling))
+        plan.append((_use(counts, filling), filling))
     return plan
 
 
-def _use(counts: dict[int, int], filling: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
-    k = min(counts[x] // m for x, m in filling)
+def _use(counts: dict[int, int], filling: list[tuple[int, int]], k: int | None = None) -> int:
+    """Take a filling from counts k times, or as often as its pieces last: how often."""
+    k = k or min(counts[x] // m for x, m in filling)
     for x, m in filling:
         counts[x] -= k * m
         if not counts[x]:
             del counts[x]
-    return k, filling
+    return k
 
 
 def lower_bound(counts: dict[int, int], size: int) -> int:
@@ -140,29 +173,31 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[tu
     counts = {x: c for x, c in counts.items() if c}
     bins = lambda plan: sum(k for k, _ in plan)
     best, least, total = _best_fit(counts, size), lower_bound(counts, size), sum(x * c for x, c in counts.items())
-    stack, steps = [(counts, [], 0, 0)], 0  # what is left, the plan so far, its waste, which completion to try
-    while stack and bins(best) > least and steps < STEPS:
-        left, plan, waste, skip = stack.pop()
-        left, plan = dict(left), list(plan)
-        while left:
-            steps += 1
-            largest = max(left)
-            rest = dict(left)
-            rest[largest] -= 1
-            rest = {x: c for x, c in rest.items() if c}
-            filling = dict(_completion(rest, size - largest, skip))
-            if not skip and len(plan) < 40:
-                stack.append((dict(left), list(plan), waste, 1))  # another completion of the same bin, for later
-            skip = 0
-            filling[largest] = filling.get(largest, 0) + 1
-            k, used = _use(left, sorted(filling.items(), reverse=True))
-            plan.append((k, used))
-            waste += k * (size - sum(x * m for x, m in used))
-            if total + waste > (bins(best) - 1) * size:  # even without more waste not fewer bins than the incumbent
-                break
-        else:
+
+    def completions(left: dict[int, int], waste: int):
+        """Fillings of the bin of the largest piece that can still lead to fewer bins than the incumbent has."""
+        largest = max(left)
+        rest = dict(left)
+        _use(rest, [(largest, 1)], 1)
+        for pieces in fillings(rest, size - largest, size - largest - ((bins(best) - 1) * size - total - waste)):
+            yield sorted(Counter((largest, *pieces)).items(), reverse=True)
+
+    stack, tried = [(counts, [], 0, completions(counts, 0))] if counts else [], 0
+    while stack and bins(best) > least and tried < STEPS:
+        left, plan, waste, more = stack[-1]
+        if total + waste > (bins(best) - 1) * size or (used := next(more, None)) is None:
+            stack.pop()
+            continue
+        tried += 1
+        left = dict(left)
+        k = _use(left, used, None if sum(left.values()) > FEW else 1)
+        plan = [*plan, (k, used)]
+        waste += k * (size - sum(x * m for x, m in used))
+        if not left:
             if bins(plan) < bins(best):
                 best = plan
+        elif total + waste <= (bins(best) - 1) * size:
+            stack.append((left, plan, waste, completions(left, waste)))
     return best
 
 
@@ -188,6 +223,9 @@ def pack_documents(docs: DataFrame, size: int = 1024, end: int = 2, *, path: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = docs.mapInArrow(_pieces(str(path), str(ranks), pattern, end, size, ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     pieces = cut(pieces.withColumn("rid", F.monotonically_increasing_id()), "pack-pieces").withColumn("salt", hash_bucket(F.col("rid"), SALTS))
+    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * ids]
+    full = pieces.filter(F.col("length") == size).withColumn("sequence_id", -1 - F.col("rid")).withColumn("offset", F.lit(0).cast("long"))  # each is a sequence
+    pieces = pieces.filter(F.col("length") < size)
     by_salt = pieces.groupBy("length", "salt").agg(F.count("*").alias("k"))
     counts = {r["length"]: r["k"] for r in by_salt.groupBy("length").agg(F.sum("k").alias("k")).collect()}  # at most size rows
     places = pieces.sparkSession.createDataFrame(_places(pack_histogram(counts, size)), "length long, low long, high long, each long, first long, at long")
@@ -196,6 +234,5 @@ def pack_documents(docs: DataFrame, size: int = 1024, end: int = 2, *, path: str
     rank = F.col("base") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid")) - 1
     ranked = pieces.join(F.broadcast(base), ["length", "salt"]).withColumn("rank", rank)
     placed = ranked.join(F.broadcast(places), "length").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    inside = F.col("rank") - F.col("low")
-    placed = placed.withColumn("sequence_id", F.col("first") + F.expr("(rank - low) div each")).withColumn("offset", F.col("at") + F.pmod(inside, F.col("each")) * F.col("length"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * ids)
+    placed = placed.withColumn("sequence_id", F.col("first") + F.expr("(rank - low) div each")).withColumn("offset", F.col("at") + F.pmod(F.col("rank") - F.col("low"), F.col("each")) * F.col("length"))
+    return placed.select(*out).unionByName(full.select(*out))

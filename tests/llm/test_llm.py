@@ -363,6 +363,40 @@ def test_histogram_packing(seed):
     assert packing.lower_bound(counts, size) <= bins <= sum(k for k, _ in packing._best_fit(counts, size))
 
 
+def fewest_bins(lengths, size):
+    """By trying, for ever more bins, every place of every piece (largest first; equal rooms once)."""
+
+    def place(i, rooms):
+        if i == len(lengths):
+            return True
+        for room in sorted(set(rooms)):
+            if room >= lengths[i]:
+                rest = list(rooms)
+                rest[rest.index(room)] -= lengths[i]
+                if place(i + 1, rest):
+                    return True
+        return False
+
+    lengths = sorted(lengths, reverse=True)
+    return next(n for n in range(len(lengths) + 1) if place(0, [size] * n))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_histogram_packing_is_optimal_on_small_sets(seed):
+    rng = random.Random(seed)
+    for _ in range(20):
+        size = rng.choice([10, 20, 30])
+        lengths = [rng.randint(max(1, size // rng.choice([3, 5, 10])), size - 1) for _ in range(rng.randint(1, 11))]
+        assert sum(k for k, _ in packing.pack_histogram(Counter(lengths), size)) == fewest_bins(lengths, size), (size, lengths)
+
+
+def test_fillings_are_undominated_and_fullest_first():
+    got = list(packing.fillings({3: 2, 4: 1, 5: 1, 7: 1, 8: 1}, 8, 6))
+    assert got[0] == (8,) and [sum(x) for x in got] == sorted(map(sum, got), reverse=True)
+    assert all(not packing._fits_into(b, a) for i, a in enumerate(got) for b in got[i + 1 :])
+    assert list(packing.fillings({5: 3}, 4, 0)) == [()]
+
+
 def test_histogram_packing_beats_greedy():
     counts = {9: 2, 3: 1, 5: 2, 13: 1, 6: 1, 7: 1, 14: 1, 8: 1}
     assert sum(k for k, _ in packing._best_fit(counts, 20)) == 5
