@@ -54,3 +54,8 @@ def printed_forms(v: Column) -> Column:
     orders = [("yyyy", "MM", "dd"), ("dd", "MM", "yyyy"), ("MM", "dd", "yyyy"), ("d", "M", "yyyy"), ("yyyy", "M", "d")]
     forms = [F.date_format(d, s.join(o)) for s in ("/", "-", ".", " ") for o in orders]
     return F.array_distinct(F.array_compact(F.array(*forms)))
+
+
+def is_iso(v: Column) -> Column:
+    """Whether a text begins with a date as yyyy-mm-dd."""
+    return F.coalesce(v.rlike(r"^\d{4}-\d{2}-\d{2}"), F.lit(False))

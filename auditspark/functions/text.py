@@ -208,3 +208,16 @@ def json_object_of(v: Column) -> Column:
 def annotated_pages(text: Column) -> Column:
     """Pages, parted by form feeds, each behind a numbered marker."""
     return F.array_join(F.transform(F.split(text, "\f", -1), lambda x, i: F.concat(F.lit("--- page "), (i + 1).cast("string"), F.lit(" ---\n"), x)), "\n")
+
+
+# Names of currencies that may stand beside an amount, and what else may be in one.
+MONEY_WORDS = r"(?i)(?U)\b(sar|usd|eur|gbp|aed|ريال|درهم|دولار|يورو)\b"
+MONEY_SIGNS = r"(?U)[\d\s.,/:%٬٫\-()]+"
+
+
+def value_digits(v: Column) -> Column:
+    """Digits of an amount before its fraction, without leading zeros; empty if more than two other characters stand beside it."""
+    rest = F.regexp_replace(F.regexp_replace(v, MONEY_WORDS, ""), MONEY_SIGNS, "")
+    plain = F.regexp_replace(ascii_digits(v), r"(?<=\d)[,٬\s](?=\d{3}(?!\d))", "")
+    whole = F.split(F.regexp_extract(plain, r"\d[\d,\s٬٫.]*", 0), "[.٫/]")[0]
+    return F.when(F.length(rest) > 2, "").otherwise(F.coalesce(F.ltrim(whole, F.lit("0")), F.lit("")))

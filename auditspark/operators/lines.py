@@ -72,9 +72,16 @@ def certified_values(claims: DataFrame, receipts: DataFrame, boq: DataFrame) ->
     return claims.select("claim_id").join(sums, "claim_id", "left").withColumn("certified", F.coalesce("certified", F.lit(0).cast("decimal(38,4)")))
 
 
-def pair_lines(lines: DataFrame, boq: DataFrame) -> DataFrame:
-    """Full outer pairing: the k-th row of a code in the bill takes the k-th billed line of the code. Empty codes don't pair."""
+def pair_lines(lines: DataFrame, boq: DataFrame, deductions: bool = False) -> DataFrame:
+    """Full outer pairing: the k-th row of a code in the bill takes the k-th billed line of the code. Empty codes don't pair.
+
+    With deductions, those lines are rows too, paired with nothing.
+    """
     keys = keys_of(boq)
+    if deductions:
+        columns = ["claim_id", F.nullif(F.col("item_code").cast("string"), F.lit("")).alias("code"), F.col("pos").alias("line_pos"), F.col("unit_price").alias("billed_price"), F.col("quantity").alias("billed_quantity")]
+        apart = lines.filter(deduction()).select(*columns).withColumn("status", F.lit("deduction"))
+        return pair_lines(lines, boq).unionByName(apart, allowMissingColumns=True)
     nth = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
     mine = lines.filter(~deduction()).withColumn("nth", nth(["claim_id", "item_code"]))
     mine = mine.select("claim_id", F.nullif(F.col("item_code").cast("string"), F.lit("")).alias("code"), "nth", F.col("pos").alias("line_pos"), F.col("unit_price").alias("billed_price"), F.col("quantity").alias("billed_quantity"))
@@ -111,3 +118,9 @@ def identity_check(printed: DataFrame) -> DataFrame:
 
     named = printed.filter(F.coalesce("value", F.lit("")) != "").groupBy("claim_id", "field").agg(F.count("*").alias("n"), F.count_distinct(ident_key(F.col("value"))).alias("values"))
     return named.filter("n >= 2").withColumn("ok", F.col("values") == 1)
+
+
+def line_totals(boq: DataFrame) -> DataFrame:
+    """(claim_id, total): unit price times quantity, summed exactly; a missing number counts as 0."""
+    number = lambda x: F.coalesce(F.col(x), F.lit(0.0)).cast("decimal(18,4)")
+    return boq.groupBy("claim_id").agg(F.sum((number("unit_price") * number("quantity")).cast("decimal(28,4)")).alias("total"))

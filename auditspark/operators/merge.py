@@ -73,8 +73,9 @@ def erp_merge(extracted: Column, seeded: Column) -> Column:
 
 def fix_contract_value(base: Column, total: Column, vat: float = 0.15) -> tuple[Column, Column]:
     """(base, total): equal values are both the total; exchanged values are put right."""
-    close = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1.0), 0.001 * F.abs(b))
-    equal, turned = (base > 0) & (base == total), (total > 0) & (base > total) & close(base, total * (1 + vat))
+    near = lambda a, b: F.abs(a - b) < 1.0
+    equal = (base > 0) & (total > 0) & near(base, total)
+    turned = (total > 0) & (base > total) & ~equal & near(base, total * (1 + vat))
     return F.when(equal, F.round(total / (1 + vat), 2)).when(turned, total).otherwise(base), F.when(turned, base).otherwise(total)
 
 
@@ -86,3 +87,8 @@ def consistent(*checks: Column) -> Column:
     """Three-valued and: parts that are null don't apply; null if none does."""
     applies = F.array_compact(F.array(*checks))
     return F.when(F.size(applies) > 0, F.forall(applies, lambda x: x))
+
+
+def usage_totals(calls: DataFrame, *numbers: str) -> DataFrame:
+    """One row: how many calls, and the sums of their numbers to one decimal."""
+    return calls.agg(F.count("*").alias("calls"), *[F.round(F.sum(F.col(x).cast("decimal(18,4)")), 1).cast("double").alias(x) for x in numbers])

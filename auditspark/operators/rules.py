@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SEVERITIES = ("ok", "warn", "fail")
 
@@ -70,6 +72,23 @@ def gates_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(g, i + 1) for i, g in enumerate(GATES)], "gate string, gate_order int")
 
 
+def read_rules(spark: SparkSession, path: str, gates=GATES) -> tuple[Rule, ...]:
+    """Rules from JSON files, one object a file or line: gate, and rules of id, check, severity, title, source and params.
+
+    Gates come in their order, rules in that of their files. An unknown gate is an error; an unknown check is passed over
+    when the rules run.
+    """
+    kind = "gate string, rules array<struct<id: string, check: string, severity: string, title: string, source: string, params: variant>>"
+    packs = spark.read.schema(kind).option("multiLine", True).json(path).select("gate", F.to_json("rules").alias("rules")).collect()  # a row a gate
+    if unknown := sorted({p["gate"] or "" for p in packs} - set(gates)):
+        raise ValueError(f"unknown gates: {', '.join(unknown)}")
+    out = []
+    for pack in sorted(packs, key=lambda p: gates.index(p["gate"])):
+        for r in json.loads(pack["rules"] or "[]"):
+            out.append(Rule(pack["gate"], r["id"], r["check"], r.get("severity") or "fail", r.get("title") or "", r.get("source") or "", r.get("params") or {}))
+    return tuple(out)
+
+
 def known_gates(wanted) -> list[str]:
     """The wanted gates in order; an unknown one is an error."""
     unknown = sorted(set(wanted) - set(GATES))

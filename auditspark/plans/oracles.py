@@ -105,7 +105,7 @@ SQL = {
         SELECT o_orderkey AS claim_id, (coalesce(v, 0) * 100)::BIGINT AS certified_cents FROM orders LEFT JOIN s ON claim_id = o_orderkey""",
     "line_items_full_outer": f"WITH {PAIRS} SELECT * FROM p",
     "line_status_counts": f"WITH {PAIRS} SELECT status, count(*) AS n FROM p GROUP BY status",
-    "attachments_missing": f"""WITH d AS (SELECT doc_id % 200 AS claim_id, {REQUIRED}[1 + (doc_id * 31 % 101) % 7] AS doc_key FROM documents WHERE n_chars > 1000)
+    "attachments_missing": f"""WITH d AS (SELECT floor(doc_id / 5)::BIGINT AS claim_id, {REQUIRED}[1 + (doc_id * 31 % 101) % 7] AS doc_key FROM documents)
         SELECT c.claim_id, r.doc_key FROM (SELECT DISTINCT claim_id FROM d) c CROSS JOIN (SELECT unnest({REQUIRED}) AS doc_key) r EXCEPT SELECT claim_id, doc_key FROM d""",
     "cumulative_within_contract": f"""WITH {HISTORY}, c AS (SELECT o_custkey AS contract, sum(o_totalprice::DECIMAL(18, 2)) * (CASE WHEN o_custkey % 2 = 0 THEN 0.9 ELSE 1.0 END)::DECIMAL(2, 1) AS value FROM orders GROUP BY o_custkey)
         SELECT claim_id, prior + amount <= value + 0.01 AS ok, ((prior + amount) * 10000)::BIGINT AS cumulative, ((value - prior) * 10000)::BIGINT AS remaining FROM h JOIN c USING (contract)""",
@@ -183,4 +183,14 @@ SQL = {
         SELECT doc_id, n_pages, text_share, floor(n_pages * (text_share * 900 + (1 - text_share) * 1400))::BIGINT AS tokens FROM s""",
     "ext_event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "ext_sessions": """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) SELECT user_id, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 30 MINUTE) AS sessions, count(*) AS events FROM e GROUP BY user_id""",
+    "validated_reads": """WITH o AS (SELECT *, floor(o_totalprice)::DOUBLE AS b FROM orders)
+        SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 12 AS page,
+            CASE WHEN o_orderkey % 2 = 0 THEN '7.1' ELSE (o_orderkey % 40)::VARCHAR || ',7.1' END AS codes,
+            round(CASE WHEN o_orderkey % 3 = 2 THEN round(b / 1.15, 2) ELSE b END, 2) AS base, round(CASE WHEN o_orderkey % 3 = 2 THEN b ELSE b * 1.15 END, 2) AS total FROM o""",
+    "value_digits": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE ltrim(floor(round(o_totalprice, 2))::BIGINT::VARCHAR, '0') END AS digits FROM orders",
+    "unused_files": """WITH d AS (SELECT doc_id % 90 AS claim_id, 'up/' || doc_id % 630 AS path, doc_id % 3 = 0 OR doc_id % 7 = 0 AS kept FROM documents)
+        SELECT DISTINCT claim_id, path FROM d WHERE NOT kept AND (claim_id, path) NOT IN (SELECT (claim_id, path) FROM d WHERE kept)""",
+    "line_totals": "SELECT l_orderkey AS claim_id, (sum(l_extendedprice::DECIMAL(18, 4)::DECIMAL(18, 2) * l_quantity::DECIMAL(18, 2)) * 10000)::BIGINT AS total FROM lineitem GROUP BY l_orderkey",
+    "usage_totals": "SELECT count(*) AS calls, round(sum(l_quantity::DECIMAL(18, 4)), 1)::DOUBLE AS l_quantity, round(sum(l_extendedprice::DECIMAL(18, 4)), 1)::DOUBLE AS l_extendedprice FROM lineitem",
+    "deduction_rows": f"WITH {PAIRS} SELECT status, count(*) AS n FROM p GROUP BY status UNION ALL SELECT 'deduction', count(*) FROM inv WHERE quantity < 0 HAVING count(*) > 0",
 }

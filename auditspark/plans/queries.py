@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, text
-from ..operators import align, engine, evidence, intake, lines, locate, merge, witness
+from ..operators import align, engine, evidence, intake, lines, locate, merge, reads, witness
 from ..operators.rules import REQUIRED_ATTACHMENTS
 from ..sources import claims as claim_source
 from ..sources import documents as docs
@@ -86,8 +86,8 @@ def line_status_counts(spark, sf):
 
 @query
 def attachments_missing(spark, sf):
-    d = V.table(spark, sf, "documents").filter("n_chars > 1000")
-    filed = d.select((F.col("doc_id") % 200).alias("claim_id"), F.concat(F.lit(" "), F.upper(lit_by(F.col("doc_id") * 31 % 101, REQUIRED_ATTACHMENTS))).alias("name"))
+    d = V.table(spark, sf, "documents")
+    filed = d.select(F.floor(F.col("doc_id") / 5).cast("long").alias("claim_id"), F.concat(F.lit(" "), F.upper(lit_by(F.col("doc_id") * 31 % 101, REQUIRED_ATTACHMENTS))).alias("name"))
     return lines.missing_attachments(filed, filed, REQUIRED_ATTACHMENTS)
 
 
@@ -508,3 +508,56 @@ def ext_findings_rollup(spark, sf):
     """Findings by gate and severity, with subtotals."""
     found = engine.findings(V.nested_claims(spark, sf))
     return found.rollup("gate", "severity").agg(F.count("*").alias("n"))
+
+
+# -- raw reads --------------------------------------------------------------------------------------------------------------
+
+
+@query
+def validated_reads(spark, sf):
+    """Reads with printed dates, codes as numbers and VAT in the wrong field, put in order."""
+    o = V.table(spark, sf, "orders")
+    k, base = F.col("o_orderkey"), F.floor(F.col("o_totalprice"))
+    value = F.when(k % 3 == 0, base * 1.15).otherwise(base.cast("double"))
+    total = F.when(k % 3 == 1, base * 1.15).otherwise(base.cast("double"))
+    row = lambda code, price: F.struct(code.alias("item_code"), F.lit("").alias("description_ar"), F.lit("").alias("description_en"), price.alias("unit_price"), F.lit(0.0).alias("quantity"))
+    docs = F.struct(
+        F.struct(F.date_format("o_orderdate", "dd/MM/yyyy").alias("invoice_date"), F.lit(2).alias("page")).alias("invoice"),
+        F.array(row(F.concat((k % 40).cast("string"), F.lit(".0")), (k % 2).cast("double")), row(F.lit(""), F.lit(5.0)), row(F.lit("7.1"), F.lit(2.0))).alias("boq"),
+        F.struct(value.alias("value_base"), total.alias("value_with_vat")).alias("contract"),
+    )
+    out = reads.validate_read(o.select("o_orderkey", docs.alias("documents")), offset=F.lit(10))
+    d = F.col("documents")
+    return out.select("o_orderkey", d["invoice"]["invoice_date"].alias("day"), d["invoice"]["page"].alias("page"), F.array_join(F.transform(d["boq"], lambda x: x["item_code"]), ",").alias("codes"), F.round(d["contract"]["value_base"], 2).alias("base"), F.round(d["contract"]["value_with_vat"], 2).alias("total"))
+
+
+@query
+def value_digits(spark, sf):
+    o = V.table(spark, sf, "orders")
+    shown = lit_by(F.col("o_orderkey"), ["SAR %s", "%s ريال", "(%s)", "total of %s"])
+    return o.select("o_orderkey", text.value_digits(F.replace(shown, F.lit("%s"), F.format_number("o_totalprice", 2))).alias("digits"))
+
+
+@query
+def unused_files(spark, sf):
+    """Paths of documents that were dropped, but for those that a kept one names as well."""
+    d = V.table(spark, sf, "documents").select((F.col("doc_id") % 90).alias("claim_id"), F.concat(F.lit("up/"), (F.col("doc_id") % 630).cast("string")).alias("path"), (F.col("doc_id") % 3 == 0).alias("kept"), "doc_id")
+    d = d.withColumn("kept", F.col("kept") | (F.col("doc_id") % 7 == 0))
+    return reads.unused_files(d.filter("not kept"), d.filter("kept"))
+
+
+@query
+def line_totals(spark, sf):
+    boq = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_extendedprice").alias("unit_price"), F.col("l_quantity").alias("quantity"))
+    return lines.line_totals(boq).select("claim_id", (F.col("total") * 10000).cast("decimal(38,0)").cast("long").alias("total"))
+
+
+@query
+def usage_totals(spark, sf):
+    return merge.usage_totals(V.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query
+def deduction_rows(spark, sf):
+    """Rows of the line table by status, with those of deductions."""
+    return lines.pair_counts(lines.pair_lines(V.invoice_lines(spark, sf), V.boq_lines(spark, sf), deductions=True)).select("status", F.col("n").cast("long").alias("n"))

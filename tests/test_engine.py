@@ -172,3 +172,16 @@ def test_roll_ups_equal_those_of_the_findings(spark):
         found.cache()
         assert sorted(engine.roll_up(claims, gates).collect()) == sorted(verdicts.collect())
         assert sorted(engine.gate_roll_up(claims, gates).collect()) == sorted(runs.collect())
+
+
+def test_rules_from_files(spark, tmp_path):
+    from auditspark.operators.rules import RULES, read_rules
+
+    for gate in ("prefinance", "intake"):
+        pack = {"gate": gate, "rules": [{"id": r.rule_id, "check": r.check, "severity": r.severity, "title": r.title, "source": r.source, "params": r.params} for r in RULES if r.gate == gate]}
+        (tmp_path / f"{gate}.json").write_text(json.dumps(pack, indent=1))
+    got = read_rules(spark, str(tmp_path))
+    assert got == tuple(r for r in RULES if r.gate == "intake") + tuple(r for r in RULES if r.gate == "prefinance")
+    (tmp_path / "odd.json").write_text('{"gate": "none", "rules": []}')
+    with pytest.raises(ValueError, match="none"):
+        read_rules(spark, str(tmp_path))

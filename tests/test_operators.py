@@ -156,3 +156,38 @@ def test_similarity_measures_by_definition():
         n, short = len(a) + len(b), min(len(a), len(b))
         want = 1 if a == b else max(2 * blocks / n, min(0.95, blocks / short) if short >= 15 else 0)
         assert abs(got - want) < 1e-12
+
+
+def test_gates_run_as_far_as_documents_allow(spark, tmp_path):
+    from auditspark.operators import engine
+    from auditspark.schema import CLAIM
+    from auditspark.sources import claims as source
+
+    path = tmp_path / "in"
+    path.mkdir()
+    (path / "a.json").write_text('{"id": "a", "payment_no": 1}\n{"id": "b", "payment_no": 1}\n')
+    table = source.with_defaults(spark.read.schema(CLAIM).json(str(path)))
+    stream = source.with_defaults(spark.readStream.schema(CLAIM).json(str(path)))
+    s = store.Store(spark, str(tmp_path / "store"), {"runs": "id string, verdict string, rationale string", "progress": "id string, step int"})
+    q = gates.run_gates(stream, s, str(tmp_path / "cp"), lambda batch: batch.withColumn("step", F.when(F.col("id") == "a", 1).otherwise(5)))
+    q.processAllAvailable()
+    q.stop()
+    want = {x: engine.roll_up(table.filter(F.col("id") == x), g).first()["rationale"] for x, g in (("a", ["intake"]), ("b", None))}
+    assert dict(rows(s.read("runs"), "id", "rationale")) == want and want["a"] != want["b"]
+    assert rows(s.read("progress"), "id", "step") == [("a", 1), ("b", 5)]
+
+
+def test_validate_read_at_any_depth(spark):
+    from auditspark.operators import reads
+    from auditspark.schema import CLAIM
+
+    kind = spark.createDataFrame([], CLAIM).select("documents").schema
+    docs = {"invoice": {"invoice_date": "5/3/2026", "lines": [{"item_code": "4.0", "page": 2}], "page": 0}, "coc": None, "boq": [{"item_code": "1.10", "description_ar": "x", "unit_price": 1.0, "page": 1}, {"item_code": "9"}], "contract": {"end_date": "31.12.2026", "value_base": 115.0, "value_with_vat": 115.0, "penalty_terms": [{"text_ar": "1% per week", "basis": "", "per": ""}]}, "attachments": ["a"]}
+    got = reads.validate_read(spark.createDataFrame([(docs,), (None,)], kind), offset=F.lit(4)).collect()
+    d = next(r["documents"] for r in got if r["documents"])
+    assert (d["invoice"]["invoice_date"], d["invoice"]["lines"][0]["item_code"], d["invoice"]["lines"][0]["page"], d["invoice"]["page"]) == ("2026-03-05", "4", 6, 0)
+    assert [b["item_code"] for b in d["boq"]] == ["1.10"] and d["coc"] is None and d["attachments"] is None
+    assert d["contract"]["value_base"] == 100.0 and d["contract"]["end_date"] == "2026-12-31" and d["contract"]["penalty_terms"][0]["per"] == "week"
+    left = spark.createDataFrame([(docs,)], kind)
+    dropped = left.select(reads.without_key_fields(F.col("documents"), kind["documents"].dataType).alias("d")).schema["d"].dataType
+    assert "invoice_no" not in dropped["invoice"].dataType.names and "lines" in dropped["invoice"].dataType.names
