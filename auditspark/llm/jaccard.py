@@ -28,7 +28,7 @@ from .common import bounded, cut, discard
 from .words import chunks, mix, shingles, words
 
 #: Entries of a block of columns, of a bucket of rows, and of a group of texts: what one task holds.
-BLOCK, BUCKET, PACK = 3_000_000, 1_500_000, 2_000_000
+BLOCK, BUCKET, PACK = 1_500_000, 1_000_000, 1_500_000
 #: Rows of a column of the second pass that one key of its join holds.
 PART = 512
 #: Bits of a column within its block, and bytes that they take when written.
@@ -107,7 +107,7 @@ def _incidence(k: int, blocks: int):
 
 def _join(table: pa.Table, name: str, kind=None) -> np.ndarray:
     """Binaries of a column, one after the other, as numbers; without a kind as columns of the matrix."""
-    data = b"".join(table.column(name).to_pylist())
+    data = b"".join(x.as_buffer() for x in table.column(name))  # no copy of each value besides the whole
     return _unpack(data) if kind is None else np.frombuffer(data, kind)
 
 
@@ -117,7 +117,9 @@ def _entries(table: pa.Table):
     c, first, rank = np.unique(c, return_index=True, return_inverse=True)
     if len(c) >> (64 - BITS):
         raise ValueError(f"a block has {len(c)} rows")  # BLOCK entries and the parts of large blocks are far below
-    keys = (h << np.uint64(64 - BITS)) | np.repeat(rank, counts).astype(np.uint64)
+    keys = h
+    keys <<= np.uint64(64 - BITS)
+    keys |= np.repeat(rank.astype(np.uint64), counts)
     keys.sort()
     if len(keys):
         keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]  # classes that came from several tasks
