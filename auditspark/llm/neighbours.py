@@ -24,7 +24,7 @@ from .common import cut
 from .vectors import PART, best, equal_vectors, matrix, search
 
 #: Standard deviations of the estimate within its error bound.
-SURE = 1.75
+SURE = 2.5
 #: Bits of a component of a query.
 LEVELS = 6
 
