@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A dimension table of at most so many rows (of a few numbers each) may be broadcast.
 BROADCAST_ROWS = 100_000
 
+#: Bytes of a row group of a written step: a writer holds one, and a reader's batch of wide rows is never larger.
+ROW_GROUP = 16 << 20
+
 #: ASCII white space, as a regular expression class, and its complement: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,7 +50,7 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
         _folders.add(folder)
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.cut_path = path
     return back
