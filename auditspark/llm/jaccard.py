@@ -28,7 +28,7 @@ from .common import bounded, cut, discard
 from .words import chunks, mix, shingles, words
 
 #: Entries of a block of columns, of a bucket of rows, and of a group of texts: what one task holds.
-BLOCK, BUCKET, PACK = 1_500_000, 1_000_000, 1_500_000
+BLOCK, BUCKET, PACK = 1_500_000, 1_000_000, 1_000_000
 #: Rows of a column of the second pass that one key of its join holds.
 PART = 512
 #: Bits of a column within its block, and bytes that they take when written.
@@ -48,9 +48,9 @@ def _sets(texts: pa.Array, k: int):
 def _classes(k: int):
     @F.arrow_udf("struct<n: bigint, c: bigint>")
     def classes(texts: pa.Array) -> pa.Array:
-        sets = [x for part in _sets(texts, k) for x in part]
-        n = pa.array([len(x) for x in sets], pa.int64())
-        c = pa.array(np.array([_key(x) for x in sets], np.uint64).view(np.int64), pa.int64())
+        found = [(len(x), _key(x)) for part in _sets(texts, k) for x in part]  # sets of one chunk at a time
+        n = pa.array([n for n, _ in found], pa.int64())
+        c = pa.array(np.array([c for _, c in found], np.uint64).view(np.int64), pa.int64())
         return pa.StructArray.from_arrays([n, c], ["n", "c"])
 
     return classes
@@ -74,15 +74,18 @@ def _incidence(k: int, blocks: int):
         c = np.array([_key(x) for x in held], np.uint64)
         n = np.array([len(x) for x in held], np.uint32)
         h = np.concatenate(held)
-        row = np.repeat(np.arange(len(held)), n)
-        block = ((h >> np.uint64(BITS)) % np.uint64(blocks)).astype(np.int64)
+        held.clear()
+        block = h >> np.uint64(BITS)
+        block %= np.uint64(blocks)
+        bounds = np.append(0, np.cumsum(np.bincount(block.view(np.int64), minlength=blocks)))
         order = np.argsort(block, kind="stable")
-        h, row, bounds = h[order] & np.uint64((1 << BITS) - 1), row[order], np.searchsorted(block[order], np.arange(blocks + 1))
-        for b in range(blocks):
+        del block
+        h, row = h[order], np.repeat(np.arange(len(c), dtype=np.uint32), n)[order]
+        del order
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(bounds[b], bounds[b + 1])
-            if bounds[b] < bounds[b + 1]:
-                rows, counts = np.unique(row[part], return_counts=True)
-                yield b, c[rows].tobytes(), n[rows].tobytes(), counts.astype(np.uint32).tobytes(), _pack(h[part])
+            rows, counts = np.unique(row[part], return_counts=True)
+            yield b, c[rows].tobytes(), n[rows].tobytes(), counts.astype(np.uint32).tobytes(), _pack(h[part])
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["block", "c", "n", "counts", "h"])
@@ -132,19 +135,29 @@ def _columns(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[begins], np.diff(np.append(begins, len(h)))
 
 
+def _runs(x: np.ndarray):
+    """Sorted numbers -> each once, with its first place and the place behind its last."""
+    begins = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return zip(x[begins].tolist(), begins.tolist(), np.append(begins[1:], len(x)).tolist())
+
+
 def _by_row(block: int, c, n, h, row, df, buckets: int) -> pa.Table:
     """Entries of columns with two rows or more, dealt out by row."""
     keep = df > 1
     h, row, df = h[keep], row[keep], df[keep].astype(np.uint32)
-    order = np.argsort(row, kind="stable")
-    h, row, df = h[order], row[order], df[order]
-    rows, counts = np.unique(row, return_counts=True)
-    bucket = (c[rows] % np.uint64(buckets)).astype(np.int64)
-    of_entry = np.repeat(bucket, counts)
+    key = (c % np.uint64(buckets)).astype(np.int64)[row]
+    key *= len(c)
+    key += row
+    order = np.argsort(key, kind="stable")
+    h, df = h[order], df[order]
+    rows, counts = np.unique(key, return_counts=True)
+    bucket, rows = rows // max(1, len(c)), rows % max(1, len(c))
+    ends = np.append(0, np.cumsum(counts, dtype=np.int64))
     out = []
-    for b in np.unique(bucket):
-        mine, entries = bucket == b, of_entry == b
-        out.append((int(b), block, c[rows][mine].tobytes(), n[rows][mine].tobytes(), counts[mine].astype(np.uint32).tobytes(), _pack(h[entries]), df[entries].tobytes()))
+    for b, first, last in _runs(bucket):
+        entries = slice(ends[first], ends[last])
+        mine = rows[first:last]
+        out.append((b, block, c[mine].tobytes(), n[mine].tobytes(), counts[first:last].astype(np.uint32).tobytes(), _pack(h[entries]), df[entries].tobytes()))
     kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
     return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["bucket", "block", "c", "n", "counts", "h", "df"])
 
@@ -166,10 +179,12 @@ def _split(batches):
         out = []
         for block, parts, c, n, counts, h in zip(*[b.column(x).to_pylist() for x in ("block", "parts", "c", "n", "counts", "h")]):
             c, n, counts, h = np.frombuffer(c, np.uint64), np.frombuffer(n, np.uint32), np.frombuffer(counts, np.uint32), np.frombuffer(h, f"V{WIDTH}")
-            part = (c >> np.uint64(32)) % np.uint64(parts)
-            of_entry = np.repeat(part, counts)
-            for p in np.unique(part).tolist():
-                out.append((block, p, c[part == p].tobytes(), n[part == p].tobytes(), counts[part == p].tobytes(), h[of_entry == p].tobytes()))
+            part = ((c >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            h = h[np.argsort(np.repeat(part, counts), kind="stable")]
+            order = np.argsort(part, kind="stable")
+            c, n, counts, ends = c[order], n[order], counts[order], np.append(0, np.cumsum(counts[order], dtype=np.int64))
+            for p, first, last in _runs(part[order]):
+                out.append((block, p, c[first:last].tobytes(), n[first:last].tobytes(), counts[first:last].tobytes(), h[ends[first] : ends[last]].tobytes()))
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["block", "part", "c", "n", "counts", "h"])
 
