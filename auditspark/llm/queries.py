@@ -10,6 +10,7 @@ from .common import table
 from .html import extract
 from .jaccard import jaccard_components, jaccard_links
 from .langid import identify
+from .lexical import rank_documents
 from .mixing import mix_sources
 from .neighbours import finite_vectors, nearest
 from .packing import pack_documents
@@ -70,5 +71,9 @@ def op10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard, op10_links)
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard, op10_links, op11_lexical)
 QUERIES = {f.__name__: f for f in _ALL}

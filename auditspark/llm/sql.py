@@ -46,4 +46,17 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles,
 FROM w LEFT JOIN n ON n.row_id = w.row_id
 """
 
-SQL = {"op8_chat_formatting": OP8, "op9_mixing": OP9, "op10_jaccard": OP10}
+OP11 = r"""
+WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT row_id, doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+n AS (SELECT row_id, sum(tf)::BIGINT AS n FROM f GROUP BY row_id),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * c.n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term, c.n_docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT q.item_id, f.row_id, f.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (100 - 50 + (50 * n.n * c.n_docs) // c.n_terms))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN n ON n.row_id = f.row_id, c GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+SQL = {"op8_chat_formatting": OP8, "op9_mixing": OP9, "op10_jaccard": OP10, "op11_lexical": OP11}
