@@ -14,6 +14,7 @@ from .lexical import rank_documents
 from .mixing import mix_sources
 from .neighbours import finite_vectors, nearest
 from .packing import pack_documents
+from .rules import judge
 from .sharding import shard_documents
 from .topk import scaled, top_products
 from .toxicity import score_toxicity
@@ -75,5 +76,10 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
-_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard, op10_links, op11_lexical)
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules", "held_out")
+
+
+_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard, op10_links, op11_lexical, op12_quality_rules)
 QUERIES = {f.__name__: f for f in _ALL}

@@ -66,6 +66,25 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
+def word_edges(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, none reaching into the next text."""
+    inside = part[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | edge[1:-1]
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between starts and ends, case and all."""
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE, prefixes: tuple[int, ...] = ()):
     """(hashes of all lower-cased words in order, where each text's words begin: one more than texts).
 
@@ -73,13 +92,7 @@ def words(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = NOT_SPACE, p
     """
     if not len(data):
         return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)) + ([],) * bool(prefixes)
-    inside = part[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    starts, ends = inside.copy(), inside.copy()
-    starts[1:] &= ~inside[:-1] | edge[1:-1]
-    ends[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    starts, ends = word_edges(data, offsets, part)
     up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[data]] * up[: len(data)], out=sums[1:])
