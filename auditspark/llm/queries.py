@@ -14,6 +14,7 @@ from .lexical import rank_documents
 from .mixing import mix_sources
 from .neighbours import finite_vectors, nearest
 from .packing import pack_documents
+from .repair import COUNTS, damage, repair, repaired_text
 from .rules import judge
 from .sharding import shard_documents
 from .topk import scaled, top_products
@@ -81,5 +82,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules", "held_out")
 
 
-_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard, op10_links, op11_lexical, op12_quality_rules)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = repair(damage(table(spark, sf_dir, "conversations")), F.col("dropped"))
+    return repaired.select("conv_id", *COUNTS, "audit", F.sha2(repaired_text(), 256).alias("repaired_sha256"))
+
+
+_ALL = (op1_sharding, op2_packing, op3_neighbours, op4_toxicity, op5_topk, op6_html, op7_language, op8_chat_formatting, op9_mixing, op10_jaccard, op10_links, op11_lexical, op12_quality_rules, op13_conversation_repair)
 QUERIES = {f.__name__: f for f in _ALL}
