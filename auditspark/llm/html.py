@@ -2,17 +2,20 @@
 
 Every page's containers are scored by the text that lies in them outside menus, adverts and the like; from the best one a
 page climbs until no text but links is left outside. The path of where it stops, tags and classes from the root without
-digits, is the page's vote; Spark counts votes by host, and each page is extracted again from the containers at all of its
-host's winning paths, and from its own as well if they leave out text of it that isn't mostly links.
+digits, is the page's vote. Spark counts votes by host; paths with at least SHARE of a host's votes win, so each of its
+layouts has its path and a page that was misread alone has none. Each page is extracted again from the containers at its
+host's winning paths. Its own container decides only where no winner is on the page or where the winners hold less than half
+of the text in its own that isn't links: then the page isn't of the host's kind.
 
-Inside an article only what the names of its elements call adverts, menus, notices, sidebars or reader comments is dropped;
-outside more names lead away from it. Pages are read twice, once for the vote and once for the text; work and memory grow
-with a page's length, however deep its elements are nested.
+Inside an article only containers whose names call them adverts, menus, notices, sidebars or reader comments are dropped, not
+single paragraphs or tables; outside more names lead away from it. Pages are read twice, once for the vote and once for the
+text; work and memory grow with a page's length, however deep its elements are nested and however broken its tags.
 
 Nulls and odd input: a null or empty page has an empty text; a null or odd url votes in a host of its own kind; unclosed and
-stray tags are repaired as browsers do in the usual cases; an unclosed comment, script or style runs to the end; rows with
-equal ids are extracted each; very long pages are read whole; of paths with equally many votes the first by name wins; an
-empty table gives an empty result; more columns are kept, and those named host or main_text replaced.
+stray tags are repaired as browsers do in the usual cases; an unclosed comment, script or style runs to the end; from a tag
+on whose quotes or whose end are never closed, tags end at the next ``>`` whatever quotes say, and what follows the last one
+is text; rows with equal ids are extracted each; very long pages are read whole; an empty table gives an empty result; more
+columns are kept, whatever their names, and those named host or main_text replaced.
 """
 
 from __future__ import annotations
@@ -28,11 +31,15 @@ from pyspark.sql.types import StringType
 
 from .common import bounded, cut
 
-#: Winning paths that a host keeps.
-PATHS = 3
+#: Share of its host's votes from which a path wins.
+SHARE = 0.1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# Possessive throughout: a tag that doesn't end is found out in one pass. An attribute's name is tried from its first letter.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"</?[a-zA-Z]")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_END_OF_RAW = {}
 _QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -41,19 +48,53 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "article", "section", "main", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "form", "nav", "aside", "header", "footer", "menu", "dialog", "center", "hgroup", "search"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "blockquote"}
+SINGLE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "pre", "figcaption", "summary"}
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "search", "fieldset", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
 LISTS = ("ul", "ol", "dl", "table", "div", "section", "article", "body")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-# Words in the class or id of elements that hold no article, anywhere, and only outside of articles.
+# Words in the class or id of elements that hold no article: parts of names outside of articles; inside, names
+# of containers that are such a word or, for some, begin with it.
 _NAMES = "ads?|adverts?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|alert|popup|newsletter|subscribe|comments?|commentlist|disqus|respond|reply|replies"
 _OUTSIDE = "banner|side|modal|overlay|subscription|share|sharing|social|related|recommended|widget|login|signup|signin|search|form|toolbar|pagination|pager|skip|copyright|legal|disclaimer"
-_AWAY = re.compile(rf"(?:^|[-_ ])(?:{_NAMES})(?:[-_ ]|$)")
+_AWAY = re.compile(r"(?:^| )(?:(?:ads?|adverts?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|cookies?|consent|gdpr|newsletter|subscribe|comments?|commentlist|disqus|respond|sidebar)(?:[-_][^ ]*)?|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|notices?|alert|popup|reply|replies)(?: |$)")
 _AWAY_OUTSIDE = re.compile(rf"(?:^|[-_ ])(?:{_NAMES}|{_OUTSIDE})(?:[-_ ]|$)")
 _HEAD = re.compile(r"(?:^|[-_ ])(?:header|topbar|top)(?:[-_ ]|$)")
 _GOOD = re.compile(r"(?:^|[-_ ])(?:content|article|post|entry|main|story|body|text)(?:[-_ ]|$)")
 
 
+def _tokens(source: str):
+    """(text before a tag, whether it closes, its name, its attributes) of each tag outside comments and raw elements; the
+    last text has no tag."""
+    at, begin, end, tags = 0, 0, len(source), _TAG
+    while (i := source.find("<", at)) >= 0:
+        if source.startswith("<!--", i):
+            close = source.find("-->", i + 4)
+            yield source[begin:i], False, "", ""
+            at = begin = close + 3 if close >= 0 else end
+        elif source[i + 1 : i + 2] in ("!", "?"):
+            close = source.find(">", i)
+            if close < 0:
+                break
+            yield source[begin:i], False, "", ""
+            at = begin = close + 1
+        elif m := tags.match(source, i):
+            tag, attributes = m[2].lower(), m[3]
+            yield source[begin:i], bool(m[1]), tag, attributes
+            at = begin = m.end()
+            if tag in RAW and not m[1] and not attributes.rstrip().endswith("/"):
+                raw = _END_OF_RAW.setdefault(tag, re.compile(rf"</{tag}\b", re.I)).search(source, at)
+                close = source.find(">", raw.end()) if raw else -1
+                at = begin = close + 1 if close >= 0 else end
+        elif not _NAME.match(source, i):
+            at = i + 1
+        elif tags is _TAG:
+            tags = _PLAIN_TAG  # it ran to the end of the page: no tag is read so again
+        else:
+            break  # no > follows
+    yield source[begin:], False, "", ""
+
+
 class Page:
     """Nodes by number, parents first: parent, path (a number: equal for equal tags and classes from the root on), step (the
     last tag and its classes); blocks: (node, text, length of its links) outside what is dropped."""
@@ -63,22 +104,12 @@ class Page:
         self._tags, self._dropped, self._inside = ["#"], [False], [False]
         self._paths, self._open_now = {}, Counter()
         self._stack, self._parts, self._linked, self._links = [0], [], 0, 0
-        at, end = 0, len(source)
-        while at < end:
-            m = _TOKEN.search(source, at)
-            self._text(source[at : m.start() if m else end])
-            if not m:
-                break
-            at = m.end()
-            if m[2]:
-                tag = m[2].lower()
-                if m[1]:
-                    self._close(tag)
-                else:
-                    self._open(tag, m[3] or "")
-                    if tag in RAW and not (m[3] or "").rstrip().endswith("/"):
-                        close = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(source, at)
-                        at = close.end()
+        for text, close, tag, attributes in _tokens(source):
+            self._text(text)
+            if close:
+                self._close(tag)
+            elif tag:
+                self._open(tag, attributes)
         self._flush()
 
     def _text(self, text: str) -> None:
@@ -136,7 +167,7 @@ class Page:
         inside = self._inside[above] or good and tag in CONTAINERS
         away = tag in DROPPED or values.get("role", "").lower() in ROLES or "hidden" in values.get("class", "").lower().split() or "hidden" in attributes and bool(_HIDDEN.search(_QUOTED.sub("", attributes)))
         if not away and tag not in ("html", "body", "article", "main"):
-            away = bool(names) and bool((_AWAY if inside else _AWAY_OUTSIDE).search(names)) or not inside and (tag == "header" or bool(names) and bool(_HEAD.search(names)))
+            away = bool(names) and bool(tag not in SINGLE and _AWAY.search(names) if inside else _AWAY_OUTSIDE.search(names)) or not inside and (tag == "header" or bool(names) and bool(_HEAD.search(names)))
         kinds = ".".join(sorted({re.sub(r"\d+", "", x) for x in values.get("class", "").lower().split()} - {""}))
         node = len(self.parent)
         self.parent.append(above)
@@ -216,9 +247,9 @@ def main_text(source: str | None, winners: list[str] | None) -> str:
     own = page.best()
     mine = set(page.under({own}) if own is not None else range(len(page.blocks)))
     taken = set(page.under(page.at(winners or ())))
-    text = {k for k, (_, *block) in enumerate(page.blocks) if not page._mostly_links(*block)}
-    if not taken & text or mine & text - taken:
-        taken |= mine
+    size = lambda some: sum(len(page.blocks[k][1]) for k in some if not page._mostly_links(*page.blocks[k][1:]))
+    if not size(taken) or 2 * size(taken & mine) < size(mine):
+        taken = mine if size(mine) else mine | taken
     return "\n\n".join(page.blocks[k][1] for k in sorted(taken))
 
 
@@ -240,15 +271,15 @@ def _extract(pages: pa.Array, winners: pa.Array) -> pa.Array:
 def host_paths(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(host, winners): of each host the paths with the most votes. pages has a column host."""
     votes = pages.select("host", _vote(html_col).alias("path")).filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    ranked = votes.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy(F.col("votes").desc(), "path"))).filter(F.col("i") <= PATHS)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "path"))), lambda x: x["path"]).alias("winners"))
+    ranked = votes.withColumn("all", F.sum("votes").over(Window.partitionBy("host"))).filter(F.col("votes") >= SHARE * F.col("all"))
+    return ranked.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("winners"))
 
 
 def extract(pages: DataFrame, *, html_col="html", url_col="url") -> DataFrame:
     """All columns of pages, with host and main_text."""
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    pages = pages.withColumn("host", host)
-    winners = cut(host_paths(pages, html_col), "html-hosts")
-    winners = winners.select(F.col("host").alias("_of"), F.col("winners").alias("_winners"))
-    joined = pages.join(bounded(winners, winners.count()), F.col("host") == F.col("_of"), "left")
-    return joined.withColumn("main_text", _extract(html_col, "_winners")).drop("_of", "_winners")
+    rows = pages.select(F.struct(*[x for x in pages.columns if x not in ("host", "main_text")]).alias("row"), host.alias("host"))
+    winners = cut(host_paths(rows, f"row.{html_col}"), "html-hosts")
+    winners = winners.select(F.col("host").alias("of"), "winners")
+    joined = rows.join(bounded(winners, winners.count()), F.col("host") == F.col("of"), "left")
+    return joined.select("row.*", "host", _extract(f"row.{html_col}", "winners").alias("main_text"))
