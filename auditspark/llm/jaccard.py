@@ -420,13 +420,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     their own component, and of rows equal in both, one stays if any does.
     """
     each, known = _grouped(docs.select("doc_id", "text"), k, percent)
-    named = each.join(bounded(known, known.count()), "c").select(F.col("doc_id").alias("_drop_id"), F.col("t").alias("_drop_t"), (_first() == F.col("lead")).alias("stays"))
-    counted = cut(named.groupBy("_drop_id", "_drop_t", "stays").agg(F.count("*").alias("k")).filter("not stays or k > 1"), "jaccard-drop")
-    same = F.col("_drop_id").eqNullSafe(F.col("doc_id")) & (F.col("_drop_t") == F.xxhash64("text"))
-    drop = counted.filter("not stays").select("_drop_id", "_drop_t")
-    kept = docs.join(bounded(drop, drop.count()), same, "left_anti")
-    again = counted.filter("stays").select("_drop_id", "_drop_t")
-    if not (n := again.count()):
-        return kept
-    repeated = kept.join(bounded(again, n), same, "left_semi").withColumn("_drop_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_drop_t"]).drop("_drop_t")
-    return kept.join(bounded(again, n), same, "left_anti").unionByName(repeated)
+    named = each.join(bounded(known, known.count()), "c").select("doc_id", "t", (_first() == F.col("lead")).alias("stays"))
+    counted = cut(named.groupBy("doc_id", "t", "stays").agg(F.count("*").alias("k")).filter("not stays or k > 1"), "jaccard-drop")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_t"))  # a struct, for names may clash
+    same = F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("t") == F.col("row_t"))
+    drop, again = (counted.filter(x).select("doc_id", "t") for x in ("not stays", "stays"))
+    kept = rows.join(bounded(drop, drop.count()), same, "left_anti")
+    if n := again.count():
+        again = bounded(again, n)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["row_id", "row_t"]))
+    return kept.select("row.*")

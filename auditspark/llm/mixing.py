@@ -1,13 +1,14 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Every document has a fixed 60-bit hash of its id and text. A source's mix is: each document ``full`` times, and once more if its
-hash is at most the source's threshold. The threshold is found from sums of sizes by hash bucket: the bucket in which the
+hash is below the source's threshold; of the rows that have the threshold's hash, all equal, as many as come nearest. The threshold is found from sums of sizes by hash bucket: the bucket in which the
 budget ends is split again, and only the rows of the last such bucket are looked at one hash at a time. Nothing is sorted
 as a whole, and a larger budget always keeps what a smaller one took.
 
 Nulls and odd input: a null text has size 0; a null source is a source of its own, last in order; rows with equal ids and
-texts share a hash and are taken together, others of one id, or of none, each have their own; a very long text counts like
-any other, and the mix may miss its target by the last document taken; an empty table gives an empty result; more columns,
+texts share a hash, and where the budget ends among them some are taken, which ones being all the same; others of one id, or
+of none, each have their own; a very long text counts like any other, and the mix may miss its target by half of the last
+document's size; an empty table gives an empty result; more columns,
 whatever their names, are ignored, and kept by take_mix.
 """
 
@@ -70,11 +71,12 @@ def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     # The last bucket holds about one row in 2^20 of its source: sum it hash by hash, and end nearest to the budget.
     inside = with_source(rows, edge).filter(F.shiftright("h", shift) == F.col("prefix"))
     by = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = inside.groupBy("source", "rest", "h").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(by))
-    last = last.filter(F.col("upto") - F.col("s") < F.col("rest"))
-    takes = (F.col("upto") < F.col("rest")) | (F.col("upto") - F.col("rest") <= F.col("rest") - (F.col("upto") - F.col("s")))
-    thresholds = last.groupBy("source").agg(F.max(F.when(takes, F.col("h")).otherwise(F.col("h") - 1)).alias("threshold"))
-    return rows, cut(plan.drop("rest").join(thresholds.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-plan")
+    last = inside.groupBy("source", "rest", "h").agg(F.sum("size").alias("s"), F.count("*").alias("alike")).withColumn("upto", F.sum("s").over(by))
+    left = F.col("rest") - (F.col("upto") - F.col("s"))
+    some = F.when(F.col("upto") < F.col("rest"), F.col("alike")).otherwise(F.floor(left / (F.col("s") / F.col("alike")) + 0.5))
+    ends = last.filter(left > 0).groupBy("source").agg(F.max(F.struct(F.col("h").alias("threshold"), some.alias("fit"), "alike")).alias("x"))
+    ends = ends.select(F.col("source").alias("of"), "x.*")
+    return rows, cut(plan.drop("rest").join(ends, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-plan")
 
 
 def with_source(df: DataFrame, plan: DataFrame) -> DataFrame:
@@ -83,15 +85,28 @@ def with_source(df: DataFrame, plan: DataFrame) -> DataFrame:
     return df.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
-def copies() -> Column:
-    """How often the mix takes a row of hash h."""
-    return (F.col("full") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)).cast("long")
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, h, ...) with what plan has for their source and copies: how often the mix takes each."""
+    rows = with_source(rows, plan)
+    more = lambda c: (F.col("full") + F.when(c, 1).otherwise(0)).cast("long")
+    at_end = F.col("h") == F.col("threshold")
+    if plan.filter("fit between 1 and alike - 1").isEmpty():
+        return rows.withColumn("copies", more((F.col("h") < F.col("threshold")) | at_end & (F.col("fit") > 0)))
+    # Equal rows are numbered within the parts in which they were written, each part from where the one before it ends.
+    ends = cut(rows.filter(at_end).withColumn("at", F.monotonically_increasing_id()), "mix-ends")
+    part = F.shiftright("at", 33).alias("part")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ends.groupBy("source", part).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = parts.select(F.col("source").alias("of"), F.col("part").alias("of_part"), "before")
+    numbered = ends.withColumn("part", part).withColumn("i", F.row_number().over(Window.partitionBy("source", "part").orderBy("at")))
+    numbered = numbered.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    chosen = numbered.withColumn("copies", more(F.col("before") + F.col("i") <= F.col("fit"))).select(*rows.columns, "copies")
+    return rows.filter(~F.coalesce(at_end, F.lit(False))).withColumn("copies", more(F.col("h") < F.col("threshold"))).unionByName(chosen)
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted), copies (how often the mix takes it)."""
-    rows, plan = mix_plan(docs, weights, share, most)
-    out = with_source(rows, plan).withColumn("copies", copies())
+    out = with_copies(*mix_plan(docs, weights, share, most))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -99,4 +114,4 @@ def take_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     """The mix itself: docs, each as often as it is taken."""
     _, plan = mix_plan(docs, weights, share, most)
     rows = docs.select(F.struct("*").alias("row"), "source", _hash("doc_id", "text").alias("h"))  # a struct, for names may clash
-    return with_source(rows, plan).filter(copies() > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies()))).select("row.*")
+    return with_copies(rows, plan).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

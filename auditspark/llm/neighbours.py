@@ -60,7 +60,13 @@ def build_index(vectors: DataFrame, k: int) -> DataFrame:
     return equal_vectors(vectors, k + 1).select("vec_id", "v", F.size("v").alias("dim")).mapInArrow(_codes, "vec_id long, dim int, code binary, fit double, v array<double>")
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which round nothing, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    q, x = _scaled(q), _scaled(x)
     return (x @ q) / (np.sqrt((x * x).sum(-1)) * np.sqrt((q * q).sum()))
 
 

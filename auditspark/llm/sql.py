@@ -25,11 +25,13 @@ l AS (SELECT *, max((budget - (cap_upto - cap)) / (all_w - (w_upto - w))) OVER (
 t AS (SELECT source, source_size, least(cap, w * level) AS target FROM l),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 q AS (SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM f),
-g AS (SELECT source, h, sum(size)::BIGINT AS s FROM r GROUP BY source, h),
+g AS (SELECT source, h, sum(size)::BIGINT AS s, count(*) AS alike FROM r GROUP BY source, h),
 e AS (SELECT g.*, q.rest, sum(s) OVER (PARTITION BY g.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source),
-b AS (SELECT source, max(CASE WHEN upto < rest OR upto - rest <= rest - (upto - s) THEN h ELSE h - 1 END) AS threshold FROM e WHERE rest > 0 AND upto - s < rest GROUP BY source)
-SELECT r.doc_id, r.size, q.source_size, q.target, (q.whole + CASE WHEN r.h <= b.threshold THEN 1 ELSE 0 END) * r.size AS taken
-FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON r.source IS NOT DISTINCT FROM b.source
+b AS (SELECT source, max(h) AS threshold, arg_max(CASE WHEN upto < rest THEN alike ELSE floor((rest - (upto - s)) / (s / alike) + 0.5)::BIGINT END, h) AS fit
+      FROM e WHERE rest > 0 AND upto - s < rest GROUP BY source),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS nth FROM r)
+SELECT n.doc_id, n.size, q.source_size, q.target, (q.whole + CASE WHEN n.h < b.threshold OR n.h = b.threshold AND n.nth <= b.fit THEN 1 ELSE 0 END) * n.size AS taken
+FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON n.source IS NOT DISTINCT FROM b.source
 """
 
 OP10 = r"""

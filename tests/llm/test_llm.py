@@ -182,6 +182,15 @@ def test_keep_one_goes_by_row(spark):
     assert {v for (_, n), v in least.items() if n > 1} == {9}
 
 
+def test_keep_one_of_clashing_names(spark):
+    names = ["_drop_id", "_drop_t", "row", "row_id", "row_t", "t", "lead", "k", "c", "stays", "n"]
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([a, b, a + " end", "short", None, ""])] + [(6, b, *names), (6, b, *names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = jaccard.keep_one(frame)
+    assert got.columns == frame.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], *rows[3:6]], key=str)
+
+
 def test_jaccard_of_a_hot_column(spark):
     """A passage in half of all texts, variants of one text by the hundred, and strays that link to one variant only."""
     rng = random.Random(17)
@@ -303,6 +312,22 @@ def test_mixing_of_clashing_names_and_ids(spark):
     assert Counter(map(tuple, mixing.take_mix(frame.repartition(7)).collect())) == taken
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_mixing_of_equal_rows(spark, parts):
+    """A source of one text without ids is taken to within half a text of its target; the other source is mixed as ever."""
+    names = ["h", "fit", "alike", "threshold", "at", "part", "of_part", "before", "i", "copies"]
+    rows = [(None, "four words of text", "a", *"0123456789")] * 1000 + [(i, f"w{i} " * (1 + i % 7), "b", *"0123456789") for i in range(300)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}").repartition(parts)
+    got = mixing.mix_sources(frame).collect()
+    target = {r["source"]: r["target"] for r in got}
+    assert 4000 < target["a"] < 8000 and target["a"] % 4000 > 4
+    assert abs(sum(r["taken"] for r in got if r["source"] == "a") - target["a"]) <= 2
+    assert abs(sum(r["taken"] for r in got if r["source"] == "b") - target["b"]) <= 7
+    mix = mixing.take_mix(frame)
+    assert mix.columns == frame.columns
+    assert Counter(map(tuple, mix.select("doc_id", "text").collect())) == sum((Counter({(r["doc_id"], rows[0][1] if r["doc_id"] is None else rows[1000 + r["doc_id"]][1]): r["copies"]}) for r in got if r["copies"]), Counter())
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix_sources(none(spark)).count() == 0
     empty = spark.createDataFrame(rows_of((1, None, "", "a"), (2, "", "", "b")), DOC)
@@ -558,6 +583,17 @@ def test_toxicity_learns_pairs(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_scores_of_huge_and_tiny_vectors(spark):
+    """Cosines of vectors whose squares overflow or vanish."""
+    v = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [3.0, -1.0]), (3, [5e-324, 0.0]), (4, [1.7e308, -1.7e308]), (5, [1e300, 1e-300])]
+    frame = neighbours.finite_vectors(spark.createDataFrame(v, "vec_id long, embedding array<double>"), zero=False)
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in neighbours.nearest(frame, frame, 5).collect()}
+    unit = [np.array(x) / np.abs(x).max() for _, x in v]
+    assert len(got) == 30
+    for (i, j), score in got.items():
+        assert score == pytest.approx(unit[i] @ unit[j] / np.linalg.norm(unit[i]) / np.linalg.norm(unit[j]), abs=1e-12)
+
+
 def test_toxicity_without_labels(spark):
     frame = spark.createDataFrame(rows_of((1, "a", "", "")), DOC)
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
