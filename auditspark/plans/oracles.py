@@ -87,6 +87,72 @@ p AS (SELECT m.claim_id, coalesce(m.item_code, b.item_code) AS item_code, coales
   CASE WHEN m.pos IS NULL THEN 'not billed' WHEN b.pos IS NULL THEN 'not in BoQ' WHEN abs(m.unit_price - b.unit_price) <= 0.01 THEN 'price matches' ELSE 'unit price differs' END AS status
   FROM mine m FULL OUTER JOIN boq_all b ON m.item_code = b.item_code AND m.nth = b.pos)"""
 
+_EDGES = "،,.:;()[]{}«»\"''“”‘’-—…"
+
+LOCATE_LADDER = f"""
+WITH t AS (SELECT conv_id AS doc_id, (turn + 1)::INTEGER AS page, trim(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS (SELECT doc_id, page, list_filter(string_split(array_to_string(list_sort(list(text)), ' '), ' '), lambda x: x <> '') AS w FROM t GROUP BY ALL),
+i AS (SELECT doc_id, page, unnest(w) AS c, unnest(range(0, len(w)))::INTEGER AS idx FROM p),
+k AS (SELECT doc_id, page, idx, lower(c) AS key, trim(lower(c), '{_EDGES}') AS tok, sum(length(lower(c))) OVER (PARTITION BY doc_id, page ORDER BY idx) - length(lower(c)) AS start FROM i),
+x AS (SELECT doc_id, page, string_agg(key, '' ORDER BY idx) AS flat FROM k GROUP BY ALL),
+d AS (SELECT doc_id, max(page) AS pages, max(w) FILTER (page = 1) AS one, max(w) FILTER (page = 2) AS two, count(*) FILTER (page <= 3 AND len(w) > 0) AS near FROM p GROUP BY doc_id),
+n AS (SELECT doc_id, pages, doc_id % 5 AS kind, CASE WHEN doc_id % 5 IN (2, 3) THEN near ELSE 0 END AS base,
+        CASE doc_id % 5 WHEN 0 THEN one[3:6] WHEN 1 THEN two[3:6] WHEN 2 THEN one[1:4] WHEN 3 THEN one[1:6] END AS ws FROM d),
+a AS (SELECT n.*, CASE WHEN kind < 2 THEN 'value' WHEN kind = 2 THEN 'row' ELSE 'anchor' END AS stage, x.page, x.flat, lower(array_to_string(ws, '')) AS needle,
+        list_distinct(list_filter(list_transform(ws, lambda c: trim(lower(c), '{_EDGES}')), lambda c: length(c) >= 2)) AS toks,
+        len(list_filter(list_transform(ws, lambda c: trim(lower(c), '{_EDGES}')), lambda c: length(c) >= 2)) AS n_toks
+      FROM n JOIN x ON x.doc_id = n.doc_id AND x.page <= CASE WHEN kind = 2 THEN 1 ELSE least(3, pages) END WHERE len(coalesce(ws, [])) > 0),
+e AS (SELECT a.*, CASE WHEN contains(flat, needle) THEN strpos(flat, needle) - 1 END AS pos FROM a),
+h AS (SELECT e.doc_id, e.page, k.idx, k.tok, len(toks) AS n_set, k.idx - lag(k.idx) OVER (PARTITION BY e.doc_id, e.page ORDER BY k.idx) AS step
+      FROM e JOIN k ON k.doc_id = e.doc_id AND k.page = e.page AND list_contains(e.toks, k.tok) WHERE pos IS NULL AND n_toks >= 3),
+g AS (SELECT *, sum(CASE WHEN step <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY idx) AS island FROM h),
+r AS (SELECT doc_id, page, island, n_set, min(idx) AS first, max(idx) AS last, count(DISTINCT tok) AS n FROM g GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, first) AS o FROM r),
+f AS (SELECT e.*, CASE WHEN pos IS NOT NULL THEN 'exact' WHEN b.n >= 4 OR b.n >= 3 AND b.n >= 0.6 * b.n_set THEN 'phrase' END AS how,
+        CASE WHEN pos IS NOT NULL THEN (SELECT max(k.idx) FROM k WHERE k.doc_id = e.doc_id AND k.page = e.page AND k.start <= e.pos) ELSE b.first END AS first,
+        CASE WHEN pos IS NOT NULL THEN (SELECT max(k.idx) FROM k WHERE k.doc_id = e.doc_id AND k.page = e.page AND k.start <= e.pos + length(e.needle) - 1) ELSE b.last END AS last
+      FROM e LEFT JOIN b ON b.doc_id = e.doc_id AND b.page = e.page AND b.o = 1),
+z AS (SELECT doc_id, min(page) FILTER (how IS NOT NULL) AS page FROM f GROUP BY doc_id),
+l AS (SELECT f.doc_id, count(*) AS looked FROM f JOIN z ON z.doc_id = f.doc_id WHERE f.page <= coalesce(z.page, 99) GROUP BY f.doc_id)
+SELECT n.doc_id AS needle_id, n.doc_id, f.stage, coalesce(f.page, 1) AS page, CASE WHEN f.how IS NOT NULL THEN 'words' END AS kind, f.how, f.first, f.last, n.base + coalesce(l.looked, 0) AS looked
+FROM n LEFT JOIN z ON z.doc_id = n.doc_id LEFT JOIN f ON f.doc_id = n.doc_id AND f.page = z.page LEFT JOIN l ON l.doc_id = n.doc_id
+"""
+
+LOCATE_AMOUNTS = """
+WITH li AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_partkey) AS part, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
+one AS (SELECT k, price AS one FROM li WHERE n = 1),
+w AS (SELECT li.k, n, part, CASE WHEN li.k % 2 = 0 THEN one ELSE price END AS shown FROM li JOIN one USING (k)),
+t AS (SELECT k, arg_max(part, n) AS part, arg_max(shown, n) AS shown FROM w GROUP BY k),
+v AS (SELECT k, part, shown, k % 3 = 0 AS whole, length(floor(shown)::BIGINT::VARCHAR) >= 4 AS long FROM t),
+a AS (SELECT v.k, min(w.n) AS at FROM v JOIN w ON w.k = v.k AND w.part = v.part GROUP BY v.k),
+o AS (SELECT v.k, w.n, row_number() OVER (PARTITION BY v.k ORDER BY (w.n - a.at) * (w.n - a.at), w.n) AS i FROM v JOIN a USING (k)
+      JOIN w ON w.k = v.k AND CASE WHEN v.whole THEN v.long AND floor(w.shown) = floor(v.shown) ELSE w.shown = v.shown END)
+SELECT v.k AS needle_id, v.k AS doc_id, CASE WHEN o.k IS NULL THEN 'anchor' ELSE 'value' END AS stage, 1 AS page, 'words' AS kind,
+  CASE WHEN o.k IS NULL OR NOT v.whole THEN 'exact' ELSE 'amount' END AS how, coalesce(2 * o.n - 1, 2 * a.at - 2) AS first, coalesce(2 * o.n - 1, 2 * a.at - 2) AS last, CASE WHEN o.k IS NULL THEN 2 ELSE 1 END AS looked
+FROM v JOIN a USING (k) LEFT JOIN (SELECT * FROM o WHERE i = 1) o ON o.k = v.k
+"""
+
+_RUN_WORDS = """
+WITH c AS (SELECT conv_id AS doc_id, turn + 1 AS page, min(text) AS text FROM conversations GROUP BY ALL),
+w AS (SELECT doc_id, page, unnest(range(0, len(a))) AS idx, unnest(a) AS content FROM (SELECT doc_id, page, regexp_split_to_array(text, '\\s+') AS a FROM c)),
+k AS (SELECT doc_id, page, idx, regexp_replace(lower(content), '[^0-9a-zء-ي.]+|^[.]+|[.]+$', '', 'g') AS tok FROM w),
+"""
+_RUN_BEST = """
+h AS (SELECT DISTINCT k.doc_id, k.page, k.idx, k.tok FROM k JOIN q USING (doc_id, tok)),
+g AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY doc_id, page ORDER BY idx) <= 3 THEN 0 ELSE 1 END AS start FROM h),
+i AS (SELECT *, sum(start) OVER (PARTITION BY doc_id, page ORDER BY idx) AS island FROM g),
+r AS (SELECT doc_id, page, island, min(idx) AS first, max(idx) AS last, count(DISTINCT tok) AS n_tokens FROM i GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY n_tokens DESC, first, last) AS o FROM r)
+"""
+FUZZY_RUN = f"{_RUN_WORDS} q AS (SELECT DISTINCT doc_id, tok FROM k WHERE page = 1 AND idx < 3), {_RUN_BEST} SELECT doc_id AS needle_id, doc_id, page, first, last, n_tokens FROM b WHERE o = 1"
+LOCATE_WORDS = f"""{_RUN_WORDS} q AS (SELECT doc_id, idx - 2 AS i, tok FROM k WHERE page = 2 AND idx BETWEEN 2 AND 4), {_RUN_BEST},
+s AS (SELECT doc_id, count(*) AS n FROM q GROUP BY doc_id),
+m AS (SELECT k.doc_id, k.page, k.idx - q.i AS first, count(DISTINCT q.i) AS found FROM k JOIN q USING (doc_id, tok) GROUP BY ALL),
+u AS (SELECT m.doc_id, 1 AS step, page, first, first + n - 1 AS last FROM m JOIN s USING (doc_id) WHERE found = n AND page <= 3
+  UNION ALL SELECT b.doc_id, 2, page, first, last FROM b JOIN s USING (doc_id) WHERE o = 1 AND page <= 3 AND n_tokens * 2 >= n)
+SELECT doc_id AS needle_id, doc_id, step, page, first, last FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step, page, first) AS o FROM u) WHERE o = 1
+"""
+
 SQL = {
     "claim_verdicts": f"""WITH {FINDINGS}, r AS (SELECT k, max({RANK}) AS worst, string_agg(CASE WHEN severity = 'fail' THEN title END, '; ' ORDER BY rule_order) AS failed, string_agg(CASE WHEN severity = 'warn' THEN title END, '; ' ORDER BY rule_order) AS warned FROM f GROUP BY k)
         SELECT k::VARCHAR AS claim_id, CASE worst WHEN 2 THEN 'reject' WHEN 1 THEN 'needs_human' ELSE 'approve' END AS verdict, CASE worst WHEN 2 THEN failed WHEN 1 THEN warned ELSE '' END AS rationale FROM r""",
@@ -193,4 +259,8 @@ SQL = {
     "line_totals": "SELECT l_orderkey AS claim_id, (sum(l_extendedprice::DECIMAL(18, 4)::DECIMAL(18, 2) * l_quantity::DECIMAL(18, 2)) * 10000)::BIGINT AS total FROM lineitem GROUP BY l_orderkey",
     "usage_totals": "SELECT count(*) AS calls, round(sum(l_quantity::DECIMAL(18, 4)), 1)::DOUBLE AS l_quantity, round(sum(l_extendedprice::DECIMAL(18, 4)), 1)::DOUBLE AS l_extendedprice FROM lineitem",
     "deduction_rows": f"WITH {PAIRS} SELECT status, count(*) AS n FROM p GROUP BY status UNION ALL SELECT 'deduction', count(*) FROM inv WHERE quantity < 0 HAVING count(*) > 0",
+    "locate_ladder": LOCATE_LADDER,
+    "locate_amounts": LOCATE_AMOUNTS,
+    "locate_words": LOCATE_WORDS,
+    "fuzzy_run": FUZZY_RUN,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, text
-from ..operators import align, engine, evidence, intake, lines, locate, merge, reads, witness
+from ..operators import align, engine, evidence, intake, lines, locate, merge, places, reads, witness
 from ..operators.rules import REQUIRED_ATTACHMENTS
 from ..sources import claims as claim_source
 from ..sources import documents as docs
@@ -369,6 +369,43 @@ def locate_words(spark, sf):
     return locate.locate(words, needle, words.groupBy("doc_id").agg(F.max("page").cast("int").alias("pages")))
 
 
+@query
+def locate_ladder(spark, sf):
+    """Words of each conversation's pages, looked for by value, by the terms beside it and by the clause around it; a page is
+    all texts of a turn."""
+    turns = V.table(spark, sf, "conversations").filter("conv_id is not null and turn is not null").groupBy(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"))
+    page = turns.agg(F.array_join(F.array_sort(F.collect_list(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t-\r]+", " ")))), " ").alias("text"))
+    page = page.withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
+    at = lambda name: F.posexplode(name).alias("idx", "content")
+    placed = lambda df, wide: df.withColumn("x", (F.col("idx") % wide).cast("double")).withColumn("y", F.floor(F.col("idx") / wide).cast("double"))
+    lines = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(10)), lambda i: F.array_join(F.slice("w", i + 1, 10), " "))
+    index = places.page_index(placed(page.select("doc_id", "page", at("w")), 10), placed(page.select("doc_id", "page", at(lines)), 1))
+    some = lambda p, a, n: F.array_join(F.slice(F.max(F.when(F.col("page") == p, F.col("w"))), a, n), " ")
+    docs = page.groupBy("doc_id").agg(F.max("page").alias("pages"), some(1, 3, 4).alias("here"), some(2, 3, 4).alias("next"), some(1, 1, 4).alias("row"), some(1, 1, 6).alias("clause"))
+    kind, none = F.col("doc_id") % 5, F.array().cast("array<string>")
+    values = F.when(kind == 0, F.array("here")).when(kind == 1, F.array("next")).when(kind == 4, F.array(F.lit("n/a"))).otherwise(F.array(F.lit("zq 404 zq")))
+    needles = docs.select(F.col("doc_id").alias("needle_id"), "doc_id", F.lit(1).alias("page"), values.alias("values"), F.when(kind == 2, F.array("row")).otherwise(none).alias("row_terms"), F.when(kind == 3, F.array("clause")).otherwise(none).alias("anchors"))
+    return places.locate_values(index, needles, docs.select("doc_id", "pages"))
+
+
+@query
+def locate_amounts(spark, sf):
+    """One price of each order on a page of all its lines, looked for as a plain number: the one in its part's line counts."""
+    li = V.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_extendedprice").alias("price"))
+    price = F.format_number("price", 2)
+    words = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), "l_linenumber", F.posexplode(F.array(F.concat(F.lit("P-"), F.lpad(F.col("part").cast("string"), 9, "0")), price)).alias("i", "content"))
+    # every second order prints its first line's price on all lines
+    first = li.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("doc_id"), F.format_number("price", 2).alias("one"))
+    words = words.join(first, "doc_id").withColumn("content", F.when((F.col("i") == 1) & (F.col("doc_id") % 2 == 0), F.col("one")).otherwise(F.col("content")))
+    words = words.select("doc_id", "page", ((F.col("l_linenumber") - 1) * 2 + F.col("i")).cast("int").alias("idx"), "content", F.col("i").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
+    last = li.groupBy("l_orderkey").agg(F.max(F.struct("l_linenumber", "part", "price")).alias("r")).select(F.col("l_orderkey").alias("doc_id"), "r.*").join(first, "doc_id")
+    shown = F.regexp_replace(F.when(F.col("doc_id") % 2 == 0, F.col("one")).otherwise(price), ",", "")
+    value = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("SAR "), F.regexp_replace(shown, r"\.\d\d$", ""))).otherwise(shown)
+    needles = last.select(F.col("doc_id").alias("needle_id"), "doc_id", F.lit(1).alias("page"), F.array(value).alias("values"), F.array().cast("array<string>").alias("row_terms"), F.array(F.concat(F.lit("P-"), F.lpad(F.col("part").cast("string"), 9, "0"))).alias("anchors"))
+    index = places.page_index(words, words.limit(0))
+    return places.locate_values(index, needles, needles.select("doc_id", F.lit(1).alias("pages")))
+
+
 @query
 def fuzzy_run(spark, sf):
     words = _words(spark, sf)
