@@ -153,6 +153,27 @@ u AS (SELECT m.doc_id, 1 AS step, page, first, first + n - 1 AS last FROM m JOIN
 SELECT doc_id AS needle_id, doc_id, step, page, first, last FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step, page, first) AS o FROM u) WHERE o = 1
 """
 
+CONSENSUS_READS = """
+WITH o AS (SELECT o_orderkey AS k, max(o_totalprice) AS price FROM orders GROUP BY 1),
+j AS (SELECT k, price, p FROM o, (SELECT unnest([1, 2, 3]) AS p) WHERE NOT (k % 11 = 0 AND p = 2 OR k % 143 = 0 AND p <= 2) AND (p = 1 OR k % 5 <> 0)),
+x AS (SELECT k, p, k + CASE WHEN k % 6 = 0 AND p = 1 THEN 1 ELSE 0 END AS num, CASE WHEN k % 4 = 0 AND p = 2 THEN price * 10 ELSE price END AS total, 'Vendor ' || substr('abc', p, 1) AS seller,
+        NOT (k % 9 = 0 AND p = 2) AS coc, k % 30 + CASE WHEN k % 7 = 0 AND p = 1 THEN 1 ELSE 0 END AS days FROM j),
+t AS (SELECT a.k, count(*) = 1 AS two, bool_or(a.coc <> b.coc OR a.days <> b.days AND a.coc AND b.coc) AS rest, bool_or(a.num <> b.num OR round(a.total, 2) <> round(b.total, 2)) AS head
+      FROM x a JOIN x b ON a.k = b.k AND a.p = 1 AND b.p = 2 GROUP BY a.k),
+s AS (SELECT k FROM t WHERE rest OR head AND k % 3 <> 0),
+r AS (SELECT * FROM x WHERE p <= 2 OR k IN (SELECT k FROM s)),
+c AS (SELECT *, count(*) OVER (PARTITION BY k, num, round(total, 2), coc, CASE WHEN coc THEN days END) AS cd, count(*) OVER (PARTITION BY k, num, round(total, 2)) AS ci,
+        count(*) OVER (PARTITION BY k, coc, days) AS cc, count(*) OVER (PARTITION BY k, num) AS cn, count(*) OVER (PARTITION BY k, round(total, 2)) AS ct, count(*) OVER (PARTITION BY k) AS n FROM r),
+d AS (SELECT k, max(n) AS n, min(p) AS p0, min(p) FILTER (cd >= 2) AS pd, min(p) FILTER (ci >= 2) AS pi, min(p) FILTER (coc AND cc >= 2) AS pc, min(p) FILTER (coc) AS pc0,
+        min(p) FILTER (cn >= 2) AS pn, min(p) FILTER (ct >= 2) AS pt, bool_or(p = 2) AS second FROM c GROUP BY k),
+v AS (SELECT d.*, a.num, b.total, e.seller, g.coc AND g.p IS NOT NULL AS coc, g.days FROM d JOIN r a ON a.k = d.k AND a.p = coalesce(pd, pi, pn, p0) JOIN r b ON b.k = d.k AND b.p = coalesce(pd, pi, pt, p0)
+      JOIN r e ON e.k = d.k AND e.p = coalesce(pd, pi, p0) LEFT JOIN r g ON g.k = d.k AND g.p = coalesce(pd, pc, pc0))
+SELECT o.k, 'INV-' || CASE WHEN o.k % 3 = 0 THEN CASE WHEN v.num IS NOT NULL THEN o.k END ELSE v.num END AS invoice_no,
+  CASE WHEN v.k IS NULL THEN NULL WHEN o.k % 3 = 0 AND round(v.total, 2) <> round(price, 2) THEN price ELSE v.total END AS total_with_vat, v.seller, CASE WHEN v.coc THEN 'C-' || o.k END AS coc_no,
+  CASE WHEN v.coc THEN v.days END AS delay_days, CASE WHEN v.k IS NOT NULL THEN CASE WHEN v.second THEN 'd' || o.k ELSE '' END END AS signing_date, coalesce(v.n, 0) AS n_reads, s.k IS NOT NULL AS disputed
+FROM o LEFT JOIN v ON v.k = o.k LEFT JOIN s ON s.k = o.k
+"""
+
 SQL = {
     "claim_verdicts": f"""WITH {FINDINGS}, r AS (SELECT k, max({RANK}) AS worst, string_agg(CASE WHEN severity = 'fail' THEN title END, '; ' ORDER BY rule_order) AS failed, string_agg(CASE WHEN severity = 'warn' THEN title END, '; ' ORDER BY rule_order) AS warned FROM f GROUP BY k)
         SELECT k::VARCHAR AS claim_id, CASE worst WHEN 2 THEN 'reject' WHEN 1 THEN 'needs_human' ELSE 'approve' END AS verdict, CASE worst WHEN 2 THEN failed WHEN 1 THEN warned ELSE '' END AS rationale FROM r""",
@@ -263,4 +284,5 @@ SQL = {
     "locate_amounts": LOCATE_AMOUNTS,
     "locate_words": LOCATE_WORDS,
     "fuzzy_run": FUZZY_RUN,
+    "consensus_reads": CONSENSUS_READS,
 }

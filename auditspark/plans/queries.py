@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, text
-from ..operators import align, engine, evidence, intake, lines, locate, merge, places, reads, witness
+from ..operators import align, consensus, engine, evidence, intake, lines, locate, merge, places, reads, witness
 from ..operators.rules import REQUIRED_ATTACHMENTS
 from ..sources import claims as claim_source
 from ..sources import documents as docs
@@ -135,6 +135,30 @@ def majority_vote(spark, sf):
     return merge.majority_vote(e, ["user_id"]).select("user_id", "value", F.col("support").cast("long").alias("support"))
 
 
+@query
+def consensus_reads(spark, sf):
+    """Invoices and certificates of all orders, read twice where they are short, a third time where two reads disagree, voted
+    and put right by a focused read of every third."""
+    o = V.table(spark, sf, "orders").groupBy(F.col("o_orderkey").alias("k")).agg(F.max("o_totalprice").alias("price"))
+    units = o.select("k", "price", F.when(F.col("k") % 5 == 0, 5).otherwise(1).alias("n_unit_pages"), F.lit(0).alias("unit"))
+    k, no, each = F.col("k"), F.col("pass"), lambda n: F.col("k") % n == 0
+    number = lambda v: F.concat(F.lit("INV-"), v.cast("string"))
+
+    def reader(jobs):
+        invoice = F.struct(number(F.when(each(6) & (no == 1), k + 1).otherwise(k)).alias("invoice_no"), F.when(each(4) & (no == 2), F.col("price") * 10).otherwise(F.col("price")).alias("total_with_vat"), F.concat(F.lit("Vendor "), F.substring(F.lit("abc"), no, F.lit(1))).alias("seller_name_ar"), no.alias("page"))
+        coc = F.struct(F.concat(F.lit("C-"), k.cast("string")).alias("coc_no"), (k % 30 + F.when(each(7) & (no == 1), 1).otherwise(0)).cast("int").alias("delay_days"))
+        docs = F.struct(invoice.alias("invoice"), F.when(~(each(9) & (no == 2)), coc).alias("coc"))
+        failed = each(11) & (no == 2) | each(143) & (no <= 2)
+        return jobs.select("k", "pass", F.when(~failed, docs).alias("docs"), F.struct(F.when(no == 2, F.concat(F.lit("d"), k.cast("string"))).otherwise("").alias("signing_date")).alias("anchors"))
+
+    def focused(jobs):
+        found = F.struct(F.when(each(3), number(k)).otherwise("").alias("invoice_no"), F.when(each(3), F.col("price")).otherwise(0.0).alias("total_with_vat"))
+        return jobs.select("k", F.struct(found.alias("invoice")).alias("key_fields"))
+
+    out = consensus.read_units(units, ["k"], reader, focused, store=lambda df: df)
+    return out.select("k", "docs.invoice.invoice_no", "docs.invoice.total_with_vat", F.col("docs.invoice.seller_name_ar").alias("seller"), "docs.coc.coc_no", "docs.coc.delay_days", "anchors.signing_date", "n_reads", "disputed")
+
+
 @query
 def merge_reads(spark, sf):
     t = V.table(spark, sf, "conversations").withColumn("role", F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role")))
