@@ -1,92 +1,173 @@
-"""Invoice lines to rows of the bill of quantities by wording and price, where codes don't say it.
+"""Invoice and receipt lines to rows of the bill of quantities by wording and price, where codes don't say it.
 
-Scores come from a join within the claim, a vectorised comparison and windows; only the assignment, in which a row that one
-line took is not given to a later one, runs line by line, over one claim's few candidates at a time.
+Lines meet the rows of their claim in a join, but wording is compared only where it can matter: an upper bound of the measure,
+from the letters that two texts have in common, is worked out in Spark for every pair; the most promising row of a line, the
+only row of its price and the row of its own code are compared first, and then those whose bound reaches the best of these
+within the lead that a match must have. The assignment, in which a row that one line has isn't given to another, is a set
+operation too: a line's target doesn't depend on other lines, so of the lines with one target the first takes it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity
+from ..functions.similarity import COVER_FROM, COVER_MOST, similarity
 from ..functions.text import canonical_code, name_key
 from .checks import MONEY
 from .lines import deduction
 
 # Wording alone, its lead over the next, wording with an equal price, what the price adds, the lead to move.
 ACCEPT, LEAD, WITH_PRICE, PRICE_ADDS, MOVE_LEAD, PLAUSIBLE = 0.9, 0.04, 0.45, 0.05, 0.1, 0.75
+# Fixed value: how a date begins that isn't a duration.
+ISO = r"^\d{4}-\d{2}-\d{2}"
+
+
+def line_key(lines: DataFrame) -> list[str]:
+    """Columns that name a line: of one document, or of several with the column doc."""
+    return [x for x in ("claim_id", "doc", "pos") if x in lines.columns]
 
 
 def canonical_matches(lines: DataFrame, boq: DataFrame) -> DataFrame:
-    """(claim_id, pos, target): the only code of the bill with the line's canonical code."""
+    """(line, target): the only code of the bill with the line's canonical code."""
     index = boq.groupBy("claim_id", canonical_code(F.col("item_code")).alias("canon")).agg(F.count_distinct("item_code").alias("n"), F.min("item_code").alias("target")).filter("n = 1")
-    mine = lines.filter(F.coalesce("item_code", F.lit("")) != "").select("claim_id", "pos", canonical_code(F.col("item_code")).alias("canon"))
-    return mine.join(index, ["claim_id", "canon"]).select("claim_id", "pos", "target")
+    mine = lines.filter(F.trim(F.coalesce("item_code", F.lit(""))) != "").select(*line_key(lines), canonical_code(F.col("item_code")).alias("canon"))
+    return mine.join(index, ["claim_id", "canon"]).select(*line_key(lines), "target")
+
+
+def same_price(a: Column, b: Column) -> Column:
+    return (F.coalesce(a, F.lit(0.0)) != 0) & F.coalesce(F.abs(a - b) <= MONEY, F.lit(False))
+
+
+def letter_bag(key: Column) -> Column:
+    """The letters of a text, the n-th of each kind told apart: texts have as many letters in common as their bags."""
+    letters = F.array_sort(F.transform(F.filter(F.split(key, ""), lambda c: c != ""), F.ascii))
+    return F.transform(letters, lambda c, i: c.cast("long") * 65536 + i - F.array_position(letters, c))
+
+
+def bound(a: Column, b: Column, common: Column) -> Column:
+    """The measure of wording, had the texts a and b all their common letters in the same order: never below the measure."""
+    n, m = F.length(a), F.length(b)
+    shorter = F.least(n, m)
+    covered = F.when(shorter >= COVER_FROM, F.least(common / shorter, F.lit(COVER_MOST))).otherwise(0.0)
+    return F.when(a == b, 1.0).when(shorter == 0, 0.0).otherwise(F.greatest(2 * common / (n + m), covered) + 1e-9)
+
+
+def bounds(lines: DataFrame, boq: DataFrame) -> DataFrame:
+    """Every line with every row of its claim: line, item_code, code, line_text, boq_text, same (price), most (bound)."""
+    by = line_key(lines)
+    mine = lines.filter(~deduction()).select(*by, "item_code", name_key(F.col("description")).alias("line_text"), F.col("unit_price").alias("line_price")).filter("line_text != ''")
+    ref = boq.select("claim_id", F.col("pos").alias("boq_pos"), F.col("item_code").alias("code"), name_key(F.col("description")).alias("boq_text"), F.col("unit_price").alias("boq_price"))
+    both = mine.withColumn("line_bag", letter_bag(F.col("line_text"))).join(ref.withColumn("boq_bag", letter_bag(F.col("boq_text"))), "claim_id")
+    most = bound(F.col("line_text"), F.col("boq_text"), F.size(F.array_intersect("line_bag", "boq_bag")))
+    return both.select(*by, "item_code", "code", "boq_pos", "line_text", "boq_text", same_price(F.col("line_price"), F.col("boq_price")).alias("same"), most.alias("most"))
+
+
+def compared(lines: DataFrame, boq: DataFrame) -> DataFrame:
+    """bounds() with strength: null for pairs that can change no match, as neither best nor a runner-up within the lead."""
+    line = Window.partitionBy(*line_key(lines))
+    pairs = bounds(lines, boq).withColumn("rival", F.col("code") != F.coalesce("item_code", F.lit("")))
+    bonus = F.when(F.max("same").over(Window.partitionBy(*line_key(lines), "code")), PRICE_ADDS).otherwise(0.0)
+    pairs = pairs.withColumn("bonus", bonus).withColumn("promise", F.when(F.col("rival"), F.col("most") + F.col("bonus")))
+    pairs = pairs.withColumn("i", F.row_number().over(line.orderBy(F.col("promise").desc_nulls_last(), "boq_pos"))).withColumn("priced", F.size(F.collect_set(F.when(F.col("rival") & F.col("same"), F.col("code"))).over(line)))
+    of_price = F.col("same") & (F.col("priced") == 1)
+    wording = lambda when: similarity(F.when(when, F.col("line_text")), F.when(when, F.col("boq_text")))
+    pairs = pairs.withColumn("now", ~F.col("rival") | (F.col("i") == 1) | of_price).withColumn("first", wording(F.col("now")))
+    best = F.max(F.when(F.col("rival") & F.col("now"), F.col("first") + F.when(F.col("same"), PRICE_ADDS).otherwise(0.0))).over(line)
+    pairs = pairs.withColumn("reach", best - LEAD - 1e-9)
+    later = ~F.col("now") & (F.col("promise") >= F.col("reach")) & ((F.col("promise") >= ACCEPT - LEAD - 1e-9) | (F.col("priced") == 1))
+    pairs = pairs.withColumn("later", F.coalesce(later, F.lit(False))).withColumn("second", wording(F.col("later")))
+    return pairs.withColumn("strength", F.when(F.col("now"), F.col("first")).when(F.col("later"), F.col("second"))).drop("rival", "bonus", "promise", "i", "now", "first", "reach", "later", "second")
 
 
 def scores(lines: DataFrame, boq: DataFrame) -> DataFrame:
-    """(claim_id, pos, item_code, code, strength, same_price, score, code_ord) for each line and code of its claim."""
-    mine = lines.filter(~deduction()).select("claim_id", "pos", "item_code", name_key(F.col("description")).alias("line_key"), F.col("unit_price").alias("line_price")).filter("line_key != ''")
-    ref = boq.select("claim_id", F.col("pos").alias("boq_pos"), F.col("item_code").alias("code"), name_key(F.col("description")).alias("boq_key"), F.col("unit_price").alias("boq_price"))
-    both = mine.join(ref, "claim_id").withColumn("strength", similarity("line_key", "boq_key"))
-    same = (F.coalesce("line_price", F.lit(0.0)) != 0) & (F.abs(F.col("line_price") - F.col("boq_price")) <= MONEY)
-    both = both.withColumn("same_price", same).withColumn("score", F.col("strength") + F.when(same, PRICE_ADDS).otherwise(0.0))
-    return both.groupBy("claim_id", "pos", "item_code", "code").agg(F.max("strength").alias("strength"), F.max("same_price").alias("same_price"), F.max("score").alias("score"), F.min("boq_pos").alias("code_ord"))
+    """(line, item_code, code, strength, same_price, score, row_score, code_ord) for each line and code of its claim; strength
+    and scores are null where they can change no match. score: of the code; row_score: of its best row by itself."""
+    pairs = compared(lines, boq)
+    row = F.col("strength") + F.when(F.col("same"), PRICE_ADDS).otherwise(0.0)
+    out = pairs.groupBy(*line_key(lines), "item_code", "code").agg(F.max("strength").alias("strength"), F.max("same").alias("same_price"), F.max(row).alias("row_score"), F.min("boq_pos").alias("code_ord"))
+    return out.withColumn("score", F.col("strength") + F.when(F.col("same_price"), PRICE_ADDS).otherwise(0.0))
 
 
 def best_matches(scored: DataFrame) -> DataFrame:
-    """(claim_id, pos, target, score): lines for which one code is decisively the best, its own not counted."""
+    """(line, target, score, row_score): lines for which one code is decisively the best, its own not counted."""
+    by = line_key(scored)
     others = scored.filter(F.col("code") != F.coalesce("item_code", F.lit("")))
-    by = Window.partitionBy("claim_id", "pos").orderBy(F.col("score").desc(), "code_ord")
-    ranked = others.withColumn("i", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).withColumn("priced", F.count_if("same_price").over(Window.partitionBy("claim_id", "pos")))
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc_nulls_last(), "code_ord")
+    ranked = others.withColumn("i", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).withColumn("priced", F.count_if("same_price").over(Window.partitionBy(*by)))
     clear = (F.col("score") >= ACCEPT) & (F.coalesce("next", F.lit(0.0)) <= F.col("score") - LEAD)
     only = (F.col("priced") == 1) & F.col("same_price") & (F.col("strength") >= WITH_PRICE)
-    return ranked.filter((F.col("i") == 1) & (clear | only)).select("claim_id", "pos", F.col("code").alias("target"), "score")
+    return ranked.filter((F.col("i") == 1) & (clear | only)).select(*by, F.col("code").alias("target"), "score", "row_score")
 
 
-def _assign(lines: pd.DataFrame) -> pd.DataFrame:
-    """In line order; a code that another line has or took isn't given again."""
-    lines = lines.sort_values("pos")
-    taken = set(lines.loc[lines.settled, "item_code"])
-    out = []
-    for row in lines.itertuples():
-        target = row.target if isinstance(row.target, str) else None
-        if not row.settled and target and target != row.item_code and target not in taken:
-            taken.add(target)
-            out.append((row.claim_id, row.pos, row.item_code, target))
-    return pd.DataFrame(out, columns=["claim_id", "pos", "item_code", "new_code"])
+def _own_rows(boq: DataFrame) -> DataFrame:
+    """(claim_id, item_code, own_price, own_text): the last row of each code."""
+    last = boq.groupBy("claim_id", "item_code").agg(F.max(F.struct("pos", "unit_price", "description")).alias("r"))
+    return last.select("claim_id", "item_code", F.col("r.unit_price").alias("own_price"), F.col("r.description").alias("own_text"), F.lit(True).alias("in_boq"))
 
 
 def align_codes(lines: DataFrame, boq: DataFrame) -> DataFrame:
-    """(claim_id, pos, item_code, new_code) of the lines whose code should be another one of the bill.
+    """(line, item_code, new_code) of the lines whose code should be another one of the bill.
 
     A line whose code is in the bill keeps it if it has no description or the same price, and moves only to a row that fits
-    clearly better; any other line goes to the only row of its canonical code, else to its best match.
+    clearly better; any other line goes to the only row of its canonical code, else to its best match. A code that a line
+    of the document has, or an earlier line takes, isn't given again. Only lines that may move are compared.
     """
-    scored = scores(lines, boq)
-    own = scored.filter(F.col("code") == F.col("item_code")).select("claim_id", "pos", F.col("strength").alias("own"), F.col("same_price").alias("own_price"))
-    known = boq.select("claim_id", "item_code").distinct().withColumn("in_boq", F.lit(True))
-    canon = canonical_matches(lines, boq).withColumnRenamed("target", "canon")
-    all_ = lines.filter(~deduction()).select("claim_id", "pos", "item_code").join(known, ["claim_id", "item_code"], "left")
-    all_ = all_.join(own, ["claim_id", "pos"], "left").join(best_matches(scored), ["claim_id", "pos"], "left").join(canon, ["claim_id", "pos"], "left")
-    inside = F.coalesce("in_boq", F.lit(False))
-    moves = F.when(~F.coalesce("own_price", F.lit(True)) & (F.col("score") >= F.col("own") + MOVE_LEAD), F.col("target"))
-    target = F.when(inside, moves).otherwise(F.coalesce("canon", "target"))
-    ready = all_.select("claim_id", "pos", F.coalesce("item_code", F.lit("")).alias("item_code"), target.alias("target"), (inside & moves.isNull()).alias("settled"))
-    types = dict(ready.dtypes)
-    return ready.groupBy("claim_id").applyInPandas(_assign, f"claim_id {types['claim_id']}, pos {types['pos']}, item_code string, new_code string")
+    by = line_key(lines)
+    own = lines.filter(~deduction()).join(_own_rows(boq), ["claim_id", "item_code"], "left").withColumn("in_boq", F.coalesce("in_boq", F.lit(False)))
+    settled = F.col("in_boq") & ((F.trim(F.coalesce("description", F.lit(""))) == "") | same_price(F.col("unit_price"), F.col("own_price")))
+    free = own.filter(~settled)
+    scored = scores(free.drop("own_price", "own_text", "in_boq"), boq)
+    here = scored.filter(F.col("code") == F.col("item_code")).select(*by, F.col("strength").alias("own"))
+    canon = canonical_matches(free.filter("not in_boq"), boq).withColumnRenamed("target", "canon")
+    ready = free.select(*by, "item_code", "in_boq").join(here, by, "left").join(best_matches(scored), by, "left").join(canon, by, "left")
+    target = F.when(F.col("in_boq"), F.when(F.col("row_score") >= F.col("own") + MOVE_LEAD, F.col("target"))).otherwise(F.coalesce("canon", "target"))
+    moves = ready.select(*by, F.coalesce("item_code", F.lit("")).alias("item_code"), target.alias("new_code")).filter("new_code is not null and new_code != item_code")
+    document = [x for x in by if x != "pos"]
+    taken = lines.select(*document, F.col("item_code").alias("new_code")).distinct()
+    order = Window.partitionBy(*document, "new_code").orderBy("pos")
+    return moves.join(taken, [*document, "new_code"], "left_anti").withColumn("i", F.row_number().over(order)).filter("i = 1").select(*by, "item_code", "new_code")
+
+
+def align_documents(invoices: DataFrame, receipts: DataFrame, boq: DataFrame) -> DataFrame:
+    """(claim_id, doc, pos, item_code, new_code) for invoice lines and, by wording alone and with codes of its own taken, for
+    receipt lines (claim_id, pos, item_code, description, quantity), which have no price."""
+    names = ["claim_id", "pos", "item_code", "description", "unit_price", "quantity", "amount"]
+    paid = invoices.select(F.lit("invoice").alias("doc"), *names)
+    got = receipts.select(F.lit("receipt").alias("doc"), "claim_id", "pos", "item_code", "description", F.lit(0.0).alias("unit_price"), "quantity", F.lit(0.0).alias("amount"))
+    return align_codes(paid.unionByName(got), boq)
+
+
+def plausible(lines: DataFrame, boq: DataFrame) -> DataFrame:
+    """lines that aren't deductions, with in_boq and plausible: whether the row of their own code has the same price or much
+    the same wording, or nothing speaks against it. One comparison a line."""
+    own = lines.filter(~deduction()).join(_own_rows(boq), ["claim_id", "item_code"], "left")
+    text = name_key(F.col("description"))
+    alike = similarity(text, name_key(F.col("own_text"))) >= PLAUSIBLE
+    fits = (text == "") | same_price(F.col("unit_price"), F.col("own_price")) | alike
+    return own.select(*lines.columns, F.col("in_boq").isNotNull().alias("in_boq"), (F.col("in_boq").isNotNull() & fits).alias("plausible"))
+
+
+def needs(lines: DataFrame, boq: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(claim_id, codes, date) for each contract (claim_id, end_date, anchors: array of dates): whether codes of invoice lines
+    must be looked at, and whether an end date that is a duration can be worked out from an anchor."""
+    bad = plausible(lines, boq).groupBy("claim_id").agg(F.bool_or(~F.col("plausible")).alias("bad"))
+    billed = boq.select("claim_id").distinct().withColumn("billed", F.lit(True))
+    end = F.coalesce("end_date", F.lit(""))
+    dated = F.exists(F.coalesce("anchors", F.array().cast("array<string>")), lambda a: F.coalesce(a, F.lit("")) != "")
+    out = contracts.join(bad, "claim_id", "left").join(billed, "claim_id", "left")
+    return out.select("claim_id", F.coalesce(F.col("bad") & F.col("billed"), F.lit(False)).alias("codes"), ((end != "") & ~end.rlike(ISO) & dated).alias("date"))
 
 
 def apply_patch(lines: DataFrame, patch: DataFrame, boq: DataFrame) -> DataFrame:
-    """lines with codes of patch (claim_id, pos, ord, new_code) where the bill has them, each code once, the first."""
+    """lines with codes of patch (claim_id, pos, ord, new_code) where the bill and the lines have them, each code once, the first."""
     real = patch.join(boq.select("claim_id", F.col("item_code").alias("new_code")).distinct(), ["claim_id", "new_code"], "left_semi")
+    real = real.join(lines.select("claim_id", "pos").distinct(), ["claim_id", "pos"], "left_semi")
     once = real.groupBy("claim_id", "new_code").agg(F.min(F.struct("ord", "pos")).alias("p")).select("claim_id", F.col("p.pos").alias("pos"), F.col("p.ord").alias("ord"), "new_code")
     last = once.groupBy("claim_id", "pos").agg(F.max(F.struct("ord", "new_code")).alias("p")).select("claim_id", "pos", F.col("p.new_code").alias("new_code"))
     return lines.join(last, ["claim_id", "pos"], "left").withColumn("item_code", F.coalesce("new_code", "item_code")).drop("new_code")
 
 
-def plausible(scored: DataFrame) -> DataFrame:
-    """(claim_id, pos): lines whose own code's row has the same price or much the same wording."""
-    return scored.filter((F.col("code") == F.col("item_code")) & (F.col("same_price") | (F.col("strength") >= PLAUSIBLE))).select("claim_id", "pos")
+def patch_end_date(end_date: Column, new: Column) -> Column:
+    """The new date, cut to its day, where the old one is no date; else the old one."""
+    return F.when(F.coalesce(new, F.lit("")).rlike(ISO) & ~F.coalesce(end_date, F.lit("")).rlike(ISO), F.substring(new, 1, 10)).otherwise(end_date)
