@@ -99,11 +99,24 @@ def transposed(a: Column, b: Column) -> Column:
     return (n == F.length(b)) & (n > 1) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: swap(i) == b)
 
 
+def collapsed_zeros(v: Column) -> Column:
+    return F.regexp_replace(v, "0+", "0")
+
+
 def near(a: Column, b: Column) -> Column:
     """One slip apart: a character changed, lost, added or two exchanged, or a run of zeros of another length."""
-    zeros = lambda v: F.regexp_replace(v, "0+", "0")
-    slips = (F.levenshtein(a, b) == 1) | transposed(a, b) | ((F.abs(F.length(a) - F.length(b)) <= 2) & (zeros(a) == zeros(b)))
-    return (a != b) & slips
+    apart = F.abs(F.length(a) - F.length(b))
+    edited = (apart <= 1) & ((F.levenshtein(a, b, 1) == 1) | (apart == 0) & (F.levenshtein(a, b, 2) == 2) & transposed(a, b))
+    return (F.length(a) > 0) & (F.length(b) > 0) & (apart <= 2) & (a != b) & (edited | (collapsed_zeros(a) == collapsed_zeros(b)))
+
+
+def slip_keys(v: Column) -> Column:
+    """Keys of which two values a slip apart have one in common: the value, what is left of it without one character, and its
+    form with runs of zeros as one. An exchange of neighbours leaves the same without the one or the other of them."""
+    n = F.length(v)
+    without = lambda i: F.concat(F.lit("d"), F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1))
+    less = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), without)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("d"), v), F.concat(F.lit("z"), collapsed_zeros(v))), less))
 
 
 def digit_runs(v: Column, least: int = 1) -> Column:

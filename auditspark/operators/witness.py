@@ -59,31 +59,66 @@ def repair_amount(text: Column, value: Column, fits) -> Column:
     return F.when(fix, F.try_element_at(found, F.lit(1))).otherwise(value)
 
 
+# The numbers of a line, in the order in which they are looked for.
+NUMBERS = ("amount", "unit_price", "quantity")
+
+
+def line_repair(line: Column, among: Column) -> Column:
+    """A line (a record with NUMBERS) where quantity times price isn't the amount and one of the three isn't among the amounts
+    of the text: with the only near one that makes it right."""
+    number = lambda n: F.coalesce(line[n], F.lit(0.0))
+
+    def fits(n: str, v: Column) -> Column:
+        amount, price, quantity = (v if x == n else number(x) for x in NUMBERS)
+        return (amount > 0) & (F.abs(quantity * price - amount) <= F.greatest(F.lit(TOLERANCE), 0.001 * amount))
+
+    wrong = ~fits("amount", number("amount"))
+    absent = {n: (number(n) > 0) & ~F.exists(among, lambda a: F.abs(a - number(n)) < 0.005) for n in NUMBERS}  # noqa: B023
+    one = sum((F.when(x, 1).otherwise(0) for x in absent.values()), F.lit(0)) == 1
+    fixed = line
+    for n in NUMBERS:
+        near_ones = F.when(wrong & one & absent[n], F.filter(_near_among(among, number(n)), _trial(fits, n)))
+        fixed = fixed.withField(n, bind(_only(line[n]), x=near_ones))
+    return F.when(line.isNotNull(), fixed)
+
+
+def _trial(fits, name: str):
+    return lambda v: fits(name, v)
+
+
+def _only(value: Column):
+    return lambda r: F.when(F.size(r["x"]) == 1, F.get(r["x"], F.lit(0))).otherwise(value)
+
+
 def repair_lines(lines: DataFrame, text: str = "page_text") -> DataFrame:
-    """Lines where quantity times price isn't the amount and one of the three isn't in the text: that one, if one value fits."""
-    names, t = ("quantity", "unit_price", "amount"), F.col(text)
-    fits = lambda q, u, a: F.abs(q * u - a) <= F.greatest(F.lit(0.01), 0.001 * F.abs(a))
-    wrong = ~fits(*map(F.col, names))
-    absent = [~contains_amount(t, F.col(n)) for n in names]
-    one = sum((F.when(x, 1).otherwise(0) for x in absent[1:]), F.when(absent[0], 1).otherwise(0)) == 1
-    out = lines
-    for i, n in enumerate(names):
-        others = [F.col(x) for x in names]
-        trial = lambda v, i=i, others=others: fits(*[v if j == i else others[j] for j in range(3)])
-        out = out.withColumn(f"_{n}", F.when(wrong & one & absent[i], repair_amount(t, F.col(n), trial)).otherwise(F.col(n)))
-    return out.drop(*names).withColumnsRenamed({f"_{n}": n for n in names})
+    """Lines (with NUMBERS) put right by their text; unusable texts change nothing."""
+    fixed = bind(lambda r: line_repair(r["l"], r["among"]), l=F.struct(*NUMBERS), among=amounts(F.col(text)))
+    return lines.withColumn("fixed", F.when(usable(F.col(text)), fixed).otherwise(F.struct(*NUMBERS))).drop(*NUMBERS).select("*", *[F.col(f"fixed.{n}") for n in NUMBERS]).drop("fixed")
 
 
 def repair_contract(text: Column, base: Column, total: Column) -> tuple[Column, Column]:
-    """(base, total): a total that the text doesn't have gives way to the near one that fits the base with VAT; equal
-    values are repaired together, and the base follows from the total."""
-    equal = base == total
-    near_total = near_amounts(text, total)
-    fitting = F.filter(near_total, lambda v: F.abs(v - base * (1 + VAT)) <= F.greatest(F.lit(TOLERANCE), 0.001 * v))
-    pick = F.when(equal & (F.size(near_total) == 1), F.try_element_at(near_total, F.lit(1))).when(F.size(fitting) == 1, F.try_element_at(fitting, F.lit(1)))
-    fix = usable(text) & ~contains_amount(text, total) & pick.isNotNull()
-    new = F.when(fix, pick).otherwise(total)
-    return F.when(equal & (total > 0), F.round(new / (1 + VAT), 2)).otherwise(base), new
+    """(base, total): a value that the text doesn't have, the total first, gives way to the only near one that goes with the
+    other: equal to it, or apart by VAT. Equal values are repaired together. Of one printed figure in both places the base
+    follows."""
+    tolerance = lambda other: F.greatest(F.lit(TOLERANCE), 0.001 * other)
+    close = lambda a, b, other: F.abs(a - b) <= tolerance(other)
+    goes = lambda v, other: (other <= 0) | close(v, other, other) | close(v, other * (1 + VAT), other) | close(other, v * (1 + VAT), other)
+    only = lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))
+    among = amounts(text)
+
+    def fix(value: Column, other: Column) -> Column:
+        asked = usable(text) & (value > 0) & ~contains_amount(text, value)
+        found = F.when(asked, _near_among(among, value))
+        return F.coalesce(only(F.filter(found, lambda v: goes(v, other))), F.when(value == other, only(found)))
+
+    def both(r: Column) -> Column:
+        return bind(lambda q: F.struct(F.when(base != total, fix(base, F.coalesce(q["new"], total))).alias("base"), q["new"].alias("total")), new=r["new"])
+
+    new = bind(both, new=fix(total, base))
+    new_base, new_total = F.coalesce(new["base"], base), F.coalesce(new["total"], total)
+    one_figure = (F.abs(new_base - new_total) < 1.0) | (base == total)
+    changed = new["base"].isNotNull() | new["total"].isNotNull() | (base == total)
+    return F.when(changed & one_figure & (new_total > 0) & (base > 0), F.round(new_total / (1 + VAT), 2)).otherwise(new_base), new_total
 
 
 def invoice_consistent(lines_total: Column, total: Column, vat: Column) -> Column:
@@ -143,6 +178,9 @@ def _repaired(name: str, section: Column, text: Column) -> Column:
         return out
     check = coc_consistent
     if name == "invoice":
+        # lines first: the header is checked against their sum
+        out = out.withField("lines", bind(lambda r: F.transform(section["lines"], lambda x: line_repair(x, r["among"])), among=amounts(text)))
+        section = out
         lines_total = F.aggregate(F.coalesce(section["lines"], F.array()), F.lit(0.0), lambda acc, x: acc + F.coalesce(x["amount"], F.lit(0.0)))
         check = lambda total, vat: invoice_consistent(lines_total, total, vat)
     new = _first_repair([section[field] for field in AMOUNTS[name]], text, check)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, text
-from ..operators import align, consensus, engine, evidence, intake, lines, locate, merge, places, reads, witness
+from ..operators import align, consensus, engine, evidence, intake, lines, locate, merge, places, reads, slips, witness
 from ..operators.rules import REQUIRED_ATTACHMENTS
 from ..sources import claims as claim_source
 from ..sources import documents as docs
@@ -203,10 +203,11 @@ def canonical_codes(spark, sf):
 
 @query
 def near_pairs(spark, sf):
-    """Numbers of suppliers in the same nation that are one slip apart; a nation's suppliers meet in one join on it."""
+    """Numbers of suppliers in the same nation that are one slip apart."""
     s = V.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("S"), F.lpad((F.col("s_suppkey") * 37 % 1000).cast("string"), 4, "0")).alias("no"))
-    other = s.select(F.col("s_suppkey").alias("other"), "s_nationkey", F.col("no").alias("no2"))
-    return s.join(other, "s_nationkey").filter((F.col("s_suppkey") < F.col("other")) & text.near(F.col("no"), F.col("no2"))).select("s_suppkey", "other", "no", "no2")
+    pairs = slips.near_values(s.select("s_nationkey", "no"), ["s_nationkey"], "no")
+    other = s.select("s_nationkey", F.col("s_suppkey").alias("other"), F.col("no").alias("near"))
+    return s.join(pairs, ["s_nationkey", "no"]).join(other, ["s_nationkey", "near"]).filter("s_suppkey < other").select("s_suppkey", "other", "no", F.col("near").alias("no2"))
 
 
 @query

@@ -162,6 +162,19 @@ def test_text_corrects_reads(spark, tmp_path):
     assert (b["invoice"]["invoice_no"], b["invoice"]["total_with_vat"], b["coc"]["claim_net"]) == ("INV-2026-00007", 11500.0, 10000.0)
 
 
+def test_text_corrects_lines_before_the_header(spark, tmp_path):
+    """A line's amount read with a digit too much, which alone makes the header look wrong."""
+    from auditspark.operators import witness
+
+    bad = changed(**{D + "invoice__total_with_vat": 1150.0, D + "invoice__vat_amount": 150.0})
+    line = bad["documents"]["invoice"]["lines"][0]
+    bad["documents"]["invoice"]["lines"] = [line | {"quantity": 10.0, "unit_price": 100.0, "amount": 10000.0}]
+    (tmp_path / "c.json").write_text(json.dumps([bad]))
+    claims = source.read_claims(spark, str(tmp_path / "c.json")).withColumn("page_text", F.lit(PAGE + " line 10 x 100.00"))
+    invoice = witness.reconcile(claims).first()["documents"]["invoice"]
+    assert invoice["lines"][0]["amount"] == 1000.0 and invoice["total_with_vat"] == 1150.0
+
+
 def test_roll_ups_equal_those_of_the_findings(spark):
     """Within a row of claims as by way of the findings, for all gates and for some."""
     from auditspark.plans import views

@@ -90,6 +90,24 @@ def test_contract_repair(spark):
     assert both["t"] == 14950000.0 and both["b"] == 13000000.0
 
 
+def test_contract_repair_of_one_side(spark):
+    """The total lost a digit while the base is the printed figure; a base is put right by its total; a pair that fits stays."""
+    page = "contract 20261234 dated 20260101 reference 99887766 value 14,950,000.00 net 13,000,000.00"
+    pair = lambda b, t: tuple(spark.range(1).select(*witness.repair_contract(F.lit(page), F.lit(b), F.lit(t))).first())
+    assert pair(14950000.0, 4950000.0) == (13000000.0, 14950000.0)
+    assert pair(1300000.0, 14950000.0) == (13000000.0, 14950000.0)
+    assert pair(13000000.0, 14950000.0) == (13000000.0, 14950000.0)
+    assert pair(0.0, 1495000.0) == (0.0, 14950000.0) and pair(7.0, 8.0) == (7.0, 8.0)
+
+
+def test_line_repair(spark):
+    page = "invoice 20261234 account 99887766 reference 55443322 lines 10 x 1,500.00 = 15,000.00 and 3 x 20.50 = 61.50"
+    lines = [(1, 10.0, 1500.0, 150000.0), (2, 10.0, 150.0, 15000.0), (3, 3.0, 20.5, 61.5), (4, 10.0, 15.0, 1500000.0), (5, 3.0, 20.5, None)]
+    frame = spark.createDataFrame([(*x, page) for x in lines] + [(6, 10.0, 1500.0, 150000.0, "no digits")], "i int, quantity double, unit_price double, amount double, page_text string")
+    got = {r["i"]: (r["quantity"], r["unit_price"], r["amount"]) for r in witness.repair_lines(frame).collect()}
+    assert got == {1: (10.0, 1500.0, 15000.0), 2: (10.0, 1500.0, 15000.0), 3: (3.0, 20.5, 61.5), 4: (10.0, 15.0, 1500000.0), 5: (3.0, 20.5, None), 6: (10.0, 1500.0, 150000.0)}
+
+
 def test_strength():
     assert strength("", "a") == 0 and strength("a b", "a b") == 1
     assert strength("supply of office chairs", "supply of office chairs with arms and a head rest, all colours") == 0.95
