@@ -66,32 +66,33 @@ _GOOD = re.compile(r"(?:^|[-_ ])(?:content|article|post|entry|main|story|body|te
 def _tokens(source: str):
     """(text before a tag, whether it closes, its name, its attributes) of each tag outside comments and raw elements; the
     last text has no tag."""
-    at, begin, end, tags = 0, 0, len(source), _TAG
+    at, begin, end, match = 0, 0, len(source), _TAG.match
     while (i := source.find("<", at)) >= 0:
-        if source.startswith("<!--", i):
+        if m := match(source, i):
+            closes, tag, attributes = m.groups()
+            tag = tag.lower()
+            yield source[begin:i], closes, tag, attributes
+            at = begin = m.end()
+            if tag in RAW and not closes and not attributes.rstrip().endswith("/"):
+                raw = _END_OF_RAW.setdefault(tag, re.compile(rf"</{tag}\b", re.I)).search(source, at)
+                close = source.find(">", raw.end()) if raw else -1
+                at = begin = close + 1 if close >= 0 else end
+        elif _NAME.match(source, i):
+            if match == _PLAIN_TAG.match:
+                break  # no > follows
+            match = _PLAIN_TAG.match  # it ran to the end of the page: no tag is read so again
+        elif source.startswith("<!--", i):
             close = source.find("-->", i + 4)
             yield source[begin:i], False, "", ""
             at = begin = close + 3 if close >= 0 else end
-        elif source[i + 1 : i + 2] in ("!", "?"):
+        elif source.startswith(("<!", "<?"), i):
             close = source.find(">", i)
             if close < 0:
                 break
             yield source[begin:i], False, "", ""
             at = begin = close + 1
-        elif m := tags.match(source, i):
-            tag, attributes = m[2].lower(), m[3]
-            yield source[begin:i], bool(m[1]), tag, attributes
-            at = begin = m.end()
-            if tag in RAW and not m[1] and not attributes.rstrip().endswith("/"):
-                raw = _END_OF_RAW.setdefault(tag, re.compile(rf"</{tag}\b", re.I)).search(source, at)
-                close = source.find(">", raw.end()) if raw else -1
-                at = begin = close + 1 if close >= 0 else end
-        elif not _NAME.match(source, i):
-            at = i + 1
-        elif tags is _TAG:
-            tags = _PLAIN_TAG  # it ran to the end of the page: no tag is read so again
         else:
-            break  # no > follows
+            at = i + 1
     yield source[begin:], False, "", ""
 
 
