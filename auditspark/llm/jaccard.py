@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, discard
+from .common import bounded, cut, discard, give_back
 from .words import chunks, mix, shingles, words
 
 #: Entries of a block of columns, of a bucket of rows, and of a group of texts: what one task holds.
@@ -104,6 +104,8 @@ def _incidence(k: int, blocks: int):
                     held, size = [], 0
         if held:
             yield batch(list(pack(held)))
+        seen = held = None
+        give_back()
 
     return run
 

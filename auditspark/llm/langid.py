@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 DOCS, CHARS = 24, 1500
 WINDOW = 512
+#: Texts of a batch that are held as Python texts at a time.
+AT_ONCE = 1024
 #: Symbols of the table; those from here on are in the list of rare ones.
 SYMBOLS = 64
 END = np.uint32(1 << 31)
@@ -254,7 +258,8 @@ def predictor(docs: DataFrame, model: Model):
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
-        found = shared.value.predict(texts.to_pylist())
+        found = [x for at in range(0, len(texts), AT_ONCE) for x in shared.value.predict(texts.slice(at, AT_ONCE).to_pylist())]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang_pred", "score"])
 
     return predict

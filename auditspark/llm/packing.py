@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_bucket
+from .common import cut, give_back, hash_bucket
 
 SALTS = 64
 #: Fillings that later ones of a bin are compared with.
@@ -75,6 +75,8 @@ def _pieces(path: str, ranks: str, pattern: str, end: int, size: int, ids: bool)
                     start, piece = stop, piece + 1
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            rows = cols = None
+            give_back()
 
     return run
 
