@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import shutil
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +74,6 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def give_back() -> None:
-    """Return a Python worker's freed memory to the system: workers live on after a task, and what they keep counts as used."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
-        trim(0)
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
