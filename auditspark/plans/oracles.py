@@ -245,6 +245,9 @@ SQL = {
     "scan_order": """WITH d AS (SELECT doc_id, (n_chars % 40 + 1) AS n, greatest(least(doc_id % 45, n_chars % 40 + 1), 1) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(1, n + 1)) AS q FROM d),
         y AS (SELECT doc_id, q, row_number() OVER (PARTITION BY doc_id ORDER BY abs(q - p), q > p) AS i FROM x) SELECT doc_id, string_agg(q::VARCHAR, ',' ORDER BY i) AS pages FROM y WHERE i <= 3 GROUP BY doc_id""",
     "upsert_latest": "SELECT user_id AS id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, min(event_id) AS created, max(event_id) AS updated FROM events GROUP BY user_id",
+    "point_lookup": """WITH e AS (SELECT user_id AS id, arg_max(event_type, event_id) AS label FROM events GROUP BY user_id), i AS (SELECT DISTINCT o_custkey AS id FROM orders)
+        SELECT i.id, CASE WHEN e.id IS NOT NULL THEN 'submitted' WHEN c_custkey IS NOT NULL THEN 'erp' END AS origin, CASE WHEN e.id IS NOT NULL THEN e.label ELSE c_mktsegment END AS label, coalesce(s_nationkey % 6, 0)::INTEGER AS step, p_brand AS verdict
+        FROM i LEFT JOIN e USING (id) LEFT JOIN customer ON c_custkey = i.id LEFT JOIN supplier ON s_suppkey = i.id LEFT JOIN part ON p_partkey = i.id""",
     "next_id": "SELECT 'VRM-' || (coalesce(max(900000 + o_orderkey), 900000) + 1) AS next_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 100000",
     "list_annotated": """WITH s AS (SELECT o_orderkey * 2 AS id, 'submitted' AS origin FROM orders), c AS (SELECT c_custkey * 3 AS id, 'erp' AS origin FROM customer WHERE c_custkey * 3 NOT IN (SELECT id FROM s)),
         b AS (SELECT * FROM s UNION ALL SELECT * FROM c)

@@ -460,6 +460,23 @@ def upsert_latest(spark, sf):
     return store.latest(e).select("id", "event_type", "value", "created", "updated")
 
 
+@query
+def point_lookup(spark, sf):
+    """Each order's customer, looked up in a sliced table of all events (three upserts, folded after the second) before the
+    customers themselves; supplier ids have progress, parts have runs."""
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("label"), F.col("event_id"))
+    kept = store.SlicedStore(spark, store.scratch_folder(spark, "lookup"), {"events": "id bigint, label string"}, slices=16)
+    for part in range(3):
+        kept.upsert("events", e.filter(F.col("event_id") % 3 == part).select("id", "label", F.col("event_id").alias("at")), F.timestamp_seconds("at"))
+        if part == 1:
+            kept.fold("events")
+    ids = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    source = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    progress = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 6).cast("int").alias("step"))
+    runs = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("verdict"))
+    return store.resolve(ids, kept.get_many("events", ids).select("id", "label"), source, progress, runs)
+
+
 @query
 def next_id(spark, sf):
     o = V.table(spark, sf, "orders")
