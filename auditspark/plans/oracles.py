@@ -239,12 +239,24 @@ SQL = {
         a AS (SELECT id, v FROM k WHERE v != 'other' UNION SELECT doc_id % 70, unnest(['contract', 'boq']) FROM documents WHERE doc_id % 9 = 0) SELECT id, string_agg(v, ',' ORDER BY v) AS keys FROM a GROUP BY id""",
     "detected_from_raw": """SELECT doc_id AS id, 0 AS ord, 'boq' AS doc_key, 0 AS page, 'cr_number' AS names, doc_id::VARCHAR AS cr_number FROM documents WHERE doc_id % 5 != 0 UNION ALL SELECT doc_id, 3, 'contract', 3, '', NULL FROM documents WHERE doc_id % 5 != 0""",
     "polygons": """SELECT doc_id, (doc_id % 9)::INTEGER AS page, doc_id % 50 + 2.0::DOUBLE AS x, n_chars % 70 + 1.0::DOUBLE AS y, (doc_id % 50) / 8.0::DOUBLE AS "left", (n_chars % 70) / 16.0::DOUBLE AS "top" FROM documents""",
+    "layout_rows": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(0, ceil(len(w) / 25.0)::BIGINT)) AS k FROM d WHERE doc_id % 11 != 0),
+        i AS (SELECT doc_id, k, unnest(w[k * 25 + 1:k * 25 + 25]) AS content, unnest(range(0, len(w[k * 25 + 1:k * 25 + 25]))) AS idx FROM p)
+        SELECT doc_id, NULL::INTEGER AS page, 'answer' AS kind, NULL::INTEGER AS idx, NULL AS content, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS "left", NULL::DOUBLE AS top, CASE WHEN doc_id % 11 = 0 THEN 'not JSON' ELSE 'no pages' END AS error FROM d WHERE doc_id % 11 = 0 OR len(w) = 0
+        UNION ALL SELECT doc_id, k + 1, 'page', NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN k % 4 = 2 THEN 'no size' END FROM p
+        UNION ALL SELECT doc_id, k + 1, 'word', idx, content, CASE WHEN idx % 7 != 3 THEN (idx % 5 + 9) / 2.0::DOUBLE END, CASE WHEN idx % 7 != 3 THEN (idx // 5 + 9) / 2.0::DOUBLE END,
+            CASE WHEN idx % 7 != 3 AND k % 4 != 2 THEN (idx % 5) / 10.0::DOUBLE END, CASE WHEN idx % 7 != 3 THEN (idx // 5) / 20.0::DOUBLE END, CASE WHEN idx % 7 = 3 THEN 'no polygon' END FROM i""",
     "file_index": "SELECT o_orderkey, [2, 1, -1][1 + o_orderkey % 3]::INTEGER AS place FROM orders",
     "key_field_override": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 OR c_custkey % 2 = 0 OR c_custkey % 3 != 1 THEN c_name ELSE 'other 5' END AS value FROM customer",
     "evidence_flatten": "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "scan_order": """WITH d AS (SELECT doc_id, (n_chars % 40 + 1) AS n, greatest(least(doc_id % 45, n_chars % 40 + 1), 1) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(1, n + 1)) AS q FROM d),
         y AS (SELECT doc_id, q, row_number() OVER (PARTITION BY doc_id ORDER BY abs(q - p), q > p) AS i FROM x) SELECT doc_id, string_agg(q::VARCHAR, ',' ORDER BY i) AS pages FROM y WHERE i <= 3 GROUP BY doc_id""",
     "upsert_latest": "SELECT user_id AS id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, min(event_id) AS created, max(event_id) AS updated FROM events GROUP BY user_id",
+    "gates_due": """WITH a AS (SELECT DISTINCT user_id::VARCHAR AS id, ts, ['invoice', 'contract_boq', 'coc', 'delivery_note', 'other', 'invoice'][1 + (event_id * 7 + user_id) % 6] AS slot, event_type AS path FROM events),
+        b AS (SELECT *, lag(path) OVER (PARTITION BY id, slot ORDER BY ts, path) AS old, bool_or(slot = 'invoice') OVER w AS g1, bool_or(slot = 'contract_boq') OVER w AS g2, bool_or(slot IN ('coc', 'delivery_note')) OVER w AS g3
+            FROM a WINDOW w AS (PARTITION BY id ORDER BY ts, slot, path ROWS UNBOUNDED PRECEDING)),
+        c AS (SELECT *, CASE slot WHEN 'invoice' THEN 1 WHEN 'contract_boq' THEN 2 WHEN 'other' THEN NULL ELSE 3 END AS f, CASE WHEN g1 AND g2 AND g3 THEN 5 WHEN g1 AND g2 THEN 2 WHEN g1 THEN 1 ELSE 0 END AS l FROM b)
+        SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS "at", slot, path, f::INTEGER AS first_gate, l::INTEGER AS last_gate FROM c WHERE old IS DISTINCT FROM path AND f <= l""",
     "point_lookup": """WITH e AS (SELECT user_id AS id, arg_max(event_type, event_id) AS label FROM events GROUP BY user_id), i AS (SELECT DISTINCT o_custkey AS id FROM orders)
         SELECT i.id, CASE WHEN e.id IS NOT NULL THEN 'submitted' WHEN c_custkey IS NOT NULL THEN 'erp' END AS origin, CASE WHEN e.id IS NOT NULL THEN e.label ELSE c_mktsegment END AS label, coalesce(s_nationkey % 6, 0)::INTEGER AS step, p_brand AS verdict
         FROM i LEFT JOIN e USING (id) LEFT JOIN customer ON c_custkey = i.id LEFT JOIN supplier ON s_suppkey = i.id LEFT JOIN part ON p_partkey = i.id""",

@@ -12,8 +12,8 @@ from ..operators import align, consensus, engine, evidence, intake, lines, locat
 from ..operators.rules import REQUIRED_ATTACHMENTS
 from ..sources import claims as claim_source
 from ..sources import documents as docs
-from ..sources import store
-from ..streaming import gates
+from ..sources import layout, store
+from ..streaming import due, gates
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,6 +320,21 @@ def polygons(spark, sf):
     return d.select("doc_id", p["page"].alias("page"), c["x"].alias("x"), c["y"].alias("y"), F.element_at(f, 1)["x"].alias("left"), F.element_at(f, 1)["y"].alias("top"))
 
 
+@query
+def layout_rows(spark, sf):
+    """Each document as a layout answer, 25 words a page, with pages without a width, words without a polygon, and answers that
+    aren't JSON; shredded again."""
+    d = V.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w"))
+    at = lambda i: F.concat_ws(",", F.lit("D(1"), (i % 5).cast("string"), F.floor(i / 5).cast("string"))
+    word = lambda x, i: F.struct(x.alias("content"), F.when(i % 7 == 3, F.lit("D(1)")).otherwise(F.concat(at(i), F.lit(",9,9)"))).alias("source"))
+    page = lambda k: F.struct((k + 1).alias("pageNumber"), F.when(k % 4 != 2, F.lit(10.0)).alias("width"), F.lit(20.0).alias("height"), F.transform(F.slice("w", k * 25 + 1, 25), word).alias("words"))
+    n = F.ceil(F.size("w") / 25).cast("int")
+    pages = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), page)).otherwise(F.array().cast("array<struct<pageNumber:int,width:double,height:double,words:array<struct<content:string,source:string>>>>"))
+    raw = F.to_json(F.struct(F.array(F.struct(pages.alias("pages"))).alias("contents")))
+    rows = layout.shred(d.select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("{"), raw)).otherwise(raw).alias("raw")))
+    return rows.select("doc_id", "page", "kind", "idx", "content", "x", "y", "left", "top", "error")
+
+
 @query
 def file_index(spark, sf):
     o = V.table(spark, sf, "orders")
@@ -460,6 +475,16 @@ def upsert_latest(spark, sf):
     return store.latest(e).select("id", "event_type", "value", "created", "updated")
 
 
+@query
+def gates_due(spark, sf):
+    """Events as documents of their users' claims: which gates each makes due."""
+    e = V.table(spark, sf, "events")
+    slot = lit_by(F.col("event_id") * 7 + F.col("user_id"), ["invoice", "contract_boq", "coc", "delivery_note", "other", "invoice"])
+    arrivals = e.select(F.col("user_id").cast("string").alias("id"), F.col("ts").alias("at"), slot.alias("slot"), F.col("event_type").alias("path"))
+    out = due.gates_due(arrivals)
+    return out.select("id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "slot", "path", "first_gate", "last_gate")
+
+
 @query
 def point_lookup(spark, sf):
     """Each order's customer, looked up in a sliced table of all events (three upserts, folded after the second) before the
