@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ATTACHMENTS, display_name, doc_key, signature
+from ..functions.text import ATTACHMENTS, bind, display_name, doc_key, signature
 
 # Fields that an attachment may print; what a claim's files of one kind stand for.
 ATTACHMENT_FIELDS = ["vendor_name_ar", "cr_number", "vat_number", "reference_no", "issue_date", "expiry_date"]
@@ -84,7 +84,10 @@ def stamp_source(rows: Column, source: Column) -> Column:
 
 def polygon(source: Column) -> Column:
     """'D(page,x1,y1,...)' as (page, points)."""
-    numbers = F.transform(F.split(F.regexp_extract(source, r"D\(([^)]*)\)", 1), ","), lambda x: x.try_cast("double"))
+    return bind(lambda v: _points(v["numbers"]), numbers=F.transform(F.split(F.regexp_extract(source, r"D\(([^)]*)\)", 1), ","), lambda x: x.try_cast("double")))
+
+
+def _points(numbers: Column) -> Column:
     n = F.greatest(F.floor((F.size(numbers) - 1) / 2), F.lit(0)).cast("int")
     at = lambda i: F.try_element_at(numbers, i)
     points = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(at(2 * i + 2).alias("x"), at(2 * i + 3).alias("y")))
