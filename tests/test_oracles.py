@@ -54,3 +54,13 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["claim_id", "verdict", "rationale"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bounded_search_where_other_numbers_are_equal(spark, tmp_path):
+    """Numbers that the header line holds anyway (12, 34, and the 7 that is appended), and none."""
+    rows = [(i, n) for i, n in enumerate([12, 12, 34, 34, 7, 7, 2, 2, 127, 1, None, None])]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["bounded_search"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(oracles.SQL["bounded_search"]).fetchall())
