@@ -14,11 +14,14 @@ WHOLE_YEAR_FIRST = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\s*$"
 WHOLE_DAY_FIRST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})\s*$"
 #: Years below are of another calendar and aren't compared.
 LEAST_YEAR = 1900
+#: A text that is nothing but a date as ISO prints it.
+ISO_ONLY = r"^\d{4}-\d{2}-\d{2}\z"
 
 
 def date_of(year: Column, month: Column, day: Column) -> Column:
     """Null if there is no such day."""
-    return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    printed = F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.when(F.left(printed, F.lit(4)) != "0000", printed.try_cast("date"))
 
 
 def parse_date(v: Column) -> Column:
@@ -27,11 +30,13 @@ def parse_date(v: Column) -> Column:
     part = lambda pattern, i: F.regexp_extract(t, pattern, i)
     first = date_of(part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3))
     second = date_of(part(DAY_FIRST, 3), part(DAY_FIRST, 2), part(DAY_FIRST, 1))
-    return F.when(part(YEAR_FIRST, 1) != "", first).when(part(DAY_FIRST, 1) != "", second)
+    found = F.when(part(YEAR_FIRST, 1) != "", first).when(part(DAY_FIRST, 1) != "", second)
+    return F.when(v.rlike(ISO_ONLY), F.when(~v.startswith("0000"), v.try_cast("date"))).otherwise(found)
 
 
 def swap_day_month(d: Column) -> Column:
-    return date_of(F.date_format(d, "yyyy"), F.date_format(d, "dd"), F.date_format(d, "MM"))
+    """Null if there is no such month."""
+    return F.when(F.dayofmonth(d) <= 12, F.make_date(F.year(d), F.dayofmonth(d), F.month(d)))
 
 
 def normalize_date(v: Column) -> Column:

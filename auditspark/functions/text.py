@@ -49,11 +49,14 @@ def ident_key(v: Column) -> Column:
     return F.upper(F.regexp_replace(ascii_digits(v), "[^0-9A-Za-z\u0600-\u06ff]+", ""))
 
 
-def bidi_variants(v: Column) -> Column:
+def bidi_forms(v: Column) -> list[Column]:
     """The value and its forms with segments in reverse order, as right-to-left layout prints them."""
     v = F.coalesce(v, F.lit(""))
-    turned = [F.array_join(F.reverse(F.split(v, f"[{sep}]", -1)), sep) for sep in "-/"]
-    return F.array_distinct(F.array(v, *turned))
+    return [v, *[F.array_join(F.reverse(F.split(v, sep, -1)), sep) for sep in "-/"]]
+
+
+def bidi_variants(v: Column) -> Column:
+    return F.array_distinct(F.array(*bidi_forms(v)))
 
 
 @F.arrow_udf(StringType())

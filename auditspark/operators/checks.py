@@ -105,6 +105,10 @@ def off(a: Column, b: Column, most: float = MONEY) -> Column:
 
 
 def penalties() -> Column:
+    return c("_penalties")
+
+
+def _penalties() -> Column:
     """In the order of the list, so that the sum doesn't depend on how rows are spread."""
     return F.coalesce(F.aggregate(doc("penalties"), F.lit(0.0), lambda acc, p: acc + number(p["amount"])), F.lit(0.0))
 
@@ -127,7 +131,7 @@ def metadata_complete(params: dict) -> Column:
 @check("invoice_no_matches")
 def invoice_no_matches(params: dict) -> Column:
     on_invoice = string(field(INVOICE, "invoice_no"))
-    same = F.array_contains(text.bidi_variants(on_invoice), string(c("invoice_no")))
+    same = string(c("invoice_no")).isin(*text.bidi_forms(on_invoice))
     return outcome(there(INVOICE) & same, claim=c("invoice_no"), invoice=field(INVOICE, "invoice_no"))
 
 
@@ -246,7 +250,7 @@ def coc_amount_matches_claim(params: dict) -> Column:
 def coc_invoice_ref_matches(params: dict) -> Column:
     ref = string(field(COC, "invoice_ref"))
     expected = F.coalesce(F.nullif(string(field(INVOICE, "invoice_no")), F.lit("")), string(c("invoice_no")))
-    same = F.exists(text.bidi_variants(expected), lambda v: text.ident_key(v) == text.ident_key(ref))
+    same = text.ident_key(ref).isin(*map(text.ident_key, text.bidi_forms(expected)))
     return outcome(F.when(there(COC) & (ref != "") & (expected != ""), same), coc=ref, expected=expected)
 
 
@@ -401,6 +405,10 @@ def vat_treatment_declared(params: dict) -> Column:
 
 def _printed(name: str) -> Column:
     """Values of a field over all detected attachments that print it."""
+    return c(f"_printed_{name}")
+
+
+def _printed_of(name: str) -> Column:
     return F.filter(F.transform(detected(), lambda d: string(F.try_element_at(d["fields"], F.lit(name)))), lambda v: v != "")
 
 
@@ -410,14 +418,14 @@ def attachment_identity_consistent(params: dict) -> Column:
     for name in ("cr_number", "vat_number"):
         values = _printed(name)
         compared.append(F.size(values) >= 2)
-        differ.append((F.size(values) >= 2) & (F.size(F.array_distinct(F.transform(values, text.ident_key))) > 1))
+        differ.append((F.size(values) >= 2) & (F.size(F.array_distinct(c(f"_keys_{name}"))) > 1))
     return outcome(F.when(compared[0] | compared[1], ~(differ[0] | differ[1])), cr=_printed("cr_number"), vat=_printed("vat_number"))
 
 
 @check("attachment_vat_matches_invoice")
 def attachment_vat_matches_invoice(params: dict) -> Column:
     own, values = string(field(INVOICE, "seller_vat_number")), _printed("vat_number")
-    same = F.forall(values, lambda v: text.ident_key(v) == text.ident_key(own))
+    same = F.size(F.array_except(c("_keys_vat_number"), F.array(text.ident_key(own)))) == 0
     return outcome(F.when((own != "") & (F.size(values) > 0), same), invoice=own, attachments=values)
 
 
@@ -438,14 +446,19 @@ def attachment_id_formats(params: dict) -> Column:
 
 @check("attachment_certificates_valid")
 def attachment_certificates_valid(params: dict) -> Column:
-    as_of = F.coalesce(parse_date(c("claim_date")), F.lit(params["as_of"]).cast("date") if params.get("as_of") else F.current_date())
-    of = F.filter(detected(), lambda d: d["doc_key"].isin(DATED))
-    ends = F.transform(of, lambda d: F.struct(d["doc_key"].alias("doc_key"), parse_date(F.try_element_at(d["fields"], F.lit("expiry_date"))).alias("expiry")))
-    ends = F.filter(ends, lambda e: e["expiry"].isNotNull() & (F.year(e["expiry"]) >= LEAST_YEAR))
+    as_of = F.coalesce(c("_claim_date"), F.lit(params["as_of"]).cast("date") if params.get("as_of") else F.current_date())
+    ends = c("_ends")
     expired = F.filter(ends, lambda e: e["expiry"] < as_of)
     return outcome(F.when((F.size(ends) > 0) & (F.year(as_of) >= LEAST_YEAR), F.size(expired) == 0), expired=expired)
 
 
+def _ends() -> Column:
+    """Attachments whose validity counts, with the day of its end."""
+    of = F.filter(detected(), lambda d: d["doc_key"].isin(DATED))
+    ends = F.transform(of, lambda d: F.struct(d["doc_key"].alias("doc_key"), parse_date(F.try_element_at(d["fields"], F.lit("expiry_date"))).alias("expiry")))
+    return F.filter(ends, lambda e: e["expiry"].isNotNull() & (F.year(e["expiry"]) >= LEAST_YEAR))
+
+
 def _referenced(found: Column, *names: str) -> list[Column]:
     """Fields of a looked-up row, and whether there is one."""
     return [found.isNotNull().alias("in_boq"), *[found[n].alias(f"boq_{'price' if n == 'unit_price' else n}") for n in names]]
@@ -460,6 +473,7 @@ def with_lookups(claims):
         "_boq_of_received": F.transform(received(), lambda x: by_code(boq(), x["item_code"])),
     })
     claims = claims.withColumns({
+        "_penalties": _penalties(), "_ends": _ends(), **{f"_printed_{x}": _printed_of(x) for x in ("cr_number", "vat_number")}, "_claim_date": parse_date(c("claim_date")),
         "_month_first": F.coalesce((c("_coc_end") != c("_contract_end")) & (swap_day_month(c("_coc_end")) == c("_contract_end")), F.lit(False)),
         "_lines": F.transform(F.arrays_zip(lines().alias("line"), c("_boq_of").alias("ref"), c("_got_of").alias("got")), lambda z: F.struct(
             z["line"]["item_code"].alias("item_code"), z["line"]["unit_price"].alias("unit_price"), number(z["line"]["quantity"]).alias("quantity"), deduction(z["line"]).alias("deduction"),
@@ -472,6 +486,7 @@ def with_lookups(claims):
     price_off = lambda x: off(x["boq_price"], x["unit_price"])
     too_much = lambda x: x["quantity"] > number(x["boq_quantity"]) + QUANTITY
     return claims.withColumns({
+        **{f"_keys_{x}": F.transform(f"_printed_{x}", text.ident_key) for x in ("cr_number", "vat_number")},
         "_line_issues": F.transform(F.filter(c("_lines"), lambda x: ~x["deduction"] & (~x["in_boq"] | price_off(x))), lambda x: F.struct(x["item_code"].alias("item_code"), F.when(~x["in_boq"], "not in BoQ").otherwise("unit price").alias("issue"), x["unit_price"].alias("invoice"), x["boq_price"].alias("boq"))),
         "_over": F.transform(F.filter(c("_lines"), lambda x: x["quantity"] > x["received"] + QUANTITY), lambda x: F.struct(x["item_code"].alias("item_code"), x["quantity"].alias("billed"), x["received"].alias("received"), x["boq_quantity"].alias("boq"))),
         "_received_issues": F.transform(F.filter(c("_received"), lambda x: ~x["in_boq"] | too_much(x)), lambda x: F.struct(x["item_code"].alias("item_code"), F.when(~x["in_boq"], "not in BoQ").otherwise("quantity").alias("issue"), x["quantity"].alias("received"), x["boq_quantity"].alias("boq"))),

@@ -198,3 +198,16 @@ def test_rules_from_files(spark, tmp_path):
     (tmp_path / "odd.json").write_text('{"gate": "none", "rules": []}')
     with pytest.raises(ValueError, match="none"):
         read_rules(spark, str(tmp_path))
+
+
+def test_roll_ups_and_plain_findings_without_evidence(spark):
+    """Plain findings equal the findings; neither they nor roll-ups write evidence or filter an array of all outcomes."""
+    from auditspark.plans import queries, views
+
+    claims = views.nested_claims(spark, "/root/testdata/sf0.001").filter("cast(id as int) % 5 = 0")
+    plain = engine.plain_findings(claims)
+    assert sorted(plain.collect()) == sorted(engine.findings(claims).select(plain.columns).collect())
+    for name in ("claim_verdicts", "gate_severity", "rule_findings", "ext_findings_rollup"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "to_json" not in plan and "StructsToJson" not in plan
+        assert plan.count("lambdafunction") and not any("rule_order" in part and "lambdafunction" in part for part in plan.split("\n"))
