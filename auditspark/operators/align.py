@@ -1,24 +1,33 @@
 """Invoice and receipt lines to rows of the bill of quantities by wording and price, where codes don't say it.
 
-Lines meet the rows of their claim in a join, but wording is compared only where it can matter: an upper bound of the measure,
-from the letters that two texts have in common, is worked out in Spark for every pair; the most promising row of a line, the
-only row of its price and the row of its own code are compared first, and then those whose bound reaches the best of these
-within the lead that a match must have. The assignment, in which a row that one line has isn't given to another, is a set
-operation too: a line's target doesn't depend on other lines, so of the lines with one target the first takes it.
+Lines and rows are shuffled by claim and part of its lines; their pairs exist only within a task, which returns a row for
+each line that has a match (``matches``). Wording is compared only where it can matter: an upper bound of the measure, from the
+letters that two texts have in common, is worked out for every pair, and rows are compared from the highest bound on until no
+other can be the best or a runner-up within the lead that a match must have. ``scores`` has a row for every pair. The
+assignment, in which a row that one line has isn't given to another, is a set operation too: a line's target doesn't depend on
+other lines, so of the lines with one target the first takes it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.similarity import COVER_FROM, COVER_MOST, similarity
+from ..functions.similarity import COVER_FROM, COVER_MOST, measure, most_alike, similarity
 from ..functions.text import canonical_code, name_key
 from .checks import MONEY
 from .lines import deduction
 
 # Wording alone, its lead over the next, wording with an equal price, what the price adds, the lead to move.
 ACCEPT, LEAD, WITH_PRICE, PRICE_ADDS, MOVE_LEAD, PLAUSIBLE = 0.9, 0.04, 0.45, 0.05, 0.1, 0.75
+# Fixed value: how far doubles of one sum can be apart.
+TINY = 1e-9
+#: Lines of a claim that a group compares with the rows of the bill.
+PART = 2_048
 # Fixed value: how a date begins that isn't a duration.
 ISO = r"^\d{4}-\d{2}-\d{2}"
 
@@ -100,6 +109,109 @@ def best_matches(scored: DataFrame) -> DataFrame:
     return ranked.filter((F.col("i") == 1) & (clear | only)).select(*by, F.col("code").alias("target"), "score", "row_score")
 
 
+def _match(like, codes: np.ndarray, first: np.ndarray, own: int, most: np.ndarray, same: np.ndarray) -> tuple[int, float] | None:
+    """The code that is decisively the best for a line and its score, or none.
+
+    like: row of the bill -> measure; codes and most: of each row the number of its code (-1: none) and the bound; first: of
+    each code its first place; own: the line's code; same: rows of the line's price.
+    """
+    rival = (codes >= 0) & (codes != own)
+    priced = np.unique(codes[rival & same])
+    bonus = np.zeros(len(first))
+    bonus[priced] = PRICE_ADDS
+    promise = np.where(rival, most + bonus[codes], -1.0)
+    only = int(priced[0]) if len(priced) == 1 else -1
+    rows = np.flatnonzero(promise >= (0.0 if only >= 0 else ACCEPT - LEAD - TINY))
+    if not len(rows) or only < 0 and promise.max() < ACCEPT - TINY:
+        return None
+    wording: dict[int, float] = {}
+    top, score, rest = -1, -1.0, 0.0
+
+    def compare(r):
+        nonlocal top, score, rest
+        c = int(codes[r])
+        wording[c] = max(wording.get(c, 0.0), like(r))
+        now = wording[c] + float(bonus[c])
+        if c == top:
+            score = max(score, now)
+        elif top < 0 or (now, -first[c]) > (score, -first[top]):
+            top, score, rest = c, now, max(rest, score)
+        else:
+            rest = max(rest, now)
+
+    if only >= 0:
+        for r in np.flatnonzero(codes == only):
+            compare(r)
+    for r in rows[np.argsort(-promise[rows], kind="stable")].tolist():
+        p = promise[r]
+        if p < score - LEAD - TINY or only < 0 and max(p, score) < ACCEPT - TINY:
+            break
+        # two are so near to the best there can be that neither is clearly the best: only the price can decide
+        if rest > max(p, score) - LEAD + TINY and (only < 0 or top != only or p < score - TINY):
+            break
+        if codes[r] != only:
+            compare(r)
+    clear = score >= ACCEPT and rest <= score - LEAD
+    return (top, score) if clear or top == only and wording[top] >= WITH_PRICE else None
+
+
+def _matches(by: list[str], schema: pa.Schema):
+    """Lines and rows of a claim -> the lines that have a match."""
+
+    def run(lines: pa.Table, boq: pa.Table) -> pa.Table:
+        if not lines.num_rows or not boq.num_rows:
+            return schema.empty_table()
+        lines = lines.sort_by("line_text")
+        number = {x: i for i, x in enumerate(dict.fromkeys(x for x in boq.column("code").to_pylist() if x is not None))}
+        codes = np.array([number.get(x, -1) for x in boq.column("code").to_pylist()])
+        places = boq.column("boq_pos").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+        first = np.full(len(number), np.inf)
+        np.minimum.at(first, codes[codes >= 0], places[codes >= 0])
+        prices, asked = (x.cast(pa.float64()).fill_null(np.nan).to_numpy() for x in (boq.column("boq_price"), lines.column("line_price")))
+        items, texts, rows = lines.column("item_code").to_pylist(), lines.column("line_text").to_pylist(), boq.column("boq_text").fill_null("").to_pylist()
+        names, out, held = list(number), [], None
+        for places_of, bounds_of in most_alike(texts, rows):
+            for i, most in zip(places_of, bounds_of):
+                if texts[i] != held:
+                    held, known = texts[i], {}
+
+                def like(r, text=held, known=known):
+                    if (x := known.get(rows[r])) is None:
+                        x = known[rows[r]] = measure(text, rows[r])
+                    return x
+
+                with np.errstate(invalid="ignore"):
+                    same = (np.abs(asked[i] - prices) <= MONEY) & (asked[i] != 0)
+                if found := _match(like, codes, first, number.get("" if items[i] is None else items[i], -2), most, same):
+                    target, score = found
+                    row_score = max(like(r) + (PRICE_ADDS if same[r] else 0.0) for r in np.flatnonzero(codes == target).tolist())
+                    mine = [] if items[i] is None else [like(r) for r in np.flatnonzero(codes == number.get(items[i], -2)).tolist()]
+                    out.append((i, names[target], score, row_score, max(mine, default=None)))
+        kept = lines.take(pa.array([x[0] for x in out], pa.int64()))
+        return pa.table([*(kept.column(x) for x in [*by, "item_code"]), *(pa.array([x[k] for x in out], schema.field(name).type) for k, name in enumerate(("target", "score", "row_score", "own"), 1))], schema=schema)
+
+    return run
+
+
+def matches(lines: DataFrame, boq: DataFrame) -> DataFrame:
+    """(line, item_code, target, score, row_score, own): lines for which one code is decisively the best, its own not counted;
+    own: how well the rows of its own code fit.
+
+    Lines and rows are shuffled, pairs are not: a claim's lines are dealt into parts of about PART, each with a copy of the
+    claim's rows, which must fit into a task.
+    """
+    by = line_key(lines)
+    mine = lines.filter(~deduction() & F.col("claim_id").isNotNull())
+    parts = mine.groupBy("claim_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    mine = mine.select(*by, "item_code", name_key(F.col("description")).alias("line_text"), F.col("unit_price").alias("line_price")).filter("line_text != ''")
+    mine = mine.join(parts, "claim_id").withColumn("part", F.pmod(F.xxhash64(*by), F.col("parts")).cast("int")).drop("parts")
+    ref = boq.select("claim_id", F.col("pos").alias("boq_pos"), F.col("item_code").alias("code"), name_key(F.col("description")).alias("boq_text"), F.col("unit_price").alias("boq_price"))
+    # names of its own: lines and rows may be of one table
+    ref = ref.join(parts, "claim_id").select(F.col("claim_id").alias("of_claim"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"), "boq_pos", "code", "boq_text", "boq_price")
+    kind = T.StructType([*(lines.schema[x] for x in [*by, "item_code"]), T.StructField("target", boq.schema["item_code"].dataType), *(T.StructField(x, T.DoubleType()) for x in ("score", "row_score", "own"))])
+    return mine.groupBy("claim_id", "part").cogroup(ref.groupBy("of_claim", "of_part")).applyInArrow(_matches(by, to_arrow_schema(kind)), kind)
+
+
 def _own_rows(boq: DataFrame) -> DataFrame:
     """(claim_id, item_code, own_price, own_text): the last row of each code."""
     last = boq.groupBy("claim_id", "item_code").agg(F.max(F.struct("pos", "unit_price", "description")).alias("r"))
@@ -117,10 +229,9 @@ def align_codes(lines: DataFrame, boq: DataFrame) -> DataFrame:
     own = lines.filter(~deduction()).join(_own_rows(boq), ["claim_id", "item_code"], "left").withColumn("in_boq", F.coalesce("in_boq", F.lit(False)))
     settled = F.col("in_boq") & ((F.trim(F.coalesce("description", F.lit(""))) == "") | same_price(F.col("unit_price"), F.col("own_price")))
     free = own.filter(~settled)
-    scored = scores(free.drop("own_price", "own_text", "in_boq"), boq)
-    here = scored.filter(F.col("code") == F.col("item_code")).select(*by, F.col("strength").alias("own"))
+    best = matches(free.drop("own_price", "own_text", "in_boq"), boq).drop("item_code")
     canon = canonical_matches(free.filter("not in_boq"), boq).withColumnRenamed("target", "canon")
-    ready = free.select(*by, "item_code", "in_boq").join(here, by, "left").join(best_matches(scored), by, "left").join(canon, by, "left")
+    ready = free.select(*by, "item_code", "in_boq").join(best, by, "left").join(canon, by, "left")
     target = F.when(F.col("in_boq"), F.when(F.col("row_score") >= F.col("own") + MOVE_LEAD, F.col("target"))).otherwise(F.coalesce("canon", "target"))
     moves = ready.select(*by, F.coalesce("item_code", F.lit("")).alias("item_code"), target.alias("new_code")).filter("new_code is not null and new_code != item_code")
     document = [x for x in by if x != "pos"]

@@ -131,3 +131,28 @@ def test_patch(spark):
     dates = [("12 months", "2026-03-01T00:00"), ("2026-01-01", "2026-03-01"), (None, "2026-03-01"), ("12 months", "soon"), ("", None)]
     frame = spark.createDataFrame(dates, "old string, new string").select(align.patch_end_date(F.col("old"), F.col("new")).alias("d"))
     assert [r["d"] for r in frame.collect()] == ["2026-03-01", "2026-01-01", "2026-03-01", "12 months", ""]
+
+
+def test_matches_are_those_of_every_pair(spark, tables, monkeypatch):
+    """Also with a claim's lines in several parts, with near copies, empty and repeated codes, and prices that one row has."""
+    claims, boq, invoices, _ = tables
+    copies = [("near", i, f"{i // 2}.1" if i % 5 else "", f"steel doors of the inner walls model {10_000 + i * i}", float(i % 3 * 10) if i else 77.0) for i in range(40)] + [("near", 50, None, "steel doors", 1.0), ("near", 51, "x", None, None)]
+    bill = boq.unionByName(spark.createDataFrame(copies, BOQ))
+    asked = [("near", i, ["", "3.1", None, "none"][i % 4], f"steel doors of the inner walls model {10_000 + (i % 45) * (i % 45)}", [0.0, 10.0, 77.0, None][i // 4 % 4], 1.0, 1.0) for i in range(60)]
+    lines = invoices.unionByName(spark.createDataFrame(asked, BOQ + ", quantity double, amount double"))
+    scored = align.scores(lines, bill)
+    own = scored.filter("code = item_code").select("claim_id", "pos", F.col("strength").alias("own"))
+    want = sorted((r["claim_id"], r["pos"], r["target"], r["score"], r["row_score"], r["own"]) for r in align.best_matches(scored).join(own, ["claim_id", "pos"], "left").collect())
+    monkeypatch.setattr(align, "PART", 7)
+    found = align.matches(lines, bill)
+    assert sorted((r["claim_id"], r["pos"], r["target"], r["score"], r["row_score"], r["own"]) for r in found.collect()) == want and len(want) > 100
+    assert {"near"} < {x[0] for x in want}
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Rows that leave the tasks grow with lines, not with pairs: no exchange stands above the comparison."""
+    mine = spark.range(300).selectExpr("'c' AS claim_id", "int(id) AS pos", "'' AS item_code", "concat('steel door ', id) AS description", "1.0D AS unit_price", "1.0D AS quantity", "1.0D AS amount")
+    boq = mine.selectExpr("claim_id", "pos", "string(pos) AS item_code", "description", "unit_price")
+    plan = align.matches(mine, boq)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("FlatMapCoGroupsInArrow")]
+    assert "Exchange" not in above and "Window" not in above
