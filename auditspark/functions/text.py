@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -62,7 +63,10 @@ def bidi_variants(v: Column) -> Column:
 @F.arrow_udf(StringType())
 def nfkc(v: pa.Array) -> pa.Array:
     """Compatibility form; Spark has no function for it. ASCII texts are left alone."""
-    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in v.to_pylist()], pa.string())
+    other = pc.invert(pc.fill_null(pc.string_is_ascii(v), True))
+    if not pc.any(other).as_py():
+        return v
+    return pc.replace_with_mask(v, other, pa.array([unicodedata.normalize("NFKC", x) for x in v.filter(other).to_pylist()], v.type))
 
 
 def fold_name(v: Column) -> Column:

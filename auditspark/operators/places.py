@@ -9,9 +9,9 @@ follow from where they begin. Needles are one row each and go through the stages
 * ``anchor``: the clause that it was read from, page by page;
 
 on a page by exact runs of words, then of lines (numbers aren't looked for in lines), then an amount by its whole digits, then
-the run with most of the words of a long phrase. Of several places the one nearest to the clause counts. A needle that is
-settled has no page to join any more, so no page is read for it and nothing of a later stage is evaluated; the pages are
-aggregated and shuffled once, whatever the number of stages.
+the run with most of the words of a long phrase. Of several places the one nearest to the clause counts. A needle meets each
+of its pages once, in a join for all stages: what a row or clause has there is kept until no later page has the value. A needle
+whose value is found has no page to join any more.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ NOT_PRINTED = ("yes", "no", "true", "false", "n/a", "na", "none", "unknown")
 EDGES = "،,.:;()[]{}«»\"'“”‘’-—…"
 #: Words between two of a phrase, the least digits of an amount, and the length from which a run needs no boundary.
 GAP, AMOUNT_DIGITS, LONG = 2, 4, 4
+STAGES = ["value", "row", "anchor"]
 _VALUE, _PART = "\x01", "\x02"
 
 
@@ -182,18 +183,33 @@ def locate_values(pages: DataFrame, needles: DataFrame, documents: DataFrame, bu
     """
     rows = needles.join(documents, "doc_id", "left").withColumn("order", scan_order(F.col("page"), F.coalesce("pages", F.lit(1)), budget))
     rows = rows.select("needle_id", "doc_id", "order", search_terms(F.col("values")).alias("value"), search_terms(F.col("row_terms")).alias("row"), search_terms(F.col("anchors")).alias("anchor"))
-    names = {"kind": "string", "how": "string", "first": "int", "last": "int"}
-    rows = rows.withColumns({"hit": F.lit(None).cast("struct<stage: string, page: int, kind: string, how: string, first: int, last: int>"), "looked": F.lit(0)})
+    names = {"stage": "string", "page": "int", "kind": "string", "how": "string", "first": "int", "last": "int"}
+    none = F.lit(None).cast("struct<" + ", ".join(f"{x}: {t}" for x, t in names.items()) + ">")
+    counts = [f"looked_{x}" for x in STAGES]
+    rows = rows.withColumns({"hit": none} | {x: F.lit(0) for x in counts})
     right = pages.select(F.col("doc_id").alias("page_doc"), F.col("page").cast("int").alias("page_no"), F.struct("words", "lines").alias("p"))
     there = F.col("page_no").isNotNull()
-    # The same expressions serve all stages: the stage, its terms and, while values are looked for, the clause are columns.
-    clause = F.when(there & (F.col("stage") == "value") & (F.size("anchor.forms") > 0), anchor_centre(F.col("p"), F.col("anchor")))
-    place = bind(lambda r: F.when(r["hit"].isNotNull(), F.struct(F.col("stage"), F.col("want").alias("page"), *[r["hit"][x].cast(t).alias(x) for x, t in names.items()])), hit=place_on_page(F.col("p"), F.col("terms"), F.col("clause")))
-    kept = ["needle_id", "doc_id", "order", "value", "row", "anchor"]
-    for stage, at in [*[("value", i) for i in range(budget)], ("row", 0), *[("anchor", i) for i in range(budget)]]:
-        terms = F.col(stage)
-        asks = F.col("hit").isNull() & terms["printed"] & (F.size(terms["forms"]) > 0)
-        rows = rows.select(*kept, "hit", "looked", terms.alias("terms"), F.lit(stage).alias("stage"), F.when(asks, F.get("order", F.lit(at))).alias("want"))
-        joined = rows.join(right, (F.col("doc_id") == F.col("page_doc")) & (F.col("want") == F.col("page_no")), "left").withColumn("clause", clause)
-        rows = joined.select(*kept, F.coalesce("hit", F.when(there, place)).alias("hit"), (F.col("looked") + there.cast("int")).alias("looked"))
-    return rows.select("needle_id", "doc_id", F.col("hit.stage").alias("stage"), F.coalesce("hit.page", F.get("order", F.lit(0))).alias("page"), "hit.kind", "hit.how", "hit.first", "hit.last", "looked")
+    of = F.coalesce(F.col("hit.stage"), F.lit(""))
+    asks = lambda stage: F.col(stage)["printed"] & (F.size(F.col(stage)["forms"]) > 0)
+
+    def found(step: Column) -> Column:
+        clause = F.when((step["stage"] == "value") & (F.size("anchor.forms") > 0), anchor_centre(F.col("p"), F.col("anchor")))
+        place = bind(lambda r: place_on_page(F.col("p"), step["terms"], r["clause"]), clause=clause)
+        full = lambda r: F.struct(*[{"stage": step["stage"], "page": F.col("want")}.get(x, r["hit"][x] if x in ("kind", "how", "first", "last") else None).cast(t).alias(x) for x, t in names.items()])
+        return bind(lambda r: F.when(r["hit"].isNotNull(), full(r)), hit=place)
+
+    # A page serves all stages that may want it in one join; a value on a later page goes before a row or clause on this one.
+    for at in range(budget):
+        ask = {"value": (of != "value") & asks("value"), "row": F.col("hit").isNull() & asks("row") if at == 0 else F.lit(False), "anchor": F.col("hit").isNull() & asks("anchor")}
+        wanted = rows.withColumns({f"ask_{x}": F.coalesce(c, F.lit(False)) for x, c in ask.items()})
+        wanted = wanted.withColumn("want", F.when(F.col("ask_value") | F.col("ask_row") | F.col("ask_anchor"), F.get("order", F.lit(at))))
+        joined = wanted.join(right, (F.col("doc_id") == F.col("page_doc")) & (F.col("want") == F.col("page_no")), "left")
+        steps = F.array(*[F.struct(F.lit(x).alias("stage"), F.col(x).alias("terms"), F.col(f"ask_{x}").alias("asked")) for x in STAGES])
+        here = F.when(there, F.aggregate(steps, none, lambda hit, step: F.when(hit.isNotNull() | ~step["asked"], hit).otherwise(found(step))))
+        joined = joined.withColumn("here", here)
+        now = F.coalesce(F.col("here.stage"), F.lit(""))
+        passed = {"value": F.lit(True), "row": now != "value", "anchor": ~now.isin("value", "row")}
+        looked = [(F.col(f"looked_{x}") + (there & F.col(f"ask_{x}") & passed[x]).cast("int")).alias(f"looked_{x}") for x in STAGES]
+        rows = joined.select("needle_id", "doc_id", "order", *STAGES, F.when(now == "value", F.col("here")).otherwise(F.coalesce("hit", "here")).alias("hit"), *looked)
+    looked = F.col("looked_value") + F.when(of == "value", 0).otherwise(F.col("looked_row") + F.when(of == "row", 0).otherwise(F.col("looked_anchor")))
+    return rows.select("needle_id", "doc_id", F.col("hit.stage").alias("stage"), F.coalesce("hit.page", F.get("order", F.lit(0))).alias("page"), "hit.kind", "hit.how", "hit.first", "hit.last", looked.alias("looked"))

@@ -188,3 +188,12 @@ def test_empty_tables(spark):
     documents = spark.createDataFrame([(1, 2)], "doc_id int, pages int")
     got = places.locate_values(places.page_index(item, item), needles, documents).collect()
     assert len(got) == 2 and all(r["stage"] is None and r["looked"] == 0 for r in got)
+
+
+def test_one_join_a_page(spark):
+    """Values, rows and clauses of a page are looked for in the same join: one for each page and one for the documents."""
+    item = spark.createDataFrame([(1, 1, 0, "a", 0.0, 0.0)], "doc_id int, page int, idx int, content string, x double, y double")
+    needles = spark.createDataFrame([(1, 1, 1, ["a"], ["b"], ["c"])], "needle_id int, doc_id int, page int, values array<string>, row_terms array<string>, anchors array<string>")
+    documents = spark.createDataFrame([(1, 2)], "doc_id int, pages int")
+    plan = places.locate_values(places.page_index(item, item), needles, documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == places.PAGES + 1
