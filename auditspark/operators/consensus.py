@@ -21,6 +21,9 @@ from .reads import KEY_FIELDS
 # Fields whose wording, and digits in it, may differ between two right reads.
 WORDING = {"description_ar", "description_en", "text_ar", "basis", "seller_name_ar", "ref", "kind", "per", "unit", "source_file", "claim_type", "page"}
 
+#: Units of a task, of which it sorts and votes all reads.
+UNITS = 50_000
+
 
 def comparable(value: Column, kind: DataType, skip: dict[str, list[str]] | None = None) -> Column:
     """What is compared of a value: null if nothing is. skip: fields of sections that don't count."""
@@ -145,6 +148,11 @@ def read_units(
     (docs null: the read failed); focused takes first units and returns key, key_fields. store cuts lineage behind what was
     read, so that no reader runs twice.
     """
+    # Reads are far wider than units: dealt by units, a task's sorts and votes hold the same at any size.
+    spark = units.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-units.count() // UNITS))
+    tasks += tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))  # else it is the default shuffle, whose small parts are put together
+    units = units.repartition(tasks, *key)
     reads = store(reader(passes(units, short, times)))
     checks = verified = None
     if focused is not None:
