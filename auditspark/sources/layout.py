@@ -28,8 +28,9 @@ def _field(v: Column, path: str, kind: str) -> Column:
 
 def _items(page: Column, name: str, kind: str) -> Column:
     """Items of a page as (kind, idx, content, source)."""
-    rows = F.coalesce(_field(page, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
-    return F.transform(rows, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), F.coalesce(_field(v, "$.content", "string"), F.lit("")).alias("content"), _field(v, "$.source", "string").alias("source")))
+    item = "array<struct<content: string, source: string>>"  # an item that is no object is null: a variant for each would carry all names of the answer
+    rows = F.coalesce(_field(page, f"$.{name}", item), F.array().cast(item))
+    return F.transform(rows, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), F.coalesce(v["content"], F.lit("")).alias("content"), v["source"].alias("source")))
 
 
 def shred(answers: DataFrame) -> DataFrame:

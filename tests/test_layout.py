@@ -47,3 +47,13 @@ def test_long_answer_and_search(spark):
     index = places.page_index(kept, layout.items(rows, "line"))
     page = index.first()
     assert (len(page["words"]["idx"]), page["words"]["x"][149], page["words"]["y"][149]) == (30000, 49.0, 2.0)
+
+
+def test_items_are_not_variants(spark):
+    """Odd items keep their places, and no variant is made for each item, which would carry all names of the answer."""
+    raw = '{"contents": [{"pages": [{"width": 1, "height": 1, "words": [5, null, "x", [1], {"content": 7, "source": 8}, {"content": {"a": 1}}, {"source": "D(1,2,3)"}]}]}]}'
+    rows = layout.shred(spark.createDataFrame([(1, raw)], "doc_id int, raw string"))
+    got = sorted((r["idx"], r["content"], r["error"]) for r in rows.filter("kind = 'word'").collect())
+    assert got == [(0, "", "no polygon"), (1, "", "no polygon"), (2, "", "no polygon"), (3, "", "no polygon"), (4, "7", "no polygon"), (5, '{"a":1}', "no polygon"), (6, "", None)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.content," not in plan and "$.source" not in plan
