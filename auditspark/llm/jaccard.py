@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a blocked sparse matrix product of document by n-gram incidence.
 
 Rows of the matrix are classes of documents with equal shingle sets, columns are shingles. It is cut into blocks of
-columns by hash. A block counts how many rows each of its columns has; columns of one row can't be in any overlap and go.
+columns by hash. Texts are taken in groups, which send each block their columns once. A block counts how many rows each of
+its columns has and tells the groups; columns of one row can't be in any overlap and go.
 A row with fewer than 75 % of its entries left can't link with anything and goes as well. What is left is ordered by how
 rare its columns are: two rows of the wanted similarity have a column in common within the first n - ceil(0.75 n) + 1 of
 each. In these columns the product is accumulated in two passes. The first takes two rows of each column, the one with the
@@ -11,6 +12,9 @@ component is compared with all rows of other components. So a group of near copi
 has members, and no link between components is lost. Pairs whose sizes, or whose
 places in the order of columns, rule a link out are discarded before their overlap is counted.
 
+A class of which several groups have copies counts as several rows at first, so it may stay in vain; it is one row where
+overlaps are counted. Texts are read again for the matrix, which isn't written: a read has to give the same rows each time.
+
 Shingle hashes have 64 bits; the matrix keeps 40 bits and the number of the block. Null and empty texts have no shingles
 and link with nothing; a text of fewer words than a shingle is one shingle; rows with equal ids are rows like any other;
 null ids stay null and are never the smallest of a component that has another; very long texts are rows like any other; two
@@ -19,21 +23,30 @@ rows exactly at the limit link; an empty table gives an empty result; more colum
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, discard
 from .words import chunks, mix, shingles, words
 
-#: Entries of a block of columns, of a bucket of rows, and of a group of texts: what one task holds.
+#: Entries of a block of columns, for each bucket of records of groups, and of a group of texts: what one task holds.
 BLOCK, BUCKET, PACK = 1_500_000, 1_000_000, 1_000_000
+#: In place of a row: the group's record has the rows. A group has no more rows than this.
+SEVERAL = 2**16 - 1
 #: Rows of a column of the second pass that one key of its join holds.
 PART = 512
 #: Bits of a column within its block, and bytes that they take when written.
 BITS, WIDTH = 40, 5
 
+_KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+#: Incidence by block, and what is shared of it.
+PRODUCT, SHARED = (pa.schema(list(zip(("block", "group", "c", "n", "h", "row", x), _KINDS))) for x in ("times", "df"))
+
 
 def _key(x: np.ndarray) -> int:
     """A 64-bit hash of a set of hashes."""
@@ -67,31 +80,65 @@ def _unpack(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
-def _incidence(k: int, blocks: int):
-    """Texts -> for each group of texts and block of columns: the classes, their sizes, how many entries, and the entries."""
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as all their lowest bytes, then all their next ones: of small numbers the high bytes compress to nothing."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _steps(rows: np.ndarray) -> bytes:
+    """Rows of a group, in order, as steps from one to the next."""
+    return _planes(np.diff(rows.astype("<u2"), prepend=np.uint16(0)))
+
 
-    def pack(held):
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, "<u2"), dtype=np.int64)
+
+
+def _incidence(k: int, blocks: int, buckets: int):
+    """Texts -> for each group of texts a record of its rows (block below 0), and a cell of each block of columns.
+
+    Within a group a row is known by its place. A cell has each of its columns once, by row: its 40 bits, the row, and how
+    many rows of the group have it. Columns of several rows are in the group's record, and last in the cell; so a column is
+    in a block at most once a group, however many rows have it, and an entry takes the same bytes in any number of blocks.
+    """
+
+    def pack(held, group):
         c = np.array([_key(x) for x in held], np.uint64)
         n = np.array([len(x) for x in held], np.uint32)
         h = np.concatenate(held)
         held.clear()
         block = h >> np.uint64(BITS)
         block %= np.uint64(blocks)
-        bounds = np.append(0, np.cumsum(np.bincount(block.view(np.int64), minlength=blocks)))
-        order = np.argsort(block, kind="stable")
+        block <<= np.uint64(BITS)
+        h &= np.uint64((1 << BITS) - 1)
+        h |= block
         del block
-        h, row = h[order], np.repeat(np.arange(len(c), dtype=np.uint32), n)[order]
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], np.repeat(np.arange(len(c), dtype=np.uint16), n)[order]
         del order
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
-            part = slice(bounds[b], bounds[b + 1])
-            rows, counts = np.unique(row[part], return_counts=True)
-            yield b, c[rows].tobytes(), n[rows].tobytes(), counts.astype(np.uint32).tobytes(), _pack(h[part])
+        begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        times = np.diff(np.append(begins, len(h)))
+        several = np.repeat(times > 1, times)
+        yield -1 - (group ^ group >> 32) % buckets, group, c.tobytes(), n.tobytes(), h[several].tobytes(), row[several].tobytes(), b""
+        h, row = h[begins], np.where(times > 1, SEVERAL, row[begins])
+        del several, begins
+        block = h >> np.uint64(BITS)
+        order = np.lexsort((row, block))
+        h, row, times, block = h[order], row[order], times[order].astype(np.uint16), block[order]
+        for b, first, last in _runs(block):
+            yield b, group, b"", b"", _pack(h[first:last]), _steps(row[first:last]), times[first:last].tobytes()
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["block", "c", "n", "counts", "h"])
+    def batches_of(rows, size=1024):
+        while part := list(islice(rows, size)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), PRODUCT.types)], schema=PRODUCT)
 
     def run(batches):
         seen, held, size = set(), [], 0  # a copy that this task has had adds nothing
+        group = TaskContext.get().partitionId() << 32
         for b in batches:
             for sets in _sets(b.column(0), k):
                 for x in sets:
@@ -99,40 +146,20 @@ def _incidence(k: int, blocks: int):
                         seen.add(key)
                         held.append(x)
                         size += len(x)
+                        if len(held) == SEVERAL:
+                            yield from batches_of(pack(held, group))
+                            held, size, group = [], 0, group + 1
                 if size > PACK:
-                    yield batch(list(pack(held)))
-                    held, size = [], 0
+                    yield from batches_of(pack(held, group))
+                    held, size, group = [], 0, group + 1
         if held:
-            yield batch(list(pack(held)))
+            yield from batches_of(pack(held, group))
 
     return run
 
 
-def _join(table: pa.Table, name: str, kind=None) -> np.ndarray:
-    """Binaries of a column, one after the other, as numbers; without a kind as columns of the matrix."""
-    data = b"".join(x.as_buffer() for x in table.column(name))  # no copy of each value besides the whole
-    return _unpack(data) if kind is None else np.frombuffer(data, kind)
-
-
-def _entries(table: pa.Table):
-    """Rows of the incidence -> (classes, their sizes, column and place of the class of each entry, each once, by column)."""
-    c, n, counts, h = _join(table, "c", np.uint64), _join(table, "n", np.uint32), _join(table, "counts", np.uint32), _join(table, "h")
-    c, first, rank = np.unique(c, return_index=True, return_inverse=True)
-    if len(c) >> (64 - BITS):
-        raise ValueError(f"a block has {len(c)} rows")  # BLOCK entries and the parts of large blocks are far below
-    keys = h
-    keys <<= np.uint64(64 - BITS)
-    keys |= np.repeat(rank.astype(np.uint64), counts)
-    keys.sort()
-    if len(keys):
-        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]  # classes that came from several tasks
-    return c, n[first], keys >> np.uint64(64 - BITS), (keys & np.uint64((1 << (64 - BITS)) - 1)).astype(np.int64)
-
-
-def _columns(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted columns of entries -> each once, and how many entries it has."""
-    begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[begins], np.diff(np.append(begins, len(h)))
+def _join(values: pa.ChunkedArray) -> bytes:
+    return b"".join(x.as_buffer() for x in values)  # no copy of each value besides the whole
 
 
 def _runs(x: np.ndarray):
@@ -141,111 +168,65 @@ def _runs(x: np.ndarray):
     return zip(x[begins].tolist(), begins.tolist(), np.append(begins[1:], len(x)).tolist())
 
 
-def _by_row(block: int, c, n, h, row, df, buckets: int) -> pa.Table:
-    """Entries of columns with two rows or more, dealt out by row."""
-    keep = df > 1
-    h, row, df = h[keep], row[keep], df[keep].astype(np.uint32)
-    key = (c % np.uint64(buckets)).astype(np.int64)[row]
-    key *= len(c)
-    key += row
-    order = np.argsort(key, kind="stable")
-    h, df = h[order], df[order]
-    rows, counts = np.unique(key, return_counts=True)
-    bucket, rows = rows // max(1, len(c)), rows % max(1, len(c))
-    ends = np.append(0, np.cumsum(counts, dtype=np.int64))
-    out = []
-    for b, first, last in _runs(bucket):
-        entries = slice(ends[first], ends[last])
-        mine = rows[first:last]
-        out.append((b, block, c[mine].tobytes(), n[mine].tobytes(), counts[first:last].astype(np.uint32).tobytes(), _pack(h[entries]), df[entries].tobytes()))
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["bucket", "block", "c", "n", "counts", "h", "df"])
-
-
-def _shared(buckets: int):
-    """One block of columns -> the entries of columns with two rows or more, dealt out by row."""
-
-    def run(table: pa.Table) -> pa.Table:
-        c, n, h, row = _entries(table)
-        df = _columns(h)[1]
-        return _by_row(table.column("block")[0].as_py(), c, n, h, row, np.repeat(df, df), buckets)
-
-    return run
+def _rows_of_columns(h: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Columns of entries, and how many rows each stands for -> how many rows the entry's column has."""
+    order = np.argsort(h)
+    begins = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    df = np.empty(len(h), np.int64)
+    df[order] = np.repeat(np.add.reduceat(times[order], begins, dtype=np.int64), np.diff(np.append(begins, len(h))))
+    return df.clip(0, 2**32 - 1).astype(np.uint32)
 
 
-def _split(batches):
-    """Rows of the incidence of a block of ``parts`` parts -> one for each part: a class is always in the same one."""
-    for b in batches:
-        out = []
-        for block, parts, c, n, counts, h in zip(*[b.column(x).to_pylist() for x in ("block", "parts", "c", "n", "counts", "h")]):
-            c, n, counts, h = np.frombuffer(c, np.uint64), np.frombuffer(n, np.uint32), np.frombuffer(counts, np.uint32), np.frombuffer(h, f"V{WIDTH}")
-            part = ((c >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            h = h[np.argsort(np.repeat(part, counts), kind="stable")]
-            order = np.argsort(part, kind="stable")
-            c, n, counts, ends = c[order], n[order], counts[order], np.append(0, np.cumsum(counts[order], dtype=np.int64))
-            for p, first, last in _runs(part[order]):
-                out.append((block, p, c[first:last].tobytes(), n[first:last].tobytes(), counts[first:last].tobytes(), h[ends[first] : ends[last]].tobytes()))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["block", "part", "c", "n", "counts", "h"])
+def _shared(most: int):
+    """One block of columns -> for each of its cells the columns with two rows or more. Records of groups pass."""
 
-
-def _part_counts(table: pa.Table) -> pa.Table:
-    """One part of a block -> its columns and how many rows each has here."""
-    h, df = _columns(_entries(table)[2])
-    return pa.table({"block": table.column("block")[:1], "h": pa.array([_pack(h)], pa.binary()), "df": pa.array([df.astype(np.uint32).tobytes()], pa.binary())})
-
-
-def _block_counts(table: pa.Table) -> pa.Table:
-    """Counts of the parts of a block -> of the whole block, for each part."""
-    h, df = _join(table, "h"), _join(table, "df", np.uint32)
-    h, place = np.unique(h, return_inverse=True)
-    df = np.bincount(place, df, len(h)).clip(0, 2**32 - 1).astype(np.uint32)
-    return pa.table({"block": table.column("block")[:1], "h": pa.array([_pack(h)], pa.binary()), "df": pa.array([df.tobytes()], pa.binary())})
-
-
-def _shared_part(buckets: int):
-    """One part of a block and the counts of the block's columns -> as _shared."""
-
-    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
-        c, n, h, row = _entries(table)
-        df = _join(counts, "df", np.uint32)[np.searchsorted(_join(counts, "h"), h)]
-        return _by_row(table.column("block")[0].as_py(), c, n, h, row, df, buckets)
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        if block < 0:
+            return table.select(PRODUCT.names).rename_columns(SHARED.names)
+        h, times = _unpack(_join(table.column("h"))), np.frombuffer(_join(table.column("times")), np.uint16)
+        df, parts = np.empty(len(h), np.uint32), -(-len(h) // most)
+        for p in range(parts):  # so many columns at a time
+            at = np.flatnonzero(h % np.uint64(parts) == p)
+            if len(at):
+                df[at] = _rows_of_columns(h[at], times[at])
+        out, first = [], 0
+        for group, row in zip(table.column("group").to_pylist(), table.column("row")):
+            row = _from_steps(row.as_buffer())
+            last = first + len(row)
+            keep = df[first:last] > 1
+            if keep.any():
+                out.append((block, group, b"", b"", _pack(h[first:last][keep]), _steps(row[keep]), _planes(df[first:last][keep])))
+            first = last
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(SHARED.types)], schema=SHARED)
 
     return run
 
 
 def _shared_entries(product: DataFrame, buckets: int, most: int) -> DataFrame:
-    """The incidence by block -> its entries in shared columns by row.
+    """The incidence by block -> records of groups, and of each cell the columns with two rows or more.
 
-    A block is larger than others only where a column is in very many rows. Those of more than most entries are cut into
-    parts of about most by row; parts count their columns, which are few beside the entries, and get the block's counts.
+    A column is in a block once a group, so blocks are about equal; more than most entries are counted in parts by column.
     """
-    kind = "bucket int, block int, c binary, n binary, counts binary, h binary, df binary"
-    large = product.groupBy("block").agg(F.sum(F.octet_length("h") / WIDTH).alias("entries")).filter(F.col("entries") > most)
-    large = cut(large.select("block", F.ceil(F.col("entries") / most).cast("int").alias("parts")), "jaccard-large")
-    if not (n := large.count()):
-        return product.groupBy("block").applyInArrow(_shared(buckets), kind)
-    small = product.join(bounded(large, n), "block", "left_anti").groupBy("block").applyInArrow(_shared(buckets), kind)
-    parts = product.join(bounded(large, n), "block").select("block", "parts", "c", "n", "counts", "h")
-    parts = cut(parts.mapInArrow(_split, "block int, part int, c binary, n binary, counts binary, h binary"), "jaccard-parts")
-    counts = parts.groupBy("block", "part").applyInArrow(_part_counts, "block int, h binary, df binary")
-    counts = cut(counts.groupBy("block").applyInArrow(_block_counts, "block int, h binary, df binary"), "jaccard-counts")
-    counts = counts.join(large, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "h", "df")
-    split = parts.groupBy("block", "part").cogroup(counts.join(parts.select("block", "part").distinct(), ["block", "part"], "left_semi").groupBy("block", "part"))
-    return small.unionByName(split.applyInArrow(_shared_part(buckets), kind))
+    return product.groupBy("block").applyInArrow(_shared(most), "block int, group long, c binary, n binary, h binary, row binary, df binary")
 
 
 def _survivors(percent: int):
-    """Entries of some rows -> rows that can have a link: shared columns, and those to look for partners by, rarest first."""
+    """What is shared of a group -> rows that can have a link: shared columns, and those to look for partners by, rarest first."""
 
     def run(table: pa.Table) -> pa.Table:
-        counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
-        block = np.repeat(table.column("block").to_numpy().astype(np.uint64), [int(x.sum()) for x in counts])
-        c, n, counts = _join(table, "c", np.uint64), _join(table, "n", np.uint32), np.concatenate(counts)
-        h, df = _join(table, "h") | (block << np.uint64(BITS)), _join(table, "df", np.uint32)
-        c, first, rank = np.unique(c, return_index=True, return_inverse=True)
-        n = n[first].astype(np.int64)
-        row = np.repeat(rank, counts)
+        block = table.column("block").to_numpy()
+        at = int(np.flatnonzero(block < 0)[0])
+        c, n, local, local_row = (np.frombuffer(table.column(x)[at].as_buffer(), t) for x, t in (("c", np.uint64), ("n", np.uint32), ("h", np.uint64), ("row", np.uint16)))
+        cells = table.filter(pa.array(block >= 0))
+        row, df = ([f(x.as_buffer()) for x in cells.column(y)] for f, y in ((_from_steps, "row"), (lambda x: _from_planes(x, np.uint32), "df")))
+        h = _unpack(_join(cells.column("h"))) | np.repeat(block[block >= 0].astype(np.uint64) << np.uint64(BITS), np.array([len(x) for x in row], np.int64))
+        row, df = np.concatenate([np.zeros(0, np.int64), *row]), np.concatenate([np.zeros(0, np.uint32), *df])
+        several = row == SEVERAL
+        order = np.argsort(h[several])
+        local_df = df[several][order][np.searchsorted(h[several], local, sorter=order)] if len(local) else df[:0]
+        h, row, df = np.append(h[~several], local), np.append(row[~several], local_row), np.append(df[~several], local_df)
+        n = n.astype(np.int64)
         m = np.bincount(row, minlength=len(c))
         keep = (100 * m >= percent * n)[row]
         h, df, row = h[keep], df[keep], row[keep]
@@ -299,11 +280,10 @@ def _linked(percent: int):
 def _rows_and_posts(docs: DataFrame, entries: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes that can have a link, and the columns in which they meet."""
     blocks, buckets = max(8, -(-entries // BLOCK)), max(8, -(-entries // BUCKET))
-    product = cut(docs.select("text").mapInArrow(_incidence(k, blocks), "block int, c binary, n binary, counts binary, h binary"), "jaccard-product")
+    product = docs.select("text").mapInArrow(_incidence(k, blocks, buckets), "block int, group long, c binary, n binary, h binary, row binary, times binary")
     shared = _shared_entries(product, buckets, 3 * BLOCK // 2)
-    rows = shared.groupBy("bucket").applyInArrow(_survivors(percent), "c long, n long, m long, shared array<long>, first array<long>")
-    rows = cut(rows, "jaccard-rows")
-    discard(product)
+    rows = shared.groupBy("group").applyInArrow(_survivors(percent), "c long, n long, m long, shared array<long>, first array<long>")
+    rows = cut(rows.dropDuplicates(["c"]), "jaccard-rows")  # classes that came from several groups, all with the same columns
     # A column at place i of a row, being the first that two rows share, leaves an overlap of at most left = m - i.
     posts = rows.select(F.posexplode("first").alias("i", "h"), "c", "n", "m")
     return rows, cut(posts.select("h", "c", "n", (F.col("m") - F.col("i")).alias("left"), ((F.col("n") - F.col("m")) / F.col("n")).alias("own")), "jaccard-columns")

@@ -132,6 +132,41 @@ def test_jaccard_large_blocks_are_cut_into_parts(spark, docs, monkeypatch):
     assert cuts[0] > 2
 
 
+def test_jaccard_entries_take_the_same_bytes_in_any_number_of_blocks(spark, docs, monkeypatch):
+    plain, sizes, results = jaccard._shared_entries, [], []
+
+    def measured(product, buckets, most):
+        wide = [f.name for f in product.schema if f.dataType.typeName() == "binary"]
+        sizes.append(product.agg(F.sum(sum(F.octet_length(x) for x in wide)), F.countDistinct("block")).first())
+        return plain(product, buckets, most)
+
+    monkeypatch.setattr(jaccard, "_shared_entries", measured)
+    for block in (6_000_000, 5):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        results.append(Counter(map(tuple, jaccard.jaccard_components(docs).collect())))
+    assert results[0] == results[1]
+    assert sizes[1][1] > 20 * sizes[0][1] and sizes[1][0] <= 1.1 * sizes[0][0]
+
+
+def test_jaccard_of_small_groups(spark, monkeypatch):
+    """Copies, near copies and columns of a group and of several; groups in which nothing is shared."""
+    rng = random.Random(23)
+    texts = [" ".join(f"u{i}_{j}" for j in range(rng.randint(1, 30))) for i in range(60)]
+    for i in range(12):
+        w = [f"c{i}_{j}" for j in range(40)]
+        texts += [" ".join(w)] * rng.randint(1, 4) + [" ".join(w[: rng.randint(30, 40)] + ["end"]) for _ in range(3)] + [" ".join(w[:5]) + f" own{i}"] * 2
+    rng.shuffle(texts)
+    texts += [" ".join(f"t{i}_{j}" for j in range(30)) for i in range(40)]
+    s = sets([{"text": t} for t in texts])
+    top = groups(s, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    frame = spark.createDataFrame(rows_of(*[(i, t, "", "") for i, t in enumerate(texts)]), DOC).repartition(3)
+    for pack, rows in ((100, 2**16 - 1), (10**6, 3), (10**6, 2**16 - 1)):
+        monkeypatch.setattr(jaccard, "PACK", pack)
+        monkeypatch.setattr(jaccard, "SEVERAL", rows)
+        monkeypatch.setattr(jaccard, "BLOCK", 200)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame).collect()} == dict(enumerate(top))
+
+
 def test_jaccard_chains_and_bad_leaders(spark):
     """Chains whose ends aren't alike, and many variants of a text that is not there itself."""
     rng = random.Random(3)
