@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, discard
+from .common import bounded, cut, discard, small_batches
 from .words import chunks, mix, shingles, words
 
 #: Entries of a block of columns, for each bucket of records of groups, and of a group of texts: what one task holds.
@@ -360,6 +360,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
 
     first and lead are the first rows of the class and of its component.
     """
+    small_batches(docs)
     each = cut(docs.select("doc_id", F.xxhash64("text").alias("t"), _classes(k)("text").alias("s")).select("doc_id", "t", "s.n", "s.c"), "jaccard-docs")
     classes = cut(each.filter("n > 0").groupBy("c").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
     labels = link_classes(docs, classes.agg(F.sum("n")).first()[0] or 0, k, percent)
@@ -381,6 +382,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 75, *, id_col="doc
 
     All pairs of classes are compared that can link, so the work grows with the square of a group of near copies.
     """
+    small_batches(docs)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     each = cut(docs.select("doc_id", _classes(k)("text").alias("s")).select("doc_id", F.col("s.n").alias("n"), F.col("s.c").alias("c")), "jaccard-docs")
     copies = cut(each.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DOCS, CHARS = 24, 1500
 WINDOW = 512
 #: Symbols of the table; those from here on are in the list of rare ones.
@@ -250,6 +252,7 @@ def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", d
 
 def predictor(docs: DataFrame, model: Model):
     """A function of a text column: struct of lang_pred and score."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

@@ -17,6 +17,7 @@ result; more columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_bucket
+from .common import cut, hash_bucket, small_batches
 
 SALTS = 64
 #: Fillings that later ones of a bin are compared with.
@@ -40,28 +41,35 @@ class Encoder:
     """Texts to little-endian 32-bit ids, equal to what the tokenizers library makes of the vocabulary at path.
 
     ranks holds the same vocabulary for tiktoken, which is faster but doesn't know special tokens: texts with one of their
-    strings go to the tokenizers library itself.
+    strings go to the tokenizers library itself, which is loaded when the first one comes.
     """
 
-    def __init__(self, path: str, ranks: str, pattern: str):
+    def __init__(self, path: str, ranks: str, pattern: str, special: list[str]):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.exact.get_added_tokens_decoder().values()]
+        self.path, self.special, self.exact = path, special, None
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
-def _pieces(path: str, ranks: str, pattern: str, end: int, size: int, ids: bool):
+def _special(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [x["content"] for x in json.load(f)["added_tokens"]]
+
+
+def _pieces(path: str, ranks: str, pattern: str, special: list[str], end: int, size: int, ids: bool):
     def run(batches):
-        encode, last = Encoder(path, ranks, pattern), np.array([end], "<u4").tobytes()
+        encode, last = Encoder(path, ranks, pattern, special), np.array([end], "<u4").tobytes()
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -220,8 +228,9 @@ def pack_documents(docs: DataFrame, size: int = 1024, end: int = 2, *, path: str
         import public_tokenizers
 
         path, ranks, pattern = path or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    small_batches(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = docs.mapInArrow(_pieces(str(path), str(ranks), pattern, end, size, ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    pieces = docs.mapInArrow(_pieces(str(path), str(ranks), pattern, _special(str(path)), end, size, ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     pieces = cut(pieces.withColumn("rid", F.monotonically_increasing_id()), "pack-pieces").withColumn("salt", hash_bucket(F.col("rid"), SALTS))
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * ids]
     full = pieces.filter(F.col("length") == size).withColumn("sequence_id", -1 - F.col("rid")).withColumn("offset", F.lit(0).cast("long"))  # each is a sequence

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .langid import remainder
 from .words import LETTERS, chunks, words
 
@@ -34,6 +35,8 @@ BITS, FACTORS, SAMPLE, TERMS, CHI = 20, 4, 12_000, 2048, 12.0
 PREFIXES = (5, 7)
 #: Terms beside which others are tested, and what a term must reach there: a stricter limit, for more tests are made.
 PAIRED, PAIR_CHI = 64, 30.0
+#: Terms counted or looked up at a time, since numpy turns them into 64-bit numbers for that.
+SLICE = 1 << 20
 #: Documents of a step of descent, and steps at least.
 BATCH, STEPS = 256, 600
 
@@ -61,17 +64,29 @@ def _sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return total[begins[1:]] - total[begins[:-1]]
 
 
-def _partners(places, begins, labels, best, seen) -> np.ndarray:
+def _counts(places: np.ndarray) -> np.ndarray:
+    """How often each place occurs."""
+    out = np.zeros(1 << BITS)
+    for i in range(0, len(places), SLICE):
+        out += np.bincount(places[i : i + SLICE], minlength=1 << BITS)
+    return out
+
+
+def _look_up(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.concatenate([table[:0], *[table[places[i : i + SLICE]] for i in range(0, len(places), SLICE)]])
+
+
+def _partners(places, begins, labels, best, y) -> np.ndarray:
     """Terms that pass the test only among documents that have one of the terms best: of each the largest value counts."""
-    doc = np.repeat(np.arange(len(labels)), np.diff(begins))
-    alone, found = np.isin(places, best), np.zeros(1 << BITS)
+    other, found = np.ones(1 << BITS, bool), np.zeros(1 << BITS)
+    other[best] = False
+    other = _look_up(other, places)
     for term in best[:PAIRED].tolist():
         mine = np.zeros(len(labels), bool)
-        mine[doc[places == term]] = True
+        mine[np.searchsorted(begins, np.flatnonzero(places == term), "right") - 1] = True
         n, share = mine.sum(), labels[mine].mean()
-        at = mine[doc] & ~alone
-        count = np.bincount(places[at], minlength=1 << BITS)
-        bad = np.bincount(places[at], labels[doc[at]], minlength=1 << BITS)
+        at = np.repeat(mine, np.diff(begins)) & other
+        count, bad = _counts(places[at]), _counts(places[at & y])
         spread = np.maximum(count * share * (1 - share) * (1 - count / n), 1e-9)
         found = np.maximum(found, np.where(count >= 8, (np.abs(bad - count * share) - 0.5).clip(0) ** 2 / spread, 0))
     new = np.argsort(-found, kind="stable")[:TERMS]
@@ -88,15 +103,14 @@ class Machine:
         self.w, self.v = np.zeros(0), np.zeros((0, FACTORS))
         if not n or toxic in (0, n):
             return
-        y = np.repeat(labels, np.diff(begins))
-        seen = np.bincount(places, minlength=1 << BITS).astype(float)
-        bad = np.bincount(places, y, minlength=1 << BITS)
+        y = np.repeat(labels > 0, np.diff(begins))
+        seen, bad = _counts(places), _counts(places[y])
         share = toxic / n
         spread = np.maximum(seen * share * (1 - share) * (1 - seen / n), 1e-9)
         chi = np.where(seen >= 3, (np.abs(bad - seen * share) - 0.5).clip(0) ** 2 / spread, 0)
         best = np.argsort(-chi, kind="stable")[:TERMS]
         best = best[chi[best] > CHI]
-        best = np.sort(np.concatenate((best, _partners(places, begins, labels, best, seen))))
+        best = np.sort(np.concatenate((best, _partners(places, begins, labels, best, y))))
         self.place[best] = np.arange(len(best))
         rng = np.random.default_rng(seed)
         self.w, self.v = np.zeros(len(best)), rng.normal(0, 0.05, (len(best), FACTORS))
@@ -123,8 +137,9 @@ class Machine:
                     x -= rate * grad / np.sqrt(sums[name])
 
     def _rows(self, places, begins):
-        rows = self.place[places]
-        return rows[rows >= 0], np.concatenate(([0], np.cumsum(rows >= 0)))[begins]
+        rows = _look_up(self.place, places)
+        known = rows >= 0
+        return rows[known], np.searchsorted(np.flatnonzero(known), begins)
 
     def _raw(self, rows, begins):
         v = self.v[rows]
@@ -153,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 def scorer(docs: DataFrame, machine: Machine):
     """A function of a text column: the score."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")

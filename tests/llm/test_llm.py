@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditspark.llm import chat, html, jaccard, langid, mixing, neighbours, packing, sharding, topk, toxicity, vectors
+from auditspark.llm import chat, common, html, jaccard, langid, mixing, neighbours, packing, sharding, topk, toxicity, vectors
 from auditspark.llm.words import chunks, shingles, words
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, h string, copy int, label string, c string"
@@ -868,6 +868,58 @@ def test_chat(spark):
 # -- the pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Spark's own batches hold 10,000 rows or 64 MB: a whole split of texts, in the JVM and in the worker."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(size)
+    frame = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat("id", F.repeat(F.lit(" word"), 2000)).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    seen = lambda batches: (b.from_pydict({"bytes": [b.nbytes]}) for b in batches)
+    marks = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for stage in (langid.keep_identified, lambda x: toxicity.keep_civil(x, marks), jaccard.keep_one, packing.pack_documents):
+        try:
+            stage(frame.limit(5))
+            sizes = [r["bytes"] for r in frame.select("text").mapInArrow(seen, "bytes long").collect()]
+            assert len(sizes) > 5 and max(sizes) < 1.1 * common.BATCH
+            spark.conf.set(size, "1m")  # a session's own choice stays
+            stage(frame.limit(5))
+            assert spark.conf.get(size) == "1m"
+        finally:
+            spark.conf.unset(size)
+
+
+def test_special_tokens_are_known_before_the_tokenizer_is_loaded():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path, exact = P.path("byte_bpe_50k.json"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    special = packing._special(path)
+    assert special == [x.content for x in exact.get_added_tokens_decoder().values()]
+    encode = packing.Encoder(path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special)
+    for text, loaded in (("plain text", False), (f"a {special[0]} b", True), ("plain again", True)):
+        assert np.frombuffer(encode(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+        assert (encode.exact is not None) == loaded
+
+
+def test_toxicity_training_in_little_memory():
+    """Arrays of 8 bytes for each term of the sample aren't made, and counts are those of the plain way."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    places, begins = rng.integers(0, 5000, 8_000_000).astype(np.int32), np.arange(0, 8_000_001, 1000)
+    labels = (rng.random(8000) < 0.3).astype(float)
+    assert (toxicity._counts(places) == np.bincount(places, minlength=1 << toxicity.BITS)).all()
+    toxic = np.zeros(5000)
+    toxic[:20] = 1
+    y = np.repeat(labels > 0, np.diff(begins))
+    tracemalloc.start()
+    try:
+        toxicity._partners(places, begins, labels, np.flatnonzero(toxic), y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 14 * len(places)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
