@@ -237,7 +237,8 @@ def pack_documents(docs: DataFrame, size: int = 1024, end: int = 2, *, path: str
     pieces = pieces.filter(F.col("length") < size)
     by_salt = pieces.groupBy("length", "salt").agg(F.count("*").alias("k"))
     counts = {r["length"]: r["k"] for r in by_salt.groupBy("length").agg(F.sum("k").alias("k")).collect()}  # at most size rows
-    places = pieces.sparkSession.createDataFrame(_places(pack_histogram(counts, size)), "length long, low long, high long, each long, first long, at long")
+    places = pa.Table.from_pandas(_places(pack_histogram(counts, size)), preserve_index=False)  # Arrow: rows of pandas would go through workers of their own
+    places = pieces.sparkSession.createDataFrame(places, "length long, low long, high long, each long, first long, at long")
     up = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = by_salt.withColumn("base", F.sum("k").over(up) - F.col("k")).select("length", "salt", "base")  # at most size * SALTS rows
     rank = F.col("base") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid")) - 1

@@ -900,6 +900,12 @@ def test_special_tokens_are_known_before_the_tokenizer_is_loaded():
         assert (encode.exact is not None) == loaded
 
 
+def test_packing_starts_no_workers_for_its_plan(spark, docs):
+    """Python workers of an RDD are others than those of SQL: executors would hold both."""
+    plan = packing.pack_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
 def test_toxicity_training_in_little_memory():
     """Arrays of 8 bytes for each term of the sample aren't made, and counts are those of the plain way."""
     import tracemalloc
