@@ -1,11 +1,15 @@
 """Ranked lexical search over postings in shards of documents.
 
 Each task cuts the documents it reads into shards and writes one row for each: the postings of all terms in compressed sparse
-rows (sorted terms, where each one's postings begin, places of documents, integer impacts). Impacts are worked out when the
+rows (sorted terms, where each one's postings begin, places of documents, integer impacts; each the bytes of an array, as
+Spark's readers hold 12 bytes of levels and room for each entry of a list of numbers). Impacts are worked out when the
 index is built, from the counts of all documents. A search reads the vocabularies alone for the number of documents of each
 asked term, then the postings: for each item, term by term, into a dense accumulator of the shard's documents, of which the
-k best are selected, ties by id; what shards found is merged in two steps, so an item's rows meet in no single large task.
-Documents are never shuffled. Items are searched in slabs of bounded size.
+k best are selected, ties by id; what a task's shards found is merged in the task, what tasks found in two steps, so an item's
+rows meet in no single large task. Documents are never shuffled. Items are searched in slabs of bounded size.
+
+A task holds a batch of texts, one shard of some megabytes and a bounded number of candidates, however large the table and its
+splits are.
 
 Terms are known by 64-bit hashes of their bytes. Two of 10^5 terms of a shard share one with a chance of 3 in 10^10.
 
@@ -23,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import WIDE, cut, small_batches
 from .words import chunks, words
 
 #: A shard ends after so many words or documents; terms of a slab of items, and up to how many slabs are broadcast (16 bytes a term).
-SHARD_WORDS, SHARD_DOCS, SLAB, BROADCAST_SLABS = 1 << 21, 1 << 14, 50_000, 16
+SHARD_WORDS, SHARD_DOCS, SLAB, BROADCAST_SLABS = 1 << 19, 1 << 14, 50_000, 16
+#: A task merges what its shards found when it holds so many candidates.
+HELD = 1 << 18
 #: Into so many parts each item's candidates are merged before all of them are, and slabs too many for a broadcast are dealt.
 PARTS = 32
 #: Bytes of terms: ASCII letters and digits, and all of longer UTF-8 sequences.
@@ -77,7 +83,7 @@ def _shard(hashes: list, lengths: list, ids: list, kind, n_docs: int, n_terms: i
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     impact = impacts(tf, length_measures(n, n_docs, n_terms)[doc])
     ids = pa.concat_arrays(ids).cast(kind)
-    return {"ids": ids, "terms": h[first].view(np.int64), "begins": np.append(first, len(h)).astype(np.int32), "docs": doc, "impacts": impact.astype(np.int32)}
+    return {"ids": ids, "terms": h[first], "begins": np.append(first, len(h)).astype(np.int32), "docs": doc, "impacts": impact.astype(np.int32)}
 
 
 def _indexer(kind: pa.DataType, n_docs: int, n_terms: int):
@@ -86,8 +92,8 @@ def _indexer(kind: pa.DataType, n_docs: int, n_terms: int):
 
         def row():
             found = _shard(hashes, lengths, ids, kind, n_docs, n_terms)
-            lists = [pa.ListArray.from_arrays([0, len(x)], x if isinstance(x, pa.Array) else pa.array(x)) for x in found.values()]
-            return pa.RecordBatch.from_arrays([pa.array([shard]), *lists], ["shard", *found])
+            ids_found = pa.ListArray.from_arrays([0, len(found["ids"])], found.pop("ids"))
+            return pa.RecordBatch.from_arrays([pa.array([shard]), ids_found, *(pa.array([x.tobytes()]) for x in found.values())], ["shard", "ids", *found])
 
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1)):
@@ -111,10 +117,11 @@ def _indexer(kind: pa.DataType, n_docs: int, n_terms: int):
 
 def build_index(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
     """(one row for each shard: shard, ids, terms, begins, docs, impacts; the number of documents with a term), written."""
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
     n_docs, n_terms = collection_size(rows)
-    schema = "shard long, ids array<long>, terms array<long>, begins array<int>, docs array<int>, impacts array<int>"
-    return cut(rows.mapInArrow(_indexer(pa.int64(), n_docs, n_terms), schema), "lexical-index"), n_docs
+    schema = "shard long, ids array<long>, terms binary, begins binary, docs binary, impacts binary"
+    return cut(rows.mapInArrow(_indexer(pa.int64(), n_docs, n_terms), schema), "lexical-index", **WIDE), n_docs
 
 
 def _item_terms(batches):
@@ -125,14 +132,14 @@ def _item_terms(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item)), pa.array(h.view(np.int64))], ["item_id", "term"])
 
 
-def _numbers(column: pa.Array, row: int) -> np.ndarray:
-    values = column[row].values
-    return values.to_numpy(zero_copy_only=False)
+def _numbers(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
+    """A shard's arrays, without a copy of their bytes."""
+    return [np.frombuffer(batch.column(x)[row].as_buffer(), np.uint64 if x == "terms" else np.int32) for x in names]
 
 
 def _places(terms: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which asked terms are among a shard's, and where."""
-    terms, asked = terms.view(np.uint64), asked.view(np.uint64)
+    asked = asked.view(np.uint64)
     at = np.searchsorted(terms, asked).clip(max=len(terms) - 1)
     there = np.flatnonzero(terms[at] == asked)
     return there, at[there]
@@ -141,9 +148,10 @@ def _places(terms: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _document_counts(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            asked = _numbers(batch.column("asked"), i)
-            there, at = _places(_numbers(batch.column("terms"), i), asked)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[there]), pa.array(np.diff(_numbers(batch.column("begins"), i))[at].astype(np.int64))], ["term", "df"])
+            asked = batch.column("asked")[i].values.to_numpy()
+            terms, begins = _numbers(batch, i, "terms", "begins")
+            there, at = _places(terms, asked)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[there]), pa.array((begins[at + 1] - begins[at]).astype(np.int64))], ["term", "df"])
 
 
 def select_top(scores: np.ndarray, ids: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
@@ -158,14 +166,36 @@ def select_top(scores: np.ndarray, ids: np.ndarray, null: np.ndarray, k: int) ->
     return at
 
 
+def best_of(key: np.ndarray, score: np.ndarray, id_: np.ndarray, null: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each key's k best of these candidates, as select_top picks them."""
+    order = np.lexsort((id_, null, -score, key))
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    order = order[rank < k]
+    return key[rank < k], score[order], id_[order], null[order]
+
+
 def _searcher(k: int):
     def run(batches):
+        part, names, held, n = TaskContext.get().partitionId() % PARTS, {}, [], 0
+
+        def merged():
+            return best_of(*(np.concatenate(x) for x in zip(*held)), k)
+
+        def rows(key, score, id_, null):
+            slab = key >> 32
+            for s in np.unique(slab).tolist():
+                own = slab == s
+                items = names[s].take(pa.array(key[own] & 0xFFFFFFFF))
+                yield pa.RecordBatch.from_arrays([items, pa.array(id_[own], mask=null[own]), pa.array(score[own]), pa.array(np.full(own.sum(), part, np.int32))], ["item_id", "doc_id", "score", "part"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = batch.column("ids")[i].values
+                ids, slab = batch.column("ids")[i].values, batch.column("slab")[i].as_py()
                 null = ids.is_null().to_numpy(zero_copy_only=False)
                 plain = ids.fill_null(0).to_numpy()
-                terms, begins, docs, impact = (_numbers(batch.column(x), i) for x in ("terms", "begins", "docs", "impacts"))
+                terms, begins, docs, impact = _numbers(batch, i, "terms", "begins", "docs", "impacts")
                 items = batch.column("items")[i].values
                 asked = items.field("asked")
                 ends, inner = np.asarray(asked.offsets) - asked.offsets[0].as_py(), asked.flatten()
@@ -179,11 +209,21 @@ def _searcher(k: int):
                         some = slice(begins[t], begins[t + 1])
                         total[docs[some]] += w * impact[some].astype(np.int64)
                     top = select_top(total, plain, null, k)
-                    found.append((int(of[b]), top, total[top]))
-                if found:
-                    item = np.concatenate([np.full(len(x), j) for j, x, _ in found])
-                    columns = [items.field("item_id").take(pa.array(item)), ids.take(pa.array(np.concatenate([x for _, x, _ in found]))), pa.array(np.concatenate([s for _, _, s in found]))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(item), batch.column("shard")[i].as_py()))], ["item_id", "doc_id", "score", "shard"])
+                    found.append((np.full(len(top), slab << 32 | int(of[b])), total[top], plain[top], null[top]))
+                if not found:
+                    continue
+                held.append(tuple(np.concatenate(x) for x in zip(*found)))
+                n += len(held[-1][0])
+                if slab not in names:  # a copy: the ids alone, not the batch that they came in
+                    names[slab] = pa.concat_arrays([items.field("item_id"), items.field("item_id")[:0]])
+                if n >= HELD:
+                    held = [merged()]
+                    n = len(held[0][0])
+                    if n >= HELD // 2:
+                        yield from rows(*held[0])
+                        names, held, n = {}, [], 0
+        if n:
+            yield from rows(*merged())
 
     return run
 
@@ -209,9 +249,9 @@ def search_index(index: DataFrame, n_docs: int, items: DataFrame, k: int = 50) -
     weight = F.floor(1000 * F.log(F.lit(2 * n_docs + 2) / (2 * F.col("df") + 1))).alias("w")
     weighed = asked.join(df.select("term", weight), "term").groupBy("item_id").agg(F.collect_list(F.struct("term", "w")).alias("asked"))
     slabs = cut(weighed.groupBy(deal("item_id")).agg(F.collect_list(F.struct("item_id", "asked")).alias("items")), "lexical-slabs")
-    found = _with_slabs(index, slabs, n).drop("slab").mapInArrow(_searcher(k), f"item_id {kind}, doc_id long, score long, shard long")
+    found = _with_slabs(index, slabs, n).mapInArrow(_searcher(k), f"item_id {kind}, doc_id long, score long, part int")
     best = lambda *by: F.row_number().over(Window.partitionBy("item_id", *by).orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
-    found = found.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(PARTS))).withColumn("rank", best("part")).filter(F.col("rank") <= k)
+    found = found.withColumn("rank", best("part")).filter(F.col("rank") <= k)
     return found.withColumn("rank", best()).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from auditspark.llm import lexical
@@ -77,3 +78,34 @@ def test_selection_keeps_smallest_ids_of_a_tie():
 
 def test_length_measures_do_not_overflow():
     assert lexical.length_measures(np.array([10**9]), 10**12, 10**13).tolist() == [50 + 50 * 10**9 * 10**12 // 10**13]
+
+
+@pytest.mark.parametrize("held", [1, 60, 2000])
+def test_candidates_of_a_task_are_merged_whenever_they_are_many(spark, monkeypatch, held):
+    docs, items = corpus(2)
+    monkeypatch.setattr(lexical, "SHARD_DOCS", 4)
+    monkeypatch.setattr(lexical, "SLAB", 30)
+    monkeypatch.setattr(lexical, "HELD", held)
+    got = lexical.rank_documents(spark.createDataFrame([(*x, 1, "c", 2, 3, "z") for x in docs], DOC).coalesce(1), spark.createDataFrame([(*x, 1, "t", 2) for x in items], ITEM), 5)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items, 5)
+
+
+def test_best_of_candidates():
+    rng = np.random.default_rng(5)
+    key, score, ids, null = rng.integers(0, 9, 400), rng.integers(1, 12, 400), rng.permutation(400), rng.random(400) < 0.1
+    for k in (1, 3, 50):
+        want = [x for j in range(9) for x in sorted((int(j), int(-s), bool(z), int(i)) for q, s, i, z in zip(key, score, ids, null) if q == j)[:k]]
+        q, s, i, z = lexical.best_of(key, score, ids, null, k)
+        assert list(zip(q.tolist(), (-s).tolist(), z.tolist(), i.tolist())) == want
+
+
+def test_a_task_holds_one_shard_and_few_texts_at_a_time(spark):
+    """A split of 3 million words, most of them seen once: a reader's batch of the index is a row group, and none has a row of 40 MB or all rows of the split."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(size)
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60000), x -> hex(x * (id + 3000)))) AS text").coalesce(1)
+    index, n_docs = lexical.build_index(docs)
+    assert n_docs == 50 and index.count() >= 5 and index.selectExpr("sum(size(ids))").first()[0] == 50
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)) < 16e6
+    assert int(spark.conf.get(size)) <= 4 << 20
