@@ -107,5 +107,7 @@ def test_a_task_holds_one_shard_and_few_texts_at_a_time(spark):
     index, n_docs = lexical.build_index(docs)
     assert n_docs == 50 and index.count() >= 5 and index.selectExpr("sum(size(ids))").first()[0] == 50
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
-    assert max(m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)) < 16e6
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) < 16e6
+    assert not any(g.column(c).is_stats_set for g in groups for c in range(g.num_columns))  # a writer would hold whole shards as least and greatest values
     assert int(spark.conf.get(size)) <= 4 << 20
