@@ -3,6 +3,9 @@ places on pages."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from ..functions.text import ATTACHMENTS, bind, display_name, doc_key, signature
 ATTACHMENT_FIELDS = ["vendor_name_ar", "cr_number", "vat_number", "reference_no", "issue_date", "expiry_date"]
 AMOUNT_OFF = 0.01
 
+#: Polygons of up to so many points, the usual ones, are read without lambda functions.
+CORNERS = 4
+
 
 def qr_summary(invoices: DataFrame) -> DataFrame:
     """invoices (id, q, status and the face: seller_name, vat_number, invoice_date, total, vat) -> (id, field, decoded,
@@ -84,18 +90,41 @@ def stamp_source(rows: Column, source: Column) -> Column:
 
 def polygon(source: Column) -> Column:
     """'D(page,x1,y1,...)' as (page, points)."""
-    return bind(lambda v: _points(v["numbers"]), numbers=F.transform(F.split(F.regexp_extract(source, r"D\(([^)]*)\)", 1), ","), lambda x: x.try_cast("double")))
+    return bind(lambda v: shape(v["numbers"]), numbers=coordinates(source))
+
+
+def coordinates(source: Column) -> Column:
+    """The numbers of a polygon's text, null where there is none: the first half of polygon, for rows that keep it as a column."""
+    return F.split(F.regexp_extract(source, r"D\(([^)]*)\)", 1), ",").try_cast("array<double>")
 
 
-def _points(numbers: Column) -> Column:
-    n = F.greatest(F.floor((F.size(numbers) - 1) / 2), F.lit(0)).cast("int")
+def whole_points(numbers: Column) -> Column:
+    """How many points have both numbers."""
+    return F.greatest(F.floor((F.size(numbers) - 1) / 2), F.lit(0)).cast("int")
+
+
+def shape(numbers: Column) -> Column:
+    """Numbers of a polygon as (page, points)."""
+    n = whole_points(numbers)
     at = lambda i: F.try_element_at(numbers, i)
-    points = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(at(2 * i + 2).alias("x"), at(2 * i + 3).alias("y")))
-    return F.struct(at(F.lit(1)).cast("int").alias("page"), F.when(n > 0, points).otherwise(F.slice(points, 1, 0)).alias("points"))
+    point = lambda i: F.struct(at(2 * i + 2).alias("x"), at(2 * i + 3).alias("y"))
+    points = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), point)
+    few = _few(n, lambda k: F.array(*[point(F.lit(i)) for i in range(k)]))
+    return F.struct(at(F.lit(1)).try_cast("int").alias("page"), few.when(n > 0, points).otherwise(F.array().cast("array<struct<x: double, y: double>>")).alias("points"))
+
+
+def _few(n: Column, value: Callable[[int], Column]) -> Column:
+    """A case for each n up to CORNERS, without a lambda function, which is interpreted for each point."""
+    out = F.when(n == CORNERS, value(CORNERS))
+    for k in range(1, CORNERS):
+        out = out.when(n == k, value(k))
+    return out
 
 
 def centroid(points: Column) -> Column:
-    mean = lambda n: F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p[n]) / F.size(points)
+    added = lambda n, k: reduce(lambda acc, i: acc + F.try_element_at(points, F.lit(i + 1))[n], range(k), F.lit(0.0))
+    total = lambda n: _few(F.size(points), lambda k: added(n, k)).otherwise(F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p[n]))
+    mean = lambda n: total(n) / F.size(points)
     return F.when(F.size(points) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y")))
 
 

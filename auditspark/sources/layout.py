@@ -17,41 +17,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.intake import centroid, polygon
+from ..operators.intake import centroid, coordinates, shape, whole_points
 
 ITEM = ["kind", "idx", "content", "polygon", "x", "y", "left", "top"]
 
 
-def _field(v: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(v, path, kind)
+#: Read at once from the answer: what is of another kind is null where it stands, and no part is copied as a variant.
+ITEMS = "array<struct<content: string, source: string>>"
+PAGES = f"array<struct<pageNumber: int, width: double, height: double, words: {ITEMS}, lines: {ITEMS}>>"
 
 
-def _items(page: Column, name: str, kind: str) -> Column:
-    """Items of a page as (kind, idx, content, source)."""
-    item = "array<struct<content: string, source: string>>"  # an item that is no object is null: a variant for each would carry all names of the answer
-    rows = F.coalesce(_field(page, f"$.{name}", item), F.array().cast(item))
-    return F.transform(rows, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), F.coalesce(v["content"], F.lit("")).alias("content"), v["source"].alias("source")))
+def _all(rows: Column, kind: str) -> Column:
+    return F.coalesce(rows, F.array().cast(kind))
 
 
 def shred(answers: DataFrame) -> DataFrame:
     """answers (doc_id, raw) as rows (doc_id, page, kind, idx, content, polygon, x, y, left, top, width, height, error).
 
-    x and y are the polygon's centre as it was given; left and top its first point as a part of the page."""
-    contents = _field(F.col("v"), "$.contents", "array<variant>")
-    pages = F.flatten(F.transform(contents, lambda c: F.coalesce(_field(c, "$.pages", "array<variant>"), F.array().cast("array<variant>"))))
-    parsed = answers.select("doc_id", "raw", F.try_parse_json("raw").alias("v"))
-    rows = parsed.select("doc_id", F.col("v").isNull().alias("unread"), (F.trim(F.coalesce("raw", F.lit(""))) == "").alias("empty"), F.posexplode_outer(pages).alias("nth", "p"))
-    size = lambda name: F.when(_field(F.col("p"), f"$.{name}", "double") > 0, _field(F.col("p"), f"$.{name}", "double"))
-    itself = F.array(F.struct(F.when(F.col("nth").isNull(), "answer").otherwise("page").alias("kind"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("source")))
-    each = rows.select("doc_id", "unread", "empty", F.coalesce(_field(F.col("p"), "$.pageNumber", "int"), F.col("nth") + 1).alias("page"), size("width").alias("width"), size("height").alias("height"), F.explode(F.concat(itself, _items(F.col("p"), "words", "word"), _items(F.col("p"), "lines", "line"))).alias("i"))
-    placed = each.withColumn("points", F.when(F.col("i.idx").isNotNull(), polygon(F.col("i.source"))["points"]))
-    good = (F.size("points") > 0) & F.forall("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    placed = placed.withColumn("points", F.when(good, F.col("points")))
-    of_answer = F.when(F.col("empty"), "empty").when(F.col("unread"), "not JSON").otherwise("no pages")
-    error = F.when(F.col("i.kind") == "answer", of_answer).when(F.col("i.kind") == "page", F.when(F.col("width").isNull() | F.col("height").isNull(), "no size")).when(F.col("points").isNull(), "no polygon")
+    x and y are the polygon's centre as it was given; left and top its first point as a part of the page. A page's row carries
+    nothing of the answer and an item's row only numbers of its page, so the work grows with the items, not with pages times answer."""
+    parsed = answers.select("doc_id", (F.trim(F.coalesce("raw", F.lit(""))) == "").alias("empty"), F.try_parse_json("raw").alias("v"))
+    no_page = F.when(F.col("empty"), "empty").when(F.col("v").isNull(), "not JSON").otherwise("no pages")
+    pages = F.flatten(F.transform(F.try_variant_get("v", "$.contents", f"array<struct<pages: {PAGES}>>"), lambda c: _all(c["pages"], PAGES)))
+    rows = parsed.select("doc_id", no_page.alias("no_page"), pages.alias("pages")).select("doc_id", "no_page", F.posexplode_outer("pages").alias("nth", "p"))
+    size = lambda name: F.when(F.col(f"p.{name}") > 0, F.col(f"p.{name}")).alias(name)
+    words, lines, itself = _all(F.col("p.words"), ITEMS), _all(F.col("p.lines"), ITEMS), F.array(F.lit(None)).cast(ITEMS)
+    of_page = rows.select("doc_id", F.when(F.col("nth").isNull(), F.col("no_page")).alias("no_page"), F.coalesce("p.pageNumber", F.col("nth") + 1).alias("page"), size("width"), size("height"), F.size(words).alias("n_words"), F.concat(itself, words, lines).alias("items"))
+    each = of_page.select("doc_id", "no_page", "page", "width", "height", "n_words", F.posexplode("items").alias("at", "i"))
+    at, n_words = F.col("at"), F.col("n_words")
+    kind = F.when(at > n_words, "line").when(at > 0, "word").when(F.col("no_page").isNotNull(), "answer").otherwise("page")
+    idx = F.when(at > n_words, at - 1 - n_words).when(at > 0, at - 1)
+    read = each.select("doc_id", "no_page", "page", "width", "height", kind.alias("kind"), idx.alias("idx"), F.when(at > 0, F.coalesce("i.content", F.lit(""))).alias("content"), coordinates(F.col("i.source")).alias("numbers"))
+    lowest = F.try_element_at(F.sort_array(F.slice("numbers", 2, 2 * whole_points(F.col("numbers")))), F.lit(1))  # null if there is none, or one is no number
+    placed = read.withColumn("points", F.when(lowest.isNotNull(), shape(F.col("numbers"))["points"]))
+    error = F.when(F.col("kind") == "answer", F.col("no_page")).when(F.col("kind") == "page", F.when(F.col("width").isNull() | F.col("height").isNull(), "no size")).when(F.col("points").isNull(), "no polygon")
     middle, first = centroid(F.col("points")), F.try_element_at("points", F.lit(1))
     return placed.select(
-        "doc_id", "page", "i.kind", "i.idx", "i.content", F.col("points").alias("polygon"), middle["x"].alias("x"), middle["y"].alias("y"),
+        "doc_id", "page", "kind", "idx", "content", F.col("points").alias("polygon"), middle["x"].alias("x"), middle["y"].alias("y"),
         (first["x"] / F.col("width")).alias("left"), (first["y"] / F.col("height")).alias("top"), "width", "height", error.alias("error"),
     )
 

@@ -1,6 +1,7 @@
 """Layout answers: every part gives a row, and what is left can be searched."""
 
 import json
+import re
 
 from auditspark.operators import places
 from auditspark.sources import layout
@@ -57,3 +58,25 @@ def test_items_are_not_variants(spark):
     assert got == [(0, "", "no polygon"), (1, "", "no polygon"), (2, "", "no polygon"), (3, "", "no polygon"), (4, "7", "no polygon"), (5, '{"a":1}', "no polygon"), (6, "", None)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "$.content," not in plan and "$.source" not in plan
+
+
+def test_rows_carry_no_answer(spark):
+    """Rows of pages carry nothing of their answer and rows of items nothing of their page: work grows with items, not with pages times answer."""
+    plan = shredded(spark, "{}")._jdf.queryExecution().executedPlan().toString()
+    carried = [re.findall(r"(\w+)#", x) for x in re.findall(r"Generate .*\), \[([^\]]*)\], (?:true|false), \[", plan)]
+    assert carried == [["doc_id", "no_page", "page", "width", "height", "n_words"], ["doc_id", "no_page"]]
+
+
+def test_polygons_of_any_size(spark):
+    """Points and centre are the same with and without a lambda function, up to four points and above, and a page's number that fits no int spoils nothing."""
+    numbers = [[i * i % 7 + i / 8 for i in range(2 * n)] for n in range(8)]
+    words = [{"content": "w", "source": f"D({','.join(map(str, [page, *xs]))}{',5' * more})"} for page in (1, 99999999999) for xs in numbers for more in (0, 1)]
+    rows = shredded(spark, json.dumps({"contents": [{"pages": [{"width": 2, "height": 4, "words": words}]}]})).filter("kind = 'word'").orderBy("idx").collect()
+    expected = [(xs[0::2], xs[1::2]) for _ in range(2) for xs in numbers for _ in range(2)]
+    assert len(rows) == len(expected) == 32
+    for row, (x, y) in zip(rows, expected):
+        if not x:
+            assert (row["polygon"], row["x"], row["y"], row["left"], row["error"]) == (None, None, None, None, "no polygon")
+        else:
+            assert [tuple(p) for p in row["polygon"]] == list(zip(x, y)) and row["error"] is None
+            assert (row["x"], row["y"], row["left"], row["top"]) == (sum(x) / len(x), sum(y) / len(y), x[0] / 2, y[0] / 4)
