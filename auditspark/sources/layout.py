@@ -38,7 +38,7 @@ def shred(answers: DataFrame) -> DataFrame:
     nothing of the answer and an item's row only numbers of its page, so the work grows with the items, not with pages times answer."""
     parsed = answers.select("doc_id", (F.trim(F.coalesce("raw", F.lit(""))) == "").alias("empty"), F.try_parse_json("raw").alias("v"))
     no_page = F.when(F.col("empty"), "empty").when(F.col("v").isNull(), "not JSON").otherwise("no pages")
-    pages = F.flatten(F.transform(F.try_variant_get("v", "$.contents", f"array<struct<pages: {PAGES}>>"), lambda c: _all(c["pages"], PAGES)))
+    pages = F.flatten(F.array_compact(F.try_variant_get("v", "$.contents", f"array<struct<pages: {PAGES}>>")["pages"]))  # transform would copy each page
     rows = parsed.select("doc_id", no_page.alias("no_page"), pages.alias("pages")).select("doc_id", "no_page", F.posexplode_outer("pages").alias("nth", "p"))
     size = lambda name: F.when(F.col(f"p.{name}") > 0, F.col(f"p.{name}")).alias(name)
     words, lines, itself = _all(F.col("p.words"), ITEMS), _all(F.col("p.lines"), ITEMS), F.array(F.lit(None)).cast(ITEMS)
